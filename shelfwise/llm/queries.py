@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe
+from shelfwise.llm import bpe, tokenfiles
 from shelfwise.llm.shared import table
 
 #: Folder of the public vocabulary files; empty: where their package lies.
@@ -28,6 +28,10 @@ def piece_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), piece_pattern())
 
