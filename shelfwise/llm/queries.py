@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, mixing, tokenfiles, urlfilter
+from shelfwise.llm import bpe, mixing, quality, tokenfiles, urlfilter
 from shelfwise.llm.shared import table
 
 #: Folder of the public vocabulary files; empty: where their package lies.
@@ -28,6 +28,10 @@ def piece_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
