@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, html, mixing, quality, tokenfiles, urlfilter
+from shelfwise.llm import audio, bpe, html, mixing, quality, tokenfiles, urlfilter
 from shelfwise.llm.shared import table
 
 #: Folder of the public vocabulary files; empty: where their package lies.
@@ -44,6 +44,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
