@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import audio, bpe, html, mixing, quality, tokenfiles, urlfilter
+from shelfwise.llm import audio, bpe, html, mixing, quality, tokenfiles, topk, urlfilter
 from shelfwise.llm.shared import table
 
 #: Folder of the public vocabulary files; empty: where their package lies.
@@ -40,6 +40,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.BLOCK, urlfilter.ALLOW)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)
 
@@ -61,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE, "op4_url_rules": urlfilter.ORACLE}
+    return {"op3_mix_sources": mixing.ORACLE, "op4_url_rules": urlfilter.ORACLE, "op6_top_k": topk.ORACLE}
