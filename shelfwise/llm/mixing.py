@@ -110,7 +110,7 @@ def mix(docs: DataFrame, copies: int = 3, weight=_cycle, id_col: str = "doc_id",
     globally by virtual finish time."""
     plan = plan_mix(docs, copies, weight, id_col, text_col, source_col)
     same = Window.partitionBy("_id", "_source", "_size")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "finish", (F.col("source_size") / F.col("target")).alias("_round"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "finish", F.try_divide("source_size", "target").alias("_round"))
     plan = plan.withColumn("_nth", F.row_number().over(same.orderBy("finish"))).where("taken > 0")
     plan = plan.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("_size")).cast("int") - 1)))
     plan = plan.select("_id", "_source", "_size", "_nth", (F.col("finish") + F.col("_copy") * F.col("_round")).alias("_finish"))

@@ -16,6 +16,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.llm.shared import materialize, work_dir
 from shelfwise.llm.words import BLOCK, blocks, buffers, words_of
@@ -156,9 +157,34 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, limit: i
     """
     at = work_dir(docs.sparkSession)
     stats = materialize(text_statistics(docs, id_col, text_col), f"{at}/statistics")
-    known = labels.where("quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # so few that they may be broadcast
-    rows = stats.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").coalesce(4)
-    model = fit_rules(materialize(rows, f"{at}/labelled"))
+    model = _fit_on_sample(stats, _chosen(labels, limit), at)
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def _chosen(labels: DataFrame, limit: int) -> DataFrame:
+    """The labelled rows to learn from: so few that they may be broadcast."""
+    known = labels.where("quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def _fit_on_sample(stats: DataFrame, chosen: DataFrame, at: str) -> RuleModel:
+    rows = stats.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *STATISTICS).coalesce(4)
+    return fit_rules(materialize(rows, f"{at}/labelled"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, limit: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is ``cut`` or more; as ``score_quality``
+    otherwise, but in one pass over the texts after the model is fitted."""
+    chosen = _chosen(labels, limit)
+    sample = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias(id_col))), id_col, "left_semi")
+    model = _fit_on_sample(text_statistics(sample, id_col, text_col), chosen, work_dir(docs.sparkSession))
+    text_at = docs.columns.index(text_col)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([row, *map(pa.array, statistics_of(batch.column(text_at)).values())], ["row", *STATISTICS])
+
+    schema = T.StructType([T.StructField("row", docs.schema), *[T.StructField(s, T.DoubleType()) for s in STATISTICS]])
+    return docs.mapInArrow(add, schema).where(model.score() >= cut).select("row.*")

@@ -272,10 +272,13 @@ def _answer(final: bool):
     return answer
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: ``row``, a struct of its columns with the text's kept words joined by one space;
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", layout: bool = True) -> DataFrame:
+    """For each row: ``row``, a struct of its columns with the removed words cut out of the text;
     ``n_words``; ``n_removed``; ``spans``, the removed runs of words as [start, stop).
 
+    With ``layout`` the kept words stand in the white space that they had, each removed run taking
+    along what follows it; else they are joined by one space.
+
     A word goes if a window over it also starts in a document of a smaller id. Windows are those of the
     input, words are compared as they are. A null text has no words (and stays null); rows without id
     neither lose words nor take any from others; rows of one id take nothing from each other.
@@ -315,14 +318,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 removed = total[first[1:]] - total[first[:-1]]
                 texts, spans = [], []
                 for d in range(len(first) - 1):
-                    words = row["text"][bounds[d] : bounds[d + 1]].split()
-                    own: list = []
+                    text, own = row["text"][bounds[d] : bounds[d + 1]], []
+                    words = [] if layout else text.split()
                     if removed[d]:
                         lost = gone[first[d] : first[d + 1]]
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], lost, [0]]))).tolist()
                         own = [{"start": a, "stop": b} for a, b in zip(edge[::2], edge[1::2])]
-                        words = compress(words, (~lost).tolist())
-                    texts.append(None if nulls[d] else b" ".join(words))
+                        if layout:
+                            begins = np.append(unit.words.starts[first[d] : first[d + 1]] - bounds[d], len(text)).tolist()
+                            at, pieces = 0, []
+                            for span in own:
+                                pieces.append(text[at : begins[span["start"]]])
+                                at = begins[span["stop"]]
+                            text = b"".join([*pieces, text[at:]])
+                        else:
+                            words = compress(words, (~lost).tolist())
+                    texts.append(None if nulls[d] else text if layout else b" ".join(words))
                     spans.append(own)
                 values = batch.column("rows")[i].values
                 parts = {f.name: values.field(k) for k, f in enumerate(others.fields)} | {text_col: pa.array(texts, pa.binary()).cast(pa.string())}
@@ -336,5 +347,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, the SHA-256 of the kept words joined by one space."""
-    found = remove_repeats(docs.select("doc_id", "text"), window)
+    found = remove_repeats(docs.select("doc_id", "text"), window, layout=False)
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -56,6 +56,7 @@ def test_columns_nulls_and_no_rows(spark):
     got = {r.row.part: r for r in substrings.remove_repeats(docs).collect()}
     assert got["a"].row.text == text and got["a"].row.n_removed is None
     assert tuple(got["b"].row) == ("b", 2, "new end", 5) and [tuple(s) for s in got["b"].spans] == [(1, 21)]
+    assert {r.row.text for r in substrings.remove_repeats(docs.replace(f"new {text} end", f"\nnew\t{text}  end ")).collect()} == {text, "\nnew\tend ", None}
     assert got["c"].row.text is None and got["c"].n_words == 0
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
