@@ -33,7 +33,7 @@ from shelfwise.llm.words import Words, _BYTE_BASE, _BYTE_VALUE, _spans, blocks,
 
 WINDOW = 13
 #: Bytes of text in a unit; a longer document is a unit of its own.
-UNIT = 4 << 20
+UNIT = 1 << 20
 
 _U = np.uint64
 _NONE = _U(2**64 - 1)
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("unit", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _UNIT], T.StructField("rows", T.ArrayType(others))])
     units = materialize(docs.mapInArrow(_pack(id_at, text_at), schema), f"{folder}/units")
 
-    bits = max(4, (8 * tasks(spark) - 1).bit_length())
+    bits = max(4, (2 * tasks(spark) - 1).bit_length())
     size = units.agg(F.sum(F.length("text"))).first()[0] or 0
     while (size >> bits) > (64 << 20):  # a bucket holds the hashes of so much text
         bits += 1
