@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.shared import bound_batches
+
 #: Entries that a worker keeps; beyond them it starts again, so its memory is bounded.
-PIECES, PAIRS = 800_000, 600_000
+PIECES, PAIRS = 300_000, 300_000
 
 
 class Vocabulary:
@@ -234,6 +236,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             ids = [c.encode(text) if text else b"" for text in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, ids binary")
 
