@@ -59,7 +59,7 @@ def first_non_blank(values: Column) -> Column:
 
 def gtin_from_images(urls: Column) -> Column:
     """The first barcode that is a file's name (8 to 14 digits) among image addresses."""
-    names = F.transform(urls, lambda u: F.regexp_extract(text(u), r"(?:^|/)(\d{8,14})\.[A-Za-z]+(?:$|[?#])", 1))
+    names = F.transform(urls, lambda u: F.regexp_extract(text(u), r"(?:^|/)(\d{8,14})(?:[_-][^/?#]*)?\.[A-Za-z]+(?:$|[?#])", 1))
     return F.coalesce(first_non_blank(F.transform(names, normalize_gtin)), F.lit(""))
 
 

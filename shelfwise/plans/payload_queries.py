@@ -1 +1,46 @@
-"""Registered queries over captured payloads."""
+"""Registered queries over payloads: pages, and feeds that Spark builds from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.functions import markup, values
+from shelfwise.normalize import payloads
+from shelfwise.plans.catalogue_queries import _table, query
+
+
+@query()
+def page_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", markup.html_to_text("html").alias("text"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages", with_obs=False)
+def page_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", markup.page_title(F.col("html")).alias("title"))
+
+
+@query("""SELECT page_id, array_to_string(l, ' ') AS links, len(l)::INT AS n FROM (SELECT page_id, list_distinct(regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"\\s>]+)', 1)) AS l0, regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"\\s>]+)', 1) AS a,
+  list_filter(a, lambda x, i: list_position(a, x) = i) AS l FROM pages)""", with_obs=False)
+def page_links(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", markup.page_links(F.col("html")).alias("l")).select("page_id", F.array_join("l", " ").alias("links"), F.size("l").alias("n"))
+
+
+@query("""SELECT p_partkey::VARCHAR || '-' || k AS product_id, p_partkey::VARCHAR AS parent_product_id, p_brand AS brand, p_name AS product_name, CASE k WHEN 0 THEN '' ELSE p_size || ' ml' END AS variant,
+  CASE WHEN k = 0 AND p_partkey % 2 = 0 THEN p_retailprice + 100 END AS mrp, p_retailprice AS selling_price, CASE WHEN k = 0 AND p_partkey % 2 = 0 THEN round(100 / (p_retailprice + 100) * 100, 2) END AS discount_pct,
+  k = 0 AS in_stock, p_name || E'\\n' || p_type || ' & co' AS description FROM part, range(2) r(k)""", with_obs=False)
+def normalize_feed(spark, sf_dir):
+    p, key = _table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    variant = lambda k, title, compare, available: F.struct(F.concat(key, F.lit(f"-{k}")).alias("id"), title.alias("title"), F.lit("NOT-A-CODE").alias("sku"), F.col("p_retailprice").cast("string").alias("price"), compare.cast("string").alias("compare_at_price"), F.lit(available).alias("available"))
+    compare = F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice") + 100).otherwise(F.col("p_retailprice") - 100)
+    product = F.struct(key.alias("id"), F.concat(F.lit("h"), key).alias("handle"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"), F.lit("").alias("product_type"), F.concat(F.lit("<p>"), "p_name", F.lit("</p><p> <b>"), "p_type", F.lit("</b> &amp;  co</p>")).alias("body_html"), F.array(variant(0, F.lit("Default Title"), compare, True), variant(1, F.concat(F.col("p_size").cast("string"), F.lit(" ml")), F.lit(None).cast("double"), False)).alias("variants"))
+    bronze = p.select(F.lit("shop").alias("site"), F.lit("").alias("url"), F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(1).alias("page_no"), F.lit("").alias("category"), F.to_json(F.struct(F.array(product).alias("products"))).alias("body"))
+    return payloads.shop_feed(bronze, "https://shop.example.com").select("product_id", "parent_product_id", "brand", "product_name", "variant", "mrp", "selling_price", "discount_pct", "in_stock", "description")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_discount < 0.05 THEN NULL ELSE l_extendedprice END AS mrp, l_extendedprice - 100 AS price, l_discount < 0.05 AS unit FROM lineitem WHERE l_extendedprice > 200""", with_obs=False)
+def price_cleanup(spark, sf_dir):
+    t = _table(spark, sf_dir, "lineitem").where("l_extendedprice > 200")
+    mrp = F.when(F.col("l_discount") < 0.05, F.col("l_extendedprice") - 150).otherwise(F.col("l_extendedprice"))
+    note = F.when(F.col("l_discount") < 0.05, "₹12 / 100 ml").otherwise("₹12")
+    p = values.clean_prices(mrp, F.col("l_extendedprice") - 100)
+    return t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), p["mrp"].alias("mrp"), p["selling_price"].alias("price"), values.is_unit_price(note).alias("unit"))

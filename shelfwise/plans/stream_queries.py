@@ -1 +1,42 @@
-"""Registered streaming queries."""
+"""Registered streaming queries: file streams that run to their end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.plans.catalogue_queries import query
+from shelfwise.session import configure
+from shelfwise.sources.versions import VersionedTable, scratch
+from shelfwise.streaming import micro_batches
+
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+_ROWS = "site string, product_id string, ord long, scraped_at timestamp, selling_price double, in_stock boolean"
+
+
+def _observations(spark, sf_dir):
+    configure(spark)
+    events = micro_batches.landing(spark, sf_dir, _EVENTS, pathGlobFilter="events.parquet")
+    return events.select(
+        F.concat(F.lit("site_"), (F.col("user_id") % 5).cast("string")).alias("site"), F.col("user_id").cast("string").alias("product_id"), F.col("event_id").alias("ord"),
+        F.col("ts").cast("timestamp").alias("scraped_at"), F.floor("value").cast("double").alias("selling_price"), (F.col("event_type") != "error").alias("in_stock"),
+    )
+
+
+_SQL = "WITH o AS (SELECT 'site_' || (user_id % 5) AS site, user_id::VARCHAR AS product_id, event_id AS ord, ts, floor(value)::DOUBLE AS selling_price, event_type <> 'error' AS in_stock FROM events) "
+
+
+@query(_SQL + "SELECT site, product_id, selling_price, in_stock, 1::BIGINT AS versions FROM o QUALIFY row_number() OVER (PARTITION BY site, product_id ORDER BY ts DESC, ord DESC) = 1", with_obs=False)
+def stream_upsert(spark, sf_dir):
+    folder = scratch(spark)
+    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    merge = micro_batches.merge_batch(table, history, "site string, product_id string, scraped_at timestamp, selling_price double, in_stock boolean", "site string, product_id string, selling_price decimal(12,2), in_stock boolean, scraped_at timestamp")
+    micro_batches.run_to_end(_observations(spark, sf_dir), merge, f"{folder}/checkpoint")
+    return table.read().select("site", "product_id", "selling_price", "in_stock", F.lit(1).cast("long").alias("versions"))
+
+
+@query(_SQL + "SELECT site, product_id, ord, selling_price, in_stock FROM (SELECT *, lag(struct_pack(selling_price, in_stock)) OVER w AS before, row_number() OVER w AS nth FROM o WINDOW w AS (PARTITION BY site, product_id ORDER BY ts, ord)) WHERE nth = 1 OR struct_pack(selling_price, in_stock) IS DISTINCT FROM before", with_obs=False)
+def stream_price_changes(spark, sf_dir):
+    folder = scratch(spark)
+    changes = micro_batches.price_change_stream(_observations(spark, sf_dir))
+    micro_batches.run_to_end(changes, lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"), f"{folder}/checkpoint")
+    return spark.read.schema(_ROWS).parquet(f"{folder}/out").select("site", "product_id", "ord", "selling_price", "in_stock")
