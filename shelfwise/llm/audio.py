@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from shelfwise.llm.shared import materialize, work_dir
+from shelfwise.llm.shared import map_batches, materialize, work_dir
 
 RATE, UP, DOWN, TAPS = 8000, 5, 8, 16
 FRAME, HOP, BANDS = 256, 128, 16
@@ -144,7 +144,7 @@ def store_audio(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array([to_wav(payload(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return materialize(docs.select(id_col, text_col).mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary"), folder)
+    return materialize(docs.select(id_col, text_col).transform(map_batches, store, f"doc_id {kind}, n_bytes long, media binary"), folder)
 
 
 _SPANS = "array<struct<start: double, stop: double>>"
@@ -170,7 +170,7 @@ def audio_features(stored: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*rows), kinds)], ["doc_id", *(x.split()[0] for x in _DIGESTS.split(", ")), "tensors", "spans", "segments"])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(compute, f"doc_id {kind}, {_DIGESTS}, tensors array<float>, spans {_SPANS}, segments {_SPANS}")
+    return stored.select("doc_id", "n_bytes", "media").transform(map_batches, compute, f"doc_id {kind}, {_DIGESTS}, tensors array<float>, spans {_SPANS}, segments {_SPANS}")
 
 
 def write_tensors(found: DataFrame, folder: str) -> DataFrame:
@@ -197,7 +197,7 @@ def write_tensors(found: DataFrame, folder: str) -> DataFrame:
             filesystem.move(temporary, path)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{os.path.basename(path)}"]), pa.array([n], pa.int64())], ["file", "n"])
 
-    return materialize(found.select("doc_id", "tensors", "spans").mapInArrow(write, "file string, n long"), f"{folder}-manifest")
+    return materialize(found.select("doc_id", "tensors", "spans").transform(map_batches, write, "file string, n long"), f"{folder}-manifest")
 
 
 def audio_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import bound_batches
+from shelfwise.llm.shared import map_batches
 
 #: Entries that a worker keeps; beyond them it starts again, so its memory is bounded.
-PIECES, PAIRS = 300_000, 300_000
+PIECES, PAIRS = 150_000, 150_000
 
 
 class Vocabulary:
@@ -236,9 +236,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             ids = [c.encode(text) if text else b"" for text in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
-    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, ids binary")
+    return docs.select(F.col(id_col), F.col(text_col)).transform(map_batches, encode, f"`{id_col}` {kind}, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,4 +258,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(check, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).transform(map_batches, check, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

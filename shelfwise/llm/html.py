@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shelfwise.llm.shared import map_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page, and those that end at their own end tag only.
 SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button option datalist".split())
@@ -200,4 +202,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
-    return pages.select(id_col, url_col, html_col).mapInArrow(extract, f"page_id {kind}, url {url_kind}, text string, n_chars long")
+    return pages.select(id_col, url_col, html_col).transform(map_batches, extract, f"page_id {kind}, url {url_kind}, text string, n_chars long")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.shared import materialize, work_dir
+from shelfwise.llm.shared import map_batches, materialize, work_dir
 from shelfwise.llm.words import BLOCK, blocks, buffers, words_of
 
 #: Labelled rows to learn from, at most: those whose ids hash lowest.
@@ -77,7 +77,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], ["doc_id", *found])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(compute, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.select(id_col, text_col).transform(map_batches, compute, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -187,4 +187,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, limit: in
             yield pa.RecordBatch.from_arrays([row, *map(pa.array, statistics_of(batch.column(text_at)).values())], ["row", *STATISTICS])
 
     schema = T.StructType([T.StructField("row", docs.schema), *[T.StructField(s, T.DoubleType()) for s in STATISTICS]])
-    return docs.mapInArrow(add, schema).where(model.score() >= cut).select("row.*")
+    return docs.transform(map_batches, add, schema).where(model.score() >= cut).select("row.*")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but these bytes: space and 0x09 to 0x0D.
@@ -20,6 +23,27 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def release() -> None:
+    """Give back what a worker's allocators hold free: workers live on, and later stages need the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with bounded batches, after whose tasks a worker gives back free memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share, with its scheme.
 

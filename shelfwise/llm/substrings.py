@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.shared import materialize, tasks, work_dir
+from shelfwise.llm.shared import map_batches, materialize, tasks, work_dir
 from shelfwise.llm.words import Words, _BYTE_BASE, _BYTE_VALUE, _spans, blocks, buffers, mix, word_bounds
 
 WINDOW = 13
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     id_at, text_at = columns.index(id_col), columns.index(text_col)
     others = T.StructType([f for f in docs.schema.fields if f.name != text_col])
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("unit", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in _UNIT], T.StructField("rows", T.ArrayType(others))])
-    units = materialize(docs.mapInArrow(_pack(id_at, text_at), schema), f"{folder}/units")
+    units = materialize(docs.transform(map_batches, _pack(id_at, text_at), schema), f"{folder}/units")
 
     bits = max(4, (2 * tasks(spark) - 1).bit_length())
     size = units.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -298,9 +298,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     levels, folders = lengths(window), []
     asking = units.select("part", "unit", *_UNIT)
     for level in range(len(levels)):
-        questions = asking.mapInArrow(_ask(level, window, folders, bits), _QUESTION)
+        questions = asking.transform(map_batches, _ask(level, window, folders, bits), _QUESTION)
         dealt = questions.repartition(tasks(spark), "bucket").sortWithinPartitions("bucket")
-        answers = dealt.mapInArrow(_answer(level == len(levels) - 1), "part int, unit int, bucket int, n int, bits binary")
+        answers = dealt.transform(map_batches, _answer(level == len(levels) - 1), "part int, unit int, bucket int, n int, bits binary")
         answers.repartition(tasks(spark), "part").write.partitionBy("part").parquet(f"{folder}/level{level}")
         folders.append(f"{folder}/level{level}")
 
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([struct, pa.array(unit.words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span)], ["row", "n_words", "n_removed", "spans"])
 
     result = T.StructType([T.StructField("row", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))])
-    return units.mapInArrow(finish, result)
+    return units.transform(map_batches, finish, result)
 
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

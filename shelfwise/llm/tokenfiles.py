@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import materialize, tasks, work_dir
+from shelfwise.llm.shared import map_batches, materialize, tasks, work_dir
 
 #: Ids after which a frame is closed, with the document that it is in.
 FRAME_IDS = 1 << 16
@@ -205,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int, width:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = rows.repartitionByRange(tasks(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    written = ranges.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
+    written = ranges.transform(map_batches, write, "part long, file string, n_docs long, n_ids long")
     return materialize(written, f"{folder}-manifest")
 
 
@@ -228,7 +228,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.withColumn("start", F.coalesce(before, F.lit(0))).select("file", "start")  # a row for each file
-    return files.repartition(tasks(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(tasks(manifest.sparkSession)).transform(map_batches, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:

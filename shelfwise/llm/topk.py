@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import materialize, tasks, work_dir
+from shelfwise.llm.shared import map_batches, materialize, tasks, work_dir
 
 #: Pivots, and the vectors (those whose ids hash lowest) among which they are chosen.
 PIVOTS, SAMPLE = 24, 1024
@@ -86,7 +86,7 @@ def _pack(rows: DataFrame, size: int, pivots: np.ndarray, width: int) -> DataFra
         if ids:
             yield block()
 
-    return rows.mapInArrow(pack, "ids binary, vectors binary, table binary")
+    return rows.transform(map_batches, pack, "ids binary, vectors binary, table binary")
 
 
 def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -135,7 +135,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
     asked = queries.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    found = data.join(asked, "slot").select("ids", "vectors", "table", "q_ids", "q_vectors", "q_table").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = data.join(asked, "slot").select("ids", "vectors", "table", "q_ids", "q_vectors", "q_table").transform(map_batches, search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text for which arrays are held at once; one longer text is taken alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
