@@ -109,14 +109,16 @@ def mix(docs: DataFrame, copies: int = 3, weight=_cycle, id_col: str = "doc_id",
     """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken, sorted
     globally by virtual finish time."""
     plan = plan_mix(docs, copies, weight, id_col, text_col, source_col)
-    same = Window.partitionBy("_id", "_source", "_size")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "finish", F.try_divide("source_size", "target").alias("_round"))
-    plan = plan.withColumn("_nth", F.row_number().over(same.orderBy("finish"))).where("taken > 0")
-    plan = plan.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("_size")).cast("int") - 1)))
-    plan = plan.select("_id", "_source", "_size", "_nth", (F.col("finish") + F.col("_copy") * F.col("_round")).alias("_finish"))
+    turn = F.struct("finish", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).cast("int").alias("copies"), F.try_divide("source_size", "target").alias("round"))
+    turns = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
+    turns = turns.where(F.exists("_turns", lambda t: t["copies"] > 0))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"))
-    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.col(f"_row.`{text_col}`"))))
-    return _join(rows, plan, "_id", "_source", "_size", "_nth").orderBy("_finish", "_id").select("_row.*")
+    joined = _join(rows, turns, "_id", "_source", "_size")
+    once = joined.where(F.size("_turns") == 1).withColumn("_nth", F.lit(1))  # others repeat an id, source and size
+    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col(f"_row.`{text_col}`")))
+    turned = once.unionByName(joined.where(F.size("_turns") > 1).withColumn("_nth", nth)).withColumn("_turn", F.get("_turns", F.col("_nth") - 1)).where("_turn.copies > 0")
+    copied = turned.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_turn.copies") - 1)))
+    return copied.orderBy(F.col("_turn.finish") + F.col("_copy") * F.col("_turn.round"), "_id").select("_row.*")
 
 
 ORACLE = """

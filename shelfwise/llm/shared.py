@@ -58,10 +58,17 @@ def work_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, at: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: lineage ends at files that all machines see."""
-    df.write.mode("overwrite").parquet(at)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Delete tables that nothing needs any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of partitions of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
