@@ -82,7 +82,7 @@ def attribute_gtin(attributes: Column) -> Column:
 def gtin_from_candidates(candidates: Column, strict: bool = False) -> Column:
     """The first of several identifiers that is a barcode (with ``strict``, a plausible one)."""
     found = F.transform(candidates, normalize_gtin)
-    return F.coalesce(first_non_blank(F.filter(found, plausible_barcode) if strict else found), F.lit(""))
+    return F.coalesce(first_non_blank(F.filter(found, lambda g: plausible_barcode(g)) if strict else found), F.lit(""))
 
 
 def text_identity(site: Column, brand: Column, name: Column) -> Column:
