@@ -1,8 +1,8 @@
 """The same product on several sites: a scored join within brands, and a one-to-one assignment.
 
-Edges are found through shared title words: items exploded by word and joined on (brand, word) meet
-once for each word they share, so the count of a pair's rows is the overlap that the score needs, and
-no pair without a shared word is ever made.
+Edges are found through shared title words: items exploded by word are joined on (brand, word), except on
+each item's most frequent word, which a pair of two shared words can do without. So no pair without a
+shared word is ever made, and the commonest word of a brand pairs nobody.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def prepare(products: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     return items.withColumns({"item": F.struct("site", "product_id"), "ord": F.struct("place", F.lower("brand").alias("brand"), F.lower("product_name").alias("name"), F.lower(keys.text(F.col("variant"))).alias("variant"), "product_id")})
 
 
-_SIDE = ("item", "site", "ord", "place", "gtin", "n", "form", "strengths", "bundle", "size")
+_SIDE = ("item", "site", "ord", "place", "gtin", "tokens", "n", "form", "strengths", "bundle", "size")
 
 
 def score_edges(items: DataFrame, threshold: float = THRESHOLD, hot_words: int = 1) -> DataFrame:
@@ -55,11 +55,17 @@ def score_edges(items: DataFrame, threshold: float = THRESHOLD, hot_words: int =
     coded = left.where("l_gtin <> ''").join(right.where("r_gtin <> ''"), (left["bkey"] == right["bkey"]) & (F.col("l_gtin") == F.col("r_gtin")) & (F.col("l_place") < F.col("r_place")))
     sure = coded.select(F.col("l_item").alias("left"), F.col("r_item").alias("right"), "l_site", "r_site", "l_ord", "r_ord", F.lit(1.0).alias("confidence"), F.lit("gtin").alias("method"), F.array().cast("array<string>").alias("notes"))
 
-    words = base.select("bkey", "item", "place", F.explode("tokens").alias("word"), F.pmod(F.xxhash64("item"), F.lit(hot_words)).cast("int").alias("salt"))
+    # Pairs share two words, so they share one that is not the most frequent word of the left item and not
+    # that of the right one, if frequency orders words alike for both: that word is left out of the join.
+    words = base.where("n >= 2").select("bkey", "item", "place", F.explode("tokens").alias("word"))
+    frequency = words.groupBy("bkey", "word").agg(F.count("*").alias("times"))
+    commonest = F.row_number().over(Window.partitionBy("bkey", "item").orderBy(F.desc("times"), F.desc("word")))
+    words = words.join(frequency, ["bkey", "word"]).withColumn("nth", commonest).where("nth > 1").select("bkey", "word", "item", "place", F.pmod(F.xxhash64("item"), F.lit(hot_words)).cast("int").alias("salt"))
     lw = words.select("bkey", "word", F.col("item").alias("l"), F.col("place").alias("lp"), F.explode(F.sequence(F.lit(0), F.lit(hot_words - 1))).alias("salt"))
     rw = words.select("bkey", "word", F.col("item").alias("r"), F.col("place").alias("rp"), "salt")
-    shared = lw.join(rw, ["bkey", "word", "salt"]).where("lp < rp").groupBy("bkey", "l", "r").agg(F.count("*").alias("c")).where("c >= 2")
+    shared = lw.join(rw, ["bkey", "word", "salt"]).where("lp < rp").select("l", "r").distinct()
     pairs = shared.join(left.drop("bkey"), F.col("l") == F.col("l_item")).join(right.drop("bkey"), F.col("r") == F.col("r_item"))
+    pairs = pairs.withColumn("c", F.size(F.array_intersect("l_tokens", "r_tokens"))).where("c >= 2")
 
     differ = lambda c, empty: (F.col(f"l_{c}") != empty) & (F.col(f"r_{c}") != empty) & (F.col(f"l_{c}") != F.col(f"r_{c}"))
     no_strength = F.array().cast("array<string>")
