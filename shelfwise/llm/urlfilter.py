@@ -10,13 +10,13 @@ listed, with no join: the filters are literals whose size follows the list, not
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.bloom import BloomFilter, build_filter
 from shelfwise.llm.shared import materialize, work_dir
 
 #: Rate of false positives of all levels but the first.
@@ -34,47 +34,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-@dataclass(frozen=True)
-class Level:
-    """One Bloom filter: ``bits`` bits in words of 64, and ``hashes`` places for each key."""
-
-    words: tuple[int, ...]
-    bits: int
-    hashes: int
-    seed: int
-
-    @staticmethod
-    def shape(n: int, rate: float) -> tuple[int, int]:
-        bits = 64 * math.ceil(max(64, -n * math.log(rate) / math.log(2) ** 2) / 64)
-        return bits, max(1, min(24, round(bits / max(n, 1) * math.log(2))))
-
-    def accepts(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a literal
-        out = F.lit(True)
-        for place in places(key, self.bits, self.hashes, self.seed):
-            out = out & (F.getbit(F.get(words, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1)
-        return out
-
-
-def places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    first, second = F.xxhash64(F.lit(seed), key), F.xxhash64(F.lit(~seed), key)
-    return [F.pmod(first + F.lit(i) * F.pmod(second, F.lit((1 << 31) - 1)).bitwiseOR(F.lit(1)), F.lit(bits)) for i in range(hashes)]
-
-
-def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A filter of the column ``key``; at most ``bits`` / 64 words come to the driver."""
-    bits, hashes = Level.shape(n, rate)
-    at = keys.select(F.explode(F.array(*places(F.col("key"), bits, hashes, seed))).alias("at")).distinct()
-    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("value"))
-    words = [0] * (bits // 64)
-    for row in found.collect():
-        words[row.word] = row.value
-    return Level(tuple(words), bits, hashes, seed)
-
-
 @dataclass(frozen=True)
 class Cascade:
-    levels: tuple[Level, ...]
+    levels: tuple[BloomFilter, ...]
 
     def contains(self, key: Column) -> Column:
         """Whether a key of the universe is listed."""
@@ -101,11 +63,11 @@ def build_cascade(universe: DataFrame, listed: Iterable[str], distinct: int | No
     folder, inside = work_dir(spark), _listed(spark, listed)
     if distinct is None:
         distinct = universe.agg(F.approx_count_distinct("key")).first()[0]
-    levels = [_level(inside, len(listed), min(0.5, len(listed) / max(distinct, 1)), 1)]
+    levels = [build_filter(inside, len(listed), min(0.5, len(listed) / max(distinct, 1)), 1)]
     outside = universe.where(F.col("key").isNotNull() & levels[0].accepts(F.col("key"))).join(inside, "key", "left_anti").distinct()
     sides = [materialize(outside, f"{folder}/1"), inside]
     while n := sides[0].count():
-        levels.append(_level(sides[0], n, LATER_RATE, len(levels) + 1))
+        levels.append(build_filter(sides[0], n, LATER_RATE, len(levels) + 1))
         wrong = sides[1].where(levels[-1].accepts(F.col("key")))
         sides = [materialize(wrong, f"{folder}/{len(levels)}"), sides[0]]
     return Cascade(tuple(levels))
