@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.shared import map_batches
 
 #: Entries that a worker keeps; beyond them it starts again, so its memory is bounded.
-PIECES, PAIRS = 250_000, 250_000
+PIECES, PAIRS = 500_000, 400_000
 
 
 class Vocabulary:
