@@ -136,7 +136,7 @@ def from_cell(value: Column, kind: str) -> Column:
         empty = F.from_json(F.lit("[]" if kind.startswith("array") else "{}"), kind)
         return F.coalesce(F.from_json(value, kind), empty)
     if kind == "bigint":
-        return F.try_divide(value.try_cast("double"), F.lit(1)).try_cast("bigint")
+        return value.try_cast("double").try_cast("bigint")
     if kind == "boolean":
         return boolean_word(value)
     if kind == "timestamp":

@@ -54,14 +54,13 @@ def canonical(sheet: DataFrame, aliases: Mapping[str, Sequence[str]] = ALIASES,
     return sheet.select(*[(F.trim(keys.text(F.col(f"`{found[f]}`"))) if f in found else F.lit("")).alias(f) for f in aliases], *[c for c in ("line",) if c in sheet.columns])
 
 
-def own_catalogue(sheet: DataFrame, site: str, order: Sequence[str] = ("line",)) -> DataFrame:
+def own_catalogue(sheet: DataFrame, site: str) -> DataFrame:
     """Products of one's own sheet (with a column ``line``); rows without name are left out, and the id is
-    the sheet's, else the SKU, else the line's ordinal."""
+    the sheet's, else the SKU, else the line's number."""
     t = canonical(sheet)
-    ordinal = F.row_number().over(Window.orderBy(*order)).cast("string") if order != ("line",) else F.col("line").cast("string")
     mrp, price = values.sheet_number(F.col("mrp")), values.sheet_number(F.col("selling_price"))
     t = t.where("product_name <> ''").withColumns({"n_mrp": mrp, "n_price": price})
-    pid = F.coalesce(F.nullif("product_id", F.lit("")), F.nullif("sku", F.lit("")), ordinal)
+    pid = F.coalesce(F.nullif("product_id", F.lit("")), F.nullif("sku", F.lit("")), F.col("line").cast("string"))
     return t.select(F.lit(site).alias("site"), pid.alias("product_id"), "brand", "product_name", F.filter(F.array("categories"), lambda x: x != "").alias("categories"), "sku", keys.normalize_gtin(F.col("gtin")).alias("gtin"), "variant", F.col("n_mrp").alias("mrp"), F.col("n_price").alias("selling_price"), values.discount_pct(F.col("n_mrp"), F.col("n_price")).alias("discount_pct"), values.boolean_word(F.col("in_stock")).alias("in_stock"), "product_url", "image_url")
 
 

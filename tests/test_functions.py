@@ -19,7 +19,7 @@ def check(spark, f, cases, schema="a string"):
 
 
 def test_brand_key(spark):
-    check(spark, keys.brand_key, [("d'Alba", "dalba"), ("e.l.f.", "elf"), (" COSRX ", "cosrx"), ("Dot & Key", "dotkey"), ("", ""), (None, ""), ("Nykaa Cosmetics", "nykaacosmetics")])
+    check(spark, keys.brand_key, [("d'Alba", "dalba"), ("e.l.f.", "elf"), (" COSRX ", "cosrx"), ("Dot & Key", "dotkey"), ("", ""), (None, ""), ("Kora Cosmetics", "koracosmetics")])
 
 
 def test_normalize_gtin(spark):
