@@ -7,6 +7,7 @@ shared word is ever made, and the commonest word of a brand pairs nobody.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,11 +44,16 @@ def prepare(products: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 _SIDE = ("item", "site", "ord", "place", "gtin", "tokens", "n", "form", "strengths", "bundle", "size")
 
 
-def score_edges(items: DataFrame, threshold: float = THRESHOLD, hot_words: int = 1) -> DataFrame:
+def size_bucket(amount: Column) -> Column:
+    """A number that differs by 1 at most between amounts that agree: half units up to 25, then steps of 2 %."""
+    return F.when(amount < 25, F.floor(amount / 0.5)).otherwise(50 + F.floor(F.log(amount / 25) / math.log(1 / 0.98)))
+
+
+def score_edges(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges from an item to one of a later site: left, right, sites, orders, confidence, method, notes.
 
     Equal barcodes are sure, different ones exclude; otherwise two words must be shared, and known
-    forms, strengths, kits and sizes must agree. ``hot_words`` salts the join by that many parts.
+    forms, strengths, kits and sizes must agree. Where both have a size it is part of the join's key.
     """
     base = items.where("bkey <> ''").withColumn("n", F.size("tokens"))
     side = base.select("bkey", *_SIDE)
@@ -57,13 +63,17 @@ def score_edges(items: DataFrame, threshold: float = THRESHOLD, hot_words: int =
 
     # Pairs share two words, so they share one that is not the most frequent word of the left item and not
     # that of the right one, if frequency orders words alike for both: that word is left out of the join.
-    words = base.where("n >= 2").select("bkey", "item", "place", F.explode("tokens").alias("word"))
+    words = base.where("n >= 2").select("bkey", "item", "place", "form", (F.col("gtin") != "").alias("coded"), F.col("size.unit").alias("unit"), F.col("size.pack").alias("pack"), size_bucket(F.col("size.amount")).alias("bucket"), F.explode("tokens").alias("word"))
     frequency = words.groupBy("bkey", "word").agg(F.count("*").alias("times"))
     commonest = F.row_number().over(Window.partitionBy("bkey", "item").orderBy(F.desc("times"), F.desc("word")))
-    words = words.join(frequency, ["bkey", "word"]).withColumn("nth", commonest).where("nth > 1").select("bkey", "word", "item", "place", F.pmod(F.xxhash64("item"), F.lit(hot_words)).cast("int").alias("salt"))
-    lw = words.select("bkey", "word", F.col("item").alias("l"), F.col("place").alias("lp"), F.explode(F.sequence(F.lit(0), F.lit(hot_words - 1))).alias("salt"))
-    rw = words.select("bkey", "word", F.col("item").alias("r"), F.col("place").alias("rp"), "salt")
-    shared = lw.join(rw, ["bkey", "word", "salt"]).where("lp < rp").select("l", "r").distinct()
+    words = words.join(frequency, ["bkey", "word"]).withColumn("nth", commonest).where("nth > 1")
+    lw = words.select("bkey", "word", "unit", "pack", F.col("bucket").alias("lb"), F.col("item").alias("l"), F.col("place").alias("lp"), F.col("form").alias("lf"), F.col("coded").alias("lc"))
+    rw = words.select("bkey", "word", F.col("unit").alias("ru"), F.col("pack").alias("rpack"), F.col("bucket").alias("rb"), F.col("item").alias("r"), F.col("place").alias("rp"), F.col("form").alias("rf"), F.col("coded").alias("rc"))
+    near = lw.where("lb IS NOT NULL").withColumn("rb", F.explode(F.array(F.col("lb") - 1, F.col("lb"), F.col("lb") + 1)))
+    sized = near.join(rw, ["bkey", "word", "rb"]).where("unit = ru AND pack = rpack")
+    unsized = lw.where("lb IS NULL").join(rw, ["bkey", "word"]).unionByName(lw.where("lb IS NOT NULL").join(rw.where("rb IS NULL"), ["bkey", "word"]))
+    met = sized.select("l", "r", "lp", "rp", "lf", "rf", "lc", "rc").unionByName(unsized.select("l", "r", "lp", "rp", "lf", "rf", "lc", "rc"))
+    shared = met.where("lp < rp AND NOT (lc AND rc) AND (lf = '' OR rf = '' OR lf = rf)").select("l", "r").distinct()
     pairs = shared.join(left.drop("bkey"), F.col("l") == F.col("l_item")).join(right.drop("bkey"), F.col("r") == F.col("r_item"))
     pairs = pairs.withColumn("c", F.size(F.array_intersect("l_tokens", "r_tokens"))).where("c >= 2")
 

@@ -120,3 +120,10 @@ def test_backfill_targets_and_cross_fill(spark):
     brands = spark.createDataFrame([(" minimalist. ",)], "brand string")
     assert barcodes.allow_brands(rows, brands).count() == 5 and barcodes.allow_brands(rows, brands.where("false")).count() == 5
     assert barcodes.allow_brands(rows.withColumn("brand", F.lit("Other")), brands).count() == 0
+
+
+def test_agreeing_sizes_share_or_neighbour_a_bucket(spark):
+    rng = random.Random(3)
+    rows = [(x, x + rng.uniform(-1, 1) * max(0.5, 0.02 * x)) for x in [rng.uniform(0.6, 400) for _ in range(3000)] + [24.6, 24.9, 25.0, 25.1]]
+    df = spark.createDataFrame(rows, "a double, b double").where(matching.titles.amounts_agree(F.col("a"), F.col("b")))
+    assert df.count() > 2500 and df.where(F.abs(matching.size_bucket(F.col("a")) - matching.size_bucket(F.col("b"))) > 1).count() == 0
