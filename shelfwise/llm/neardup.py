@@ -7,14 +7,19 @@ than ``LOOK_BACK`` others qualify, so crowded regions are searched deeper than s
 
 Documents of equal shingle sets are one node from the start. Candidates whose signatures differ too
 much for the threshold are left out. The forest is walked twice: first for the likeliest candidate of
-each document, then for all candidates in components other than its own so far; both are confirmed on
-the full sets. So a large group of copies makes few pairs, and no link between components is left out.
+each document, then for all candidates in components other than its own so far, which alone count
+towards ``LOOK_BACK``; both are confirmed on the full sets. Where more documents than that share all
+values of a tree, every two of them in different components are compared on their full sets, block by
+block of at most two chunks. So a large group of copies makes few pairs, and every two documents that
+share all values of some tree are in one component or have been compared.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,8 @@ TREES, DEPTH, LOOK_BACK = 16, 8, 24
 #: Rows of a tree's order that a task holds to find the least depth; more than twice ``LOOK_BACK``.
 REACH = 16 * LOOK_BACK
 SHINGLE = 5
+#: Documents that a chunk of a crowded group has on average, and shingles that a block counts at once.
+CHUNK, COLUMNS = 1024, 4096
 #: Standard errors by which an estimate may lie under the threshold.
 SLACK = 4.5
 
@@ -113,8 +120,9 @@ def _candidates(ids: np.ndarray, sizes: np.ndarray, of: np.ndarray, labels: np.n
         if i < new_from:
             continue
         begin = max(region[i], i - REACH)
-        start = begin if i - begin <= LOOK_BACK else begin + least_depth(labels[begin : i + 1], i - begin)[0]
-        others = start + np.flatnonzero(of[start:i] != of[i])
+        others = begin + np.flatnonzero(of[begin:i] != of[i])
+        if len(others) > LOOK_BACK:
+            others = others[least_depth(labels[np.append(others, i)], len(others))[0] :]
         like = (sketches[others] == sketches[i]).mean(axis=1)
         less, more = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
         fit = np.flatnonzero((like >= floor) & (100 * less >= share * more))
@@ -149,15 +157,26 @@ def _typed(columns: list[list]) -> pa.RecordBatch:
 
 def _walk(share: int, likeliest: bool):
     """Over rows in tree order: pairs (kind 0), and the rows at either end (1: heads, 2: tails) for the
-    pairs across the border to the next partition."""
+    pairs across the border to the next partition. Without ``likeliest`` also the runs of equal labels
+    (3) that are crowded, or may be as they touch an end: their length, and their least and greatest component."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, heads = TaskContext.get().partitionId(), [], []
+        runs: list[list] = []
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 piece = batch.slice(i, 4096)
                 rows = list(zip(*(piece.column(c).to_pylist() for c in _ROW)))
                 heads += rows[: max(0, LOOK_BACK - len(heads))]
+                for key, members in () if likeliest else groupby(rows, itemgetter(0, 4)):
+                    of = [r[3] for r in members]
+                    if runs and runs[-1][0] == key:
+                        last = runs[-1]
+                        last[1:] = last[1] + len(of), min(last[2], *of), max(last[3], *of)
+                    else:
+                        if len(runs) > 1 and runs[-1][1] <= LOOK_BACK:
+                            runs.pop()
+                        runs.append([key, len(of), min(of), max(of)])
                 pairs: list = []
                 keep = len(held)
                 held += rows
@@ -165,6 +184,11 @@ def _walk(share: int, likeliest: bool):
                 if pairs:
                     yield _pairs_batch(pairs, part)
                 held = held[-REACH:]
+        for i in range(0, len(runs), 4096):
+            keys, times, low, high = zip(*runs[i : i + 4096])
+            trees, labels = zip(*keys)
+            nothing = [None] * len(keys)
+            yield _typed([[3] * len(keys), [part] * len(keys), nothing, trees, nothing, times, low, labels, nothing, high, nothing])
         for kind, rows in ((1, heads), (2, held[-LOOK_BACK:])):
             if rows:
                 n = len(rows)
@@ -208,17 +232,21 @@ def tree_rows(known: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("tree", "doc_id", "n", F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "sketch")
 
 
-def candidate_pairs(rows: DataFrame, share: int, folder: str, likeliest: bool) -> DataFrame:
+def candidate_pairs(rows: DataFrame, share: int, folder: str, likeliest: bool) -> tuple[DataFrame, DataFrame]:
     """``a`` > ``b`` and the likeness of their sketches, each pair once, from all trees; ``rows``: those of
-    ``tree_rows`` with ``of``, the component that each document is known to be in."""
+    ``tree_rows`` with ``of``, the component that each document is known to be in. And, without
+    ``likeliest``, the crowded groups (tree, label): those in several components that share a whole
+    label and are more than a row looks back at, or lie in more than one partition."""
     n = tasks(rows.sparkSession)
     ordered = rows.repartitionByRange(n, "tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
     walked = materialize(ordered.select(*_ROW).transform(map_batches, _walk(share, likeliest), _FOREST), f"{folder}/forest")
-    sides = walked.where("kind > 0").withColumn("border", F.when(F.col("kind") == 2, F.col("part") + 1).otherwise(F.col("part")))
+    sides = walked.where("kind IN (1, 2)").withColumn("border", F.when(F.col("kind") == 2, F.col("part") + 1).otherwise(F.col("part")))
     across = sides.repartition(n, "border").sortWithinPartitions("border", F.desc("kind"), "place")
     across = across.select("border", "kind", *_ROW).transform(map_batches, _borders(share, likeliest), _FOREST)
     pairs = walked.where("kind = 0").select("doc_id", "b", "likeness").unionByName(across.select("doc_id", "b", "likeness"))
-    return materialize(pairs.groupBy(F.col("doc_id").alias("a"), "b").agg(F.max("likeness").alias("likeness")), f"{folder}/pairs")
+    pairs = materialize(pairs.groupBy(F.col("doc_id").alias("a"), "b").agg(F.max("likeness").alias("likeness")), f"{folder}/pairs")
+    runs = walked.where("kind = 3").groupBy("tree", "label").agg(F.sum("n").alias("n"), F.min("of").alias("low"), F.max("b").alias("high"), F.count("*").alias("parts"))
+    return pairs, runs.where(((F.col("n") > LOOK_BACK) | (F.col("parts") > 1)) & (F.col("low") < F.col("high"))).select("tree", "label")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +272,81 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").transform(map_batches, check, "a long, b long")
 
 
+def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """A row for each set: which of the sorted hashes it has."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for i, x in enumerate(sets):
+        x = x[np.searchsorted(x, columns[0]) : np.searchsorted(x, columns[-1], "right")]
+        at = np.searchsorted(columns, x)
+        out[i, at[columns[at] == x]] = 1
+    return out
+
+
+def block_links(one: list[tuple], other: list[tuple], share: int) -> list[tuple[int, int]]:
+    """Links between documents (doc_id, of, sorted shingles) of two chunks, or within one if ``other`` is
+    empty: one for each two components that have any."""
+    sides = [one, other or one]
+    ids, of = ([np.array([r[k] for r in side], np.int64) for side in sides] for k in (0, 1))
+    sets = [[r[2] for r in side] for side in sides]
+    both = np.zeros((len(sets[0]), len(sets[1])), np.float32)
+    common = np.intersect1d(*(np.unique(np.concatenate(x)) for x in sets), assume_unique=True)
+    for i in range(0, len(common), COLUMNS):
+        columns = common[i : i + COLUMNS]
+        x = _incidence(sets[0], columns)
+        both += x @ (_incidence(sets[1], columns) if other else x).T
+    both = both.astype(np.int64)
+    sizes = [np.array([len(x) for x in side]) for side in sets]
+    x, y = np.nonzero((both > 0) & (100 * both >= share * (sizes[0][:, None] + sizes[1] - both)) & (of[0][:, None] != of[1]))
+    found = {(min(p), max(p)): (max(l), min(l)) for p, l in zip(zip(of[0][x].tolist(), of[1][y].tolist()), zip(ids[0][x].tolist(), ids[1][y].tolist()))}
+    return list(found.values())
+
+
+def crowded_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, share: int, folder: str) -> DataFrame:
+    """Links (a, b) of different components in the ``groups`` (tree, label) of ``rows``, on full sets.
+
+    A component that has many of a group gets chunks of its own, which are never compared to one
+    another; the others are dealt over common chunks. Every two chunks are a block, and blocks are dealt
+    over tasks, so a large group is never one task.
+    """
+    spark, n = rows.sparkSession, tasks(rows.sparkSession)
+    groups = materialize(groups, f"{folder}/groups")
+    if groups.isEmpty():
+        return sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false")
+    members = rows.join(groups, ["tree", "label"]).select(F.xxhash64("tree", "label").alias("group"), "doc_id", "of")
+    members = materialize(members, f"{folder}/members")
+    per = materialize(members.groupBy("group", "of").agg(F.count("*").alias("n")), f"{folder}/per")
+    own = materialize(per.where(F.col("n") >= CHUNK).select("group", "of", F.ceil(F.col("n") / CHUNK).alias("own")), f"{folder}/own")
+    common = materialize(per.where(F.col("n") < CHUNK).groupBy("group").agg(F.ceil(F.sum("n") / CHUNK).alias("common")), f"{folder}/common")
+    alone, salt = F.col("own").isNotNull(), F.xxhash64("doc_id")
+    chunk = F.struct(alone.alias("alone"), F.when(alone, F.col("of")).otherwise(0).alias("of"), F.pmod(salt, F.coalesce("own", "common")).alias("nth"))
+    placed = members.join(own, ["group", "of"], "left").join(common, "group", "left").select("group", chunk.alias("chunk"), "doc_id", "of")
+    placed = materialize(placed, f"{folder}/placed")
+    chunks = materialize(placed.select("group", "chunk").distinct(), f"{folder}/chunks")
+    blocks = chunks.withColumnRenamed("chunk", "x").join(chunks.withColumnRenamed("chunk", "y"), "group").where("x <= y AND NOT (x.alone AND y.alone AND x.of = y.of)")
+    blocks = blocks.select(F.xxhash64("group", "x", "y").alias("block"), "group", "x", "y")
+    sides = blocks.select("block", "group", F.col("x").alias("chunk"), F.lit(0).alias("side")).unionByName(blocks.where("x <> y").select("block", "group", F.col("y").alias("chunk"), F.lit(1).alias("side")))
+    dealt = placed.join(sides, ["group", "chunk"]).select("block", "side", "doc_id", "of").join(sets, "doc_id")
+    dealt = dealt.repartition(n, "block").sortWithinPartitions("block", "side").select("block", "side", "doc_id", "of", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+
+        def links() -> Iterator[pa.RecordBatch]:
+            found = block_links(*held, share) if held[0] else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+        for batch in batches:
+            for block, side, doc, of, shingles in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if block != at:
+                    yield from links()
+                    at, held = block, ([], [])
+                held[side].append((doc, of, np.frombuffer(shingles.as_buffer(), np.uint64).copy()))
+        yield from links()
+
+    return materialize(dealt.transform(map_batches, compare, "a long, b long").distinct(), f"{folder}/links")
+
+
 def near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept, for links of Jaccard >= ``share`` %.
 
@@ -267,19 +370,20 @@ def near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", te
     sets = likely.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).transform(map_batches, _sets, "doc_id long, shingles binary")
     sets = materialize(sets, f"{folder}/sets")
 
-    pairs = candidate_pairs(rows.withColumn("of", F.col("doc_id")), share, f"{folder}/one", likeliest=True)
+    pairs, _ = candidate_pairs(rows.withColumn("of", F.col("doc_id")), share, f"{folder}/one", likeliest=True)
     best = pairs.groupBy("a").agg(F.max_by(F.col("b"), F.struct("likeness", -F.col("b"))).alias("b"))
     first = materialize(confirm(best, sets, share), f"{folder}/first")
     parts = connected_components(first, f"{folder}/parts").select(F.col("node").alias("doc_id"), F.col("component").alias("of"))
     rest = rows.join(parts, "doc_id", "left").withColumn("of", F.coalesce("of", "doc_id"))
-    pairs = candidate_pairs(rest, share, f"{folder}/two", likeliest=False)
+    pairs, crowded = candidate_pairs(rest, share, f"{folder}/two", likeliest=False)
     second = materialize(confirm(pairs.join(best, ["a", "b"], "left_anti"), sets, share), f"{folder}/second")
+    third = crowded_links(rest, crowded, sets, share, f"{folder}/crowded")
     # rows of one id but different texts are one document
     same = known.select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = known.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select(F.col("doc_id").alias("a"))
-    links = first.unionByName(second).unionByName(same.join(repeated, "a", "left_semi"))
+    links = first.unionByName(second).unionByName(third).unionByName(same.join(repeated, "a", "left_semi"))
     components = materialize(connected_components(links, f"{folder}/components"), f"{folder}/named")
-    drop(spark, *[f"{folder}/{x}" for x in ("rows", "sets", "one", "first", "parts", "two", "second", "components")])
+    drop(spark, *[f"{folder}/{x}" for x in ("rows", "sets", "one", "first", "parts", "two", "second", "crowded", "components")])
 
     named = classes.join(components, classes["node"] == components["node"], "left").select("k1", "k2", F.coalesce("component", classes["node"]).alias("component"))
     rows = prepared.select("doc_id", "n", "k1", "k2").withColumn("linked", F.expr("n > 0 AND doc_id IS NOT NULL"))

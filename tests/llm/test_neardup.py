@@ -72,6 +72,50 @@ def test_equals_brute_force(spark, seed):
     assert all(got[i].n_shingles == len(shingles(t)) and got[i].kept == (want[i] == i) for i, t in rows)
 
 
+def template_corpus(pairs, seed=3):
+    """Texts on one template, 0.8 alike, in pairs that are 0.9 alike; and the smaller id of each text's pair."""
+    rng = random.Random(seed)
+    template, ids = [f"t{i}" for i in range(404)], list(range(2 * pairs))
+    rng.shuffle(ids)
+    rows, want = [], {}
+    for k in range(pairs):
+        twins = ids[2 * k : 2 * k + 2]
+        for j, i in enumerate(twins):
+            rows.append((i, " ".join(template + [f"p{k}x{m}" for m in range(25)] + [f"d{k}y{j}x{m}" for m in range(25)])))
+            want[i] = min(twins)
+    return rows, want
+
+
+def test_all_links_of_a_crowded_region(spark):
+    rows, want = template_corpus(400)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_a_large_component_hides_no_link(spark):
+    template = [f"t{i}" for i in range(404)]
+    near = [template + [f"d{k}x{m}" for m in range(30)] for k in range(600)]  # 0.87 alike
+    rows = [(2 * k, " ".join(x)) for k, x in enumerate(near)]
+    rows += [(2 * k + 1, " ".join(x + [f"e{k}x{m}" for m in range(20)])) for k, x in enumerate(near[:60])]  # 0.96 to one only
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_blocks_count_exactly():
+    import numpy as np
+
+    rng = random.Random(5)
+    docs = []
+    for i in range(60):
+        x = np.array(sorted(rng.sample(range(9000), 6000) if i % 3 else docs[-1][2].tolist()[: rng.randrange(4900, 6000)]) if i else range(0, 9000, 2), np.uint64)
+        docs.append((i, i, x))
+    want = {(a[0], b[0]) for a in docs for b in docs if b[0] < a[0] and 100 * len(np.intersect1d(a[2], b[2])) >= 85 * len(np.union1d(a[2], b[2]))}
+    assert want and set(neardup.block_links(docs, [], 85)) == want
+    across = neardup.block_links(docs[::2], docs[1::2], 85)
+    assert set(across) == {(a, b) for a, b in want if (a - b) % 2}
+    assert neardup.block_links([(i, 0, x) for i, _, x in docs], [], 85) == []
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = " ".join(map(str, range(50)))
     rows = [(5, text), (5, text), (5, "something else of six words here"), (2, text + " 50"), (None, text), (9, "something else of six words here"), (None, None)]
