@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.shared import materialize
 
 
-def connected_components(links: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, folder: str) -> DataFrame:
     """``node`` and ``component`` for every node in ``links`` (columns a and b, of one type).
 
     Alternates two steps that keep the components and draw every node to its smallest neighbour: each
@@ -20,7 +22,7 @@ def connected_components(links: DataFrame, folder: str, rounds: int = 60) -> Dat
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialize(edges, f"{folder}/0")
     mark = None
-    for i in range(1, rounds + 1):
+    for i in count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,30 +98,39 @@ def best_per_site(edges: DataFrame) -> DataFrame:
     return edges.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def assign(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def assign(edges: DataFrame) -> DataFrame:
     """The edges that a walk over all items in order would take: an item that is still free takes its
     best free partner on every other site, and each item is used once.
 
-    Done in rounds over all brands at once: an edge is settled if no earlier item can still take its
-    left end, the left end likes it best of that site, and no earlier item can still take its right
-    end. A settled edge removes those that it rules out. The first free item can always settle, so each
-    round makes progress, and groups of any size stay spread over tasks.
+    Done in rounds over all brands at once, until no edge is open: an edge is settled if no earlier item
+    can still take its left end, the left end likes it best of that site, and no earlier item can still
+    take its right end. Left items whose edges to a site are alike are settled together: the nth of them
+    takes its nth best partner, if that one and those before it can only be taken earlier by the n - 1
+    before it, and these are settled too. A settled edge removes those that it rules out. The first free
+    item can always settle, so each round makes progress, and groups of any size stay spread over tasks.
     """
     folder = scratch(edges.sparkSession)
     left = edges.select("left", "right", "l_site", "r_site", "l_ord", "r_ord", "confidence", "method", "notes")
-    left.write.parquet(f"{folder}/edges0")
-    settled = []
-    for i in range(rounds):
+    nth = F.row_number().over(Window.partitionBy("left", "right").orderBy(F.desc("confidence"), "r_ord", "l_ord"))
+    once = left.withColumn("nth", nth).where("nth = 1").withColumn("l_ord", F.min("l_ord").over(Window.partitionBy("left")))
+    once.select(left.columns).write.parquet(f"{folder}/edges0")
+    settled, alike = [], ["r_site", "same", "n"]
+    for i in count():
         rest = edges.sparkSession.read.parquet(f"{folder}/edges{i}")
         if rest.isEmpty():
             break
         liked = F.row_number().over(Window.partitionBy("left", "r_site").orderBy(F.desc("confidence"), "r_ord"))
-        earliest = rest.groupBy("right").agg(F.min("l_ord").alias("first"))
-        ranked = rest.withColumn("liked", liked).join(earliest, "right")
-        awaited = earliest.select(F.col("right").alias("left"))
-        done = ranked.where((F.col("liked") == 1) & (F.col("l_ord") == F.col("first"))).join(awaited, "left", "left_anti")
+        turn = F.row_number().over(Window.partitionBy("right").orderBy("l_ord"))
+        lefts = rest.groupBy("left", "r_site", "l_ord").agg(F.sum(F.xxhash64("right", "confidence").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n"))
+        lefts = lefts.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("l_ord"))).drop("l_ord")
+        awaited = rest.select(F.col("right").alias("left")).distinct().withColumn("awaited", F.lit(True))
+        ranked = rest.withColumns({"liked": liked, "turn": turn}).join(lefts.join(awaited, "left", "left"), ["left", "r_site"])
+        fails = ranked.where("awaited OR liked <= nth AND turn <> nth").groupBy(*alike).agg(F.min("nth").alias("fails"))
+        done = ranked.where("liked = nth").join(fails, alike, "left").where("fails IS NULL OR nth < fails")
         done.select(left.columns).write.parquet(f"{folder}/done{i}")
         done = edges.sparkSession.read.parquet(f"{folder}/done{i}")
+        if done.isEmpty():
+            raise RuntimeError(f"no edge settled in round {i}: orders of items are not distinct")
         settled.append(f"{folder}/done{i}")
         used = done.select(F.col("right").alias("item")).distinct()
         taken = done.select("left", "r_site").distinct()

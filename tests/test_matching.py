@@ -71,6 +71,27 @@ def test_assignment_equals_the_walk(spark, seed):
     assert len(got) == len(set(got)) and set(got) == greedy(edges, order)
 
 
+def test_assignment_of_more_equal_rows_than_1000(spark):
+    n = 1100
+    side = lambda p, site: spark.range(n).select(F.struct(F.lit(site).alias("site"), F.col("id").cast("string").alias("product_id")).alias(p[0]), F.lit(site).alias(f"{p[1]}_site"), F.struct(F.col("id")).alias(f"{p[1]}_ord"))
+    df = side(("left", "l"), "a").crossJoin(side(("right", "r"), "b")).select("left", "right", "l_site", "r_site", F.struct(F.struct(F.lit(0)), "l_ord").alias("l_ord"), F.struct(F.struct(F.lit(1)), "r_ord").alias("r_ord"), F.lit(0.9).alias("confidence"), F.lit("name").alias("method"), F.array().cast("array<string>").alias("notes"))
+    got = [(r.left.product_id, r.right.product_id) for r in matching.assign(df).collect()]
+    assert sorted(got) == sorted((str(i), str(i)) for i in range(n))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_assignment_of_groups_of_equal_rows_equals_the_walk(spark, seed):
+    rng = random.Random(seed)
+    order = [(s, str(i)) for s in "abc" for i in range(12)]
+    kind = {x: rng.randrange(3) for x in order}
+    edges = {(x, y): 0.7 + 0.1 * (kind[x] == kind[y]) for x in order for y in order if x[0] < y[0] and (kind[x] + kind[y]) % 3 and rng.random() < [1, 0.97, 0.9][seed]}
+    rows = [(x, y, x[0], y[0], (order.index(x),), (order.index(y),), c, "name", []) for (x, y), c in edges.items()]
+    item = "struct<site:string,product_id:string>"
+    df = spark.createDataFrame(rows, f"left {item}, right {item}, l_site string, r_site string, l_ord struct<o:int>, r_ord struct<o:int>, confidence double, method string, notes array<string>")
+    got = [(tuple(r.left), tuple(r.right)) for r in matching.assign(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(edges, order)
+
+
 def test_no_edges(spark):
     items, groups, rest = matching.match_products(products(spark, [product("a", "1", product_name="One Thing"), product("", "3", product_name="No Site")]))
     assert groups.count() == 0 and rest.count() == 1 and items.count() == 1
