@@ -3,8 +3,9 @@
 Each text of a page lies on a path of tags from the root. Per path, the characters and the
 punctuation marks of its texts are added up and divided by the number of texts; both ratios are
 smoothed over the paths in page order and fused; paths above the page's threshold are content. The
-container that holds most of the content is the article, and its texts are kept whole, whatever
-their own length; names of boilerplate (navigation, adverts, comments and so on) rule a path out.
+container that holds most of the content is the article, with the titles and texts around it that are no
+links, and its texts are kept whole, whatever their own length. Names of boilerplate rule a path out; those that an article
+may have too (ids made from headings, say) do so only where links, lengths and marks speak for it.
 """
 
 from __future__ import annotations
@@ -38,6 +39,13 @@ NAMES = re.compile(
     r"pagination|pager|skip|search\w*|widget\w*|legal|copyright|disclaimer|complementary|contentinfo|navigation|form)(?:$|[-_\s\d])",
     re.I,
 )
+#: Those of them that no article gives its own parts as class or role.
+SURE = re.compile(
+    r"(?:^|[-_\s\d])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|nav|navbar|menu|breadcrumbs?|sidebar\w*|comments?|commentlist|respond|replies|disqus|cookie\w*|gdpr|"
+    r"footer|masthead|topbar|toolbar|popup|modal|overlay|newsletter|signup|login|pagination|pager|complementary|contentinfo|navigation)(?:$|[-_\s\d])",
+    re.I,
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -45,18 +53,27 @@ SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("article", "barred", "depth", "name", "parent", "path")
+    __slots__ = ("article", "barred", "depth", "link", "name", "parent", "path", "weak")
 
-    def __init__(self, name: str, path: int, parent: _Node | None, barred: bool):
+    def __init__(self, name: str, path: int, parent: _Node | None, barred: bool, weak: tuple | None = None):
         self.name, self.parent, self.path = name, parent, path
         self.depth = parent.depth + 1 if parent else 0
         self.barred = barred or bool(parent and parent.barred)
         self.article = name in ("article", "main") or bool(parent and parent.article)
+        self.link = name == "a" or bool(parent and parent.link)
+        self.weak = ([weak] if weak else []) + (parent.weak if parent else [])  # elements of doubtful name, with whether they count
+
 
+def is_boilerplate(chars: int, links: int, marks: int, texts: int) -> bool:
+    """Whether an element's texts are links for a third, short, or without sentences."""
+    return 3 * links >= chars or chars < 25 * texts or 2 * marks < texts
 
-def text_blocks(page: str, by_name: bool = True) -> list[tuple[_Node, str]]:
+
+def text_blocks(page: str, by_name: bool = True, kept: frozenset | None = None, doubtful: dict | None = None) -> list[tuple[_Node, str]]:
     """The page's blocks in order, those of boilerplate left out: the node that each began in, and its
-    text. ``by_name``: whether class, id and role can name boilerplate."""
+    text. ``by_name``: whether class, id and role can name boilerplate. Elements of doubtful name are open
+    if their place in the page is in ``kept``, or all if that is None; ``doubtful`` is given each one's
+    characters, those in links, marks and texts."""
     stack, out, parts, owner = [_Node("", 0, None, False)], [], [], None
     paths, opened = {}, defaultdict(int)
 
@@ -88,6 +105,13 @@ def text_blocks(page: str, by_name: bool = True) -> list[tuple[_Node, str]]:
                 if owner is None and text.strip():
                     owner = stack[-1]
                 parts.append(text)
+                size = len(SPACES.sub(" ", text).strip())
+                for place, _ in stack[-1].weak if doubtful is not None and size else ():
+                    seen = doubtful.setdefault(place, [0, 0, 0, set()])
+                    seen[0] += size
+                    seen[1] += size if stack[-1].link else 0
+                    seen[2] += len(MARKS.findall(text))
+                    seen[3].add(len(out))
         if not m:
             break
         at = m.end()
@@ -111,18 +135,25 @@ def text_blocks(page: str, by_name: bool = True) -> list[tuple[_Node, str]]:
             close(SAME[name], SCOPES - {"div"} if name not in ("li", "dt", "dd") else frozenset(("ul", "ol", "dl", "table")))
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
-        label, barred = name, name in SILENT or name in BOILERPLATE
+        label, barred, weak = name, name in SILENT or name in BOILERPLATE, None
         if name == "header":
             barred = not stack[-1].article
         for key, *values in ATTRIBUTE.findall(attrs):
             value = entities.unescape(next(filter(None, values), ""))
             if key.lower() in ("class", "id", "role"):
                 label += f".{value}" if key.lower() == "class" else ""
-                if by_name and name not in ("html", "body", "article", "main"):
-                    barred = barred or bool(NAMES.search(value.replace("header", "") if stack[-1].article else value))
+                if by_name and name not in ("html", "body", "article", "main") and not (key.lower() == "id" and name in HEADINGS) and (named := NAMES.search(value.replace("header", "") if stack[-1].article else value)):
+                    by_id = key.lower() == "id"
+                    if SURE.search(value) and (not by_id or named[0] == value):
+                        barred = True
+                    elif kept is not None and m.start() not in kept:
+                        barred = True
+                    else:
+                        counts = (by_id or stack[-1].article) and (weak is None or weak[1])
+                        weak = (m.start(), counts)
             elif key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true" or re.search(r"display\s*:\s*none", value):
                 barred = True
-        stack.append(_Node(name, paths.setdefault((stack[-1].path, label), len(paths) + 1), stack[-1], barred))
+        stack.append(_Node(name, paths.setdefault((stack[-1].path, label), len(paths) + 1), stack[-1], barred, weak))
         opened[name] += 1
         if name in RAW:  # up to its own end tag, nothing in between is a tag
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -154,15 +185,21 @@ def path_scores(found: list[tuple[_Node, str]], reach: int = 1) -> dict[int, flo
 
 def main_text(page: str) -> str:
     """The article's blocks, one a line."""
-    open_paths = text_blocks(page) or text_blocks(page, by_name=False)
+    doubtful: dict = {}
+    open_paths = text_blocks(page, doubtful=doubtful)
+    if doubtful:
+        open_paths = text_blocks(page, kept=frozenset(k for k, (*sizes, texts) in doubtful.items() if not is_boilerplate(*sizes, len(texts))))
+    counted = [(n, t) for n, t in open_paths if all(counts for _, counts in n.weak)]
+    if not counted:
+        open_paths = counted = open_paths or text_blocks(page, by_name=False)
     if not open_paths:
         return ""
-    scores = path_scores(open_paths)
+    scores = path_scores(counted)
     values = list(scores.values())
     mean = sum(values) / len(values)
     threshold = 0.5 * mean  # of the page's paths
     content = defaultdict(int)
-    for node, text in open_paths:
+    for node, text in counted:
         if scores[node.path] >= threshold:
             above = node
             while above is not None:
@@ -170,23 +207,44 @@ def main_text(page: str) -> str:
                 above = above.parent
     total = max(content.values(), default=0)
 
-    # the article is the named container with most content, or else the deepest that holds nearly all of it
+    def within(node: _Node | None, roots: set) -> bool:
+        while node is not None:
+            if node in roots:
+                return True
+            node = node.parent
+        return False
+
+    def of_text(node: _Node | None) -> bool:
+        while node is not None:
+            if node.name == "p" or node.name in HEADINGS:
+                return True
+            node = node.parent
+        return False
+
+    # the article is the named container with most content, or else the deepest that holds nearly all of
+    # it, and those around that one which add titles, paragraphs and sentences rather than links
     named = [n for n in content if n.name in ("article", "main") and content[n] * 3 >= total]
     if named:
         best = max(named, key=lambda n: (content[n], -n.depth))
         roots = {n for n in content if n.name == best.name and n.depth == best.depth}
     else:
         holders = [n for n in content if n.name in CONTAINERS and content[n] * 10 >= total * 8]
-        roots = {max(holders, key=lambda n: n.depth)} if holders else {n for n in content if n.parent is None}
-
-    def inside(node: _Node | None) -> bool:
-        while node is not None:
-            if node in roots:
-                return True
-            node = node.parent
-        return False
+        best = max(holders, key=lambda n: n.depth) if holders else None
+        above = best.parent if best and best.name != "body" else None
+        held, plain = defaultdict(int), defaultdict(int)
+        for node, text in counted:
+            good, up = not node.link and (of_text(node) or not is_boilerplate(len(text), 0, len(MARKS.findall(text)), 1)), node
+            while up is not None:
+                held[up] += len(text)
+                plain[up] += len(text) if good else 0
+                up = up.parent
+        while above is not None and above.name != "body":
+            if 2 * (plain[above] - plain[best]) < held[above] - held[best]:
+                break
+            best, above = above if above.name in CONTAINERS else best, above.parent
+        roots = {best} if best else {n for n in content if n.parent is None}
 
-    return "\n".join(text for node, text in open_paths if inside(node))
+    return "\n".join(text for node, text in open_paths if within(node, roots))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

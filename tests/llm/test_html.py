@@ -26,6 +26,20 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h2 id='related-work'>Related work</h2><p>{LONG}</p><section id='legal'><p>{LONG}</p></section><section id='search-results'><p>{LONG}</p></section><h2 id='share-prices'>Share prices</h2>"
+         f"<div class='widget-text'>{LONG}</div><p class='notice'>Prices are in euros, before tax.</p></article>", "\n".join(["Related work", LONG.strip(), LONG.strip(), LONG.strip(), "Share prices", LONG.strip(), "Prices are in euros, before tax."])),
+        (f"<article><p>{LONG}</p><div class='related'><ul><li><a href=x>Another article of the same site, to read</a></ul></div><div id='share-buttons'>Share</div></article>", LONG.strip()),
+        (f"<body><nav>x</nav><div id=post><h1>T</h1><p>lead</p><div class=body><p>{LONG * 3}</p><p>{LONG * 3}</p></div></div><div id=bottom>All of it</div></body>", f"T\nlead\n{(LONG * 3).strip()}\n{(LONG * 3).strip()}"),
+        (f"<body><div id=post><h2 id='legal'>Legal</h2><p>{LONG}</p><div class='widget-text'><p>{LONG}</p></div></div></body>", f"Legal\n{LONG.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_articles_are_kept_whole(page, want):
+    assert main_text(page) == want
+
+
 def test_odd_pages_take_linear_time():
     start = time.time()
     for page in ("<div>" * 50_000 + "x", "<p>" * 100_000, "<a href='" * 30_000, "<" * 200_000, "<b" * 100_000, "</p>" * 100_000, "<!--" * 50_000):
