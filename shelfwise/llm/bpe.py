@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.shared import map_batches
+from shelfwise.llm.units import UnitStore
 
 #: Entries that a worker keeps; beyond them it starts again, so its memory is bounded.
-PIECES, PAIRS = 500_000, 400_000
+PIECES, PAIRS, UNITS = 200_000, 400_000, 400_000
 
 
 class Vocabulary:
@@ -33,10 +34,18 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            lengths.setdefault(token[-2:], set()).add(len(token))
+        self._lengths = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
         self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int]] = {}
 
+    def lengths(self, text: bytes, stop: int) -> tuple[int, ...]:
+        """The lengths, longest first, of tokens whose last bytes are those before ``stop``; one byte is one."""
+        return self._lengths.get(text[stop - 2 : stop], ()) if stop > 1 else ()
+
     def merge(self, text: bytes) -> list[int]:
         """The encoding by its definition: of all adjacent pairs, the lowest-ranked merges first."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -107,11 +116,11 @@ class PrefixTable:
     def _extend(self, stop: int, agreed=None) -> int:
         """Fill entries up to ``stop``; ends early where ``agreed(i)`` holds. Returns the last filled."""
         text, last, v = self.text, self.last, self.vocabulary
-        ranks, longest = v.ranks, v.longest
+        ranks = v.ranks
         while len(last) <= stop:
             i = len(last)
-            for n in range(min(longest, i), 0, -1):
-                token = ranks.get(text[i - n : i])
+            for n in (*v.lengths(text, i), 1):
+                token = ranks.get(text[i - n : i]) if n <= i else None
                 if token is not None and (v.may_follow(last[i - n], token) if i > n else v.may_start(token)):
                     last.append(token)
                     break
@@ -155,11 +164,12 @@ def encode_piece(v: Vocabulary, piece: bytes) -> list[int]:
     if whole is not None:
         return [whole]
     n, ranks = len(piece), v.ranks
-    pairs, follow, longest = v._pairs.get, v.may_follow, v.longest
+    pairs, follow = v._pairs.get, v.may_follow
     last = [-1] * (n + 1)
     for i in range(1, n + 1):
-        for start in range(max(0, i - longest), i):
-            token = ranks.get(piece[start:i])
+        for size in (*v.lengths(piece, i), 1):
+            start = i - size
+            token = ranks.get(piece[start:i]) if start >= 0 else None
             if token is None:
                 continue
             if start:
@@ -186,35 +196,50 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Patterns whose pieces hold white space only before other characters, one space at most, so that none
+#: goes on over the end of a word followed by a space.
+BY_UNITS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+
+
 class Codec:
-    """Encodes whole texts piece by piece; known pieces come from a bounded store."""
+    """Encodes whole texts piece by piece; known pieces and units come from bounded stores."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self._known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        known, pieces = self._known, self.pattern.findall(text)
-        out = list(map(known.get, pieces))
-        if None in out:
-            if len(known) >= PIECES:
-                known.clear()
-            v = self.vocabulary
-            for k, x in enumerate(out):
-                if x is None:
-                    piece = pieces[k]
-                    x = known.get(piece)
-                    if x is None:
-                        x = np.array(encode_piece(v, piece.encode()), "<u4").tobytes()
-                        if len(piece) <= 64:
-                            known[piece] = x
-                    out[k] = x
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        self._known: dict[str, list[int]] = {}
+        self._tokens = self.vocabulary.tokens
+        self._units = UnitStore(self._encode_units, UNITS) if pattern in BY_UNITS else None
+
+    def encode(self, text: str) -> list[int]:
+        known, out = self._known, []
+        for piece in self.pattern.findall(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids = encode_piece(self.vocabulary, piece.encode())
+                if len(piece) <= 64:
+                    if len(known) >= PIECES:
+                        known.clear()
+                    known[piece] = ids
+            out += ids
+        return out
+
+    def _encode_units(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
+        texts = [u.decode() for u in units]
+        # white space of other kinds at the end is one piece with what follows
+        return [self.encode(x) for x in texts], [u[-1] > 0x20 and x[-1].isspace() for u, x in zip(units, texts)]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null is empty."""
+        if self._units is None:
+            yield from (np.array(self.encode(x.as_py() or ""), np.uint32) for x in texts)
+            return
+        for i, ids, first, whole in self._units.texts(texts):
+            for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                yield np.array(self.encode(texts[i + k].as_py()), np.uint32) if whole[k] else ids[a:b]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self._tokens.__getitem__, ids.tolist()))
 
 
 @cache
@@ -226,14 +251,15 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's token ids as packed little-endian 32-bit integers, and their number.
 
-    Returns ``id_col``, ``n_tokens`` and ``ids`` (binary). Null and empty texts have no tokens;
-    repeated rows are encoded each; other columns are not read.
+    Returns ``id_col``, ``n_tokens`` and ``ids`` (binary). Null and empty texts have no tokens; texts of
+    any length are encoded whole; repeated rows are encoded each; no rows give none; other columns are
+    not read.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = [c.encode(text) if text else b"" for text in (x.as_py() for x in batch.column(1))]
+            ids = [x.astype("<u4").tobytes() for x in c.encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -243,17 +269,17 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's number of tokens, SHA-256 of its ids and SHA-256 of what they decode to.
 
-    Null and empty texts give no tokens and the digests of nothing.
+    Null and empty texts give no tokens and the digests of nothing; texts of any length are encoded
+    whole; repeated rows are encoded each; no rows give none.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             out = ([], [], [])
-            for text in batch.column(1):
-                ids = c.encode(text.as_py() or "")
-                out[0].append(len(ids) // 4)
-                out[1].append(hashlib.sha256(ids).hexdigest())
+            for ids in c.encode_all(batch.column(1)):
+                out[0].append(len(ids))
+                out[1].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 out[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

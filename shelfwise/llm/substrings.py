@@ -4,7 +4,7 @@ A window is a run of ``window`` words. The first level looks at runs of about ha
 only at one in each window: the run whose hash is least (the window's anchor; equal windows have
 equal anchors). Windows whose anchor occurs once in the corpus are done with. For the others, the run
 around the anchor is doubled in length and looked up again, until it is the whole window or no window
-is left. So each level hashes and shuffles only what was repeated on the level before.
+is left. Whole windows are looked up by a cryptographic digest of their words, so only equal ones meet. So each level hashes and shuffles only what was repeated on the level before.
 
 Texts are packed into units of consecutive documents, written once to the shared folder. On each
 level every unit asks about its distinct hashes, in buckets by hash; a bucket's task compares what
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm.shared import map_batches, materialize, tasks, work_dir
-from shelfwise.llm.words import Words, _BYTE_BASE, _BYTE_VALUE, _spans, blocks, buffers, mix, word_bounds
+from shelfwise.llm.words import Words, blocks, buffers, word_bounds, word_hashes
 
 WINDOW = 13
 #: Bytes of text in a unit; a longer document is a unit of its own.
@@ -67,8 +68,7 @@ class Unit:
         for i, j in blocks(bounds):  # by blocks, so that the arrays over bytes stay small
             lo, hi = np.searchsorted(starts, bounds[[i, j]])
             part = data[bounds[i] : bounds[j]]
-            s, e = starts[lo:hi] - bounds[i], ends[lo:hi] - bounds[i]
-            hashes[lo:hi] = mix(_spans(_BYTE_VALUE[part], s, e, _BYTE_BASE) + (e - s).astype(np.uint64))
+            hashes[lo:hi] = word_hashes(part, starts[lo:hi] - bounds[i], ends[lo:hi] - bounds[i])
         words = Words(data, bounds, starts, ends, np.searchsorted(starts, bounds), hashes)
         owner = np.repeat(np.arange(len(docs)), words.counts)
         unit = Unit(words, docs[owner], np.zeros(0, np.int64), np.zeros(0, np.int64), window)
@@ -80,16 +80,23 @@ class Unit:
             unit.starts, unit.anchors = at, sliding_window_view(np.append(grams, np.full(window, _NONE)), window - short + 1)[at].argmin(axis=1) + at
         return unit
 
-    def hashes(self, length: int, at: np.ndarray, other: bool = False) -> np.ndarray:
+    def hashes(self, length: int, at: np.ndarray) -> np.ndarray:
         """Hash of the run of ``length`` words from each of ``at``; of runs past a text's end, the greatest."""
-        if "runs" not in self.__dict__:
-            self.runs = {}
-        if (length, other) not in self.runs:
+        if self.__dict__.get("runs", (0,))[0] != length:
             full = np.full(len(self.words.hashes), _NONE)
-            begin, found = self.words.windows(length, other)
+            begin, found = self.words.windows(length)
             full[begin] = found
-            self.runs = {(length, other): full} | {k: v for k, v in self.runs.items() if k[0] == length}
-        return self.runs[length, other][at]
+            self.runs = length, full
+        return self.runs[1][at]
+
+    def digests(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of a cryptographic digest of the words of each run: it stands for them."""
+        text, begins = self.words.joined()
+        text = memoryview(text)
+        ends = begins[at + length].tolist()
+        both = b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begins[at].tolist(), ends)])
+        halves = np.frombuffer(both, "<u8").reshape(-1, 2)
+        return halves[:, 0], halves[:, 1]
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the run that a level looks up begins, for each window: around the anchor, within the window."""
@@ -99,14 +106,14 @@ class Unit:
 
     def question(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The level's distinct hashes in order, each one's least document, and each window's place among
-        them. On the last level hashes have 32 bits more, as one hash alone decides there."""
+        them. On the last level, which decides, they are digests of the words themselves."""
         at, length = self.asked(level), lengths(self.window)[level]
-        keys = self.hashes(length, at)
         docs = self.docs[at]
         if level == len(lengths(self.window)) - 1:
-            more = (self.hashes(length, at, other=True) >> _U(32)).astype(np.uint32)
+            keys, more = self.digests(length, at)
         else:
-            more = np.zeros(len(keys), np.uint32)
+            keys = self.hashes(length, at)
+            more = np.zeros(len(keys), np.uint64)
         order = np.lexsort((docs, more, keys))
         k, m, d = keys[order], more[order], docs[order]
         fresh = np.ones(len(k), bool)
@@ -136,7 +143,7 @@ class Unit:
         return np.cumsum(change)[:-1] > 0
 
 
-_KEY = np.dtype([("key", "<u8"), ("more", "<u4")])
+_KEY = np.dtype([("key", "<u8"), ("more", "<u8")])
 
 
 def _pack(id_at: int, text_at: int):

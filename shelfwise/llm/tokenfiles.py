@@ -16,6 +16,7 @@ directory from its end and decompress only the frames they need, each checked ag
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -31,14 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.shared import map_batches, materialize, tasks, work_dir
+from shelfwise.llm.units import UnitStore
 
 #: Ids after which a frame is closed, with the document that it is in.
 FRAME_IDS = 1 << 16
 DIRECTORY_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Distinct words whose ids a worker keeps; beyond them it starts again.
-KNOWN_WORDS = 700_000
+#: Ids after which a file is closed, with the document that it is in.
+FILE_IDS = 1 << 28
+#: Distinct units whose ids a worker keeps; beyond them it starts again.
+UNITS = 700_000
 
 _ENTRY = np.dtype([("doc_id", "<i8"), ("n_ids", "<u8"), ("frame", "<u4"), ("null", "u1")])
+_PACKED = struct.Struct("<qQI?")
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -57,19 +62,19 @@ class FileWriter:
     def __init__(self, uri: str, width: int):
         import zstandard
 
-        self._fs, self.path = _place(uri)
+        self.uri, (self._fs, self.path) = uri, _place(uri)
         self._fs.create_dir(os.path.dirname(self.path), recursive=True)
         self._temporary = f"{self.path}.{uuid.uuid4().hex}"
         self._out, self.width = self._fs.open_output_stream(self._temporary), width
         self._zstd = zstandard.ZstdCompressor(level=1)
         self._frames: list[tuple[int, int, int]] = []
-        self._entries: list[tuple[int, int, int, int]] = []
+        self._entries = bytearray()
         self._open: list[bytes] = []
         self._held = self.n_ids = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // self.width
-        self._entries.append((doc_id or 0, n, len(self._frames), doc_id is None))
+        self._entries += _PACKED.pack(doc_id or 0, n, len(self._frames), doc_id is None)
         self._open.append(ids)
         self._held += n
         self.n_ids += n
@@ -86,7 +91,7 @@ class FileWriter:
     def close(self) -> None:
         if self._open:
             self._close_frame()
-        directory = struct.pack("<BQ", self.width, len(self._entries)) + np.array(self._entries, _ENTRY).tobytes()
+        directory = struct.pack("<BQ", self.width, len(self._entries) // _PACKED.size) + self._entries
         table = np.array(self._frames, "<u4").tobytes() + struct.pack("<IBI", len(self._frames), 0x80, END_MAGIC)
         for magic, body in ((DIRECTORY_MAGIC, directory), (TABLE_MAGIC, table)):
             self._out.write(struct.pack("<II", magic, len(body)) + body)
@@ -142,70 +147,95 @@ class TokenFile:
         return self.frame(int(k))[int(before) : int(before + self.entries["n_ids"][found[0]])]
 
 
-class WordEncoder:
-    """The tokenizers library, asked once for each distinct word.
+#: Splits of a text into pieces, all else dropped, that never take white space into a piece.
+BY_WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 
-    For vocabularies that drop white space and never join over it, the ids of a text are those of its
-    words in turn; ``lower`` says that case does not matter to the vocabulary, so words that differ by
-    A-Z and a-z only are asked for once.
-    """
 
-    def __init__(self, path: str, width: int, lower: bool):
+def by_units(path: str) -> bool:
+    """Whether a tokenizer's file says that it drops white space and joins nothing over it: the ids of a
+    text are then those of its units in turn. Files of other kinds are used on whole texts."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    steps = parts["normalizer"]["normalizers"] if (parts["normalizer"] or {}).get("type") == "Sequence" else [parts["normalizer"]]
+    plain = all(x is None or x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and (x["pattern"], x["content"]) == ({"Regex": r"\s+"}, " ") for x in steps)
+    first = parts["pre_tokenizer"] or {}
+    rest = first.get("pretokenizers", [first])
+    drops = bool(rest) and rest[0].get("type") == "Split" and rest[0]["behavior"] == "Removed" and rest[0]["invert"] and rest[0]["pattern"].get("Regex") in BY_WORDS
+    level = all(x.get("type") == "ByteLevel" and not x["add_prefix_space"] for x in rest[1:])
+    alone = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or any(c.isspace() for c in x["content"]) for x in parts["added_tokens"])
+    return plain and drops and level and alone and parts["truncation"] is None and parts["padding"] is None
+
+
+class TextEncoder:
+    """The tokenizers library, asked once for each distinct unit where the vocabulary allows it."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self.width, self.lower, self._known = width, lower, {}
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        known = self._known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        words = [((x or "").encode().lower() if self.lower else (x or "").encode()).split() for x in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            found = self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, self.pack(x.ids)) for w, x in zip(part, found))
-        tail = self.pack([end])
-        return [b"".join(map(known.__getitem__, ws)) + tail for ws in words]
+        self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self._units = UnitStore(self._ask, UNITS) if by_units(path) else None
+
+    def _ask(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
+        ids = []
+        for i in range(0, len(units), 50_000):
+            ids += [x.ids for x in self._tokenizer.encode_batch_fast([u.decode() for u in units[i : i + 50_000]], add_special_tokens=False)]
+        return ids, [False] * len(units)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, little-endian, ``width`` bytes each; null is empty."""
+        kind = f"<u{self.width}"
+        if self._units is None:
+            for x in texts:
+                yield np.array(self._tokenizer.encode(x.as_py() or "", add_special_tokens=False).ids, kind).tobytes()
+            return
+        for _, ids, first, _ in self._units.texts(texts):
+            packed = memoryview(ids.astype(kind)).cast("B")
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                yield packed[a * self.width : b * self.width]
 
 
 @cache
-def encoder(path: str, width: int, lower: bool) -> WordEncoder:
-    """One encoder for each worker process: its words serve all tasks that run there."""
-    return WordEncoder(path, width, lower)
+def encoder(path: str) -> TextEncoder:
+    """One encoder for each worker process: its units serve all tasks that run there."""
+    return TextEncoder(path)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end: int, width: int = 2, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all documents and write them below ``folder`` in ascending order of their ids.
 
-    One file for each range of ids; returns the manifest: ``part``, ``file``, ``n_docs`` and ``n_ids``
-    (ids of documents, ``end`` ids counted). Null texts are empty, so they hold ``end`` alone; repeated
-    rows are all written, in the order of their texts; null ids come first. No rows: no files.
-    ``width``: bytes an id, 2 for vocabularies of less than 65,536.
+    One file for each range of ids, or more of ``FILE_IDS`` ids each; returns the manifest: ``part``,
+    ``nth`` (the file's place in its range), ``file``, ``n_docs`` and ``n_ids`` (ids of documents, ``end``
+    ids counted). The library is used as it is: texts of its special tokens become these. Null texts are
+    empty, so they hold ``end`` alone; texts of any length are encoded whole; repeated rows are all
+    written, in the order of their texts; null ids come first. No rows: no files. Other columns are not
+    read. Ids have 2 bytes each in vocabularies of up to 65,536, else 4.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, part, n = None, None, TaskContext.get().partitionId(), 0
+        part, out, tail, nth, n = TaskContext.get().partitionId(), None, b"", 0, 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int64()), (nth, pa.int64()), (out.uri, pa.string()), (n, pa.int64()), (out.n_ids, pa.int64()))], ["part", "nth", "file", "n_docs", "n_ids"])
+
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                piece = batch.slice(i, 256)
-                enc, out = enc or encoder(path, width, lower), out or FileWriter(f"{folder}/part-{part:06d}.zst", width)
-                for doc_id, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist(), end)):
-                    out.add(doc_id, ids)
-                    n += 1
+            enc = encoder(path)
+            tail = tail or np.array([end], f"<u{enc.width}").tobytes()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                out = out or FileWriter(f"{folder}/part-{part:06d}-{nth:04d}.zst", enc.width)
+                out.add(doc_id, b"".join((ids, tail)))
+                n += 1
+                if out.n_ids >= FILE_IDS:
+                    yield done()
+                    out, nth, n = None, nth + 1, 0
         if out:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/part-{part:06d}.zst"]), pa.array([n], pa.int64()), pa.array([out.n_ids], pa.int64())], ["part", "file", "n_docs", "n_ids"])
+            yield done()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = rows.repartitionByRange(tasks(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    written = ranges.transform(map_batches, write, "part long, file string, n_docs long, n_ids long")
+    ordered = rows.repartitionByRange(tasks(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    written = ordered.transform(map_batches, write, "part long, nth long, file string, n_docs long, n_ids long")
     return materialize(written, f"{folder}-manifest")
 
 
@@ -226,7 +256,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _as_batch(rows)
 
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.withColumn("start", F.coalesce(before, F.lit(0))).select("file", "start")  # a row for each file
     return files.repartition(tasks(manifest.sparkSession)).transform(map_batches, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

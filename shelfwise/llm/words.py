@@ -1,8 +1,8 @@
 """Words of whole texts as NumPy arrays, for use inside tasks.
 
-A word is a run of bytes other than 0x20 and 0x09 to 0x0D in the UTF-8 text. Hashes are polynomials
-modulo 2**64, taken from prefix sums, then mixed; they depend on nothing but the bytes, so every
-task and every run gets the same ones.
+A word is a run of bytes other than 0x20 and 0x09 to 0x0D in the UTF-8 text. Hashes depend on nothing
+but the bytes, so every task and every run gets the same ones. Those of words are mixed after every
+eight bytes; those of runs of words are polynomials of the words' hashes, from prefix sums, then mixed.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text for which arrays are held at once; one longer text is taken alone.
 BLOCK = 1 << 18
 
 _U = np.uint64
-_BYTE_BASE, _WORD_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+_WORD_BASE = 0xC2B2AE3D27D4EB4F
+#: Bytes of a word beyond which the library hashes it.
+LONG_WORD = 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_AS_IS = np.arange(256, dtype=np.uint8)
-_LOWER = _AS_IS.copy()
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
@@ -34,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -50,6 +52,24 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span. Up to eight bytes, different words of a length have different ones."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = ends - starts
+    out = mix(left.astype(np.uint64) + _U(_WORD_BASE))
+    large = np.flatnonzero(left > LONG_WORD)
+    for i in large.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    live = np.flatnonzero(left <= LONG_WORD) if len(large) else np.arange(len(left))
+    at, left = starts[live], left[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
 def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     up, down = powers(base, len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
@@ -72,16 +92,21 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def windows(self, length: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Start (as a word's index) and hash of every run of ``length`` words within one text.
-
-        ``other`` gives hashes that are independent of the first kind.
-        """
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start (as a word's index) and hash of every run of ``length`` words within one text."""
         n = len(self.hashes)
         last = np.repeat(self.first[1:], self.counts) - length
         at = np.flatnonzero(np.arange(n) <= last)
-        values = mix(self.hashes ^ _U(_OTHER_BASE)) if other else self.hashes
-        return at, mix(_spans(values, at, at + length, _OTHER_BASE if other else _WORD_BASE))
+        return at, mix(_spans(self.hashes, at, at + length, _WORD_BASE))
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all words with one space after each, and where each word begins there."""
+        sizes = self.ends - self.starts
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)])
+        out = np.full(int(begins[-1]), 0x20, np.uint8)
+        body = self.buffer[~SPACE[self.buffer]]
+        out[np.arange(len(body)) + np.repeat(np.arange(len(sizes)), sizes)] = body
+        return out, begins
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +144,9 @@ def blocks(bounds: np.ndarray, size: int = BLOCK):
 def words_of(texts: pa.Array, lower: bool = False, hashed: bool = True):
     """(index of the first text, Words) for one block of texts after the other."""
     data, bounds = buffers(texts)
-    table = _BYTE_VALUE[_LOWER if lower else _AS_IS]
     for i, j in blocks(bounds):
         own = bounds[i : j + 1] - bounds[i]
         part = data[bounds[i] : bounds[j]]
+        part = _LOWER[part] if lower else part
         starts, ends = word_bounds(part, own)
-        hashes = mix(_spans(table[part], starts, ends, _BYTE_BASE) + (ends - starts).astype(np.uint64)) if hashed else None
-        yield i, Words(part, own, starts, ends, np.searchsorted(starts, own), hashes)
+        yield i, Words(part, own, starts, ends, np.searchsorted(starts, own), word_hashes(part, starts, ends) if hashed else None)

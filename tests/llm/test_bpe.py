@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -18,18 +19,30 @@ def library():
 
 
 def words(rng, n):
-    return "".join(rng.choice(["a", "b", "the", "ing", "é", "日本", "  ", "\n", "1", "!!", "zz", "ö", " "]) for _ in range(n))
+    return "".join(rng.choice(["a", "b", "the", "ing", "é", "日本", "  ", "\n", "1", "!!", "zz", "ö", " ", "\t", "\x1c", "\x85", "\xa0", "\u3000", "'s", "\u2028"]) for _ in range(n))
 
 
 def test_encoding_equals_the_library(library):
     codec, rng = bpe.Codec(PATH, public_tokenizers.PATTERN), random.Random(1)
     texts = [words(rng, rng.randrange(1, 80)) for _ in range(300)] + ["", "a" * 5000, " " * 300, "<|endoftext|>"]
-    for text in texts:
-        ids = codec.encode(text)
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+    for text, ids in zip(texts, codec.encode_all(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
         assert codec.decode(ids) == text.encode()
 
 
+def test_other_patterns_and_small_stores(library, monkeypatch):
+    rng = random.Random(4)
+    texts = [words(rng, rng.randrange(1, 80)) for _ in range(100)] + [None, ""]
+    for pattern in (public_tokenizers.PATTERN, r"\S+\s*|\s+"):
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+        codec = bpe.Codec(PATH, pattern)
+        if codec._units:
+            codec._units.units = 3
+        for i in range(0, len(texts), 10):
+            got = [x.tolist() for x in codec.encode_all(pa.array(texts[i : i + 10], pa.string()))]
+            assert got == [own.encode_ordinary(x or "") for x in texts[i : i + 10]]
+
+
 def test_appends_and_edits_equal_encoding_anew():
     v, rng = bpe.Vocabulary(bpe.load_ranks(PATH)), random.Random(2)
     for _ in range(60):

@@ -116,6 +116,13 @@ def test_blocks_count_exactly():
     assert neardup.block_links([(i, 0, x) for i, _, x in docs], [], 85) == []
 
 
+def test_words_whose_polynomial_hashes_meet(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba"))), (3, " ".join([a] * 5)), (4, " ".join([a.translate(str.maketrans("ab", "ba"))] * 5))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.kept for r in got) and len(got) == 4
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = " ".join(map(str, range(50)))
     rows = [(5, text), (5, text), (5, "something else of six words here"), (2, text + " 50"), (None, text), (9, "something else of six words here"), (None, None)]

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.llm import substrings
 
@@ -45,11 +46,19 @@ def corpus(seed):
 @pytest.mark.parametrize("seed, window", [(1, 13), (2, 13), (3, 2), (4, 30), (5, 50)])
 def test_equals_brute_force(spark, seed, window):
     rows = corpus(seed)
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n_words string, unit int").repartition(7)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n_words string, unit int")
+    docs = docs.withColumns({"row": F.lit(1), "spans": F.lit("x")}).repartition(7)
     got = sorted((tuple(r) for r in substrings.repeat_digests(docs, window).collect()), key=repr)
     assert got == brute(rows, window)
 
 
+def test_words_whose_polynomial_hashes_meet(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))  # such words and their complements
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, " ".join([a] * 13)), (2, " ".join([b] * 13))], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.repeat_digests(docs).collect()] == [0, 0]
+
+
 def test_columns_nulls_and_no_rows(spark):
     text = " ".join(map(str, range(20)))
     docs = spark.createDataFrame([("a", 1, text, None), ("b", 2, f"new {text} end", 5), ("c", 3, None, 5)], "part string, doc_id long, text string, n_removed int")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -17,11 +18,10 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-ODD = ["", None, "The THE the", "a b c", "Å é ́x", "ΣΑΣ ΣΑΣ. İstanbul", "<|endoftext|> <|startoftext|>", "don't I'LL we've", "1234 12a", "日本語 テスト　x", "\x1c\x1dq\x85z", "word " * 30000, "x" * 70000]
+ODD = ["", None, "The THE the", "a b c", "Å é ́x", "ΣΑΣ ΣΑΣ. İstanbul", "<|endoftext|> <|startoftext|>", "x <|startoftext|> y<|endoftext|>z <|STARTOFTEXT|>", "don't I'LL we've", "1234 12a", "日本語 テスト　x", "\x1c\x1dq\x85z", "word " * 30000, "x" * 70000]
 
 
 def test_query_equals_the_library(spark, library):
@@ -60,3 +60,27 @@ def test_repeated_rows_null_ids_and_no_rows(spark, library):
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfiles.token_files_round_trip(docs, PATH, 1).collect())
     assert got == [(0, None, 2), (2, 5, 2), (4, 5, 2), (6, 5, 2)]
     assert tokenfiles.token_files_round_trip(docs.limit(0), PATH, 1).count() == 0
+
+
+def test_files_are_closed_at_their_size(spark, library, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "FILE_IDS", 5)
+    docs = spark.createDataFrame([(i, "a b c") for i in range(7)], "doc_id long, text string").coalesce(1)
+    folder = work_dir(spark)
+    writer = tokenfiles.FileWriter(f"{folder}/x.zst", 2)
+    writer.add(1, b"ab")
+    writer.close()
+    assert [(d, ids.tolist()) for d, ids in tokenfiles.TokenFile(f"{folder}/x.zst").documents()] == [(1, [25185])]
+    manifest = tokenfiles.write_token_files(docs, folder + "/t", PATH, 1)
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in tokenfiles.read_token_files(manifest).collect())
+    assert got == [(i, 4 * i, 4) for i in range(7)]
+
+
+@pytest.mark.parametrize("name, want", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_other_vocabularies_are_used_on_whole_texts(name, want):
+    path = public_tokenizers.path(name)
+    assert tokenfiles.by_units(path) == want
+    texts = ["a  b\nc", "The the", None, "x\x85 y  "]
+    t = tokenizers.Tokenizer.from_file(path)
+    enc = tokenfiles.TextEncoder(path)
+    got = [np.frombuffer(x, f"<u{enc.width}").tolist() for x in enc.encode(pa.array(texts))]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
