@@ -24,7 +24,9 @@ from shelfwise.llm.shared import map_batches
 from shelfwise.llm.units import UnitStore
 
 #: Entries that a worker keeps; beyond them it starts again, so its memory is bounded.
-PIECES, PAIRS, UNITS = 200_000, 400_000, 400_000
+PIECES, PAIRS, UNITS = 200_000, 1_000_000, 400_000
+#: Pieces that are encoded at once, and bytes beyond which a piece is encoded alone.
+AT_ONCE, LONG_PIECE = 20_000, 64
 
 
 class Vocabulary:
@@ -98,7 +100,7 @@ class Vocabulary:
         key = before << 32 | token
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= PAIRS:
+            if len(self._pairs) >= PAIRS // 4:
                 self._pairs.clear()
             known = self._pairs[key] = self._stays(before, token)
         return known
@@ -190,6 +192,124 @@ def encode_piece(v: Vocabulary, piece: bytes) -> list[int]:
     return out[::-1]
 
 
+class Trie:
+    """All tokens as paths of bytes, in arrays. Node 0 is no node, node 1 the root."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        nodes: dict[bytes, int] = {b"": 1}
+        steps = []
+        for text in sorted(tokens.values()):
+            for n in range(1, len(text) + 1):
+                if text[:n] not in nodes:
+                    nodes[text[:n]] = len(nodes) + 1
+                    steps.append((nodes[text[: n - 1]], text[n - 1], len(nodes)))
+        above, byte, node = np.array(steps, np.int64).reshape(-1, 3).T
+        inner = np.unique(np.append(above, 1))
+        self._row = np.zeros(len(nodes) + 1, np.int32)  # of nodes that go on
+        self._row[inner] = np.arange(1, len(inner) + 1)
+        self._next = np.zeros((len(inner) + 1, 256), np.int32)
+        self._next[self._row[above], byte] = node
+        self.token = np.full(len(nodes) + 1, -1, np.int64)
+        self.token[[nodes[x] for x in tokens.values()]] = list(tokens)
+
+    def matches(self, data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every token in the data that ends by its start's stop: starts, sizes and tokens."""
+        at, node, size, found = np.arange(len(data)), np.ones(len(data), np.int32), 0, []
+        while len(at):
+            node, size = self._next[self._row[node], data[at + size]], size + 1
+            hit = np.flatnonzero(self.token[node] >= 0)
+            found.append((at[hit], np.full(len(hit), size), self.token[node[hit]]))
+            more = np.flatnonzero((self._row[node] > 0) & (at + size < stops[at]))
+            at, node = at[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+class Follows:
+    """Which tokens may follow which, for whole arrays of pairs; -1 before a token is a text's beginning."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self._vocabulary, self._new = vocabulary, {}
+        self._keys, self._values = np.full(1, -1), np.zeros(1, bool)
+
+    def of(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        keys = (before + 1) << 32 | tokens
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        out = self._values[at]
+        for i in np.flatnonzero(self._keys[at] != keys).tolist():
+            key = int(keys[i])
+            known = self._new.get(key)
+            if known is None:
+                first, token = (key >> 32) - 1, key & 0xFFFFFFFF
+                known = self._new[key] = self._vocabulary._stays(first, token) if first >= 0 else self._vocabulary.may_start(token)
+            out[i] = known
+        return out
+
+    def settle(self) -> None:
+        """Take the pairs that were new into the arrays; beyond ``PAIRS`` start again."""
+        if len(self._keys) + len(self._new) > PAIRS:
+            self._keys, self._values, self._new = np.full(1, -1), np.zeros(1, bool), {}
+        if self._new:
+            keys = np.concatenate([self._keys, np.fromiter(self._new.keys(), np.int64, len(self._new))])
+            values = np.concatenate([self._values, np.fromiter(self._new.values(), bool, len(self._new))])
+            order = np.argsort(keys)
+            self._keys, self._values, self._new = keys[order], values[order], {}
+
+
+class BatchEncoder:
+    """The dynamic program over the prefixes of many pieces at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.trie, self.follows = vocabulary, Trie(vocabulary.tokens), Follows(vocabulary)
+        self._sizes = np.zeros(max(vocabulary.tokens, default=0) + 1, np.int64)
+        for token, text in vocabulary.tokens.items():
+            self._sizes[token] = len(text)
+
+    def last_tokens(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The last token of each prefix of each piece, at the place of the prefix's end (from 1)."""
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        starts, sizes, tokens = self.trie.matches(data, bounds[1:][owner])
+        ends = starts + sizes
+        first = bounds[:-1][owner[starts]]
+        order = np.lexsort((-sizes, ends, ends - first))  # by length of prefix, then piece, then longest first
+        starts, ends, first, tokens = starts[order], ends[order], first[order], tokens[order]
+        length = ends - first
+        edges = np.searchsorted(length, np.arange(1, int(np.diff(bounds).max(initial=0)) + 2))
+        last = np.full(len(data) + 1, -1)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            todo = np.arange(a, b)
+            while len(todo):  # the longest candidate that is left of each prefix
+                one = todo[np.append(True, ends[todo[1:]] != ends[todo[:-1]])]
+                before = np.where(starts[one] > first[one], last[starts[one]], -1)
+                fits = self.follows.of(before, tokens[one])
+                last[ends[one[fits]]] = tokens[one[fits]]
+                rest = np.ones(b - a, bool)
+                rest[one - a] = False
+                todo = todo[rest[todo - a] & (last[ends[todo]] < 0)]
+        return last
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece; none is empty."""
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        last = self.last_tokens(data, bounds)
+        self.follows.settle()
+        if (missing := np.flatnonzero(last[1:] < 0)).size:
+            raise ValueError(f"no token for byte {data[missing[0]]}")
+        own, at, found = np.arange(len(pieces)), bounds[1:].copy(), []
+        while len(own):
+            tokens = last[at]
+            found.append((own, tokens))
+            at = at - self._sizes[tokens]
+            more = at > bounds[own]
+            own, at = own[more], at[more]
+        own, tokens = (np.concatenate(x[::-1]) for x in zip(*found))
+        order = np.argsort(own, kind="stable")
+        tokens, cuts = tokens[order].tolist(), np.cumsum(np.bincount(own, minlength=len(pieces))).tolist()
+        return [tokens[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token and rank from each line of a rank file."""
     with open(path, "rb") as f:
@@ -208,35 +328,43 @@ class Codec:
         self.vocabulary = Vocabulary(load_ranks(path))
         self.pattern = regex.compile(pattern)
         self._known: dict[str, list[int]] = {}
-        self._tokens = self.vocabulary.tokens
+        self._tokens, self._batch = self.vocabulary.tokens, BatchEncoder(self.vocabulary)
         self._units = UnitStore(self._encode_units, UNITS) if pattern in BY_UNITS else None
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self._known, []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = encode_piece(self.vocabulary, piece.encode())
-                if len(piece) <= 64:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Pieces that are tokens, or known, are looked up; all others are encoded at once."""
+        known, ranks = self._known, self.vocabulary.ranks
+        if len(known) >= PIECES:
+            known.clear()
+        pieces = [self.pattern.findall(x) for x in texts]
+        new = []
+        for piece in {x for part in pieces for x in part if x not in known}:
+            raw = piece.encode()
+            token = ranks.get(raw)
+            if token is not None:
+                known[piece] = [token]
+            elif len(raw) > LONG_PIECE:
+                known[piece] = encode_piece(self.vocabulary, raw)
+            else:
+                new.append((piece, raw))
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            known.update(zip((x for x, _ in part), self._batch.encode([raw for _, raw in part])))
+        return [[i for x in part for i in known[x]] for part in pieces]
 
     def _encode_units(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
         texts = [u.decode() for u in units]
         # white space of other kinds at the end is one piece with what follows
-        return [self.encode(x) for x in texts], [u[-1] > 0x20 and x[-1].isspace() for u, x in zip(units, texts)]
+        return self.encode(texts), [u[-1] > 0x20 and x[-1].isspace() for u, x in zip(units, texts)]
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; null is empty."""
         if self._units is None:
-            yield from (np.array(self.encode(x.as_py() or ""), np.uint32) for x in texts)
+            yield from (np.array(self.encode([x.as_py() or ""])[0], np.uint32) for x in texts)
             return
         for i, ids, first, whole in self._units.texts(texts):
             for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                yield np.array(self.encode(texts[i + k].as_py()), np.uint32) if whole[k] else ids[a:b]
+                yield np.array(self.encode([texts[i + k].as_py()])[0], np.uint32) if whole[k] else ids[a:b]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self._tokens.__getitem__, ids.tolist()))

@@ -26,7 +26,9 @@ def unit_codes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, l
         own = bounds[i : j + 1] - bounds[i]
         part = data[bounds[i] : bounds[j]]
         _, ends = word_bounds(part, own)
-        edges = np.unique(np.concatenate([own, ends]))
+        edge = np.zeros(len(part) + 1, bool)
+        edge[own] = edge[ends] = True
+        edges = np.flatnonzero(edge)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))])
         coded = units.dictionary_encode()
         yield i, np.searchsorted(edges, own), coded.indices.to_numpy(), coded.dictionary.to_pylist()

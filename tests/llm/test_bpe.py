@@ -43,6 +43,17 @@ def test_other_patterns_and_small_stores(library, monkeypatch):
             assert got == [own.encode_ordinary(x or "") for x in texts[i : i + 10]]
 
 
+def test_many_pieces_at_once_equal_the_merges():
+    v, rng = bpe.Vocabulary(bpe.load_ranks(PATH)), random.Random(5)
+    batch = bpe.BatchEncoder(v)
+    for _ in range(3):
+        pieces = ["".join(rng.choice("abcdetinghs éß日!1") for _ in range(rng.randrange(1, 40))).encode() for _ in range(400)]
+        assert batch.encode(pieces) == [v.merge(x) for x in pieces]
+        last = batch.last_tokens(np.frombuffer(pieces[0], np.uint8), np.array([0, len(pieces[0])]))
+        assert last[1:].tolist() == bpe.PrefixTable(v, pieces[0]).last[1:]
+    assert batch.encode([]) == []
+
+
 def test_appends_and_edits_equal_encoding_anew():
     v, rng = bpe.Vocabulary(bpe.load_ranks(PATH)), random.Random(2)
     for _ in range(60):
