@@ -45,18 +45,3 @@ def build_filter(keys: DataFrame, n: int, rate: float, seed: int = 1) -> BloomFi
     for row in found.collect():
         words[row.word] = row.value
     return BloomFilter(tuple(words), bits, hashes, seed)
-
-
-#: Keys for which a filter may become a literal: about 1 MB.
-MOST_KEYS = 500_000
-
-
-def split_by_keys(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have one of the keys, rows that surely have none): a join with ``keys`` then needs to
-    shuffle the former only. With too many keys for a literal, all rows may have one."""
-    n = keys.count()
-    if n > MOST_KEYS:
-        return rows, rows.where("false")
-    may = build_filter(keys.select(F.col(column).alias("key")), n, 0.01).accepts(F.col(column)) if n else F.lit(False)
-    may = F.coalesce(may & F.col(column).isNotNull(), F.lit(False))
-    return rows.where(may), rows.where(~may)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.bloom import split_by_keys
+from shelfwise.llm.byfile import listed_rows, scanned, write_lists
 from shelfwise.llm.components import connected_components
 from shelfwise.llm.shared import drop, map_batches, materialize, tasks, work_dir
 from shelfwise.llm.words import mix, words_of
@@ -80,10 +80,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n (set size), two halves of the set's digest, the trees' first values, the signature, and
+    """file, doc_id, n (set size), two halves of the set's digest, the trees' first values, the signature, and
     its sketch of one byte for each value."""
     for batch in batches:
-        for i, hashes, bounds in shingle_sets(batch.column(1)):
+        for i, hashes, bounds in shingle_sets(batch.column(2)):
             n = np.diff(bounds)
             found = signatures(hashes, bounds)
             sums = [np.concatenate([[_U(0)], np.cumsum(mix(hashes ^ _U(s)), dtype=np.uint64)]) for s in (0x51ED270B, 0x7F4A7C15)]
@@ -92,8 +92,8 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (found >> _U(32)).astype(">u4")
             sketch = mix(found).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, len(n)), pa.array(n), *map(_signed, digests), pa.ListArray.from_arrays(np.arange(0, TREES * len(n) + 1, TREES, dtype=np.int32), _signed(firsts.ravel())), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (short, sketch))],
-                ["doc_id", "n", "k1", "k2", "firsts", "signature", "sketch"],
+                [batch.column(0).slice(i, len(n)), batch.column(1).slice(i, len(n)), pa.array(n), *map(_signed, digests), pa.ListArray.from_arrays(np.arange(0, TREES * len(n) + 1, TREES, dtype=np.int32), _signed(firsts.ravel())), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (short, sketch))],
+                ["file", "doc_id", "n", "k1", "k2", "firsts", "signature", "sketch"],
             )
 
 
@@ -347,7 +347,7 @@ def crowded_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, share: in
     return materialize(dealt.transform(map_batches, compare, "a long, b long").distinct(), f"{folder}/links")
 
 
-def near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept, for links of Jaccard >= ``share`` %.
 
     Sets: distinct shingles of five words, A-Z lower-cased; with fewer words the whole sequence is the
@@ -356,18 +356,25 @@ def near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", te
     document where their texts are equal; otherwise the document has the links of the texts compared.
     A row without id is a component of its own, kept, without name.
     """
+    judged, _ = _judge(docs, share, id_col, text_col, work_dir(docs.sparkSession))
+    return judged.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def _judge(docs: DataFrame, share: int, id_col: str, text_col: str, folder: str) -> tuple[DataFrame, tuple]:
+    """Each row's file, doc_id, n, component and kept; and the table read, with its file's number."""
     spark = docs.sparkSession
-    folder = folder or work_dir(spark)
+    docs, file = scanned(docs, f"{folder}/copy")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prepared = materialize(texts.transform(map_batches, _prepare, "doc_id long, n long, k1 long, k2 long, firsts array<long>, signature binary, sketch binary"), f"{folder}/prepared")
+    prepared = docs.select(file.alias("file"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_batches, _prepare, "file long, doc_id long, n long, k1 long, k2 long, firsts array<long>, signature binary, sketch binary")
+    prepared = materialize(prepared, f"{folder}/prepared")
     known = prepared.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), f"{folder}/classes")
     nodes = known.select("k1", "k2", "doc_id").join(classes.withColumnRenamed("node", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id")
 
     rows = materialize(tree_rows(known, nodes), f"{folder}/rows")
-    ids = rows.select("doc_id").distinct()
-    likely, _ = split_by_keys(texts, ids, "doc_id")
-    sets = likely.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).transform(map_batches, _sets, "doc_id long, shingles binary")
+    compared = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("file").alias("file"))
+    lists = write_lists(compared, f"{folder}/compared")
+    sets = listed_rows(texts, file, "doc_id", lists, True, _sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
     sets = materialize(sets, f"{folder}/sets")
 
     pairs, _ = candidate_pairs(rows.withColumn("of", F.col("doc_id")), share, f"{folder}/one", likeliest=True)
@@ -383,29 +390,31 @@ def near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", te
     repeated = known.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select(F.col("doc_id").alias("a"))
     links = first.unionByName(second).unionByName(third).unionByName(same.join(repeated, "a", "left_semi"))
     components = materialize(connected_components(links, f"{folder}/components"), f"{folder}/named")
-    drop(spark, *[f"{folder}/{x}" for x in ("rows", "sets", "one", "first", "parts", "two", "second", "crowded", "components")])
+    drop(spark, *[f"{folder}/{x}" for x in ("rows", "compared", "sets", "one", "first", "parts", "two", "second", "crowded", "components")])
 
     named = classes.join(components, classes["node"] == components["node"], "left").select("k1", "k2", F.coalesce("component", classes["node"]).alias("component"))
-    rows = prepared.select("doc_id", "n", "k1", "k2").withColumn("linked", F.expr("n > 0 AND doc_id IS NOT NULL"))
+    rows = prepared.select("file", "doc_id", "n", "k1", "k2").withColumn("linked", F.expr("n > 0 AND doc_id IS NOT NULL"))
     out = rows.where("linked").join(named, ["k1", "k2"]).unionByName(rows.where("NOT linked OR linked IS NULL").withColumn("component", F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    return out.select("file", "doc_id", "n", "component", F.col("doc_id").eqNullSafe(F.col("component")).alias("kept")), (docs, file)
 
 
-def drop_near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that keep their component's name; of rows that repeat
-    an id one stays, the one of the least text. Rows without id stay."""
+    an id one stays, the one of the least text. Rows without id stay; so do those of null and empty
+    texts, but for repeated ids. No row is shuffled unless its id is repeated."""
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
-    judged = near_duplicates(docs, share, id_col, text_col, f"{folder}/links").where("doc_id IS NOT NULL")
-    per_id = materialize(judged.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")), f"{folder}/judged")
-    drop(spark, f"{folder}/links")
-    renamed = per_id.withColumnRenamed("doc_id", id_col)
-    gone = renamed.where("NOT kept OR rows > 1").select(id_col)
-    suspect, clear = split_by_keys(docs, gone, id_col)
-    out = clear.unionByName(suspect.join(gone, id_col, "left_anti").select(docs.columns))
-    repeated = renamed.where("kept AND rows > 1").select(id_col)
+    judged, (docs, file) = _judge(docs, share, id_col, text_col, f"{folder}/links")
+    judged = materialize(judged.where("doc_id IS NOT NULL").select("file", "doc_id", "kept"), f"{folder}/judged")
+    drop(spark, f"{folder}/links/prepared")
+    per_id = judged.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
+    per_id = materialize(per_id.where("NOT kept OR rows > 1"), f"{folder}/ids")
+    files = judged.select("file", "doc_id").distinct()
+    gone = write_lists(files.join(per_id, "doc_id"), f"{folder}/gone")
+    out = listed_rows(docs, file, id_col, gone, False)
+    repeated = per_id.where("kept")
     if repeated.isEmpty():
         return out
-    several = suspect.join(repeated, id_col, "left_semi")
+    several = listed_rows(docs, file, id_col, write_lists(files.join(repeated, "doc_id"), f"{folder}/repeated"), True)
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
     one = several.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), first.alias("nth")).where("nth = 1").select("row.*")
     return out.unionByName(one)

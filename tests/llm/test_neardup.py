@@ -30,9 +30,9 @@ def groups(nodes, links):
     return {x: find(x) for x in nodes}
 
 
-def brute(rows):
+def brute(rows, share=85):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
-    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if x and y and 100 * len(x & y) >= share * len(x | y)]
     return groups({i for i, _ in sets}, links)
 
 
