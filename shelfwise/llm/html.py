@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-Each text of a page lies on a path of tags from the root. Per path, the characters and the
-punctuation marks of its texts are added up and divided by the number of texts; both ratios are
-smoothed over the paths in page order and fused; paths above the page's threshold are content. The
-container that holds most of the content is the article, with the titles and texts around it that are no
-links, and its texts are kept whole, whatever their own length. Names of boilerplate rule a path out; those that an article
-may have too (ids made from headings, say) do so only where links, lengths and marks speak for it.
+Each text of a page lies on a path of tags from the root. Per path, the characters and the punctuation
+marks of its texts are added up and divided by the number of texts; both ratios are smoothed over the
+paths in page order and fused. A path also has, by and by less, the mean of what lies below the paths
+above it, so that a title or a table cell counts with the article that it stands in; links and names of boilerplate take
+from it. Paths above the page's threshold are content, and only their texts are selected: those in the
+container that holds most of the content, with the titles and texts around it that are no links.
+Names that an article may have too (ids made from headings, say) count only where the links, lengths and
+marks of what they name speak against it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,16 +55,44 @@ MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 SPACES = re.compile(r"\s+")
 
 
+#: What a path has of the score of the one above it; what names of boilerplate leave of a score; and the
+#: share of the mean score, by characters, from which on a path is content.
+INHERITED, NAMED, THRESHOLD = 0.93, 0.001, 0.6
+
+
+class _Path:
+    """A path of tags: its place in the page's list and the one above, and whether a name makes it doubtful."""
+
+    __slots__ = ("above", "at", "doubtful", "prior")
+
+    def __init__(self, at: int, above: _Path | None, sure: bool, doubtful: bool):
+        self.at, self.above, self.doubtful = at, above, doubtful
+        self.prior = (above.prior if above else 1.0) * (NAMED if sure else 1.0)
+
+
 class _Node:
-    __slots__ = ("article", "barred", "depth", "link", "name", "parent", "path", "weak")
+    __slots__ = ("article", "barred", "content", "depth", "held", "inside", "link", "name", "of_text", "parent", "path", "plain")
 
-    def __init__(self, name: str, path: int, parent: _Node | None, barred: bool, weak: tuple | None = None):
+    def __init__(self, name: str, path: _Path, parent: _Node | None, barred: bool):
         self.name, self.parent, self.path = name, parent, path
-        self.depth = parent.depth + 1 if parent else 0
-        self.barred = barred or bool(parent and parent.barred)
-        self.article = name in ("article", "main") or bool(parent and parent.article)
-        self.link = name == "a" or bool(parent and parent.link)
-        self.weak = ([weak] if weak else []) + (parent.weak if parent else [])  # elements of doubtful name, with whether they count
+        up = parent or self
+        self.depth = up.depth + 1 if parent else 0
+        self.barred = barred or parent is not None and up.barred
+        self.article = name in ("article", "main") or parent is not None and up.article
+        self.link = name == "a" or parent is not None and up.link
+        self.of_text = name == "p" or name in HEADINGS or parent is not None and up.of_text
+        self.content = self.held = self.plain = 0  # characters: of content paths, of all, and of all that are no links or labels
+        self.inside = False
+
+
+@dataclass
+class Page:
+    """The blocks of a page, those of elements that are no text left out: the node that each began in, its
+    text, and the characters of it that are links; all nodes and paths, those above before those below."""
+
+    blocks: list[tuple[_Node, str, int]]
+    nodes: list[_Node]
+    paths: list[_Path]
 
 
 def is_boilerplate(chars: int, links: int, marks: int, texts: int) -> bool:
@@ -69,23 +100,23 @@ def is_boilerplate(chars: int, links: int, marks: int, texts: int) -> bool:
     return 3 * links >= chars or chars < 25 * texts or 2 * marks < texts
 
 
-def text_blocks(page: str, by_name: bool = True, kept: frozenset | None = None, doubtful: dict | None = None) -> list[tuple[_Node, str]]:
-    """The page's blocks in order, those of boilerplate left out: the node that each began in, and its
-    text. ``by_name``: whether class, id and role can name boilerplate. Elements of doubtful name are open
-    if their place in the page is in ``kept``, or all if that is None; ``doubtful`` is given each one's
-    characters, those in links, marks and texts."""
-    stack, out, parts, owner = [_Node("", 0, None, False)], [], [], None
-    paths, opened = {}, defaultdict(int)
+def read_page(page: str) -> Page:
+    """Parse a page, in time that is linear in its length."""
+    root = _Path(0, None, False, False)
+    stack, out, parts, owner, linked = [_Node("", root, None, False)], [], [], None, 0
+    nodes, paths, known, opened = [stack[0]], [root], {}, defaultdict(int)
 
     def flush() -> None:
-        nonlocal owner
+        nonlocal owner, linked
         text = SPACES.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text and owner is not None:
-            out.append((owner, text))
-        owner = None
+            out.append((owner, text, min(linked, len(text))))
+        owner, linked = None, 0
 
     def close(names: tuple[str, ...], stops: frozenset) -> None:
+        if not any(opened[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
                 for x in stack[k:]:
@@ -105,13 +136,8 @@ def text_blocks(page: str, by_name: bool = True, kept: frozenset | None = None,
                 if owner is None and text.strip():
                     owner = stack[-1]
                 parts.append(text)
-                size = len(SPACES.sub(" ", text).strip())
-                for place, _ in stack[-1].weak if doubtful is not None and size else ():
-                    seen = doubtful.setdefault(place, [0, 0, 0, set()])
-                    seen[0] += size
-                    seen[1] += size if stack[-1].link else 0
-                    seen[2] += len(MARKS.findall(text))
-                    seen[3].add(len(out))
+                if stack[-1].link:
+                    linked += len(text)
         if not m:
             break
         at = m.end()
@@ -135,25 +161,28 @@ def text_blocks(page: str, by_name: bool = True, kept: frozenset | None = None,
             close(SAME[name], SCOPES - {"div"} if name not in ("li", "dt", "dd") else frozenset(("ul", "ol", "dl", "table")))
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
-        label, barred, weak = name, name in SILENT or name in BOILERPLATE, None
+        label, barred, sure, doubtful = name, name in SILENT or name in BOILERPLATE, False, False
         if name == "header":
             barred = not stack[-1].article
         for key, *values in ATTRIBUTE.findall(attrs):
-            value = entities.unescape(next(filter(None, values), ""))
-            if key.lower() in ("class", "id", "role"):
-                label += f".{value}" if key.lower() == "class" else ""
-                if by_name and name not in ("html", "body", "article", "main") and not (key.lower() == "id" and name in HEADINGS) and (named := NAMES.search(value.replace("header", "") if stack[-1].article else value)):
-                    by_id = key.lower() == "id"
-                    if SURE.search(value) and (not by_id or named[0] == value):
-                        barred = True
-                    elif kept is not None and m.start() not in kept:
-                        barred = True
+            key, value = key.lower(), entities.unescape(next(filter(None, values), ""))
+            if key in ("class", "id", "role"):
+                label += f".{value}" if key == "class" else ""
+                if name not in ("html", "body", "article", "main") and not (key == "id" and name in HEADINGS) and (named := NAMES.search(value.replace("header", "") if stack[-1].article else value)):
+                    if SURE.search(value) and (key != "id" or named[0] == value):
+                        sure, barred = True, barred or name not in BLOCKS  # within a block there is no path to judge
                     else:
-                        counts = (by_id or stack[-1].article) and (weak is None or weak[1])
-                        weak = (m.start(), counts)
-            elif key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true" or re.search(r"display\s*:\s*none", value):
+                        doubtful = True
+                    label += f"#{value}"
+            elif key == "hidden" or key == "aria-hidden" and value == "true" or re.search(r"display\s*:\s*none", value):
                 barred = True
-        stack.append(_Node(name, paths.setdefault((stack[-1].path, label), len(paths) + 1), stack[-1], barred, weak))
+        above = stack[-1].path
+        path = known.get((above.at, label))
+        if path is None:
+            path = known[above.at, label] = _Path(len(paths), above, sure, doubtful)
+            paths.append(path)
+        stack.append(_Node(name, path, stack[-1], barred))
+        nodes.append(stack[-1])
         opened[name] += 1
         if name in RAW:  # up to its own end tag, nothing in between is a tag
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -162,96 +191,100 @@ def text_blocks(page: str, by_name: bool = True, kept: frozenset | None = None,
                 opened[name] -= 1
                 at = end.end() if end else len(page)
     flush()
-    return out
+    return Page(out, nodes, paths)
+
+
+def fused(chars: float, marks: float) -> float:
+    """One figure from characters and punctuation marks for each text."""
+    return chars * math.log1p(1 + marks)
 
 
-def path_scores(found: list[tuple[_Node, str]], reach: int = 1) -> dict[int, float]:
-    """Per path, the fused ratio: smoothed characters and smoothed punctuation marks for each text."""
-    chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for node, text in found:
-        chars[node.path] += len(text)
-        marks[node.path] += len(MARKS.findall(text))
-        count[node.path] += 1
-    paths = list(count)
-    length = [chars[p] / count[p] for p in paths]
-    dots = [marks[p] / count[p] for p in paths]
-    out = {}
-    for i, path in enumerate(paths):
-        around = range(max(0, i - reach), min(len(paths), i + reach + 1))
-        smooth = [(2 * x[i] + sum(x[j] for j in around if j != i)) / (1 + len(around)) for x in (length, dots)]
-        out[path] = smooth[0] * math.log1p(1 + smooth[1])
+def path_scores(page: Page, by_name: bool = True, reach: int = 1) -> dict[int, float]:
+    """Per path with texts (by its place): the score of its ratios, of links, and of what is above it.
+    ``by_name``: whether names of boilerplate count."""
+    n = len(page.paths)
+    chars, links, marks, count = [0] * n, [0] * n, [0] * n, [0] * n
+    order: dict[int, None] = {}
+    for node, text, linked in page.blocks:
+        at = node.path.at
+        order[at] = None
+        chars[at], links[at], marks[at], count[at] = chars[at] + len(text), links[at] + linked, marks[at] + len(MARKS.findall(text)), count[at] + 1
+    own, paths = {}, list(order)
+    sizes, dots = [chars[x] / count[x] for x in paths], [marks[x] / count[x] for x in paths]
+    for i, at in enumerate(paths):  # smoothed over the paths in page order
+        begin, end = max(0, i - reach), i + reach + 1
+        around = 1 + min(end, len(paths)) - begin
+        own[at] = fused((sizes[i] + sum(sizes[begin:end])) / around, (dots[i] + sum(dots[begin:end])) / around)
+    whole = [list(x) for x in (chars, links, marks, count)]  # with all paths below
+    worth = [chars[at] * own[at] * (1 - links[at] / chars[at]) * page.paths[at].prior if at in own else 0.0 for at in range(n)]
+    for path in reversed(page.paths[1:]):
+        for x in (*whole, worth):
+            x[path.above.at] += x[path.at]
+    given, against, out = [0.0] * n, [1.0] * n, {}
+    for path in page.paths:
+        at, above = path.at, path.above
+        c, k, m, t = (x[at] for x in whole)
+        given[at] = max(worth[at] / c if c else 0.0, INHERITED * given[above.at] if above else 0.0)
+        against[at] = (against[above.at] if above else 1.0) * (NAMED if path.doubtful and t and is_boilerplate(c, k, m, t) else 1.0)
+        if at in own:
+            out[at] = max(own[at], given[at]) * (1 - links[at] / chars[at]) * (path.prior * against[at] if by_name else 1.0)
     return out
 
 
-def main_text(page: str) -> str:
-    """The article's blocks, one a line."""
-    doubtful: dict = {}
-    open_paths = text_blocks(page, doubtful=doubtful)
-    if doubtful:
-        open_paths = text_blocks(page, kept=frozenset(k for k, (*sizes, texts) in doubtful.items() if not is_boilerplate(*sizes, len(texts))))
-    counted = [(n, t) for n, t in open_paths if all(counts for _, counts in n.weak)]
-    if not counted:
-        open_paths = counted = open_paths or text_blocks(page, by_name=False)
-    if not open_paths:
-        return ""
-    scores = path_scores(counted)
-    values = list(scores.values())
-    mean = sum(values) / len(values)
-    threshold = 0.5 * mean  # of the page's paths
-    content = defaultdict(int)
-    for node, text in counted:
-        if scores[node.path] >= threshold:
-            above = node
-            while above is not None:
-                content[above] += len(text)
-                above = above.parent
-    total = max(content.values(), default=0)
-
-    def within(node: _Node | None, roots: set) -> bool:
-        while node is not None:
-            if node in roots:
-                return True
-            node = node.parent
-        return False
-
-    def of_text(node: _Node | None) -> bool:
-        while node is not None:
-            if node.name == "p" or node.name in HEADINGS:
-                return True
-            node = node.parent
-        return False
+def content_paths(page: Page, scores: dict[int, float]) -> set[int]:
+    """The paths whose score reaches the threshold of the page."""
+    size = sum(len(text) for _, text, _ in page.blocks)
+    mean = sum(len(text) * scores[node.path.at] for node, text, _ in page.blocks) / max(size, 1)
+    return {at for at, score in scores.items() if score >= THRESHOLD * mean and score > 0}
+
+
+def main_text(html: str) -> str:
+    """The texts of content paths in the article, one a line."""
+    page = read_page(html)
+    scores = path_scores(page)
+    if not any(scores.values()):  # all is boilerplate by name
+        scores = path_scores(page, by_name=False)
+    paths = content_paths(page, scores)
+    for node, text, linked in page.blocks:
+        size = len(text)
+        node.held += size
+        if 2 * linked < size and (node.of_text or not is_boilerplate(size, 0, len(MARKS.findall(text)), 1)):
+            node.plain += size
+        if node.path.at in paths:
+            node.content += size
+    for node in reversed(page.nodes[1:]):
+        up = node.parent
+        up.content, up.held, up.plain = up.content + node.content, up.held + node.held, up.plain + node.plain
+    total = page.nodes[0].content
 
     # the article is the named container with most content, or else the deepest that holds nearly all of
     # it, and those around that one which add titles, paragraphs and sentences rather than links
-    named = [n for n in content if n.name in ("article", "main") and content[n] * 3 >= total]
+    named = [n for n in page.nodes if n.name in ("article", "main") and n.content * 3 >= total > 0]
     if named:
-        best = max(named, key=lambda n: (content[n], -n.depth))
-        roots = {n for n in content if n.name == best.name and n.depth == best.depth}
+        best = max(named, key=lambda n: (n.content, -n.depth))
+        roots = [n for n in page.nodes if n.name == best.name and n.depth == best.depth]
     else:
-        holders = [n for n in content if n.name in CONTAINERS and content[n] * 10 >= total * 8]
-        best = max(holders, key=lambda n: n.depth) if holders else None
-        above = best.parent if best and best.name != "body" else None
-        held, plain = defaultdict(int), defaultdict(int)
-        for node, text in counted:
-            good, up = not node.link and (of_text(node) or not is_boilerplate(len(text), 0, len(MARKS.findall(text)), 1)), node
-            while up is not None:
-                held[up] += len(text)
-                plain[up] += len(text) if good else 0
-                up = up.parent
+        holders = [n for n in page.nodes if n.name in CONTAINERS and n.content * 10 >= total * 8]
+        best = max(holders, key=lambda n: n.depth) if holders else page.nodes[0]
+        above = best.parent if best.name != "body" else None
         while above is not None and above.name != "body":
-            if 2 * (plain[above] - plain[best]) < held[above] - held[best]:
+            if 2 * (above.plain - best.plain) < above.held - best.held:
                 break
             best, above = above if above.name in CONTAINERS else best, above.parent
-        roots = {best} if best else {n for n in content if n.parent is None}
-
-    return "\n".join(text for node, text in open_paths if within(node, roots))
+        roots = [best]
+    for node in roots:
+        node.inside = True
+    for node in page.nodes[1:]:
+        node.inside = node.inside or node.parent.inside
+    return "\n".join(text for node, text, _ in page.blocks if node.inside and node.path.at in paths)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Each page's id, url, main text and its number of code points.
 
     Null and empty pages, and those without text, give an empty text; repeated rows are extracted
-    each; a page without tags is its own article. Other columns are not read.
+    each; a page without tags is its own article; pages of any length and depth are read whole. No rows
+    give none. Other columns are not read.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import time
 
 import pytest
 
+from shelfwise.llm import html
 from shelfwise.llm.html import extract_main_text, main_text
 
 LONG = "A sentence of the article, with commas, and more words. " * 4
@@ -40,9 +41,62 @@ def test_articles_are_kept_whole(page, want):
     assert main_text(page) == want
 
 
+def naive_scores(page):
+    """The scores by their definition, path by path."""
+    marks = lambda text: sum(c in ".,;:!?…。，、；：！？" for c in text)
+    chain = lambda path: [path, *(chain(path.above) if path.above else [])]
+    texts = [(node.path, text, linked) for node, text, linked in page.blocks]
+    order = list(dict.fromkeys(p.at for p, _, _ in texts))
+    mean = lambda at, f: sum(f(t) for p, t, _ in texts if p.at == at) / sum(p.at == at for p, _, _ in texts)
+    share = lambda at: sum(k for p, _, k in texts if p.at == at) / sum(len(t) for p, t, _ in texts if p.at == at)
+    own = {}
+    for i, at in enumerate(order):
+        near = [at] + order[max(0, i - 1) : i + 2]
+        own[at] = html.fused(sum(mean(x, len) for x in near) / len(near), sum(mean(x, marks) for x in near) / len(near))
+
+    def below(path):
+        return [(p, t, k) for p, t, k in texts if path in chain(p)]
+
+    def given(path):
+        found = below(path)
+        worth = sum(len(t) * own[p.at] * (1 - share(p.at)) * p.prior for p, t, _ in found) / max(sum(len(t) for _, t, _ in found), 1)
+        return max(worth, html.INHERITED * given(path.above)) if path.above else worth
+
+    def against(path):
+        found = below(path)
+        bad = path.doubtful and found and html.is_boilerplate(sum(len(t) for _, t, _ in found), sum(k for _, _, k in found), sum(marks(t) for _, t, _ in found), len(found))
+        return (html.NAMED if bad else 1.0) * (against(path.above) if path.above else 1.0)
+
+    return {at: max(own[at], given(page.paths[at])) * (1 - share(at)) * page.paths[at].prior * against(page.paths[at]) for at in order}
+
+
+PAGES = [f"<nav>x</nav><article><h1 class=title>Hi</h1><p>{LONG}<p>b <a href=x>link, here</a></p><div class='related'><p>{LONG}</p><ul><li>one<li>two, three.</ul></div><div class=ad>Buy!</div></article><div class='side notice'>No</div>",
+         "<div>" * 8 + "<b>a, b.</b>" + "<p>text. " * 5, f"<main><section id=legal><p>{LONG}</section><table><tr><td>1<td>2</table></main><p class=share><a>x</a></p>"]
+
+
+def test_scores_equal_their_definition():
+    for text in PAGES:
+        page = html.read_page(text)
+        got, want = html.path_scores(page), naive_scores(page)
+        assert got == pytest.approx(want) and len(got) > 1
+
+
+def test_scores_choose_the_text(monkeypatch):
+    page = f"<article><h1>T</h1><p>{LONG}</p><div><p>{LONG}</p></div></article>"
+    assert main_text(page).count("\n") == 2
+    keep = html.path_scores
+    monkeypatch.setattr(html, "path_scores", lambda page, **x: {at: float(i == 2) for i, at in enumerate(keep(page))})
+    assert main_text(page) == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["class=side-effects", "class=related-work", "id=notice-of-motion", "class=form"])
+def test_doubtful_names_of_article_parts(name):
+    assert main_text(f"<article><p>{LONG}</p><div {name}><p>{LONG}</p><p>And so on, it says.</p></div></article>").count("\n") == 2
+
+
 def test_odd_pages_take_linear_time():
     start = time.time()
-    for page in ("<div>" * 50_000 + "x", "<p>" * 100_000, "<a href='" * 30_000, "<" * 200_000, "<b" * 100_000, "</p>" * 100_000, "<!--" * 50_000):
+    for page in ("<div>text, of it. " * 100_000, "<div class=widget-text>text, of it. " * 50_000, "<p><b>" + "<i>" * 50_000 + "<li>x" * 1000, "<div>" * 50_000 + "x", "<p>" * 100_000, "<a href='" * 30_000, "<" * 200_000, "<b" * 100_000, "</p>" * 100_000, "<!--" * 50_000):
         main_text(page)
     assert time.time() - start < 30
 
