@@ -213,14 +213,14 @@ def linked_product(markup: pd.Series) -> pd.Series:
     return markup.map(product_node)
 
 
-def media_urls(raw: str | None, most: int = 10_000) -> list[str]:
+def media_urls(raw: str | None) -> list[str]:
     """Image addresses anywhere in a JSON text, in order, each once."""
     try:
         queue = deque([json.loads(raw or "null")])
     except ValueError:
         return []
     out: dict[str, None] = {}
-    while queue and len(out) < most:
+    while queue:
         node = queue.popleft()
         if isinstance(node, str) and re.match(r"(?i)(?:https?:)?//\S+", node):
             out.setdefault(node)

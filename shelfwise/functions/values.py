@@ -150,6 +150,13 @@ def meta_map(pairs: Column, key: str = "key", value: str = "value") -> Column:
     return F.map_from_entries(F.transform(whole, lambda p: F.struct(F.trim(text(p[key])).alias("key"), text(p[value]).alias("value"))))
 
 
+def chosen_attributes(attributes: Column, names: dict[str, str]) -> Column:
+    """The attributes that ``names`` maps, under their new names, in its order; empty values are left out."""
+    labels = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.from_json(F.lit("{}"), "map<string,string>")
+    found = F.transform(F.map_entries(labels), lambda e: F.struct(e["value"].alias("key"), F.try_element_at(attributes, e["key"]).alias("value")))
+    return F.map_from_entries(F.filter(found, lambda e: ~F.coalesce(e["value"], F.lit("")).isin("", "[]", "{}")))
+
+
 def positive_max(*values: Column) -> Column:
     """The greatest positive value, else null."""
     return F.greatest(*[F.when(v > 0, v) for v in values]) if len(values) > 1 else F.when(values[0] > 0, values[0])

@@ -111,4 +111,4 @@ def gtin_report(groups: DataFrame, sites: Sequence[str], refreshed: DataFrame |
 
 def report_counts(report: DataFrame) -> DataFrame:
     """Rows with a barcode by source."""
-    return report.where("gtin <> ''").groupBy("gtin_source").agg(F.count("*").alias("rows"))
+    return report.where("gtin <> ''").groupBy("gtin_source").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "gtin_source")

@@ -43,7 +43,20 @@ def refresh_plan(listing: DataFrame, stored: DataFrame, now: Column, refresh_day
 
 
 def plan_counts(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("reason").agg(F.count("*").alias("products"), F.count_if("needed").alias("to_request"))
+    """Products and requests of each reason, most first."""
+    counts = plan.groupBy("reason").agg(F.count("*").alias("products"), F.count_if("needed").alias("to_request"))
+    return counts.orderBy(F.desc("products"), "reason")
+
+
+def complete_recent(stored: DataFrame, now: Column, refresh_days: int = 30, required: Sequence[str] = REQUIRED_FIELDS, enabled: bool = True) -> DataFrame:
+    """Stored rows that are complete and recent, so that they may be used again without a request."""
+    plan = refresh_plan(stored, stored, now, refresh_days, required, enabled)
+    return stored.join(plan.where("NOT needed").select(*KEY), list(KEY), "left_semi")
+
+
+def detail_price_candidates(listing: DataFrame) -> DataFrame:
+    """Listed products that need a detail request for a price or a SKU."""
+    return listing.where("mrp IS NULL OR selling_price IS NULL OR coalesce(trim(sku), '') = ''")
 
 
 def stored_versions(plan: DataFrame, listing: DataFrame, stored: DataFrame) -> DataFrame:
@@ -108,18 +121,21 @@ def merge_details(listing: DataFrame, details: DataFrame) -> DataFrame:
     return listing.join(details.select(*KEY), list(KEY), "left_anti").unionByName(details, allowMissingColumns=True)
 
 
-def incremental_state(current: DataFrame, details: DataFrame, stored: DataFrame, candidates: DataFrame, now: Column, run_id: str) -> tuple[DataFrame, DataFrame]:
+def incremental_state(current: DataFrame, details: DataFrame, stored: DataFrame, candidates: DataFrame, now: Column, run_id: str, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows to upsert, price points to append) of one run.
 
     ``current``: listing with details merged in; ``details``: what was fetched; ``candidates``: from
     ``detail_candidates``. Untouched products aren't among the rows; empty rich fields keep what is
-    stored; first_seen_at is set once; last_changed_at only where listing or content changed.
+    stored; first_seen_at is set once; last_changed_at only where listing or content changed. ``gone``:
+    keys whose details are gone for good; their listing rows stay, and they are not asked for again.
     """
     rows = catalogue.preserve_rich_fields(current, stored)
     fetched = details.select(*KEY).distinct().withColumn("fetched", F.lit(True))
     flags = candidates.select(*KEY, "is_new", "changed", "needs_detail")
     rows = rows.withColumns({"fp": source_fingerprint(rows), "dfp": detail_fingerprint(rows)}).join(flags, list(KEY), "left").join(fetched, list(KEY), "left")
     kept = ("source_fingerprint", "detail_fingerprint", "first_seen_at", "last_changed_at", "last_detail_scraped_at", *[p for p in PRICE_FIELDS])
+    lost = gone.select(*KEY).distinct().withColumn("lost", F.lit(True)) if gone is not None else None
+    rows = rows.join(lost, list(KEY), "left") if lost is not None else rows.withColumn("lost", F.lit(None).cast("boolean"))
     old = stored.select(*KEY, F.lit(True).alias("known"), *[F.col(c).alias(f"was_{c}") for c in kept])
     rows = rows.join(old, list(KEY), "left")
     is_new, got = F.col("known").isNull(), F.coalesce("fetched", F.lit(False))
@@ -134,8 +150,8 @@ def incremental_state(current: DataFrame, details: DataFrame, stored: DataFrame,
         "last_checked_at": now,
         "last_changed_at": F.when(changed, now).otherwise(F.col("was_last_changed_at")),
         "last_detail_scraped_at": F.when(got, now).otherwise(F.col("was_last_detail_scraped_at")),
-        "detail_refresh_pending": F.coalesce("needs_detail", F.lit(False)) & ~got,
-        "detail_unavailable": F.lit(False),
+        "detail_refresh_pending": F.coalesce("needs_detail", F.lit(False)) & ~got & F.col("lost").isNull(),
+        "detail_unavailable": F.col("lost").isNotNull() & ~got,
         "is_active": F.lit(True),
         "last_seen_run_id": F.lit(run_id),
         "missing_run_count": F.lit(0),

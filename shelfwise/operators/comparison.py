@@ -57,7 +57,7 @@ def needs_review(rows: DataFrame, below: float = 0.80) -> DataFrame:
 
 
 def by_platforms(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("platforms").agg(F.count("*").alias("matches"))
+    return rows.groupBy("platforms").agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "platforms")
 
 
 def single_site_rows(unmatched: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "image_url": ("image_url", "image", "image src", "images"),
     "categories": ("categories", "category", "collection", "type", "product type"),
 }
-SITE_ALIASES = {"site": ("site", "platform", "retailer", "source")}
+SITE_ALIASES = {"site": ("site", "platform", "retailer", "source", "marketplace")}
 REQUIRED = ("brand", "product_name", "selling_price")
 
 
@@ -74,7 +74,7 @@ def manual_rows(sheet: DataFrame, default_site: str, sites: Sequence[str] = ())
         reason = reason.when(~site.isin(*sites), "unknown site")
     mrp, price = values.sheet_number(F.col("mrp")), values.sheet_number(F.col("selling_price"))
     pid = F.when(F.col("product_id") != "", F.col("product_id")).otherwise(keys.manual_id(F.col("sku"), F.col("brand"), F.col("product_name")))
-    return t.select(site.alias("site"), pid.alias("product_id"), "brand", "product_name", "variant", "sku", keys.normalize_gtin(F.col("gtin")).alias("gtin"), mrp.alias("mrp"), price.alias("selling_price"), values.discount_pct(mrp, price).alias("discount_pct"), values.boolean_word(F.col("in_stock")).alias("in_stock"), F.filter(F.transform(F.split("categories", r"[|;,]"), F.trim), lambda x: x != "").alias("categories"), "product_url", "image_url", "line", reason.alias("reject_reason"))
+    return t.select(site.alias("site"), pid.alias("product_id"), "brand", "product_name", "variant", "sku", keys.normalize_gtin(F.col("gtin")).alias("gtin"), mrp.alias("mrp"), price.alias("selling_price"), values.discount_pct(mrp, price).alias("discount_pct"), values.boolean_word(F.col("in_stock")).alias("in_stock"), F.filter(F.transform(F.split("categories", r"[|;,]"), lambda x: F.trim(x)), lambda x: x != "").alias("categories"), "product_url", "image_url", "line", reason.alias("reject_reason"))
 
 
 def select_new(sheet: DataFrame, stored: DataFrame, order: Sequence[str] = ("line",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import keys, titles
-from shelfwise.sources.versions import scratch
+from shelfwise.sources.versions import scratch, stored
 
 THRESHOLD, REVIEW_BELOW = 0.70, 0.80
 
@@ -56,7 +56,7 @@ def score_edges(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Equal barcodes are sure, different ones exclude; otherwise two words must be shared, and known
     forms, strengths, kits and sizes must agree. Where both have a size it is part of the join's key.
     """
-    base = items.where("bkey <> ''").withColumn("n", F.size("tokens"))
+    base = stored(items.where("bkey <> ''").select("bkey", "product_id", *[c for c in _SIDE if c != "n"]).withColumn("n", F.size("tokens")))
     side = base.select("bkey", *_SIDE)
     left, right = (side.select("bkey", *[F.col(c).alias(f"{p}_{c}") for c in _SIDE]) for p in "lr")
     coded = left.where("l_gtin <> ''").join(right.where("r_gtin <> ''"), (left["bkey"] == right["bkey"]) & (F.col("l_gtin") == F.col("r_gtin")) & (F.col("l_place") < F.col("r_place")))
@@ -67,7 +67,7 @@ def score_edges(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     words = base.where("n >= 2").select("bkey", "item", "place", "form", (F.col("gtin") != "").alias("coded"), F.col("size.unit").alias("unit"), F.col("size.pack").alias("pack"), size_bucket(F.col("size.amount")).alias("bucket"), F.explode("tokens").alias("word"))
     frequency = words.groupBy("bkey", "word").agg(F.count("*").alias("times"))
     commonest = F.row_number().over(Window.partitionBy("bkey", "item").orderBy(F.desc("times"), F.desc("word")))
-    words = words.join(frequency, ["bkey", "word"]).withColumn("nth", commonest).where("nth > 1")
+    words = stored(words.join(frequency, ["bkey", "word"]).withColumn("nth", commonest).where("nth > 1"))
     lw = words.select("bkey", "word", "unit", "pack", F.col("bucket").alias("lb"), F.col("item").alias("l"), F.col("place").alias("lp"), F.col("form").alias("lf"), F.col("coded").alias("lc"))
     rw = words.select("bkey", "word", F.col("unit").alias("ru"), F.col("pack").alias("rpack"), F.col("bucket").alias("rb"), F.col("item").alias("r"), F.col("place").alias("rp"), F.col("form").alias("rf"), F.col("coded").alias("rc"))
     near = lw.where("lb IS NOT NULL").withColumn("rb", F.explode(F.array(F.col("lb") - 1, F.col("lb"), F.col("lb") + 1)))
@@ -153,9 +153,7 @@ def match_groups(items: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def match_products(products: DataFrame, threshold: float = THRESHOLD, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, groups in long form, items without match)."""
-    folder = scratch(products.sparkSession)
-    prepare(products, order).write.parquet(f"{folder}/items")
-    items = products.sparkSession.read.parquet(f"{folder}/items")
+    items = stored(prepare(products, order))
     groups = match_groups(items, assign(score_edges(items, threshold)))
     return items, groups, items.join(groups.select("item"), "item", "left_anti")
 

@@ -86,7 +86,7 @@ def query(sql: str | None = None, with_obs: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.plans import payload_queries, stream_queries  # noqa: F401  (they register theirs)
+    from shelfwise.plans import job_queries, payload_queries, stream_queries  # noqa: F401  (they register theirs)
 
     return dict(_QUERIES)
 
@@ -238,12 +238,12 @@ def brand_key(spark, sf_dir):
 
 
 @query(""", c AS (SELECT DISTINCT l_partkey, CASE l_partkey % 4 WHEN 0 THEN ean WHEN 1 THEN ' ' || substr(ean, 1, 3) || '-' || substr(ean, 4) WHEN 2 THEN substr(ean, 1, 12) || ((substr(ean, 13, 1)::INT + 1) % 10)::VARCHAR ELSE 'B0' || l_partkey END AS raw, ean FROM obs)
-SELECT l_partkey, raw, CASE WHEN l_partkey % 4 IN (0, 1) THEN ean ELSE '' END AS gtin, l_partkey % 4 IN (0, 1) AS plausible FROM c WHERE l_partkey % 4 <> 3""")
+SELECT l_partkey, raw, CASE WHEN l_partkey % 4 IN (0, 1) THEN ean ELSE '' END AS gtin, l_partkey % 4 IN (0, 1) AS plausible FROM c""")
 def gtin_check(spark, sf_dir):
     o = obs(spark, sf_dir).select(F.col("product_id").cast("long").alias("l_partkey"), F.element_at("product_attributes", "Item model number").alias("ean")).distinct()
     k, ean = F.col("l_partkey") % 4, F.col("ean")
-    raw = F.when(k == 0, ean).when(k == 1, F.concat(F.lit(" "), F.substring(ean, 1, 3), F.lit("-"), F.substring(ean, 4, 10))).otherwise(F.concat(F.substring(ean, 1, 12), ((F.substring(ean, 13, 1).cast("int") + 1) % 10).cast("string")))
-    return o.where(k != 3).select("l_partkey", raw.alias("raw"), keys.normalize_gtin(raw).alias("gtin"), keys.plausible_barcode(keys.normalize_gtin(raw)).alias("plausible"))
+    raw = F.when(k == 0, ean).when(k == 1, F.concat(F.lit(" "), F.substring(ean, 1, 3), F.lit("-"), F.substring(ean, 4, 10))).when(k == 2, F.concat(F.substring(ean, 1, 12), ((F.substring(ean, 13, 1).cast("int") + 1) % 10).cast("string"))).otherwise(F.concat(F.lit("B0"), F.col("l_partkey").cast("string")))
+    return o.select("l_partkey", raw.alias("raw"), keys.normalize_gtin(raw).alias("gtin"), keys.plausible_barcode(keys.normalize_gtin(raw)).alias("plausible"))
 
 
 _TITLES = """SELECT p_partkey, p_brand, p_name || CASE p_partkey % 6 WHEN 0 THEN ' serum ' || p_size || ' ml' WHEN 1 THEN ' 2 x ' || p_size || ' g cream' WHEN 2 THEN ' face wash Pack of 3 (' || p_size || 'ml) 5% SPF 30'
@@ -538,10 +538,10 @@ def run_health(spark, sf_dir):
     return health.run_health(runs, _RUN_SITES, now).select("site", "level", "finding", "status")
 
 
-@query("""WITH e AS (SELECT 'site_' || (user_id % 7) AS site, ts FROM events WHERE user_id % 7 <> 6 OR event_id < 10), now AS (SELECT max(ts) AS t FROM events), n AS (SELECT site, max(ts) AS newest FROM e GROUP BY site)
+@query("""WITH e AS (SELECT 'site_' || (user_id % 7) AS site, ts FROM events), now AS (SELECT max(ts) AS t FROM events), n AS (SELECT site, max(ts) AS newest FROM e GROUP BY site)
 SELECT s.site, CASE WHEN newest IS NULL OR epoch(t) - epoch(newest) > 30 * 3600 THEN 'alert' ELSE 'ok' END AS level, strftime(newest, '%Y-%m-%d') AS newest FROM (SELECT 'site_' || i AS site FROM range(9) r(i)) s LEFT JOIN n USING (site), now""", with_obs=False)
 def data_freshness(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("user_id % 7 <> 6 OR event_id < 10")
+    e = _table(spark, sf_dir, "events")
     now = F.lit(_table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
     rows = e.select(F.concat(F.lit("site_"), (F.col("user_id") % 7).cast("string")).alias("site"), F.col("ts").cast("timestamp").alias("scraped_at"))
     return health.data_freshness(rows, _RUN_SITES, now).select("site", "level", F.date_format("newest", "yyyy-MM-dd").alias("newest"))

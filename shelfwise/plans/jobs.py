@@ -76,7 +76,7 @@ def incremental_run(site: str, run_id: str, listing: DataFrame, details: DataFra
     following, fresh = changes.incremental_sync(stored, history.read(history_schema), rows, points, listing, site, run_id, now, complete, missing_runs)
     counters = changes.run_counters(flags)
     table.write(following)
-    history.write(history.read(history_schema).unionByName(fresh))
+    history.append(fresh)
     return counters
 
 
@@ -90,7 +90,7 @@ def import_sheet(sheet: DataFrame, stored: DataFrame, default_site: str, sites:
     """(rows to insert, outcome of every row); unless ``dry_run`` the rows are added to the table."""
     rows, outcomes = imports.import_sheet(sheet, stored, default_site, sites)
     if not dry_run:
-        table.write(stored.unionByName(rows.select([c for c in rows.columns if c in stored.columns]), allowMissingColumns=True))
+        table.append(stored.limit(0).unionByName(rows.select([c for c in rows.columns if c in stored.columns]), allowMissingColumns=True))
     return rows, imports.import_counts(outcomes) if dry_run else outcomes
 
 

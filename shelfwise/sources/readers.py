@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,10 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, first_line: int = 2) -> DataFrame:
-    """As ``read_csv_text``, with ``line``, the row's number in the file."""
-    df = read_csv_text(spark, path)
-    return df.withColumn("line", F.monotonically_increasing_id() + first_line)
+    """As ``read_csv_text``, with ``line``, the row's number in its file (files are read by one task each)."""
+    df = read_csv_text(spark, path).withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    nth = F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")
+    return df.withColumn("line", nth + (first_line - 1)).drop("_file", "_at")
 
 
 def read_products_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -51,4 +51,4 @@ def sync(table: VersionedTable, history: VersionedTable, products: DataFrame, no
 
     stored, points = table.read(CATALOGUE_DDL), history.read(HISTORY_DDL)
     table.write(catalogue.upsert(stored, catalogue.preserve_rich_fields(products, stored)))
-    history.write(points.unionByName(catalogue.append_history(points, catalogue.history_rows(products, now))))
+    history.append(catalogue.append_history(points, catalogue.history_rows(products, now)))

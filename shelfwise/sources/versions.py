@@ -9,18 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one
-    where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shelfwise-")
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; on a single machine a
+    temporary one stands in where that isn't set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to a folder of their own and read back: computed once, however often they are used."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class VersionedTable:
     """A table as numbered Parquet folders: a version is written whole before readers can see it, so a
-    rewrite may read the version that it replaces, and one that fails leaves no trace."""
+    rewrite may read the version that it replaces, and one that fails hinders no other. Of the versions
+    only the last ``keep`` stay."""
 
-    def __init__(self, spark: SparkSession, folder: str, partition_by: tuple[str, ...] = ("site",)):
-        self.spark, self.folder, self.partition_by = spark, folder.rstrip("/"), partition_by
+    def __init__(self, spark: SparkSession, folder: str, partition_by: tuple[str, ...] = ("site",), keep: int = 3):
+        self.spark, self.folder, self.partition_by, self.keep = spark, folder.rstrip("/"), partition_by, keep
 
     def _path(self, name: str):
         jvm = self.spark.sparkContext._jvm
@@ -44,10 +56,26 @@ class VersionedTable:
 
     def write(self, df: DataFrame) -> int:
         """Write the next version and return its number."""
-        number = (self.versions() or [0])[-1] + 1
-        df.write.partitionBy(*[c for c in self.partition_by if c in df.columns]).parquet(f"{self.folder}/.next-{number}")
-        source, fs = self._path(f".next-{number}")
+        number, attempt = (self.versions() or [0])[-1] + 1, f".next-{uuid.uuid4().hex}"
+        source, fs = self._path(attempt)
         target, _ = self._path(f"v{number:08d}")
-        if not fs.rename(source, target):
-            raise OSError(f"version {number} exists already")
+        try:
+            self._write(df, attempt, "errorifexists")
+            if fs.exists(target) or not fs.rename(source, target):
+                raise OSError(f"version {number} exists already")
+        finally:
+            fs.delete(source, True)
+        for old in self.versions()[: -self.keep]:
+            fs.delete(self._path(f"v{old:08d}")[0], True)
         return number
+
+    def append(self, df: DataFrame) -> int:
+        """Add rows to the newest version, which isn't written anew."""
+        found = self.versions()
+        if not found:
+            return self.write(df)
+        self._write(df, f"v{found[-1]:08d}", "append")
+        return found[-1]
+
+    def _write(self, df: DataFrame, name: str, mode: str) -> None:
+        df.write.mode(mode).partitionBy(*[c for c in self.partition_by if c in df.columns]).parquet(f"{self.folder}/{name}")

@@ -18,8 +18,8 @@ def merge_batch(table: VersionedTable, history: VersionedTable, schema: str, his
     is newer, empty rich fields keep what is stored, and price points go into the history.
 
     All writes are keyed, so a batch that runs again changes nothing. ``points``: ``all`` observations, or
-    ``changes`` only. With ``quarantine`` a batch that fails is written there and the stream goes on; such
-    batches are merged later from that folder.
+    ``changes`` only; they are appended, never written anew. With ``quarantine`` a batch that fails is
+    written there and the stream goes on; ``merge_quarantine`` merges such batches later.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -35,7 +35,7 @@ def merge_batch(table: VersionedTable, history: VersionedTable, schema: str, his
             seen = rows if points == "all" else catalogue.price_changes(rows, order)
             past_columns = [c for c in past.columns if c in seen.columns]
             shaped = catalogue.history_rows(seen).select(past_columns)
-            history.write(past.unionByName(catalogue.append_history(past, shaped)))
+            history.append(catalogue.append_history(past, shaped))
         except Exception:
             if quarantine is None:
                 raise
@@ -46,6 +46,18 @@ def merge_batch(table: VersionedTable, history: VersionedTable, schema: str, his
     return merge
 
 
+def merge_quarantine(spark: SparkSession, merge: Callable[[DataFrame, int], None], quarantine: str) -> int:
+    """Merge the batches that were set aside, in their order, and take them away; returns their number. A
+    batch that fails again is an error, and it and those after it stay."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(quarantine)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=")) if fs.exists(root) else []
+    for batch_id in found:
+        merge(spark.read.parquet(f"{quarantine}/batch={batch_id}"), batch_id)
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{quarantine}/batch={batch_id}"), True)
+    return len(found)
+
+
 def run_to_end(source: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Process what is there in micro-batches, then stop; the next call goes on from there."""
     query = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
