@@ -86,7 +86,7 @@ def query(sql: str | None = None, with_obs: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.plans import job_queries, payload_queries, stream_queries  # noqa: F401  (they register theirs)
+    from shelfwise.plans import job_queries, match_queries, payload_queries, stream_queries  # noqa: F401  (they register theirs)
 
     return dict(_QUERIES)
 
@@ -396,37 +396,9 @@ def match_best_per_site(spark, sf_dir):
     return best.select("l_site", F.col("left.product_id").alias("l_id"), "r_site", F.round("confidence", 6).alias("confidence"), F.lit(1).cast("long").alias("one"))
 
 
-@query()
-def match_assign(spark, sf_dir):
-    edges = matching.assign(matching.score_edges(matching.prepare(latest(spark, sf_dir), SITES)))
-    return edges.select("l_site", F.col("left.product_id").alias("l_id"), "r_site", F.col("right.product_id").alias("r_id"), "method", F.round("confidence", 6).alias("confidence"))
-
-
-@query()
-def comparison_rows(spark, sf_dir):
-    _, groups, _ = matching.match_products(latest(spark, sf_dir), order=SITES)
-    return comparison.comparison_rows(groups, SITES, "site_0").drop("match")
-
-
-@query()
-def single_site_rows(spark, sf_dir):
-    _, _, rest = matching.match_products(latest(spark, sf_dir), order=SITES)
-    return comparison.single_site_rows(rest)
-
-
 # --- barcodes ----------------------------------------------------------------------------------
 
 
-@query()
-def gtin_propagation(spark, sf_dir):
-    return barcodes.propagate(latest(spark, sf_dir), 0.9, SITES, SITES)[0]
-
-
-@query()
-def gtin_conflicts(spark, sf_dir):
-    return barcodes.propagate(latest(spark, sf_dir), 0.7, SITES, SITES)[1]
-
-
 @query("SELECT site, product_id, ean AS gtin FROM latest WHERE gtin = ''")
 def gtin_backfill(spark, sf_dir):
     return barcodes.backfill(latest(spark, sf_dir))

@@ -90,7 +90,8 @@ def import_sheet(sheet: DataFrame, stored: DataFrame, default_site: str, sites:
     """(rows to insert, outcome of every row); unless ``dry_run`` the rows are added to the table."""
     rows, outcomes = imports.import_sheet(sheet, stored, default_site, sites)
     if not dry_run:
-        table.append(stored.limit(0).unionByName(rows.select([c for c in rows.columns if c in stored.columns]), allowMissingColumns=True))
+        new = stored.limit(0).unionByName(rows.select([c for c in rows.columns if c in stored.columns]), allowMissingColumns=True)
+        table.append(new) if table.versions() else table.write(stored.unionByName(new))
     return rows, imports.import_counts(outcomes) if dry_run else outcomes
 
 

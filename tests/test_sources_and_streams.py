@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 import json
 
@@ -171,3 +172,39 @@ def test_price_changes_keep_state_between_batches(spark, tmp_path):
 
 def test_columns_of_the_record():
     assert len(PRODUCT_COLUMNS) == 31
+
+
+def test_failed_writes_hinder_no_other_and_old_versions_go(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t", keep=2)
+    good = spark.createDataFrame([("a", 1)], "site string, n int")
+    table.write(good)
+    bad = good.withColumn("n", F.raise_error(F.lit("no")).cast("int"))
+    for _ in range(2):
+        with pytest.raises(Exception):
+            table.write(bad)
+    assert table.versions() == [1] and not [x for x in os.listdir(tmp_path / "t") if x.startswith(".next")]
+    for n in (2, 3, 4):
+        table.write(table.read().withColumn("n", F.lit(n)))
+    assert table.versions() == [3, 4]
+    assert table.append(good) == 4 and sorted(r.n for r in table.read("site string, n int").collect()) == [1, 4]
+
+
+def test_batches_set_aside_are_merged_later(spark, tmp_path):
+    from shelfwise.streaming.micro_batches import merge_batch, merge_quarantine
+
+    schema, points = "site string, product_id string, scraped_at timestamp, selling_price double", "site string, product_id string, selling_price decimal(12,2), scraped_at timestamp"
+    table, history = (VersionedTable(spark, f"file://{tmp_path}/{x}") for x in ("table", "history"))
+    batch = spark.sql("SELECT 'a' AS site, '1' AS product_id, timestamp '2026-01-01' AS scraped_at, 5.0D AS selling_price")
+    broken = merge_batch(table, history, "site string, wrong string", points, f"file://{tmp_path}/aside")
+    broken(batch, 7)
+    assert table.versions() == []
+    merge = merge_batch(table, history, schema, points)
+    assert merge_quarantine(spark, merge, f"file://{tmp_path}/aside") == 1
+    assert merge_quarantine(spark, merge, f"file://{tmp_path}/aside") == 0
+    assert table.read().count() == 1 and history.read().count() == 1
+
+
+def test_lines_of_sheets(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Vendor,Title\nA,x\nB,\"y\nz\"\nC,w\n")
+    got = readers.read_sheet(spark, str(tmp_path / "a.csv")).repartition(3)
+    assert sorted((r.line, r.Vendor) for r in got.collect()) == [(2, "A"), (3, "B"), (4, "C")]
