@@ -25,8 +25,9 @@ from shelfwise.llm.shared import map_batches, materialize, work_dir
 
 RATE, UP, DOWN, TAPS = 8000, 5, 8, 16
 FRAME, HOP, BANDS = 256, 128, 16
-#: Shape of one tensor: frames by bands; the last of a document is filled up with zeros.
-SHAPE = (64, BANDS)
+#: Shape of one tensor: frames by bands; the last of a document is filled up with zeros. Two decimals
+#: are all that its 16-bit values hold.
+SHAPE, VALUES = (64, BANDS), np.float16
 #: Frames that are worked on at once.
 AT_ONCE = 2048
 
@@ -121,10 +122,10 @@ def features(data: bytes) -> tuple[str, np.ndarray, list[tuple[float, float]], l
     bands, energy = log_mel(resample(samples))
     found, n = segments(energy), len(bands)
     second = HOP * DOWN / (RATE * UP)
-    tensors = np.zeros((-(-n // SHAPE[0]) * SHAPE[0], BANDS), np.float32)
+    tensors = np.zeros((-(-n // SHAPE[0]) * SHAPE[0], BANDS), VALUES)
     tensors[:n] = bands
     spans = [(i * second, min(i + SHAPE[0], n) * second) for i in range(0, n, SHAPE[0])]
-    mean = ",".join(f"{x:.2f}" for x in bands.mean(axis=0, dtype=np.float64).tolist())
+    mean = ",".join(f"{x:.2f}" for x in tensors[:n].mean(axis=0, dtype=np.float64).tolist())  # of what is stored
     summary = f"frames={n};segments={len(found)};active={sum(b - a for a, b in found)};mel={mean}"
     return summary, tensors.reshape(-1, *SHAPE), spans, [(a * second, b * second) for a, b in found]
 
@@ -147,62 +148,70 @@ def store_audio(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return materialize(docs.select(id_col, text_col).transform(map_batches, store, f"doc_id {kind}, n_bytes long, media binary"), folder)
 
 
-_SPANS = "array<struct<start: double, stop: double>>"
 _DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_SPAN = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
 
 
-def audio_features(stored: DataFrame) -> DataFrame:
-    """Of each stored file: digests of it and of its payload, ``feature``, ``tensors`` (the values of all
-    tensors of ``SHAPE``, row by row), ``spans`` (a start and stop for each) and ``segments``."""
+def tensor_schema(id_type: pa.DataType) -> pa.Schema:
+    """What a tensor file holds: a row for each tensor, with its span and the document's segments in it."""
+    return pa.schema([("doc_id", id_type), ("start", pa.float64()), ("stop", pa.float64()), ("segments", _SPAN), ("tensor", pa.fixed_shape_tensor(pa.from_numpy_dtype(VALUES), SHAPE))])
+
+
+class TensorFile:
+    """Writes one Arrow file under another name and renames it when whole, so that a rerun replaces it."""
+
+    def __init__(self, uri: str):
+        self._fs, self._path = fs.FileSystem.from_uri(uri)
+        self._fs.create_dir(os.path.dirname(self._path), recursive=True)
+        self._temporary, self._out = f"{self._path}.{uuid.uuid4().hex}", None
+
+    def write(self, ids: pa.Array, found: list[tuple[np.ndarray, list, list]]) -> None:
+        """Documents' tensors, spans and segments."""
+        schema = tensor_schema(ids.type)
+        if self._out is None:
+            self._out = pa.ipc.new_file(self._fs.open_output_stream(self._temporary), schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        values = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([t.ravel() for t, _, _ in found])), SHAPE[0] * SHAPE[1])
+        rows = [(i, a, b, [{"start": x, "stop": y} for x, y in parts if x < b and y > a]) for i, (_, spans, parts) in zip(ids.to_pylist(), found) for a, b in spans]
+        columns = [pa.array(x, f.type) for x, f in zip(zip(*rows), schema)]
+        self._out.write_batch(pa.RecordBatch.from_arrays([*columns, pa.ExtensionArray.from_storage(schema.field("tensor").type, values)], schema=schema))
+
+    def close(self) -> None:
+        if self._out:
+            self._out.close()
+            self._fs.move(self._temporary, self._path)
+
+
+def audio_features(stored: DataFrame, folder: str) -> DataFrame:
+    """Of each stored file: digests of it and of its payload, and ``feature``. The tensors are written below
+    ``folder`` as Arrow files of ``tensor_schema``, one for each task."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = TensorFile(f"{folder}/part-{TaskContext.get().partitionId():06d}.arrow")
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                rows = []
+                rows, found = [], []
                 for size, media in zip(part.column(1).to_pylist(), part.column(2)):
                     media = media.as_py()
                     data = from_wav(media)
-                    summary, tensors, spans, found = features(data)
-                    rows.append((size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary, tensors.ravel(), *([{"start": a, "stop": b} for a, b in x] for x in (spans, found))))
-                span = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float32()), span, span]
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*rows), kinds)], ["doc_id", *(x.split()[0] for x in _DIGESTS.split(", ")), "tensors", "spans", "segments"])
+                    summary, *tensors = features(data)
+                    rows.append((size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary))
+                    found.append(tensors)
+                out.write(part.column(0), found)
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*rows), kinds)], ["doc_id", *(x.split()[0] for x in _DIGESTS.split(", "))])
+        out.close()
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.select("doc_id", "n_bytes", "media").transform(map_batches, compute, f"doc_id {kind}, {_DIGESTS}, tensors array<float>, spans {_SPANS}, segments {_SPANS}")
+    return stored.select("doc_id", "n_bytes", "media").transform(map_batches, compute, f"doc_id {kind}, {_DIGESTS}")
 
 
-def write_tensors(found: DataFrame, folder: str) -> DataFrame:
-    """Write the tensors of ``audio_features`` as Arrow files below ``folder``: ``doc_id``, ``start``,
-    ``stop`` and ``tensor``, of the fixed-shape tensor type. Returns ``file`` and ``n`` of each."""
-    kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
+def audio_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Store each text as audio in the shared folder, read it back, store its features (``tensors`` below
+    ``folder``) and return the digests of ``audio_features``.
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, path = fs.FileSystem.from_uri(f"{folder}/part-{TaskContext.get().partitionId():06d}.arrow")
-        filesystem.create_dir(os.path.dirname(path), recursive=True)
-        temporary, out, n = f"{path}.{uuid.uuid4().hex}", None, 0
-        for batch in batches:
-            spans = batch.column(2)
-            values = pa.FixedSizeListArray.from_arrays(batch.column(1).flatten(), SHAPE[0] * SHAPE[1])
-            owner = np.repeat(np.arange(len(batch)), np.diff(spans.offsets.to_numpy()))
-            columns = [batch.column(0).take(pa.array(owner)), spans.flatten().field("start"), spans.flatten().field("stop"), pa.ExtensionArray.from_storage(kind, values)]
-            table = pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "stop", "tensor"])
-            if out is None:
-                out = pa.ipc.new_file(filesystem.open_output_stream(temporary), table.schema)
-            out.write_batch(table)
-            n += len(table)
-        if out:
-            out.close()
-            filesystem.move(temporary, path)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{os.path.basename(path)}"]), pa.array([n], pa.int64())], ["file", "n"])
-
-    return materialize(found.select("doc_id", "tensors", "spans").transform(map_batches, write, "file string, n long"), f"{folder}-manifest")
-
-
-def audio_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as audio in the shared folder, read it back, and return the digests of ``audio_features``.
-
-    Equal texts give equal values; repeated rows are stored each; no rows give none.
+    Equal texts give equal values; repeated rows are stored each; no rows give none; texts of any length
+    are taken whole, in as many tensors as they need.
     """
-    return audio_features(store_audio(docs, work_dir(docs.sparkSession), id_col, text_col)).drop("tensors", "spans", "segments")
+    folder = folder or work_dir(docs.sparkSession)
+    return audio_features(store_audio(docs, f"{folder}/media", id_col, text_col), f"{folder}/tensors")

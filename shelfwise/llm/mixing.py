@@ -4,12 +4,8 @@ Each source serves its documents in shuffled order, over and over, at most ``cop
 virtual finish time is the source's tokens up to its end, divided by the source's target; all copies
 in order of finish time, cut where the budget is spent, are the mix.
 
-All targets together are the budget, so at virtual time 1 no source has passed its target and the
-budget isn't passed either: every copy that finishes by then is in. Beyond it only the one copy that
-each source is serving at that time can still fit; those are tried in order of finish time.
-
-Running sums are taken in two steps, over ranges of the shuffled order and within each range, so no
-source meets in one task.
+Running sums, those of the sources as well as that of the global order, are taken in two steps: over
+ranges of the order and within each range, so no source and no order meets in one task.
 """
 
 from __future__ import annotations
@@ -29,8 +25,8 @@ def word_count(text: Column) -> Column:
 
 
 def shuffled(doc_id: Column) -> Column:
-    """A place in an order that follows nothing but the id, of ``SHUFFLED_BITS`` bits."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+    """A place in an order that follows nothing but the id (without one, the text), of ``SHUFFLED_BITS`` bits."""
+    digest = F.md5(doc_id.cast("string").cast("binary"))
     return F.conv(F.substring(digest, 1, SHUFFLED_BITS // 4), 16, 10).cast("long")
 
 
@@ -63,13 +59,14 @@ def plan_mix(docs: DataFrame, copies: int = 3, weight=_cycle, id_col: str = "doc
 
     Sizes are words; null texts have none, and what has no words is not taken. A null source is a
     source of its own. Repeated rows are documents of their own; ties in the shuffled order go by id,
-    then size. Without rows, or without words, nothing is taken.
+    then size; ties in finish time by source, id and size. A text of any length is one document, however
+    much of the budget it takes. Without rows, or without words, nothing is taken.
     """
     spark, at = docs.sparkSession, work_dir(docs.sparkSession)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffled(F.col(id_col)).alias("place"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffled(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("null"))).alias("place"))
     sized = materialize(sized, f"{at}/sizes")
-    ranges = RANGES
-    while ranges * RANGE_ROWS < sized.count() and ranges < 1 << 24:
+    ranges, n = RANGES, sized.count()
+    while ranges * RANGE_ROWS < n and ranges < 1 << 24:
         ranges *= 2
     sized = sized.withColumn("range", F.shiftright("place", SHUFFLED_BITS - (ranges.bit_length() - 1)))
 
@@ -84,17 +81,19 @@ def plan_mix(docs: DataFrame, copies: int = 3, weight=_cycle, id_col: str = "doc
     placed = materialize(placed, f"{at}/placed")
 
     ends = F.array(*[F.col("end") + k * F.col("source_size") for k in range(copies)])
-    reached = F.array_max(F.filter(ends, lambda x: x <= F.col("target")))
-    serving = F.array_min(F.filter(ends, lambda x: x > F.col("target")))
-    cuts = placed.where("size > 0").groupBy("source").agg(F.coalesce(F.max(reached), F.lit(0)).alias("reached"), F.min(serving).alias("serving"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-    served = Window.orderBy(F.col("serving") / F.col("target"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    left = F.sum("source_size").over(Window.partitionBy()) - F.sum("reached").over(Window.partitionBy())
-    cuts = cuts.withColumn("more", F.coalesce(F.sum(F.col("serving") - F.col("reached")).over(served) <= left, F.lit(False)) & F.col("serving").isNotNull())
-    cuts = cuts.select("source", F.when(F.col("more"), F.col("serving")).otherwise(F.col("reached")).alias("cut"))
-
-    cut_of = _join(by_range.select("source", "range"), cuts, "source", how="left")
-    taken = F.size(F.filter(ends, lambda x: x <= F.col("cut"))).cast("long")
-    mix = _join(placed, cut_of, "source", "range").withColumn("taken", F.when(F.col("size") > 0, F.coalesce(taken, F.lit(0)) * F.col("size")).otherwise(F.lit(0)).cast("long"))
+    each = placed.where("size > 0").select("doc_id", "source", "size", "range", "end", F.posexplode(F.transform(ends, lambda x: x / F.col("target"))).alias("copy", "finish"))
+    # the global order by finish time: in ranges of time, each as long as a range of documents on average
+    last = F.least(F.floor(F.col("finish") * ranges), F.lit((1 << 40))).alias("slot")
+    each = materialize(each.withColumn("slot", last), f"{at}/copies")
+    by_slot = each.groupBy("slot").agg(F.sum("size").alias("slot_size"))
+    before = F.sum("slot_size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    by_slot = by_slot.withColumn("before", F.coalesce(before, F.lit(0))).drop("slot_size")
+    turn = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    budget = sources.agg(F.sum("source_size")).first()[0] or 0
+    served = each.join(by_slot, "slot").withColumn("served", F.col("before") + F.sum("size").over(turn)).where(F.col("served") <= budget)
+    # copies of one document follow each other in its source, so a document's are its first ones
+    counts = served.groupBy("source", "range", "end").agg(F.count("*").alias("copies"))
+    mix = _join(placed, counts, "source", "range", "end", how="left").withColumn("taken", (F.when(F.col("size") > 0, F.coalesce("copies", F.lit(0))).otherwise(0) * F.col("size")).cast("long"))
     return mix.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("size") > 0, F.col("end") / F.col("target")).alias("finish"), "range")
 
 
@@ -124,7 +123,7 @@ def mix(docs: DataFrame, copies: int = 3, weight=_cycle, id_col: str = "doc_id",
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, 'null')), 1, 15))::BIGINT AS place
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -142,17 +141,9 @@ placed AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-copies AS (SELECT *, stop + k * source_size AS place FROM placed, range(3) r(k) WHERE size > 0),
-serving AS (
-  SELECT source, any_value(target) AS target, any_value(source_size) AS source_size,
-    coalesce(max(place) FILTER (place <= target), 0) AS reached, min(place) FILTER (place > target) AS serving
-  FROM copies GROUP BY source),
-cuts AS (
-  SELECT source, CASE WHEN serving IS NOT NULL
-    AND sum(serving - reached) OVER (ORDER BY serving / target NULLS FIRST, source NULLS LAST ROWS UNBOUNDED PRECEDING)
-      <= (SELECT sum(source_size) - sum(reached) FROM serving) THEN serving ELSE reached END AS cut
-  FROM serving)
-SELECT p.doc_id, p.size, p.source_size, p.target,
-  CASE WHEN p.size > 0 THEN p.size * ((p.stop <= c.cut)::BIGINT + (p.stop + p.source_size <= c.cut)::BIGINT + (p.stop + 2 * p.source_size <= c.cut)::BIGINT) ELSE 0 END::BIGINT AS taken
-FROM placed p LEFT JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source
+copies AS (SELECT *, (stop + k * source_size) / target AS finish FROM placed, range(3) r(k) WHERE size > 0),
+queue AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, doc_id, size, k ROWS UNBOUNDED PRECEDING) AS served FROM copies),
+served AS (SELECT source, stop, count(*) AS n FROM queue WHERE served <= (SELECT sum(size) FROM placed) GROUP BY source, stop)
+SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN p.size * coalesce(s.n, 0) ELSE 0 END::BIGINT AS taken
+FROM placed p LEFT JOIN served s ON p.source IS NOT DISTINCT FROM s.source AND p.stop = s.stop
 """

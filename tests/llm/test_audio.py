@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import zlib
 
@@ -49,11 +50,40 @@ def test_query_on_odd_rows_and_tensors(spark):
         assert r.tail_crc32 == zlib.crc32(data[-64:]) and r.media_sha256 == hashlib.sha256(audio.to_wav(data)).hexdigest()
     assert rows[2][1:] == rows[3][1:] and rows[0][1:] == rows[1][1:]
     assert audio.audio_digests(docs.limit(0)).count() == 0
-    found = audio.audio_features(audio.store_audio(docs, work_dir(spark)))
-    total = 0
-    for r in audio.write_tensors(found, work_dir(spark)).collect():
-        table = pa.ipc.open_file(r.file.removeprefix("file://")).read_all()
-        assert table.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), audio.SHAPE)
-        assert table["tensor"].combine_chunks().to_numpy_ndarray().shape == (r.n, *audio.SHAPE)
-        total += r.n
-    assert total == sum(len(r.spans) for r in found.collect())
+    folder = work_dir(spark)
+    audio.audio_digests(docs, folder=folder).count()
+    held = {}
+    for path in sorted(glob.glob(folder.removeprefix("file://") + "/tensors/*.arrow")):
+        table = pa.ipc.open_file(path).read_all()
+        assert table.schema.equals(audio.tensor_schema(pa.int64()))
+        values = table["tensor"].combine_chunks().to_numpy_ndarray()
+        assert values.shape == (len(table), *audio.SHAPE)
+        for i, tensor, start in zip(table["doc_id"].to_pylist(), values, table["start"].to_pylist()):
+            held.setdefault(i, []).append((start, tensor))
+    for i, text in [*enumerate(texts), (None, "n")]:
+        _, tensors, spans, _ = audio.features(audio.payload(text))
+        assert [s for s, _ in held[i]] == [a for a, _ in spans] and np.array_equal(np.stack([t for _, t in held[i]]), tensors)
+
+
+def test_features_equal_their_definition():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 1536, dtype=np.uint8).tobytes()
+    x = audio.resample((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128).astype(float)
+    n = 1 + -(-(len(x) - audio.FRAME) // audio.HOP)
+    x = np.concatenate([x, np.zeros(n * audio.HOP + audio.FRAME)])
+    bands, energy = [], []
+    for i in range(n):
+        frame = x[i * audio.HOP : i * audio.HOP + audio.FRAME]
+        at = np.arange(audio.FRAME)
+        power = [abs(np.sum(frame * audio.WINDOW * np.exp(-2j * np.pi * k * at / audio.FRAME))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        bands.append(np.log(np.array(power) @ audio.MEL + 1e-6))
+        energy.append(10 * np.log10(np.mean(frame**2) + 1e-9))
+    summary, tensors, _, _ = audio.features(data)
+    assert np.allclose(tensors.reshape(-1, audio.BANDS)[:n], bands, atol=0.02)
+    on, marks = False, []
+    high, low = np.mean(energy) + 0.5 * np.std(energy), np.mean(energy) - 0.5 * np.std(energy)
+    for e in energy:
+        on = e > high or on and e >= low
+        marks.append(on)
+    starts = sum(b and not a for a, b in zip([False, *marks], marks))
+    assert summary.startswith(f"frames={n};segments={starts};active={sum(marks)};")

@@ -21,6 +21,20 @@ def test_plan_equals_sql(spark, sources):
     assert got == want
 
 
+def test_plan_is_the_global_order_cut_at_the_budget(spark):
+    data = rows(8, 400, ["a", "b", "b", "c", None]) + [(900, "l " * 5000, "b", "x", 1)]
+    docs, _ = frame(spark, SCHEMA, data)
+    plan = mixing.plan_mix(docs).collect()
+    copies = sorted((r.finish + k * r.source_size / r.target, r.source is None, r.source or "", r.doc_id, k, r.size) for r in plan if r["size"] for k in range(3))
+    budget, served, want = sum(r["size"] for r in plan), 0, Counter()
+    for _, _, _, doc_id, _, size in copies:
+        served += size
+        if served > budget:
+            break
+        want[doc_id] += size
+    assert {r.doc_id: r.taken for r in plan if r.taken} == dict(want)
+
+
 def test_each_source_comes_near_its_target_and_all_of_it_is_spent(spark):
     docs, _ = frame(spark, SCHEMA, rows(5, 2000, ["a", "b", "b", "b", "c"]))
     plan = mixing.plan_mix(docs).toPandas()
