@@ -15,7 +15,7 @@ import pyarrow as pa
 from shelfwise.llm.words import blocks, buffers, word_bounds
 
 #: Bytes of text whose units are told apart at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 
 def unit_codes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
