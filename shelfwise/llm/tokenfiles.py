@@ -39,8 +39,8 @@ FRAME_IDS = 1 << 16
 DIRECTORY_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids after which a file is closed, with the document that it is in.
 FILE_IDS = 1 << 28
-#: Distinct units whose ids a worker keeps; beyond them it starts again.
-UNITS = 700_000
+#: Distinct units and words whose ids a worker keeps; beyond them it starts again.
+UNITS, WORDS = 500_000, 500_000
 
 _ENTRY = np.dtype([("doc_id", "<i8"), ("n_ids", "<u8"), ("frame", "<u4"), ("null", "u1")])
 _PACKED = struct.Struct("<qQI?")
@@ -176,12 +176,27 @@ class TextEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._units = UnitStore(self._ask, UNITS) if by_units(path) else None
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self._folds = '"Lowercase"' in json.dumps(parts["normalizer"])
+        self._special = [x["content"].encode().lower() for x in parts["added_tokens"]]
+        self._words: dict[bytes, list[int]] = {}
+
+    def _word(self, unit: bytes) -> bytes:
+        """A unit without its white space, in lower case where that is all the same to the library."""
+        word = unit.strip()
+        folded = word.lower() if self._folds else word
+        return word if any(s in folded for s in self._special) else folded
 
     def _ask(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
-        ids = []
-        for i in range(0, len(units), 50_000):
-            ids += [x.ids for x in self._tokenizer.encode_batch_fast([u.decode() for u in units[i : i + 50_000]], add_special_tokens=False)]
-        return ids, [False] * len(units)
+        if len(self._words) > WORDS:
+            self._words.clear()
+        words = list(map(self._word, units))
+        new = [w for w in dict.fromkeys(words) if w not in self._words]
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            self._words.update(zip(part, (x.ids for x in self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False))))
+        return [self._words[w] for w in words], [False] * len(units)
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, little-endian, ``width`` bytes each; null is empty."""
