@@ -24,7 +24,7 @@ from shelfwise.llm.shared import map_batches
 from shelfwise.llm.units import UnitStore
 
 #: Entries that a worker keeps; beyond them it starts again, so its memory is bounded.
-PIECES, PAIRS, UNITS = 150_000, 600_000, 300_000
+PIECES, PAIRS, UNITS = 150_000, 600_000, 200_000
 #: Pieces that are encoded at once, and bytes beyond which a piece is encoded alone.
 AT_ONCE, LONG_PIECE = 20_000, 64
 

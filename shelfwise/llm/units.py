@@ -41,7 +41,8 @@ def ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class UnitStore:
-    """The ids of units that a worker has met; beyond its bounds it starts again.
+    """The ids of units that a worker has met. Beyond its bounds it starts again, but takes over from the
+    last generation what it meets once more.
 
     ``encode`` gives the ids of each of some units, and for each whether texts that hold it anywhere
     but at their end must be encoded whole.
@@ -49,9 +50,11 @@ class UnitStore:
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], list[bool]]], units: int, size: int = 1 << 25):
         self.encode, self.units, self.size = encode, units, size
+        self._slots: dict[bytes, int] = {}
         self._clear()
 
     def _clear(self) -> None:
+        self._last = (self._slots, self._ids, self._begins, self._risky) if self._slots else ({}, None, None, None)
         self._slots: dict[bytes, int] = {}
         self._held = 0
         self._ids, self._begins, self._risky = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
@@ -62,7 +65,12 @@ class UnitStore:
         found = list(map(self._slots.get, distinct))
         new = [u for u, slot in zip(distinct, found) if slot is None]
         if new:
-            ids, risky = self.encode(new)
+            slots, old, begins, old_risky = self._last
+            known = list(map(slots.get, new))
+            fresh = [u for u, slot in zip(new, known) if slot is None]
+            more = zip(*self.encode(fresh)) if fresh else iter(())
+            both = [next(more) if slot is None else (old[begins[slot] : begins[slot + 1]].tolist(), bool(old_risky[slot])) for slot in known]
+            ids, risky = [x for x, _ in both], [x for _, x in both]
             first = len(self._slots)
             self._slots.update(zip(new, range(first, first + len(new))))
             self._held += sum(map(len, new))
