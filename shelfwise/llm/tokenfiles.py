@@ -40,7 +40,7 @@ DIRECTORY_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids after which a file is closed, with the document that it is in.
 FILE_IDS = 1 << 28
 #: Distinct units whose ids a worker keeps; beyond them it starts again.
-UNITS = 450_000
+UNITS = 700_000
 
 _ENTRY = np.dtype([("doc_id", "<i8"), ("n_ids", "<u8"), ("frame", "<u4"), ("null", "u1")])
 _PACKED = struct.Struct("<qQI?")
