@@ -13,7 +13,8 @@ from shelfwise.schema import CATALOGUE_DDL, HISTORY_DDL, KEY, RUN_DDL
 from shelfwise.sources import readers, sinks
 from shelfwise.sources.versions import VersionedTable, scratch
 
-_NOW = F.lit(CUT).cast("timestamp")
+def _now():
+    return F.lit(CUT).cast("timestamp")
 _DROP = ("ord", "image_url", "image_urls", "product_attributes")
 
 
@@ -149,8 +150,8 @@ _LOG = """WITH r AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, 'site_' ||
   CASE WHEN site = 'site_2' AND status = 'running' AND moment < TIMESTAMP '2000-06-01' - INTERVAL 12 HOUR THEN 'abandoned' ELSE '' END AS message FROM r)
 SELECT * FROM o UNION ALL SELECT 'new-run', 'site_2', 'partial', 'x'""", with_obs=False)
 def run_log(spark, sf_dir):
-    log = catalogue.open_run(_log(spark, sf_dir), "site_2", "new-run", _NOW)
-    return catalogue.close_run(log, "new-run", "partial", _NOW, products_seen=5, message="x", unknown=1).select("id", "site", "status", "message")
+    log = catalogue.open_run(_log(spark, sf_dir), "site_2", "new-run", _now())
+    return catalogue.close_run(log, "new-run", "partial", _now(), products_seen=5, message="x", unknown=1).select("id", "site", "status", "message")
 
 
 @query(_LOG + """, newest AS (SELECT 'site_' || (user_id % 7) AS site, max(ts) AS newest FROM events GROUP BY 1), now AS (SELECT max(ts) AS t FROM events), last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY site ORDER BY moment DESC, id DESC) = 1),
@@ -172,7 +173,7 @@ quiet AS (SELECT site, parent_product_id FROM plan GROUP BY ALL HAVING NOT bool_
 
 def _reuse(spark, sf_dir):
     before, after = _split(spark, sf_dir)
-    plan = changes.refresh_plan(after.drop(*_DROP), before.drop(*_DROP), _NOW, 300, required=("description",))
+    plan = changes.refresh_plan(after.drop(*_DROP), before.drop(*_DROP), _now(), 300, required=("description",))
     return before, after, plan
 
 
@@ -228,7 +229,7 @@ def rich_fields_kept(spark, sf_dir):
 
 @query(f"SELECT site, product_id FROM latest WHERE description <> '' AND scraped_at >= TIMESTAMP '{CUT}' - INTERVAL 300 DAY")
 def recent_rows_reused(spark, sf_dir):
-    return changes.complete_recent(latest(spark, sf_dir).drop("ord"), _NOW, 300, ("description",)).select(*KEY)
+    return changes.complete_recent(latest(spark, sf_dir).drop("ord"), _now(), 300, ("description",)).select(*KEY)
 
 
 @query("SELECT site, product_id FROM latest WHERE l_partkey % 3 <> 1")
@@ -245,9 +246,9 @@ def detail_tombstones(spark, sf_dir):
     rich = {"description_html": "string", "ingredients": "string", "how_to_use": "string", "key_ingredients": "array<string>"}
     blank = {c: F.lit(None).cast(k) for c, k in rich.items()}
     listing, stored = after.drop(*_DROP).withColumns(blank), _state(before.drop(*_DROP).withColumns(blank))
-    flags = changes.detail_candidates(listing, stored, _NOW, 300)
+    flags = changes.detail_candidates(listing, stored, _now(), 300)
     details = listing.where("product_id % 5 = 1").withColumn("ingredients", F.lit("Water"))
-    rows, _ = changes.incremental_state(changes.merge_details(listing, details), details, stored, flags, _NOW, "run-1", listing.where("product_id % 5 = 0"))
+    rows, _ = changes.incremental_state(changes.merge_details(listing, details), details, stored, flags, _now(), "run-1", listing.where("product_id % 5 = 0"))
     return rows.select("site", "product_id", F.col("detail_refresh_pending").alias("pending"), F.col("detail_unavailable").alias("gone"), (F.coalesce("ingredients", F.lit("")) == "Water").alias("fetched"))
 
 
@@ -270,7 +271,7 @@ def catalogue_sync(spark, sf_dir):
     folder = scratch(spark)
     table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
     for rows in _split(spark, sf_dir):
-        sinks.sync(table, history, _products(rows), _NOW)
+        sinks.sync(table, history, _products(rows), _now())
     points = history.read(HISTORY_DDL).agg(F.count("*").alias("points"))
     return table.read(CATALOGUE_DDL).select("site", "product_id", "selling_price").crossJoin(F.broadcast(points))  # of one row
 
@@ -284,7 +285,7 @@ def incremental_site_run(spark, sf_dir):
     stored = _state(_products(before)).withColumn("created_at", F.lit(None).cast("timestamp"))
     table.write(stored)
     listing = _products(after.where("site = 'site_1'"))
-    counters = jobs.incremental_run("site_1", "run-1", listing, listing.limit(0), table, history, _NOW, CATALOGUE_DDL, HISTORY_DDL, refresh_days=300)
+    counters = jobs.incremental_run("site_1", "run-1", listing, listing.limit(0), table, history, _now(), CATALOGUE_DDL, HISTORY_DDL, refresh_days=300)
     missing = table.read(CATALOGUE_DDL).where("site = 'site_1' AND missing_run_count = 1").agg(F.count("*").alias("missing"))
     return counters.select("site", "products_seen", "products_new", "products_changed").crossJoin(F.broadcast(missing))  # of one row
 
