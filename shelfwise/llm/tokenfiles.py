@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -166,6 +167,14 @@ def by_units(path: str) -> bool:
     return plain and drops and level and alone and parts["truncation"] is None and parts["padding"] is None
 
 
+def word_marks(path: str) -> bytes:
+    """ASCII marks that, after an ASCII letter, always begin a new piece of such a split: no piece holds a
+    letter and then a mark, nothing composes with a mark after it, and no added token holds these."""
+    with open(path, encoding="utf-8") as f:
+        held = "".join(x["content"] for x in json.load(f)["added_tokens"])
+    return bytes(ord(c) for c in string.punctuation if c not in held)
+
+
 class TextEncoder:
     """The tokenizers library, asked once for each distinct unit where the vocabulary allows it."""
 
@@ -175,7 +184,7 @@ class TextEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._units = UnitStore(self._ask, UNITS) if by_units(path) else None
+        self._units = UnitStore(self._ask, UNITS, marks=word_marks(path)) if by_units(path) else None
 
     def _ask(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
         ids = []

@@ -2,7 +2,9 @@
 
 A unit is a word with the white space (0x20, 0x09 to 0x0D) before it; what follows the last word of a
 text is a unit of its own. Units cover a text, so where a tokenizer joins nothing over the end of a word
-followed by such white space, the ids of a text are those of its units in turn.
+followed by such white space, the ids of a text are those of its units in turn. Units may also end
+between an ASCII letter and some marks, where a tokenizer joins nothing there either: words then keep one
+unit, whatever mark follows them.
 """
 
 from __future__ import annotations
@@ -17,10 +19,15 @@ from shelfwise.llm.words import blocks, buffers, word_bounds
 #: Bytes of text whose units are told apart at once.
 BLOCK = 1 << 21
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
-def unit_codes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+
+def unit_codes(texts: pa.Array, marks: bytes = b"") -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
     """For one block of texts after the other: the first text's index, where each text's units begin,
-    each unit's code, and the distinct units."""
+    each unit's code, and the distinct units. Units also end between an ASCII letter and one of ``marks``."""
+    mark = np.zeros(256, bool)
+    mark[list(marks)] = True
     data, bounds = buffers(texts)
     for i, j in blocks(bounds, BLOCK):
         own = bounds[i : j + 1] - bounds[i]
@@ -28,6 +35,8 @@ def unit_codes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, l
         _, ends = word_bounds(part, own)
         edge = np.zeros(len(part) + 1, bool)
         edge[own] = edge[ends] = True
+        if marks:
+            edge[1:-1] |= _LETTER[part[:-1]] & mark[part[1:]]
         edges = np.flatnonzero(edge)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))])
         coded = units.dictionary_encode()
@@ -44,11 +53,11 @@ class UnitStore:
     """The ids of units that a worker has met; beyond its bounds it starts again.
 
     ``encode`` gives the ids of each of some units, and for each whether texts that hold it anywhere
-    but at their end must be encoded whole.
+    but at their end must be encoded whole. ``marks`` are those of ``unit_codes``.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], list[bool]]], units: int, size: int = 1 << 25):
-        self.encode, self.units, self.size = encode, units, size
+    def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], list[bool]]], units: int, size: int = 1 << 25, marks: bytes = b""):
+        self.encode, self.units, self.size, self.marks = encode, units, size, marks
         self._clear()
 
     def _clear(self) -> None:
@@ -76,7 +85,7 @@ class UnitStore:
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For one block of texts after the other: the first text's index, all ids, where those of each
         text begin, and which texts must be encoded whole."""
-        for i, first, codes, distinct in unit_codes(texts):
+        for i, first, codes, distinct in unit_codes(texts, self.marks):
             slots = self.slots(distinct)[codes]
             begins, sizes = self._begins[slots], self._begins[slots + 1] - self._begins[slots]
             ids = self._ids[ranges(begins, sizes)]

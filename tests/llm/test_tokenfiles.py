@@ -21,12 +21,12 @@ def library():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-ODD = ["", None, "The THE the", "a b c", "Å é ́x", "ΣΑΣ ΣΑΣ. İstanbul", "<|endoftext|> <|startoftext|>", "x <|startoftext|> y<|endoftext|>z <|STARTOFTEXT|>", "don't I'LL we've", "1234 12a", "日本語 テスト　x", "\x1c\x1dq\x85z", "word " * 30000, "x" * 70000]
+ODD = ["", None, "The THE the", "a b c", "Å é ́x", "ΣΑΣ ΣΑΣ. İstanbul", "<|endoftext|> <|startoftext|>", "x <|startoftext|> y<|endoftext|>z <|STARTOFTEXT|>", "don't I'LL we've", "1234 12a", "a,b a.'s x!'s n't. o'clock' (it's) a=\u0338 a,\u0338b e\u0301, A\u030a. ǅ,b", "t|> startoftext|> a<|startoftext|>, b.<|endoftext|>.", "日本語 テスト　x", "\x1c\x1dq\x85z", "word " * 30000, "x" * 70000]
 
 
 def test_query_equals_the_library(spark, library):
     rng = random.Random(3)
-    texts = ODD + [" ".join(rng.choice(["the", "Ing", "é!", "zz..", "Ünder", "it's", "\n"]) for _ in range(rng.randrange(200))) for _ in range(120)]
+    texts = ODD + [" ".join(rng.choice(["the", "Ing", "the,", "ing'", "the's", "a.b", "e,\u0301", "é!", "zz..", "Ünder", "it's", "\n"]) for _ in range(rng.randrange(200))) for _ in range(120)]
     rows = [(3 * i - 20, text, "x") for i, text in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.token_files_round_trip(docs, PATH, 1).collect()}

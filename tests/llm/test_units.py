@@ -20,6 +20,13 @@ def test_units_cover_texts():
     assert list(unit_codes(pa.array([], pa.string()))) == []
 
 
+def test_units_may_end_before_marks():
+    texts = ["ab, ab. ab,c !ab é, a|b a", "", None, ",", "a,"]
+    for i, first, codes, distinct in unit_codes(pa.array(texts), b",."):
+        got = [[distinct[c] for c in codes[first[k] : first[k + 1]]] for k in range(len(texts))]
+    assert got == [[x.encode() for x in ("ab", ",", " ab", ".", " ab", ",c", " !ab", " é,", " a|b", " a")], [], [], [b","], [b"a", b","]]
+
+
 def test_word_hashes_follow_the_bytes_alone():
     words = ["a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 64, "a" * 65, "a" * 64 + "b", "é", "e" * 16, "e" * 15 + "f"]
     together = [h for _, w in words_of(pa.array([" ".join(words)])) for h in w.hashes.tolist()]
