@@ -3,8 +3,8 @@
 The distances of every vector to some pivots are computed once. For a query q and a vector x, the
 triangle inequality gives |x - q| >= |d(q, p) - d(x, p)| for every pivot p; the largest of these, m,
 bounds the inner product by (|q|^2 + |x|^2 - m^2) / 2. Candidates are evaluated in the order of that
-bound, until the k-th best score passes the next bound. As pivots are vectors of the table, the k-th
-best score among them is where each query starts.
+bound, until the k-th best score passes the next bound. The pivots are chosen in a sample of the table's
+vectors, and the k-th best score within that sample is where each query starts.
 """
 
 from __future__ import annotations
@@ -54,29 +54,47 @@ def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
-def eliminate(query: np.ndarray, bound: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
+def inner_products(vectors: np.ndarray, query: np.ndarray) -> list:
+    """Exact ones of integer vectors, also beyond what sums of floats hold exactly."""
+    if np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query)) >= 2**53:
+        return [sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors]
+    return (vectors @ query).tolist()
+
+
+def starting_scores(queries: np.ndarray, query_ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query its ``k``-th best score within the sample, rows of its own id left out; least of all where there are fewer."""
+    known = np.where(query_ids[:, None] == sample_ids, -np.inf, queries @ sample.T)
+    known = np.pad(known, ((0, 0), (k, 0)), constant_values=-np.inf)
+    return np.maximum(np.partition(known, -k, axis=1)[:, -k], -1e300)
+
+
+def eliminate(query: np.ndarray, bound: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
     """The ``k`` best (-score, id) of a block, among those that may reach ``floor``."""
-    order = np.argsort(-bound, kind="stable")
-    best: list[tuple[float, int]] = []
+    alive = np.flatnonzero(bound >= floor)
+    order = alive[np.argsort(-bound[alive], kind="stable")]
+    best: list[tuple[int, int]] = []
     at, step = 0, 32
     while at < len(order) and bound[order[at]] >= (max(floor, -best[k - 1][0]) if len(best) >= k else floor):
         part = order[at : at + step]
-        best = sorted([*best, *zip((-(vectors[part] @ query)).tolist(), ids[part].tolist())])[:k]
+        best = sorted([*best, *zip((-int(x) for x in inner_products(vectors[part], query)), ids[part].tolist())])[:k]
         at, step = at + step, 2 * step
     return best
 
 
-def _pack(rows: DataFrame, size: int, pivots: np.ndarray, width: int) -> DataFrame:
-    """Rows of (id, vector) packed into blocks with their pivot table."""
+def _pack(rows: DataFrame, size: int, pivots: np.ndarray, width: int, start=None) -> DataFrame:
+    """Rows of (id, vector) packed into blocks with their pivot table; ``start`` gives each vector's starting score."""
+
+    names = ["ids", "vectors", "table", *(["start"] if start else [])]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = [], []
 
         def block() -> pa.RecordBatch:
             m = _matrix(vectors[:size], width)
-            columns = [np.array(ids[:size], "<i8"), m.astype("<f8"), distances(m, pivots).astype("<f8")]
+            own = np.array(ids[:size], "<i8")
+            columns = [own, m.astype("<f8"), distances(m, pivots).astype("<f8"), *([start(m, own).astype("<f8")] if start else [])]
             del ids[:size], vectors[:size]
-            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["ids", "vectors", "table"])
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names)
 
         for batch in batches:
             ids += batch.column(0).to_pylist()
@@ -86,7 +104,7 @@ def _pack(rows: DataFrame, size: int, pivots: np.ndarray, width: int) -> DataFra
         if ids:
             yield block()
 
-    return rows.transform(map_batches, pack, "ids binary, vectors binary, table binary")
+    return rows.transform(map_batches, pack, ", ".join(f"{n} binary" for n in names))
 
 
 def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -96,7 +114,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     go to the smaller id; all rows if there are fewer. Rows without id, or with a null or non-finite
     vector, take no part. Rows of the query's own id are no candidates; other repeated rows are
     candidates each; of several query rows of one id the least vector asks. Vectors shorter than the
-    longest are filled with zeros.
+    longest are filled with zeros. Scores are exact integers, whatever their size within a long.
     """
     spark, at = rows.sparkSession, work_dir(rows.sparkSession)
     valid = rows.select(F.col(id_col).alias("id"), quantized(F.col(vector_col)).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
@@ -105,7 +123,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     sample = valid.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).collect()
     points = _matrix([r.vector for r in sample], width)
     chosen = spread_pivots(points, PIVOTS)
-    pivots, pivot_ids = points[chosen], np.array([sample[i].id for i in chosen], np.int64)
+    pivots, point_ids = points[chosen], np.array([r.id for r in sample], np.int64)
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
@@ -113,7 +131,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     slots = max(1, packed.count())  # each block of vectors has a slot, and each block of queries goes to all slots
     data = packed.withColumn("slot", F.pmod(F.xxhash64("place"), F.lit(slots)).cast("int"))
     asking = valid.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    queries = materialize(_pack(asking.repartition(max(1, tasks(spark) // 8)), QUERY_BLOCK, pivots, width), f"{at}/queries")
+    queries = materialize(_pack(asking.repartition(max(1, tasks(spark) // 8)), QUERY_BLOCK, pivots, width, lambda q, ids: starting_scores(q, ids, points, point_ids, k)), f"{at}/queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,21 +139,19 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
                 ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
                 vectors, q = (np.frombuffer(row[c], "<f8").reshape(-1, width) for c in ("vectors", "q_vectors"))
                 near, q_near = (np.frombuffer(row[c], "<f8").reshape(-1, len(pivots)) for c in ("table", "q_table"))
-                norms, known = (vectors * vectors).sum(axis=1), q @ pivots.T
+                norms, start = (vectors * vectors).sum(axis=1), np.frombuffer(row["q_start"], "<f8")
                 out = []
                 for i, query in enumerate(q):
                     apart = np.abs(near - q_near[i]).max(axis=1)
                     bound = (norms + query @ query - apart * apart) / 2
                     bound += 1e-9 * (norms + query @ query) + 1e-3  # more than rounding can take away
                     bound[ids == q_ids[i]] = -np.inf
-                    others = np.sort(known[i][pivot_ids != q_ids[i]])
-                    start = others[-k] if len(others) >= k else -1e300
-                    out += [(int(q_ids[i]), own, int(round(-score))) for score, own in eliminate(query, bound, vectors, ids, k, start)]
+                    out += [(int(q_ids[i]), own, -score) for score, own in eliminate(query, bound, vectors, ids, k, start[i])]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    asked = queries.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    found = data.join(asked, "slot").select("ids", "vectors", "table", "q_ids", "q_vectors", "q_table").transform(map_batches, search, "query_id long, vec_id long, score long")
+    asked = queries.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table"), F.col("start").alias("q_start"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    found = data.join(asked, "slot").select("ids", "vectors", "table", "q_ids", "q_vectors", "q_table", "q_start").transform(map_batches, search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

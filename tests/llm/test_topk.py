@@ -36,6 +36,21 @@ def test_few_or_no_rows(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_scores_beyond_exact_floats(spark):
+    big = [3.0e5, 2.0e5 + 1 / 256]
+    df = spark.createDataFrame([(0, big), (1, [3.0e5, 2.0e5]), (2, [3.0e5, 2.0e5 + 1 / 256]), (3, [3.0e5 + 1 / 256, 2.0e5])], "vec_id long, embedding array<double>")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    assert {tuple(r) for r in topk.top_k(df).collect()} == brute(rows, 5, 50)
+
+
+def test_starting_scores_are_reached():
+    rng = np.random.default_rng(2)
+    sample, ids = np.floor(rng.normal(size=(40, 4)) * 200), np.arange(40)
+    start = topk.starting_scores(sample[:3], ids[:3], sample, ids, 5)
+    assert [float(x) for x in start] == [sorted(float(q @ v) for j, v in enumerate(sample) if j != i)[-5] for i, q in enumerate(sample[:3])]
+    assert (topk.starting_scores(sample[:2], ids[:2], sample[:3], ids[:3], 5) == -1e300).all()
+
+
 def test_elimination_leaves_out_most_of_clustered_vectors(monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16)) * 200
