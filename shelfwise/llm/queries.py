@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import audio, bpe, html, mixing, neardup, quality, substrings, tokenfiles, topk, trie, urlfilter
+from shelfwise.llm import audio, bpe, html, lexical, mixing, neardup, pii, quality, substrings, tokenfiles, topk, trie, urlfilter
 from shelfwise.llm.shared import table
 
 #: Folder of the public vocabulary files; empty: where their package lies.
@@ -68,13 +68,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), piece_pattern())
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE, "op4_url_rules": urlfilter.ORACLE, "op6_top_k": topk.ORACLE, "op12_prefix_trie": trie.ORACLE}
+    return {"op3_mix_sources": mixing.ORACLE, "op4_url_rules": urlfilter.ORACLE, "op6_top_k": topk.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_ranked_search": lexical.ORACLE}
