@@ -1,21 +1,24 @@
 """The same product on several sites: a scored join within brands, and a one-to-one assignment.
 
-Edges are found through shared title words: items exploded by word are joined on (brand, word), except on
-each item's most frequent word, which a pair of two shared words can do without. So no pair without a
-shared word is ever made, and the commonest word of a brand pairs nobody.
+Items of one site that are equal in all that a score reads are one class, however many they are; classes
+are joined and scored, and their members paired by order afterwards. Edges are found through shared title
+words: classes exploded by word are joined on (brand, word), except on each one's most frequent word, which
+a pair of two shared words can do without. So no pair without a shared word is ever made, and the commonest
+word of a brand pairs nobody.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import keys, titles
-from shelfwise.sources.versions import scratch, stored
+from shelfwise.sources.versions import delete, drop, scratch, stored
 
 THRESHOLD, REVIEW_BELOW = 0.70, 0.80
 
@@ -43,6 +46,9 @@ def prepare(products: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 
 _SIDE = ("item", "site", "ord", "place", "gtin", "tokens", "n", "form", "strengths", "bundle", "size")
+_ALIKE = ("bkey", "place", "gtin", "tokens", "form", "strengths", "bundle", "size")
+#: Items of a brand, or of one component of a brand's edges, that one task walks over.
+GROUP = 2_000_000
 
 
 def size_bucket(amount: Column) -> Column:
@@ -50,48 +56,78 @@ def size_bucket(amount: Column) -> Column:
     return F.when(amount < 25, F.floor(amount / 0.5)).otherwise(50 + F.floor(F.log(amount / 25) / math.log(1 / 0.98)))
 
 
-def score_edges(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges from an item to one of a later site: left, right, sites, orders, confidence, method, notes.
+def with_class(items: DataFrame) -> DataFrame:
+    """Adds ``cls``: equal for items of one brand and site that no score can tell apart."""
+    size = F.coalesce(F.concat_ws("x", F.col("size.amount").cast("string"), F.col("size.unit"), F.col("size.pack").cast("string")), F.lit(""))
+    parts = F.array(F.col("bkey"), F.col("site"), F.col("gtin"), F.col("form"), F.col("bundle").cast("string"), F.when(F.col("size").isNull(), "").otherwise(size))
+    return items.withColumn("cls", F.sha2(F.to_json(F.struct(parts.alias("p"), "tokens", "strengths")), 256))
+
+
+def item_classes(items: DataFrame) -> DataFrame:
+    """One row for each class of alike items: its id as ``item``, the first order as ``ord``, what scores
+    read, and ``members``. However many equal titles a site has, they are one row."""
+    first = [F.first(c).alias(c) for c in ("site", *_ALIKE)]
+    return with_class(items.where("bkey <> ''")).groupBy(F.col("cls").alias("item")).agg(*first, F.min("ord").alias("ord"), F.count("*").alias("members"))
+
+
+def class_edges(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges between rows of ``item_classes`` of different sites, from the earlier to the later site: bkey,
+    left, right, sites, orders, places, confidence, method, notes and ``links``, the pairs of items it stands for.
 
     Equal barcodes are sure, different ones exclude; otherwise two words must be shared, and known
     forms, strengths, kits and sizes must agree. Where both have a size it is part of the join's key.
+    Word rows carry what the gates and the score read, and a pair counts at the least of the words that it
+    meets at, so pairs are neither made distinct nor joined again with their attributes.
     """
-    base = stored(items.where("bkey <> ''").select("bkey", "product_id", *[c for c in _SIDE if c != "n"]).withColumn("n", F.size("tokens")))
-    side = base.select("bkey", *_SIDE)
-    left, right = (side.select("bkey", *[F.col(c).alias(f"{p}_{c}") for c in _SIDE]) for p in "lr")
-    coded = left.where("l_gtin <> ''").join(right.where("r_gtin <> ''"), (left["bkey"] == right["bkey"]) & (F.col("l_gtin") == F.col("r_gtin")) & (F.col("l_place") < F.col("r_place")))
-    sure = coded.select(F.col("l_item").alias("left"), F.col("r_item").alias("right"), "l_site", "r_site", "l_ord", "r_ord", F.lit(1.0).alias("confidence"), F.lit("gtin").alias("method"), F.array().cast("array<string>").alias("notes"))
+    base = stored(classes.withColumn("n", F.size("tokens")))
+    side = base.select("bkey", "members", *_SIDE)
+    left, right = (side.select("bkey", *[F.col(c).alias(f"{p}_{c}") for c in ("members", *_SIDE)]) for p in "lr")
+    coded = left.where("l_gtin <> ''").join(right.where("r_gtin <> ''"), (left["bkey"] == right["bkey"]) & (F.col("l_gtin") == F.col("r_gtin")) & (F.col("l_place") < F.col("r_place"))).drop(right["bkey"])
+    ends = ["bkey", F.col("l_item").alias("left"), F.col("r_item").alias("right"), "l_site", "r_site", "l_ord", "r_ord", "l_place", "r_place"]
+    links = (F.col("l_members") * F.col("r_members")).alias("links")
+    sure = coded.select(*ends, F.lit(1.0).alias("confidence"), F.lit("gtin").alias("method"), F.array().cast("array<string>").alias("notes"), links)
 
     # Pairs share two words, so they share one that is not the most frequent word of the left item and not
     # that of the right one, if frequency orders words alike for both: that word is left out of the join.
-    words = base.where("n >= 2").select("bkey", "item", "place", "form", (F.col("gtin") != "").alias("coded"), F.col("size.unit").alias("unit"), F.col("size.pack").alias("pack"), size_bucket(F.col("size.amount")).alias("bucket"), F.explode("tokens").alias("word"))
+    words = base.where("n >= 2").select("bkey", "item", F.explode("tokens").alias("word"))
     frequency = words.groupBy("bkey", "word").agg(F.count("*").alias("times"))
-    commonest = F.row_number().over(Window.partitionBy("bkey", "item").orderBy(F.desc("times"), F.desc("word")))
-    words = stored(words.join(frequency, ["bkey", "word"]).withColumn("nth", commonest).where("nth > 1"))
-    lw = words.select("bkey", "word", "unit", "pack", F.col("bucket").alias("lb"), F.col("item").alias("l"), F.col("place").alias("lp"), F.col("form").alias("lf"), F.col("coded").alias("lc"))
-    rw = words.select("bkey", "word", F.col("unit").alias("ru"), F.col("pack").alias("rpack"), F.col("bucket").alias("rb"), F.col("item").alias("r"), F.col("place").alias("rp"), F.col("form").alias("rf"), F.col("coded").alias("rc"))
-    near = lw.where("lb IS NOT NULL").withColumn("rb", F.explode(F.array(F.col("lb") - 1, F.col("lb"), F.col("lb") + 1)))
-    sized = near.join(rw, ["bkey", "word", "rb"]).where("unit = ru AND pack = rpack")
-    unsized = lw.where("lb IS NULL").join(rw, ["bkey", "word"]).unionByName(lw.where("lb IS NOT NULL").join(rw.where("rb IS NULL"), ["bkey", "word"]))
-    met = sized.select("l", "r", "lp", "rp", "lf", "rf", "lc", "rc").unionByName(unsized.select("l", "r", "lp", "rp", "lf", "rf", "lc", "rc"))
-    shared = met.where("lp < rp AND NOT (lc AND rc) AND (lf = '' OR rf = '' OR lf = rf)").select("l", "r").distinct()
-    pairs = shared.join(left.drop("bkey"), F.col("l") == F.col("l_item")).join(right.drop("bkey"), F.col("r") == F.col("r_item"))
-    pairs = pairs.withColumn("c", F.size(F.array_intersect("l_tokens", "r_tokens"))).where("c >= 2")
+    commonest = words.join(frequency, ["bkey", "word"]).groupBy("item").agg(F.max_by("word", F.struct("times", "word")).alias("common"))
+    met = base.where("n >= 2").join(commonest, "item").withColumns({"met": F.array_remove("tokens", F.col("common")), "bucket": size_bucket(F.col("size.amount"))})
+    met = stored(met.select("bkey", "members", *_SIDE, "met", "bucket", F.explode("met").alias("word")))
+    carried = ("members", *_SIDE, "met", "bucket")
+    lw, rw = (met.select("bkey", "word", *[F.col(c).alias(f"{p}_{c}") for c in carried]) for p in "lr")
+    near = lw.where("l_bucket IS NOT NULL").withColumn("r_bucket", F.explode(F.array(F.col("l_bucket") - 1, F.col("l_bucket"), F.col("l_bucket") + 1)))
+    order = [*lw.columns, *[c for c in rw.columns if c not in ("bkey", "word")]]
+    meetings = near.join(rw, ["bkey", "word", "r_bucket"]).select(order)
+    meetings = meetings.unionByName(lw.where("l_bucket IS NULL").join(rw, ["bkey", "word"]).select(order))
+    meetings = meetings.unionByName(lw.where("l_bucket IS NOT NULL").join(rw.where("r_bucket IS NULL"), ["bkey", "word"]).select(order))
 
     differ = lambda c, empty: (F.col(f"l_{c}") != empty) & (F.col(f"r_{c}") != empty) & (F.col(f"l_{c}") != F.col(f"r_{c}"))
     no_strength = F.array().cast("array<string>")
     sized = F.col("l_size").isNotNull() & F.col("r_size").isNotNull()
     same_size = (F.col("l_size.pack") == F.col("r_size.pack")) & (F.col("l_size.unit") == F.col("r_size.unit")) & titles.amounts_agree(F.col("l_size.amount"), F.col("r_size.amount"))
     gates = ~((F.col("l_gtin") != "") & (F.col("r_gtin") != "")) & ~differ("form", "") & ~differ("strengths", no_strength) & (F.col("l_bundle") == F.col("r_bundle")) & (~sized | F.coalesce(same_size, F.lit(False)))
+    pairs = meetings.where("l_place < r_place").where(gates).where(F.col("word") == F.array_min(F.array_intersect("l_met", "r_met")))
+    pairs = pairs.withColumn("c", F.size(F.array_intersect("l_tokens", "r_tokens"))).where("c >= 2")
     containment = F.col("c") / F.least("l_n", "r_n")
     jaccard = F.col("c") / (F.col("l_n") + F.col("r_n") - F.col("c"))
     both_forms, no_forms = (F.col("l_form") != "") & (F.col("r_form") != ""), (F.col("l_form") == "") & (F.col("r_form") == "")
     confidence = F.when(sized, 0.65 * containment + 0.35 * jaccard + 0.10).otherwise((0.65 * containment + 0.35 * jaccard) * 0.85) + F.when(both_forms, 0.05).otherwise(0.0)
     notes = F.filter(F.array(F.when(~sized, F.lit("size missing on one side")), F.when(no_forms, F.lit("product form not recognized"))), lambda x: x.isNotNull())
-    named = pairs.where(gates).select(F.col("l").alias("left"), F.col("r").alias("right"), "l_site", "r_site", "l_ord", "r_ord", F.least(F.lit(1.0), confidence).alias("confidence"), F.lit("name").alias("method"), notes.alias("notes"))
+    named = pairs.select(*ends, F.least(F.lit(1.0), confidence).alias("confidence"), F.lit("name").alias("method"), notes.alias("notes"), links)
     return sure.unionByName(named).where(F.col("confidence") >= threshold)
 
 
+def score_edges(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges from an item to one of a later site: left, right, sites, orders, confidence, method, notes, as
+    ``class_edges`` scores them. Every pair of members has its row: for reports; the assignment needs none."""
+    found = class_edges(item_classes(items), threshold)
+    members = with_class(items.where("bkey <> ''"))
+    ends = lambda p, name: members.select(F.col("cls").alias(name), F.col("item").alias(f"{p}_item"), F.col("ord").alias(f"{p}_first"))
+    pairs = found.join(ends("l", "left"), "left").join(ends("r", "right"), "right")
+    return pairs.select(F.col("l_item").alias("left"), F.col("r_item").alias("right"), "l_site", "r_site", F.col("l_first").alias("l_ord"), F.col("r_first").alias("r_ord"), "confidence", "method", "notes")
+
+
 def best_per_site(edges: DataFrame) -> DataFrame:
     """Each item's best edge to each later site, ties to the first in order."""
     nth = F.row_number().over(Window.partitionBy("left", "r_site").orderBy(F.desc("confidence"), "r_ord"))
@@ -107,7 +143,8 @@ def assign(edges: DataFrame) -> DataFrame:
     take its right end. Left items whose edges to a site are alike are settled together: the nth of them
     takes its nth best partner, if that one and those before it can only be taken earlier by the n - 1
     before it, and these are settled too. A settled edge removes those that it rules out. The first free
-    item can always settle, so each round makes progress, and groups of any size stay spread over tasks.
+    item can always settle, so each round makes progress. Left items that are alike are ranked in one
+    task; where classes are known, ``assign_classes`` needs neither their edges nor rounds.
     """
     folder = scratch(edges.sparkSession)
     left = edges.select("left", "right", "l_site", "r_site", "l_ord", "r_ord", "confidence", "method", "notes")
@@ -136,9 +173,111 @@ def assign(edges: DataFrame) -> DataFrame:
         taken = done.select("left", "r_site").distinct()
         rest = rest.join(used.select(F.col("item").alias("right")), "right", "left_anti").join(used.select(F.col("item").alias("left")), "left", "left_anti")
         rest.join(taken, ["left", "r_site"], "left_anti").select(left.columns).write.parquet(f"{folder}/edges{i + 1}")
+        delete(edges.sparkSession, f"{folder}/edges{i}")
     return edges.sparkSession.read.schema(left.schema).parquet(*settled) if settled else left.where("false")
 
 
+def walk(classes: list[str], edges: list[tuple[str, str, str, float]]) -> Iterator[tuple[int, int, int]]:
+    """(left, right, edge) positions of the assignment within one group: ``classes`` has the class of each item
+    in order, ``edges`` (left class, right class, right site, confidence).
+
+    Partners are on later sites, so they come later in the order, and of a class the first free one is
+    always taken: what is taken of a class is a beginning of its items, and a number tells it.
+    """
+    items: dict[str, list[int]] = {}
+    for at, c in enumerate(classes):
+        items.setdefault(c, []).append(at)
+    tiers: dict[str, dict[str, dict[float, dict[str, int]]]] = {}
+    for e, (left, right, site, confidence) in enumerate(edges):
+        if right in items:
+            tiers.setdefault(left, {}).setdefault(site, {}).setdefault(-confidence, {}).setdefault(right, e)
+    ranked = {c: [[tier for _, tier in sorted(own.items())][::-1] for own in sites.values()] for c, sites in tiers.items()}
+    taken, seen = dict.fromkeys(items, 0), dict.fromkeys(items, 0)
+    for at, c in enumerate(classes):
+        seen[c] += 1
+        if seen[c] <= taken[c]:
+            continue
+        for levels in ranked.get(c, ()):
+            while levels:
+                for gone in [r for r in levels[-1] if taken[r] == len(items[r])]:
+                    del levels[-1][gone]
+                if levels[-1]:
+                    right = min(levels[-1], key=lambda r: items[r][taken[r]])
+                    yield at, items[right][taken[right]], levels[-1][right]
+                    taken[right] += 1
+                    break
+                levels.pop()
+
+
+ASSIGNED = "left struct<site:string,product_id:string>, right struct<site:string,product_id:string>, l_site string, r_site string, confidence double, method string, notes array<string>"
+
+
+def _walk_group(items: pa.Table, edges: pa.Table) -> pa.Table:
+    """``walk`` over the Arrow tables of one group."""
+    items = items.sort_by("rank")
+    ends = [edges.column(c).to_pylist() for c in ("left", "right", "r_site", "confidence")]
+    found = list(walk(items.column("cls").to_pylist(), list(zip(*ends))))
+    l, r, e = (pa.array([f[i] for f in found], pa.int64()) for i in range(3))
+    item, own = items.column("item"), edges.select(["l_site", "r_site", "confidence", "method", "notes"]).take(e)
+    return pa.table([item.take(l), item.take(r), *own.columns], ["left", "right", *own.column_names])
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``cls`` and ``component`` of the classes that ``edges`` link: every class takes the least name among
+    its neighbours and their names, until none changes; only changed names are joined in the next round."""
+    both = edges.select(F.col("left").alias("a"), F.col("right").alias("b"))
+    both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    names = stored(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    changed = names
+    while True:
+        offered = both.join(changed, both["b"] == changed["cls"]).groupBy(F.col("a").alias("of")).agg(F.min("component").alias("offer"))
+        jumped = names.select(F.col("cls").alias("at"), F.col("component").alias("further"))
+        new = names.join(offered, names["cls"] == offered["of"], "left").join(jumped, names["component"] == jumped["at"], "left")
+        new = stored(new.select("cls", F.col("component").alias("before"), F.least("component", "offer", "further").alias("component")))
+        drop(names)
+        names, changed = new.select("cls", "component"), new.where("component < before").select("cls", "component")
+        if changed.isEmpty():
+            return names
+
+
+def assign_classes(items: DataFrame, edges: DataFrame, group: int = GROUP) -> DataFrame:
+    """The assignment of ``assign`` from edges of classes, without edges of items: left, right, l_site,
+    r_site, confidence, method, notes.
+
+    No edge leaves its brand, so a task walks over a brand's items, in order, with its class edges. A
+    brand of more than ``group`` items is cut into the components of its edges first. A component beyond
+    that (of more items than a task should hold) is settled in rounds over its items' edges instead.
+    """
+    spark = items.sparkSession
+    edges = stored(edges)
+    linked = edges.select("bkey", F.col("left").alias("cls")).unionByName(edges.select("bkey", F.col("right").alias("cls"))).distinct()
+    members = stored(with_class(items.where("bkey <> ''")).join(linked, ["bkey", "cls"], "left_semi").select("bkey", "cls", "item", "ord"))
+    large = [r[0] for r in members.groupBy("bkey").count().where(F.col("count") > group).select("bkey").collect()]  # at most a brand for each ``group`` items
+
+    def settled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bkey").orderBy("ord"))).select("bkey", "rank", "cls", "item")
+        needed = links.select("bkey", "left", "right", "l_site", "r_site", "confidence", "method", "notes")
+        return ranked.groupBy("bkey").cogroup(needed.groupBy("bkey")).applyInArrow(_walk_group, ASSIGNED)
+
+    if not large:
+        return settled(members, edges)
+    is_large = F.col("bkey").isin(large)
+    out = settled(members.where(~is_large), edges.where(~is_large))
+    split = _components(edges.where(is_large))
+    rows = stored(members.where(is_large).join(split, "cls").drop("bkey").withColumnRenamed("component", "bkey"))
+    links = edges.where(is_large).drop("bkey").join(split.withColumnRenamed("cls", "left"), "left").withColumnRenamed("component", "bkey")
+    sizes = rows.groupBy("bkey").agg((F.count("*") > group).alias("huge"))
+    rows, links = stored(rows.join(sizes, "bkey")), stored(links.join(sizes, "bkey"))
+    out = out.unionByName(settled(rows.where("NOT huge"), links.where("NOT huge")))
+    huge = rows.where("huge")
+    if huge.isEmpty():
+        return out
+    ends = lambda p, name: huge.select(F.col("cls").alias(name), F.col("item").alias(f"{p}_item"), F.col("ord").alias(f"{p}_first"))
+    pairs = links.where("huge").join(ends("l", "left"), "left").join(ends("r", "right"), "right")
+    pairs = pairs.select(F.col("l_item").alias("left"), F.col("r_item").alias("right"), "l_site", "r_site", F.col("l_first").alias("l_ord"), F.col("r_first").alias("r_ord"), "confidence", "method", "notes")
+    return out.unionByName(assign(pairs).select(out.columns))
+
+
 def match_groups(items: DataFrame, assigned: DataFrame) -> DataFrame:
     """Long form: match (the anchor's item), confidence, method, notes of the whole match, and each member's
     columns of ``items``. Confidence is the least of the members; the method is gtin if all are."""
@@ -154,7 +293,8 @@ def match_groups(items: DataFrame, assigned: DataFrame) -> DataFrame:
 def match_products(products: DataFrame, threshold: float = THRESHOLD, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, groups in long form, items without match)."""
     items = stored(prepare(products, order))
-    groups = match_groups(items, assign(score_edges(items, threshold)))
+    assigned = stored(assign_classes(items, class_edges(item_classes(items), threshold)))
+    groups = stored(match_groups(items, assigned))
     return items, groups, items.join(groups.select("item"), "item", "left_anti")
 
 

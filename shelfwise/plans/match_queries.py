@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import barcodes, comparison, matching
 from shelfwise.plans import jobs
 from shelfwise.plans.catalogue_queries import _ITEMS, SITES, latest, query
+from shelfwise.sources.versions import stored
 
 
 def _walk(threshold: float, gtin: str = "gtin") -> str:
@@ -50,7 +51,8 @@ def _recursive(sql: str):
 
 @_recursive(_walk(0.7) + "SELECT l_site, l_id, r_site, r_id, method, round(confidence, 6) AS confidence FROM assigned")
 def match_assign(spark, sf_dir):
-    edges = matching.assign(matching.score_edges(matching.prepare(latest(spark, sf_dir), SITES)))
+    items = stored(matching.prepare(latest(spark, sf_dir), SITES))
+    edges = matching.assign_classes(items, matching.class_edges(matching.item_classes(items)))
     return edges.select("l_site", F.col("left.product_id").alias("l_id"), "r_site", F.col("right.product_id").alias("r_id"), "method", F.round("confidence", 6).alias("confidence"))
 
 
@@ -124,7 +126,7 @@ def propagation_summary(spark, sf_dir):
     return jobs.propagate_gtins(_clashing(spark, sf_dir), 0.7, SITES, donor_order=SITES)[2]
 
 
-@_recursive(_walk(0.9) + _CODES + "SELECT site, product_id, gtin FROM (" + _FILLS + ") UNION ALL SELECT site, product_id, gtin FROM it WHERE gtin <> '' UNION ALL SELECT site, product_id, '' FROM it WHERE gtin = '' AND (site, product_id) NOT IN (SELECT (site, product_id) FROM (" + _FILLS + "))")
+@_recursive(_walk(0.9) + _CODES + ", fills AS MATERIALIZED (" + _FILLS + ") SELECT i.site, i.product_id, coalesce(nullif(i.gtin, ''), f.gtin, '') AS gtin FROM it i LEFT JOIN fills f ON f.site = i.site AND f.product_id = i.product_id")
 def gtins_applied(spark, sf_dir):
     rows = latest(spark, sf_dir)
     fills = jobs.propagate_gtins(rows, 0.9, SITES, donor_order=SITES)[0]

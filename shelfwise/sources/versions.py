@@ -8,15 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_owned: dict[tuple[str, str], str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; on a single machine a
-    temporary one stands in where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new place below ``spark.checkpoint.dir``, which driver and executors share; on a single machine a
+    temporary folder stands in where that isn't set. All places of an application lie in one folder, which
+    goes when its driver ends; what isn't needed so long can be deleted before."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = (spark.sparkContext.applicationId, base)
+    if own not in _owned:
+        folder = f"{(base or 'file://' + tempfile.mkdtemp(prefix='shelfwise-')).rstrip('/')}/{uuid.uuid4().hex}"
+        path, fs = _hadoop(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _owned[own] = folder
+    return f"{_owned[own]}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -26,6 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path, fs = _hadoop(spark, folder)
+    fs.delete(path, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
 class VersionedTable:
     """A table as numbered Parquet folders: a version is written whole before readers can see it, so a
     rewrite may read the version that it replaces, and one that fails hinders no other. Of the versions
@@ -35,9 +60,7 @@ class VersionedTable:
         self.spark, self.folder, self.partition_by, self.keep = spark, folder.rstrip("/"), partition_by, keep
 
     def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return _hadoop(self.spark, f"{self.folder}/{name}" if name else self.folder)
 
     def versions(self) -> list[int]:
         path, fs = self._path("")

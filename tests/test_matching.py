@@ -92,6 +92,34 @@ def test_assignment_of_groups_of_equal_rows_equals_the_walk(spark, seed):
     assert len(got) == len(set(got)) and set(got) == greedy(edges, order)
 
 
+def test_assignment_of_classes_equals_the_walk(spark):
+    rng = random.Random(1)
+    words = ["Retinol Night Serum", "Retinol Night Cream Rich", "Night Serum Retinol Plus", "Barrier Repair Balm", "Barrier Repair Balm Soft"]
+    rows = [product(s, f"{s}{i:03}", product_name=f"{rng.choice(words)} {rng.choice(['', '30 ml', '50 ml'])}", brand=rng.choice(["One", "Two"]), gtin=rng.choice(["", "", "", GTIN, OTHER])) for s in "abc" for i in range(25)]
+    items = matching.stored(matching.prepare(products(spark, rows), ["a", "b", "c"]))
+    classes = matching.stored(matching.item_classes(items))
+    assert classes.agg(F.sum("members")).first()[0] == len(rows) > classes.count()
+    found = matching.class_edges(classes, 0.5)
+    edges = {(tuple(r.left), tuple(r.right)): r.confidence for r in matching.score_edges(items, 0.5).collect()}
+    assert len(edges) == found.agg(F.sum("links")).first()[0] > 200
+    order = [tuple(r.item) for r in items.orderBy("ord").select("item").collect()]
+    want = greedy(edges, order)
+    for group in (1_000, 20, 2):  # whole brands, components, and rounds for all but the smallest
+        got = [(tuple(r.left), tuple(r.right)) for r in matching.assign_classes(items, found, group).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_many_equal_titles_are_one_edge(spark):
+    n = 100_000
+    one = products(spark, [product("x", "x", product_name="Retinol Night Serum 30 ml")])
+    rows = spark.range(n).crossJoin(spark.createDataFrame([("a",), ("b",)], "at string")).crossJoin(F.broadcast(one)).withColumns({"site": F.col("at"), "product_id": F.format_string("%06d", "id")}).select(one.columns)
+    items = matching.stored(matching.prepare(rows, ["a", "b"]))
+    edges = matching.stored(matching.class_edges(matching.item_classes(items)))
+    assert [r.links for r in edges.collect()] == [n * n]
+    found = matching.assign_classes(items, edges)
+    assert found.count() == n and found.where("left.product_id <> right.product_id").count() == 0
+
+
 def test_no_edges(spark):
     items, groups, rest = matching.match_products(products(spark, [product("a", "1", product_name="One Thing"), product("", "3", product_name="No Site")]))
     assert groups.count() == 0 and rest.count() == 1 and items.count() == 1
