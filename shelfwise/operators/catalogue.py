@@ -32,33 +32,42 @@ def dedup_merge(df: DataFrame, order: Sequence[str] = ("scraped_at", "ord"), fol
     """Merge the rows of each product: the newest row's values, except that the columns named above are
     united over all rows and attributes are merged, the newest value of a name winning.
 
-    ``order`` ranks rows; of equal ones any wins, so it should end with a unique column.
+    ``order`` ranks rows; of equal ones any wins, so it should end with a unique column. United values are
+    grouped by (product, column, value) first, so a product's rows are never listed in one place, only its
+    distinct values; of each, tasks pass on one row.
     """
-    key = F.struct((F.lower("site") if fold_site else F.col("site")).alias("site"), F.col("product_id").alias("product_id"))
+    site = F.lower("site") if fold_site else F.col("site")
     ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    aggregates = [F.max_by(F.struct(*df.columns), ranked).alias("newest")]
-    for c in SORTED_UNIONS:
-        if c in df.columns:
-            aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(f"all_{c}"))
-    for c in (*ORDERED_UNIONS, "product_attributes"):
-        if c in df.columns:
-            value = F.col(c) if c != "product_attributes" else F.map_entries(c)
-            aggregates.append(F.sort_array(F.collect_list(F.struct(ranked.alias("at"), value.alias("value"))), asc=c == "product_attributes").alias(f"all_{c}"))
-    merged = df.groupBy(key.alias("key")).agg(*aggregates)
+    united = [c for c in (*SORTED_UNIONS, *ORDERED_UNIONS) if c in df.columns]
+    entry = lambda c: lambda v, i: F.struct(F.lit(c).alias("column"), v.alias("item"), i.alias("pos"), F.lit(None).cast("string").alias("value"))
+    lists = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), entry(c)) for c in united]
+    if "product_attributes" in df.columns:
+        entries = F.coalesce(F.map_entries("product_attributes"), F.array().cast("array<struct<key:string,value:string>>"))
+        lists.append(F.transform(entries, lambda e, i: F.struct(F.lit("product_attributes").alias("column"), e["key"].alias("item"), i.alias("pos"), e["value"].alias("value"))))
+    newest = df.withColumn("_site", site)
+    nth = F.row_number().over(Window.partitionBy("_site", "product_id").orderBy(*[F.desc_nulls_last(c) for c in order]))
+    newest = newest.withColumn("_nth", nth).where("_nth = 1").drop("_nth", *united, "product_attributes")
+    if not lists:
+        return newest.select(df.columns)
+    each = df.select(site.alias("_site"), "product_id", ranked.alias("at"), F.explode(F.concat(*lists)).alias("x")).select("_site", "product_id", "at", "x.*")
+    once = each.groupBy("_site", "product_id", "column", "item").agg(F.max(F.struct("at", (-F.col("pos")).alias("back"))).alias("last"), F.min(F.struct("at", "pos")).alias("first"), F.max_by("value", "at").alias("value"))
+    of = lambda c, *fields: F.collect_list(F.when(F.col("column") == c, F.struct(*fields)))
+    lists = [of(c, "item").alias(c) if c in SORTED_UNIONS else of(c, "last", "item").alias(c) for c in united]
+    if "product_attributes" in df.columns:
+        lists.append(of("product_attributes", "first", "item", "value").alias("product_attributes"))
+    merged = once.groupBy("_site", "product_id").agg(*lists).withColumnsRenamed({"_site": "m_site", "product_id": "m_id"})
+    both = newest.join(merged, F.col("_site").eqNullSafe(F.col("m_site")) & F.col("product_id").eqNullSafe(F.col("m_id")), "left")
     out = []
     for c in df.columns:
         if c in SORTED_UNIONS:
-            out.append(F.col(f"all_{c}").alias(c))
+            out.append(F.coalesce(F.array_sort(F.transform(c, lambda x: x["item"])), F.array().cast("array<string>")).alias(c))
         elif c in ORDERED_UNIONS:
-            lists = F.flatten(F.filter(F.transform(f"all_{c}", lambda x: x["value"]), lambda x: x.isNotNull()))
-            out.append(F.array_distinct(lists).alias(c))
+            out.append(F.coalesce(F.transform(F.sort_array(c, asc=False), lambda x: x["item"]), F.array().cast("array<string>")).alias(c))
         elif c == "product_attributes":
-            entries = F.flatten(F.filter(F.transform(f"all_{c}", lambda x: x["value"]), lambda x: x.isNotNull()))
-            latest = F.array_distinct(F.transform(entries, lambda e: e["key"]))  # oldest first: the last of a name counts
-            out.append(F.map_from_arrays(latest, F.transform(latest, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])).alias(c))
+            out.append(F.coalesce(F.map_from_entries(F.transform(F.sort_array(c), lambda x: F.struct(x["item"], x["value"]))), F.create_map().cast("map<string,string>")).alias(c))
         else:
-            out.append(F.col(f"newest.{c}").alias(c))
-    return merged.select(*out)
+            out.append(F.col(c))
+    return both.select(*out)
 
 
 def canonical_order(df: DataFrame) -> DataFrame:
@@ -145,9 +154,10 @@ def history_rows(products: DataFrame, fallback: Column | None = None) -> DataFra
 
 
 def append_history(history: DataFrame, points: DataFrame, key: Sequence[str] = HISTORY_KEY, order: Sequence[str] = ()) -> DataFrame:
-    """The points whose key the history lacks, one for each key (the greatest by ``order``): what is to
-    be appended. Appending again changes nothing."""
-    ranked = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order] or [F.lit(0)]))
+    """The points whose key the history lacks, one for each key (the greatest by ``order``, then by all other
+    columns): what is to be appended. Appending again changes nothing."""
+    rest = [c for c in history.columns if c not in key and c not in order]
+    ranked = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in (*order, *rest)] or [F.lit(0)]))
     one = points.withColumn("nth", ranked).where("nth = 1").select(history.columns)
     return one.join(history.select(*key), list(key), "left_anti").select(history.columns)
 

@@ -101,14 +101,23 @@ def run_counters(candidates: DataFrame, content_changed: DataFrame | None = None
     return out.withColumn("products_unchanged", F.greatest(F.lit(0), F.col("products_seen") - F.col("products_new") - F.col("products_changed")))
 
 
+def sweep_gates(listing: DataFrame, stored: DataFrame, ratio: float = 0.5, reported: bool = True, brand_filter: bool = False) -> DataFrame:
+    """For each site of the listing: rows seen, active rows stored, and ``complete``, whether missing products
+    may be aged: the sweep said so, it had no brand filter, and it is not much smaller than the active
+    catalogue. All sites are counted in one pass."""
+    seen = listing.groupBy("site").agg(F.count("*").alias("seen"))
+    active = stored.where(F.coalesce("is_active", F.lit(True))).groupBy("site").agg(F.count("*").alias("active"))
+    gate = F.lit(reported and not brand_filter) & (F.col("seen") >= ratio * F.col("active"))
+    return seen.join(active, "site", "left").fillna(0, ["active"]).withColumn("complete", gate)
+
+
 def sweep_is_complete(listing: DataFrame, stored: DataFrame, site: str, reported: bool = True, ratio: float = 0.5, brand_filter: bool = False) -> bool:
-    """Whether missing products may be aged: the sweep said so, it had no brand filter, and it is not much
-    smaller than the active catalogue. An empty listing is an error."""
-    seen = listing.where(F.col("site") == site).agg(F.count("*")).first()[0]
-    if not seen:
+    """The gate of one site; an empty listing is an error."""
+    own = F.col("site") == site
+    found = sweep_gates(listing.where(own), stored.where(own), ratio, reported, brand_filter).first()
+    if found is None:
         raise ValueError(f"the listing of {site} is empty")
-    active = stored.where((F.col("site") == site) & F.coalesce("is_active", F.lit(True))).agg(F.count("*")).first()[0]
-    return reported and not brand_filter and seen >= ratio * active
+    return found.complete
 
 
 def needs_final_sync(exported: DataFrame, stored: DataFrame) -> DataFrame:

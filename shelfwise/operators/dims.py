@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.keys import brand_key, text
-from shelfwise.sources.versions import scratch
+from shelfwise.sources.versions import delete, scratch, stored
 
 IGNORED_WORDS = ("skincare", "skin", "care", "face", "beauty", "recommended")
 
@@ -45,16 +49,13 @@ def category_words(categories: DataFrame, ignored: Sequence[str] = IGNORED_WORDS
 
 def infer_categories(rows: DataFrame, categories: DataFrame, columns: Sequence[str] = ("product_name", "variant")) -> DataFrame:
     """``rows`` with ``categories``, the names (by place) of those of which a word occurs in the text of the
-    columns. The dimension is a configuration of few rows and becomes part of the expression."""
-    dim = category_words(categories).orderBy("place").collect()
+    columns. Words are found as by ``find_words``, so the dimension may have very many."""
+    dim = category_words(categories)
     hay = F.lower(F.concat_ws(" ", *[text(F.col(c)) for c in columns]))
-    hits = []
-    for row in dim:
-        any_word = F.lit(False)
-        for word in row.words:
-            any_word = any_word | F.contains(hay, F.lit(word))
-        hits.append(F.when(any_word, F.lit(row.name if isinstance(row.name, str) else row["name"])))
-    return rows.withColumn("categories", F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<string>"))
+    listed = dim.select(F.explode("words").alias("word"), F.struct("place", "name").alias("category"))
+    marked = listed.groupBy("word").agg(F.array_sort(F.collect_set("category")).alias("marks"))
+    found = find_words(rows, hay, marked, "_marks", "marks")
+    return found.withColumn("categories", F.transform(F.array_sort(F.array_distinct(F.flatten("_marks"))), lambda c: c["name"])).drop("_marks")
 
 
 def select_categories(categories: DataFrame, wanted: Sequence[str] = ()) -> DataFrame:
@@ -74,19 +75,31 @@ def select_categories(categories: DataFrame, wanted: Sequence[str] = ()) -> Data
 
 def variant_families(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """id, parent, labels: every id reached from a root over (id, variant) edges keeps the first root (by
-    ``ord``) that reaches it; labels of all ways are united. Breadth first, to a fixpoint."""
-    spark, folder, i = edges.sparkSession, scratch(edges.sparkSession), 0
-    roots.select("id", F.struct("ord", F.col("id").alias("parent")).alias("root"), "labels").write.parquet(f"{folder}/0")
-    size = -1
+    ``ord``) that reaches it; labels of all ways are united. Breadth first, to a fixpoint.
+
+    Only what a round has found new is joined with the edges in the next: better roots and labels not seen
+    at an id yet. Each fact is written once, and rounds that nothing reads any more are deleted.
+    """
+    spark, folder = edges.sparkSession, scratch(edges.sparkSession)
+    edges = stored(edges.select("id", "variant").where("id IS NOT NULL AND variant IS NOT NULL").distinct())
+    root = F.struct("ord", F.col("id").alias("parent"))
+    facts = roots.select("id", root.alias("root"), F.lit(None).cast("string").alias("label")).unionByName(roots.select("id", F.lit(None).alias("root"), F.explode("labels").alias("label")).select("id", F.lit(None).cast(roots.select(root.alias("r")).schema["r"].dataType).alias("root"), "label"))
+    new, known, i = facts.groupBy("id", "label").agg(F.min("root").alias("root")), [], 0
     while True:
-        now = spark.read.parquet(f"{folder}/{i}")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("id", "root", "labels").cast("decimal(38,0)"))).first()
-        if state == size:
-            return now.select("id", F.col("root.parent").alias("parent"), "labels")
-        size, i = state, i + 1
-        reached = now.join(edges, "id").select(F.col("variant").alias("id"), "root", "labels")
-        merged = now.unionByName(reached).groupBy("id").agg(F.min("root").alias("root"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"))
-        merged.write.parquet(f"{folder}/{i}")
+        new.write.parquet(f"{folder}/{i}")
+        new = spark.read.parquet(f"{folder}/{i}")
+        if new.isEmpty():
+            break
+        known.append(f"{folder}/{i}")
+        have = spark.read.parquet(*known).groupBy("id", "label").agg(F.min("root").alias("had"))
+        reached = new.join(edges, "id").groupBy(F.col("variant").alias("id"), "label").agg(F.min("root").alias("root"))
+        fresh = reached.join(have.select(F.col("id").alias("h_id"), F.col("label").alias("h_label"), "had"), (F.col("id") == F.col("h_id")) & F.col("label").eqNullSafe(F.col("h_label")), "left")
+        new, i = fresh.where("h_id IS NULL OR root < had").select("id", "label", "root"), i + 1
+    delete(spark, f"{folder}/{i}")
+    if not known:
+        return roots.select("id", F.col("id").alias("parent"), "labels").where("false")
+    best = spark.read.parquet(*known).groupBy("id").agg(F.min("root").alias("root"), F.array_sort(F.collect_set("label")).alias("labels"))
+    return best.select("id", F.col("root.parent").alias("parent"), "labels")
 
 
 def price_band(price: Column, edges: Sequence[float]) -> Column:
@@ -97,13 +110,77 @@ def price_band(price: Column, edges: Sequence[float]) -> Column:
     return F.when(price.isNotNull(), out)
 
 
+#: Bytes of words up to which each task holds them all; beyond it they are looked for in parts.
+WORD_BYTES = 64 << 20
+
+
+def find_words(rows: DataFrame, hay: Column, words: DataFrame, column: str, value: str = "word") -> DataFrame:
+    """``rows`` with ``column``: the values, distinct and sorted, of the ``words`` (column ``word``) that occur
+    anywhere in ``hay``.
+
+    One automaton over all words reads each text once, however many there are. The words lie in the
+    shared folder and each task loads them; more than ``WORD_BYTES`` of them are cut into parts by their
+    hash, one pass over the rows each. Null and empty words are never found.
+    """
+    spark, kind = rows.sparkSession, words.schema[value].dataType
+    listed = stored(words.where("word <> ''").groupBy("word").agg(F.first(value).alias("value")) if value != "word" else words.where("word <> ''").select("word", F.col("word").alias("value")).distinct())
+    parts = max(1, -(-(listed.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0) // WORD_BYTES))
+    out = rows.withColumn(column, F.array().cast(T.ArrayType(kind)))
+    for part in range(parts):
+        own = stored(listed.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part).withColumn("nth", F.monotonically_increasing_id())) if parts > 1 else listed
+        out = _find_part(out, hay, own, column)
+    return out.withColumn(column, F.array_sort(F.array_distinct(column)))
+
+
+def _find_part(rows: DataFrame, hay: Column, words: DataFrame, column: str) -> DataFrame:
+    folder, at = words.inputFiles(), len(rows.columns) - 1
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, values = ahocorasick.Automaton(), []
+        for path in folder:
+            filesystem, name = fs.FileSystem.from_uri(path)
+            table = pq.read_table(name, filesystem=filesystem, columns=["word", "value"])
+            for word in table.column("word").to_pylist():
+                automaton.add_word(word, len(values))
+                values.append(None)
+            values[len(values) - len(table) :] = table.column("value").to_pylist()
+        automaton.make_automaton()
+        for batch in batches:
+            texts, before = batch.column(len(batch.schema) - 1).to_pylist(), batch.column(at).to_pylist()
+            found = [[*old, *(values[i] for i in dict.fromkeys(n for _, n in automaton.iter(t)))] if t and values else old for t, old in zip(texts, before)]
+            columns = [*batch.columns[:at], pa.array(found, batch.schema.field(at).type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[: at + 1]))
+
+    return rows.withColumn("_hay", hay).mapInArrow(search, rows.schema)
+
+
+def value_text(value: Column, kind: T.DataType) -> Column:
+    """All values within a column, at any depth, as one text; names of fields and keys of maps are no values."""
+    if isinstance(kind, T.StructType):
+        return F.concat_ws(" ", *[value_text(value[f.name], f.dataType) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda x: value_text(x, kind.elementType)), " ")
+    if isinstance(kind, T.MapType):
+        return F.array_join(F.transform(F.map_values(value), lambda x: value_text(x, kind.valueType)), " ")
+    return value.cast("string")
+
+
 def keyword_filter(rows: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """Rows in which any of the keywords occurs in any text."""
-    hay = F.lower(F.to_json(F.struct(*rows.columns)))
-    hit = F.lit(False)
-    for word in keywords:
-        hit = hit | F.contains(hay, F.lit(word.lower()))
-    return rows.where(hit) if keywords else rows
+    """Rows in which any of the keywords occurs in any value, whatever their case; blank keywords don't
+    count, and without any all rows stay."""
+    wanted = sorted({w.strip().lower() for w in keywords if w and w.strip()})
+    if not wanted:
+        return rows
+    hay = F.lower(F.concat_ws(" ", *[value_text(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema.fields]))
+    if len(wanted) <= 32:
+        hit = F.lit(False)
+        for word in wanted:
+            hit = hit | F.contains(hay, F.lit(word))
+        return rows.where(hit)
+    listed = rows.sparkSession.createDataFrame([(w,) for w in wanted], "word string")
+    return find_words(rows, hay, listed, "_found").where("size(_found) > 0").drop("_found")
 
 
 def first_per_group(rows: DataFrame, by: Sequence[str], n: int, order: Sequence[Column | str]) -> DataFrame:

@@ -28,6 +28,8 @@ ALIASES: dict[str, tuple[str, ...]] = {
 }
 SITE_ALIASES = {"site": ("site", "platform", "retailer", "source", "marketplace")}
 REQUIRED = ("brand", "product_name", "selling_price")
+#: Where a row stands: its file, its line there, and its number over all files.
+PLACE = ("file", "line", "ordinal")
 
 
 def _fold(header: str) -> str:
@@ -51,16 +53,16 @@ def canonical(sheet: DataFrame, aliases: Mapping[str, Sequence[str]] = ALIASES,
     missing = [f for f in required if f not in found]
     if missing:
         raise ValueError(f"no column for {', '.join(missing)}; recognized: {', '.join(sorted(found)) or 'none'}")
-    return sheet.select(*[(F.trim(keys.text(F.col(f"`{found[f]}`"))) if f in found else F.lit("")).alias(f) for f in aliases], *[c for c in ("line",) if c in sheet.columns])
+    return sheet.select(*[(F.trim(keys.text(F.col(f"`{found[f]}`"))) if f in found else F.lit("")).alias(f) for f in aliases], *[c for c in PLACE if c in sheet.columns])
 
 
 def own_catalogue(sheet: DataFrame, site: str) -> DataFrame:
     """Products of one's own sheet (with a column ``line``); rows without name are left out, and the id is
-    the sheet's, else the SKU, else the line's number."""
+    the sheet's, else the SKU, else the row's number (over all files, where the sheet has several)."""
     t = canonical(sheet)
     mrp, price = values.sheet_number(F.col("mrp")), values.sheet_number(F.col("selling_price"))
     t = t.where("product_name <> ''").withColumns({"n_mrp": mrp, "n_price": price})
-    pid = F.coalesce(F.nullif("product_id", F.lit("")), F.nullif("sku", F.lit("")), F.col("line").cast("string"))
+    pid = F.coalesce(F.nullif("product_id", F.lit("")), F.nullif("sku", F.lit("")), F.col("ordinal" if "ordinal" in sheet.columns else "line").cast("string"))
     return t.select(F.lit(site).alias("site"), pid.alias("product_id"), "brand", "product_name", F.filter(F.array("categories"), lambda x: x != "").alias("categories"), "sku", keys.normalize_gtin(F.col("gtin")).alias("gtin"), "variant", F.col("n_mrp").alias("mrp"), F.col("n_price").alias("selling_price"), values.discount_pct(F.col("n_mrp"), F.col("n_price")).alias("discount_pct"), values.boolean_word(F.col("in_stock")).alias("in_stock"), "product_url", "image_url")
 
 
@@ -74,17 +76,18 @@ def manual_rows(sheet: DataFrame, default_site: str, sites: Sequence[str] = ())
         reason = reason.when(~site.isin(*sites), "unknown site")
     mrp, price = values.sheet_number(F.col("mrp")), values.sheet_number(F.col("selling_price"))
     pid = F.when(F.col("product_id") != "", F.col("product_id")).otherwise(keys.manual_id(F.col("sku"), F.col("brand"), F.col("product_name")))
-    return t.select(site.alias("site"), pid.alias("product_id"), "brand", "product_name", "variant", "sku", keys.normalize_gtin(F.col("gtin")).alias("gtin"), mrp.alias("mrp"), price.alias("selling_price"), values.discount_pct(mrp, price).alias("discount_pct"), values.boolean_word(F.col("in_stock")).alias("in_stock"), F.filter(F.transform(F.split("categories", r"[|;,]"), lambda x: F.trim(x)), lambda x: x != "").alias("categories"), "product_url", "image_url", "line", reason.alias("reject_reason"))
+    return t.select(site.alias("site"), pid.alias("product_id"), "brand", "product_name", "variant", "sku", keys.normalize_gtin(F.col("gtin")).alias("gtin"), mrp.alias("mrp"), price.alias("selling_price"), values.discount_pct(mrp, price).alias("discount_pct"), values.boolean_word(F.col("in_stock")).alias("in_stock"), F.filter(F.transform(F.split("categories", r"[|;,]"), lambda x: F.trim(x)), lambda x: x != "").alias("categories"), "product_url", "image_url", *[c for c in PLACE if c in sheet.columns], reason.alias("reject_reason"))
 
 
-def select_new(sheet: DataFrame, stored: DataFrame, order: Sequence[str] = ("line",)) -> DataFrame:
-    """The sheet's rows with ``outcome``: null for rows to insert, else why not.
+def select_new(sheet: DataFrame, stored: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The sheet's rows with ``outcome``: null for rows to insert, else why not. Rows are in the order of
+    ``order``, by default of file (if there is one) and line; two rows of one place are an error.
 
     A row is known by its id or by its brand and name. Within the sheet a row loses to an earlier
     *accepted* row of its id or identity; acceptance is settled in rounds, the earliest open row of both
     its id and its identity first, so chains come out as in a walk over the sheet.
     """
-    spark = sheet.sparkSession
+    spark, order = sheet.sparkSession, order or [c for c in ("file", "line") if c in sheet.columns]
     named = lambda df: df.withColumns({"ident": keys.text_identity(F.col("site"), F.col("brand"), F.col("product_name"))})
     known = named(stored)
     ids = known.select("site", "product_id").distinct().withColumn("has_id", F.lit(True))
@@ -94,6 +97,8 @@ def select_new(sheet: DataFrame, stored: DataFrame, order: Sequence[str] = ("lin
     folder = scratch(spark)
     judged.withColumn("outcome", outcome).withColumn("at", F.struct(*order)).write.parquet(f"{folder}/judged")
     judged = spark.read.parquet(f"{folder}/judged")
+    if not judged.groupBy("at").count().where("count > 1").isEmpty():
+        raise ValueError(f"several rows have the same {', '.join(order)}")
     judged.where("outcome IS NULL").select("site", "product_id", "ident", "at").write.parquet(f"{folder}/open0")
     decided, i = [], 0
     while not (rest := spark.read.parquet(f"{folder}/open{i}")).isEmpty():
@@ -122,7 +127,7 @@ def import_sheet(sheet: DataFrame, stored: DataFrame, default_site: str, sites:
     rows = manual_rows(sheet, default_site, sites)
     bad = rows.where("reject_reason IS NOT NULL").withColumn("outcome", F.col("reject_reason"))
     judged = select_new(rows.where("reject_reason IS NULL"), stored)
-    return judged.where("outcome IS NULL").drop("outcome", "reject_reason", "line"), judged.unionByName(bad)
+    return judged.where("outcome IS NULL").drop("outcome", "reject_reason", *PLACE), judged.unionByName(bad)
 
 
 def import_counts(outcomes: DataFrame) -> DataFrame:

@@ -537,13 +537,18 @@ def sweep_audit(spark, sf_dir):
 # --- imports -----------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT c_custkey AS line, 'Brand ' || (c_custkey % 50) AS brand, c_name AS product_name, CASE WHEN c_custkey % 3 = 0 THEN 'S' || c_custkey ELSE '' END AS sku FROM customer),
-k AS (SELECT *, CASE WHEN sku <> '' THEN sku ELSE substr('manual-' || regexp_replace(lower(brand), '[^a-z0-9]+', '', 'g') || '-' || replace(trim(regexp_replace(lower(product_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 1, 120) END AS product_id FROM c)
-SELECT line, product_id, CASE WHEN sku <> '' AND line IN (SELECT s_suppkey FROM supplier) THEN 'product_id already stored' END AS outcome FROM k""", with_obs=False)
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey // 2 AS line, c_custkey % 2 AS file, CASE WHEN c_custkey % 10 = 7 THEN c_custkey - 1 ELSE c_custkey END AS named FROM customer),
+s AS (SELECT k, line, file, 'Brand ' || (named % 50) AS brand, n.c_name AS product_name, CASE WHEN k % 10 IN (4, 5) THEN 'D' || (k - k % 2) WHEN k % 10 = 7 THEN 'E' || k WHEN k % 3 = 0 THEN 'S' || k ELSE '' END AS sku FROM c JOIN customer n ON n.c_custkey = c.named),
+i AS (SELECT *, CASE WHEN sku <> '' THEN sku ELSE substr('manual-' || regexp_replace(lower(brand), '[^a-z0-9]+', '', 'g') || '-' || replace(trim(regexp_replace(lower(product_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 1, 120) END AS product_id,
+  sku LIKE 'S%' AND k IN (SELECT s_suppkey FROM supplier) AS known FROM s)
+SELECT a.file::INTEGER AS file, a.line, a.product_id, CASE WHEN a.known THEN 'product_id already stored' WHEN a.k % 10 = 5 THEN 'duplicate product_id in the sheet' WHEN a.k % 10 = 7 AND NOT b.known THEN 'duplicate brand and name in the sheet' END AS outcome
+FROM i a LEFT JOIN i b ON b.k = a.k - 1""", with_obs=False)
 def import_select_new(spark, sf_dir):
     c, s = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "supplier")
-    key = F.col("c_custkey")
-    sheet = c.select(key.alias("line"), F.concat(F.lit("Brand "), (key % 50).cast("string")).alias("Vendor"), F.col("c_name").alias("Title"), F.when(key % 3 == 0, F.concat(F.lit("S"), key.cast("string"))).otherwise("").alias("Variant SKU"))
+    names, key = c.select(F.col("c_custkey").alias("named"), F.col("c_name").alias("Title")), F.col("c_custkey")
+    sku = F.when((key % 10).isin(4, 5), F.concat(F.lit("D"), (key - key % 2).cast("string"))).when(key % 10 == 7, F.concat(F.lit("E"), key.cast("string"))).when(key % 3 == 0, F.concat(F.lit("S"), key.cast("string"))).otherwise("")
+    rows = c.select(F.floor(key / 2).alias("line"), (key % 2).cast("int").alias("file"), F.when(key % 10 == 7, key - 1).otherwise(key).alias("named"), sku.alias("Variant SKU")).join(names, "named")
+    sheet = rows.select("file", "line", F.concat(F.lit("Brand "), (F.col("named") % 50).cast("string")).alias("Vendor"), "Title", "Variant SKU")
     stored = s.select(F.lit("manual").alias("site"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("product_id"), F.lit("Other").alias("brand"), F.col("s_name").alias("product_name"))
     _, outcomes = imports.import_sheet(sheet, stored, "manual")
-    return outcomes.select("line", "product_id", "outcome")
+    return outcomes.select("file", "line", "product_id", "outcome")

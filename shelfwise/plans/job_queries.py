@@ -86,14 +86,14 @@ def _sheet(spark, sf_dir):
     folder, key = scratch(spark), F.col("c_custkey")
     rows = _table(spark, sf_dir, "customer").select(
         F.when(key % 11 == 0, " ").otherwise(F.concat(F.lit("Brand "), (key % 50).cast("string"))).alias("Vendor"), F.when(key % 13 == 0, "").otherwise(F.col("c_name")).alias("Title"), F.when(key % 3 == 0, F.concat(F.lit("S"), key.cast("string"))).otherwise("").alias("Variant SKU"),
-        F.concat(F.lit("₹ "), key.cast("string"), F.lit(".50")).alias("Price"), F.when(key % 2 == 0, "Sold out").otherwise("yes").alias("Available"), F.lit("Skin | Care;Face").alias("Type"), F.when(key % 17 == 0, "Nowhere").when(key % 2 == 0, "Site_1").otherwise("").alias("Marketplace"), key.alias("k"),
+        F.concat(F.lit("₹ "), key.cast("string"), F.lit(".50")).alias("Price"), F.when(key % 2 == 0, "Sold out").otherwise("yes").alias("Available"), F.lit("Skin | Care;Face").alias("Type"), F.when(key % 17 == 0, "Nowhere").when(key % 2 == 0, "Site_1").otherwise("").alias("Marketplace"), key.alias("k"), (key % 3).alias("part"),
     )
-    rows.coalesce(1).sortWithinPartitions("k").drop("k").write.options(header=True, escape='"').csv(folder)
+    rows.repartition("part").sortWithinPartitions("part", "k").drop("k").write.partitionBy("part").options(header=True, escape='"').csv(folder)  # three files, read in the order of their paths
     return readers.read_sheet(spark, folder)
 
 
-_SHEET = """WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) + 1 AS line, c_custkey AS k FROM customer),
-s AS (SELECT line, k, CASE WHEN k % 11 = 0 THEN '' ELSE 'Brand ' || (k % 50) END AS brand, CASE WHEN k % 13 = 0 THEN '' ELSE c_name END AS product_name, CASE WHEN k % 3 = 0 THEN 'S' || k ELSE '' END AS sku,
+_SHEET = """WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) + 1 AS line, row_number() OVER (ORDER BY c_custkey % 3, c_custkey) + 1 AS ordinal, c_custkey AS k FROM customer),
+s AS (SELECT line, ordinal, k, CASE WHEN k % 11 = 0 THEN '' ELSE 'Brand ' || (k % 50) END AS brand, CASE WHEN k % 13 = 0 THEN '' ELSE c_name END AS product_name, CASE WHEN k % 3 = 0 THEN 'S' || k ELSE '' END AS sku,
   CASE WHEN k % 17 = 0 THEN 'nowhere' WHEN k % 2 = 0 THEN 'site_1' ELSE 'manual' END AS site FROM c)
 """
 
@@ -105,7 +105,7 @@ def manual_sheet(spark, sf_dir):
     return rows.select("line", "site", "brand", "product_name", "product_id", "selling_price", "in_stock", F.array_join("categories", ",").alias("categories"), "reject_reason")
 
 
-@query(_SHEET + "SELECT CASE WHEN sku <> '' THEN sku ELSE line::VARCHAR END AS product_id, 'own' AS site, brand, product_name, k + 0.5::DOUBLE AS selling_price, k % 2 <> 0 AS in_stock FROM s WHERE product_name <> ''", with_obs=False)
+@query(_SHEET + "SELECT CASE WHEN sku <> '' THEN sku ELSE ordinal::VARCHAR END AS product_id, 'own' AS site, brand, product_name, k + 0.5::DOUBLE AS selling_price, k % 2 <> 0 AS in_stock FROM s WHERE product_name <> ''", with_obs=False)
 def own_sheet(spark, sf_dir):
     return imports.own_catalogue(_sheet(spark, sf_dir), "own").select("product_id", "site", "brand", "product_name", "selling_price", "in_stock")
 
@@ -215,9 +215,7 @@ def final_sync_need(spark, sf_dir):
 def sweep_gate(spark, sf_dir):
     before, after = _split(spark, sf_dir)
     stored = before.withColumn("is_active", F.when(F.col("product_id") % 3 == 0, False))
-    sites = [r.site for r in after.select("site").distinct().collect()]  # as many rows as sites
-    found = [(s, changes.sweep_is_complete(after, stored, s, True, 1.4), changes.sweep_is_complete(after, stored, s, True, 0.1, True)) for s in sites]
-    return spark.createDataFrame(found, "site string, complete boolean, filtered boolean")
+    return changes.sweep_gates(after, stored, 1.4).select("site", "complete", F.lit(False).alias("filtered"))
 
 
 @query(_SPLIT + "SELECT a.site, a.product_id, CASE WHEN a.l_partkey % 2 = 0 THEN coalesce(b.description, '') ELSE a.description END AS description, a.selling_price FROM after a LEFT JOIN before b ON a.site = b.site AND a.product_id = b.product_id")
@@ -306,10 +304,40 @@ def brand_allow_list(spark, sf_dir):
     return barcodes.allow_brands(latest(spark, sf_dir), brands).select(*KEY)
 
 
+_STATE_DDL = "product_id string, brand string, product_name string, mrp double, selling_price double, in_stock boolean, description string, site string"
+
+
+@query(_SPLIT + """SELECT coalesce(a.site, b.site) AS site, coalesce(a.product_id, b.product_id) AS product_id, coalesce(a.selling_price, b.selling_price) AS selling_price, CASE WHEN a.site IS NOT NULL THEN a.in_stock ELSE b.in_stock END AS in_stock, b.description AS description
+FROM before b FULL JOIN (SELECT * FROM after WHERE site = 'site_2' OR l_partkey % 7 = 0) a ON a.site = b.site AND a.product_id = b.product_id""")
+def upsert_parts(spark, sf_dir):
+    folder, (before, after) = scratch(spark), _split(spark, sf_dir)
+    sinks.upsert_parts(spark, folder, before.select("product_id", "brand", "product_name", "mrp", "selling_price", "in_stock", "description", "site"), _STATE_DDL)
+    for batch in (after.where("site = 'site_2'"), after.where("product_id % 7 = 0"), after.where("product_id % 7 = 0")):
+        sinks.upsert_parts(spark, folder, batch.select("site", "product_id", "selling_price", "in_stock"), _STATE_DDL)
+    return sinks.read_parts(spark, folder, _STATE_DDL).select("site", "product_id", "selling_price", "in_stock", "description")
+
+
+@query(f"SELECT site, product_id, strftime(scraped_at, '%Y-%m-%d') AS seen, max(CASE WHEN scraped_at < TIMESTAMP '{CUT}' THEN 0 ELSE ord END) AS ord, count(*) FILTER (ord < 0) AS again FROM obs GROUP BY site, product_id, scraped_at")
+def history_by_day(spark, sf_dir):
+    folder, rows = scratch(spark), obs(spark, sf_dir)
+    kinds = "site string, product_id string, scraped_at timestamp, ord long"
+    old = rows.where(f"scraped_at < '{CUT}'").withColumn("ord", F.lit(0).cast("long"))
+    for batch in (old, rows, rows):
+        sinks.append_days(spark, folder, batch.select("site", "product_id", "scraped_at", F.col("ord").cast("long").alias("ord")), kinds)
+    return spark.read.parquet(folder).select("site", "product_id", F.date_format("scraped_at", "yyyy-MM-dd").alias("seen"), "ord", F.lit(0).cast("long").alias("again"))
+
+
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name || '|' || p_type), 'small') OR contains(lower(p_name || '|' || p_type), 'red')", with_obs=False)
 def keyword_rows(spark, sf_dir):
-    p = _table(spark, sf_dir, "part").select("p_name", "p_type", "p_partkey")
-    return dims.keyword_filter(p, ["SMALL", "red"]).select("p_partkey")
+    p = _table(spark, sf_dir, "part").select("p_name", F.struct("p_type").alias("kinds"), "p_partkey")
+    return dims.keyword_filter(p, ["SMALL", "red", "p_name", "kinds", "p_type"]).select("p_partkey")  # names of columns are no values
+
+
+@query("""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS word FROM part) WHERE length(word) >= 3)
+SELECT d.doc_id, list_sort(list(w.word)) AS words FROM documents d JOIN w ON contains(lower(d.text), w.word) GROUP BY d.doc_id""", with_obs=False)
+def words_in_documents(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("word")).where("length(word) >= 3")
+    return dims.find_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), F.lower("text"), names, "words").where("size(words) > 0").select("doc_id", "words")
 
 
 @query("SELECT DISTINCT p_type AS name FROM part WHERE p_type NOT IN ('SMALL', 'LARGE') AND p_type <> 'PROMO'", with_obs=False)

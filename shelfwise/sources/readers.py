@@ -19,10 +19,14 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, first_line: int = 2) -> DataFrame:
-    """As ``read_csv_text``, with ``line``, the row's number in its file (files are read by one task each)."""
-    df = read_csv_text(spark, path).withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
-    nth = F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long")
-    return df.withColumn("line", nth + (first_line - 1)).drop("_file", "_at")
+    """As ``read_csv_text``, with ``file``, ``line``, the row's number in its file (files are read by one task
+    each), and ``ordinal``, which goes on over the files in the order of their paths: the line, if there is one."""
+    df = read_csv_text(spark, path).withColumns({"file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("_at")).cast("long")
+    numbered = df.withColumn("line", nth + (first_line - 1)).drop("_at")
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    offsets = df.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    return numbered.join(offsets, "file").withColumn("ordinal", F.col("line") + F.col("_before")).select(*numbered.columns, "ordinal")
 
 
 def read_products_csv(spark: SparkSession, path: str) -> DataFrame:

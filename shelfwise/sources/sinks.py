@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.values import to_cell
 from shelfwise.operators.catalogue import canonical_order
-from shelfwise.schema import PRODUCT_COLUMNS
-from shelfwise.sources.versions import VersionedTable
+from shelfwise.schema import HISTORY_KEY, PRODUCT_COLUMNS
+from shelfwise.sources.readers import exists
+from shelfwise.sources.versions import VersionedTable, drop, stored
 
 
 def csv_cells(products: DataFrame) -> DataFrame:
@@ -34,6 +36,71 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)
 
 
+#: Parts of a site by a hash of the product's id, in tables that are rewritten part by part.
+BUCKETS = 64
+
+
+def with_bucket(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``bucket``, the part of its site that a product is in."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int"))
+
+
+def touched_parts(stored: DataFrame, new: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``stored``, a table partitioned by site and bucket, in the parts that ``new`` has keys of.
+    The scan reads no other files. At most ``buckets`` parts a site come to the driver."""
+    parts: dict[str, list[int]] = {}
+    for r in with_bucket(new, buckets).select("site", "bucket").distinct().collect():
+        parts.setdefault(r.site, []).append(r.bucket)
+    wanted = F.lit(False)
+    for site, own in parts.items():
+        wanted = wanted | ((F.col("site") == site) & (F.col("bucket").isin(own) if len(own) < buckets else F.lit(True)))
+    return stored.where(wanted)
+
+
+def write_parts(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Put the rows, which are whole parts, in place of what the table at ``path`` has there; other parts stay.
+    Each part is written by one task. The rows are computed before a part is replaced, so they may come
+    from the table itself; a write that failed may be done again."""
+    ready = stored(with_bucket(rows, buckets))
+    ready.repartition("site", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site", "bucket").parquet(path)
+    drop(ready)
+
+
+def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that ``write_parts`` wrote, with ``bucket``; empty where there is none yet."""
+    kinds = [*T._parse_datatype_string(schema).fields, T.StructField("bucket", T.IntegerType())]
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType(kinds))
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
+
+
+def upsert_parts(spark: SparkSession, path: str, new: DataFrame, schema: str, buckets: int = BUCKETS) -> None:
+    """Merge rows into a current table by key: only the parts that they fall in are read and written. Empty rich
+    fields keep what is stored. The same rows again change nothing."""
+    from shelfwise.operators import catalogue
+
+    new = stored(new)
+    table = touched_parts(read_parts(spark, path, schema), new, buckets).drop("bucket")
+    write_parts(catalogue.upsert(table, catalogue.preserve_rich_fields(new, table)), path, buckets)
+    drop(new)
+
+
+def append_days(spark: SparkSession, path: str, points: DataFrame, schema: str, order: Sequence[str] = ()) -> None:
+    """Add price points to a history partitioned by ``day``, the date of ``scraped_at``: those whose key it lacks.
+    A point's day is part of its key, so only the days of the batch are read; at most one date for each
+    day of the batch comes to the driver."""
+    from shelfwise.operators import catalogue
+
+    dated = stored(points.withColumn("day", F.to_date("scraped_at")))
+    kinds = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("day", T.DateType())])
+    history = spark.read.schema(kinds).parquet(path) if exists(spark, path) else spark.createDataFrame([], kinds)
+    days = [r.day for r in dated.select("day").distinct().collect()]
+    own = history.where(F.col("day").isin([d for d in days if d is not None]))
+    fresh = catalogue.append_history(own, dated.where("day IS NOT NULL").select(history.columns), ("day", *HISTORY_KEY), order)
+    stored(fresh).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    drop(dated)
+
+
 def write_outputs(outputs: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> None:
     """Each named DataFrame in a folder of its own."""
     for name, df in outputs.items():

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,90 @@ def test_dimensions(spark):
     assert sorted(r.name for r in dims.select_categories(dim).collect()) == ["All", "C"] and [r.name for r in dims.select_categories(dim, ["a"]).collect()] == ["A"]
     with pytest.raises(ValueError, match="zzz"):
         dims.select_categories(dim, ["zzz"])
+
+
+def test_files_of_a_sheet_and_equal_lines(spark, tmp_path):
+    from shelfwise.sources import readers
+
+    folder = tmp_path / "sheet"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Vendor,Title,Id,Price\nV,One,a,1\nV,Two,c,1\n")
+    (folder / "b.csv").write_text("Vendor,Title,Id,Price\nV,Three,a,1\nV,Four,d,1\nV,Two,e,1\n,,,\n")
+    sheet = readers.read_sheet(spark, str(folder)).repartition(5)
+    assert sorted((r.file[-5:], r.line, r.ordinal) for r in sheet.collect()) == [("a.csv", 2, 2), ("a.csv", 3, 3), ("b.csv", 2, 4), ("b.csv", 3, 5), ("b.csv", 4, 6), ("b.csv", 5, 7)]
+    known = spark.createDataFrame([], "site string, product_id string, brand string, product_name string")
+    new, outcomes = imports.import_sheet(sheet, known, "m")
+    assert sorted(r.product_id for r in new.collect()) == ["a", "c", "d"]
+    why = {(r.file[-5:], r.line): r.outcome for r in outcomes.collect() if r.outcome}
+    assert why == {("b.csv", 2): "duplicate product_id in the sheet", ("b.csv", 4): "duplicate brand and name in the sheet", ("b.csv", 5): "brand is blank"}
+    with pytest.raises(ValueError, match="line"):
+        imports.import_sheet(sheet.drop("file"), known, "m")
+    own = imports.own_catalogue(sheet.drop("Id"), "own")
+    assert sorted(r.product_id for r in own.collect()) == ["2", "3", "4", "5", "6"]
+
+
+def test_keywords_are_looked_for_in_values_only(spark):
+    rows = spark.createDataFrame([(1, "Red Apple", ["x", "Deep"], {"kind": "Soft"}, ("inner",)), (2, None, [], {}, (None,))], "id int, type string, tags array<string>, attrs map<string,string>, s struct<field:string>")
+    ids = lambda *words: [r.id for r in dims.keyword_filter(rows, words).collect()]
+    assert ids("type") == ids("tags", "kind", "field") == [] and ids(" RED a") == ids("deep") == ids("soft") == ids("INNER") == [1]
+    assert ids() == ids("", " ") == [1, 2] and ids(*[f"none{i}" for i in range(40)]) == [] and ids(*[f"none{i}" for i in range(40)], "apple") == [1]
+
+
+def test_many_words(spark, monkeypatch):
+    words = spark.range(50_000).select(F.concat(F.lit("w"), "id", F.lit("x")).alias("word"))
+    rows = spark.createDataFrame([(1, "a w7x b w49999xw7x"), (2, None), (3, "w50000x")], "id int, t string")
+    for size in (1 << 26, 1 << 20):
+        monkeypatch.setattr(dims, "WORD_BYTES", size)
+        assert {r.id: r.found for r in dims.find_words(rows, F.col("t"), words, "found").collect()} == {1: ["w49999x", "w7x"], 2: [], 3: []}
+    assert dims.find_words(rows, F.col("t"), words.where("false"), "found").where("size(found) > 0").count() == 0
+
+
+def test_families_through_cycles_and_better_roots(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("r", "c"), ("x", "y")], "id string, variant string")
+    roots = spark.createDataFrame([("a", 2, ["A"]), ("r", 1, ["R"]), ("x", 3, [])], "id string, ord int, labels array<string>")
+    got = {r.id: (r.parent, r.labels) for r in dims.variant_families(edges, roots).collect()}
+    assert got == {"a": ("r", ["A", "R"]), "b": ("r", ["A", "R"]), "c": ("r", ["A", "R"]), "r": ("r", ["R"]), "x": ("x", []), "y": ("x", [])}
+    assert dims.variant_families(edges, roots.limit(0)).count() == 0
+
+
+def test_only_touched_parts_are_read_and_written(spark, tmp_path):
+    from shelfwise.sources import sinks
+
+    ddl, path = "product_id string, selling_price double, description string, site string", f"file://{tmp_path}/table"
+    rows = spark.range(400).select(F.col("id").cast("string").alias("product_id"), F.lit(1.0).alias("selling_price"), F.lit("d").alias("description"), F.when(F.col("id") < 200, "a").otherwise("b").alias("site"))
+    sinks.upsert_parts(spark, path, rows, ddl, 8)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    new = spark.createDataFrame([("5", 2.0, "a"), ("new", 3.0, "a")], "product_id string, selling_price double, site string")
+    plan = sinks.touched_parts(sinks.read_parts(spark, path, ddl), new, 8)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    for _ in range(2):  # again: nothing changes
+        sinks.upsert_parts(spark, path, new, ddl, 8)
+    after = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    parts = {f"bucket={r.bucket}" for r in sinks.with_bucket(new, 8).collect()}
+    assert {f for f in before if after.get(f) != before[f]} == {f for f in before if "site=a" in str(f) and f.parent.name in parts}
+    table = {r.product_id: r for r in sinks.read_parts(spark, path, ddl).collect()}
+    assert len(table) == 401 and table["5"].selling_price == 2.0 and table["5"].description == "d" and table["new"].description is None
+
+
+def test_a_history_by_day_reads_the_days_of_the_batch(spark, tmp_path):
+    from shelfwise.sources import sinks
+
+    path, ddl = f"file://{tmp_path}/history", "site string, product_id string, scraped_at timestamp, selling_price double"
+    point = lambda day, price: ("a", "1", dt.datetime(2024, 1, day), price)
+    batch = lambda *rows: spark.createDataFrame(rows, ddl)
+    sinks.append_days(spark, path, batch(point(1, 1.0), point(2, 2.0)), ddl)
+    files = set(tmp_path.rglob("*.parquet"))
+    sinks.append_days(spark, path, batch(point(2, 9.0), point(3, 3.0), point(3, 4.0)), ddl)
+    assert sorted((r.day.day, r.selling_price) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 2.0), (3, 4.0)]
+    assert {f.parent.name for f in set(tmp_path.rglob("*.parquet")) - files} == {"day=2024-01-03"}
+
+
+def test_merged_values_of_a_product(spark):
+    rows = products(spark, [
+        product("A", "1", categories=["b", "a"], image_urls=["x", "y"], product_attributes={"k": "old", "z": "1"}, selling_price=1.0, scraped_at=dt.datetime(2024, 1, 1)),
+        product("a", "1", categories=["c", "a"], image_urls=["z", "y"], product_attributes={"k": "new"}, selling_price=2.0, scraped_at=dt.datetime(2024, 1, 2)),
+        product("a", "1", categories=None, image_urls=None, product_attributes=None, selling_price=3.0, scraped_at=dt.datetime(2024, 1, 3)), product("b", "2", categories=None, image_urls=[], product_attributes=None),
+    ])
+    got = {r.product_id: r for r in catalogue.dedup_merge(rows, order=["scraped_at"]).collect()}
+    assert (got["1"].selling_price, got["1"].categories, got["1"].image_urls, got["1"].product_attributes) == (3.0, ["a", "b", "c"], ["z", "y", "x"], {"k": "new", "z": "1"})
+    assert (got["2"].categories, got["2"].image_urls, got["2"].product_attributes) == ([], [], {})
