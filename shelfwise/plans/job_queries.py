@@ -311,9 +311,9 @@ _STATE_DDL = "product_id string, brand string, product_name string, mrp double,
 FROM before b FULL JOIN (SELECT * FROM after WHERE site = 'site_2' OR l_partkey % 7 = 0) a ON a.site = b.site AND a.product_id = b.product_id""")
 def upsert_parts(spark, sf_dir):
     folder, (before, after) = scratch(spark), _split(spark, sf_dir)
-    sinks.upsert_parts(spark, folder, before.select("product_id", "brand", "product_name", "mrp", "selling_price", "in_stock", "description", "site"), _STATE_DDL)
+    sinks.upsert_parts(spark, folder, before.select("product_id", "brand", "product_name", "mrp", "selling_price", "in_stock", "description", "site"), _STATE_DDL, 4)
     for batch in (after.where("site = 'site_2'"), after.where("product_id % 7 = 0"), after.where("product_id % 7 = 0")):
-        sinks.upsert_parts(spark, folder, batch.select("site", "product_id", "selling_price", "in_stock"), _STATE_DDL)
+        sinks.upsert_parts(spark, folder, batch.select("site", "product_id", "selling_price", "in_stock"), _STATE_DDL, 4)
     return sinks.read_parts(spark, folder, _STATE_DDL).select("site", "product_id", "selling_price", "in_stock", "description")
 
 
@@ -323,7 +323,7 @@ def history_by_day(spark, sf_dir):
     kinds = "site string, product_id string, scraped_at timestamp, ord long"
     old = rows.where(f"scraped_at < '{CUT}'").withColumn("ord", F.lit(0).cast("long"))
     for batch in (old, rows, rows):
-        sinks.append_days(spark, folder, batch.select("site", "product_id", "scraped_at", F.col("ord").cast("long").alias("ord")), kinds)
+        sinks.append_days(spark, folder, batch.select("site", "product_id", "scraped_at", F.col("ord").cast("long").alias("ord")), kinds, period="year")
     return spark.read.parquet(folder).select("site", "product_id", F.date_format("scraped_at", "yyyy-MM-dd").alias("seen"), "ord", F.lit(0).cast("long").alias("again"))
 
 

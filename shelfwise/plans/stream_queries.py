@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.plans.catalogue_queries import query
 from shelfwise.session import configure
+from shelfwise.sources import sinks
 from shelfwise.sources.versions import VersionedTable, scratch
 from shelfwise.streaming import micro_batches
 
@@ -13,9 +14,9 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 _ROWS = "site string, product_id string, ord long, scraped_at timestamp, selling_price double, in_stock boolean"
 
 
-def _observations(spark, sf_dir):
+def _observations(spark, folder, names="events.parquet", below="", files=1000):
     configure(spark)
-    events = micro_batches.landing(spark, sf_dir, _EVENTS, pathGlobFilter="events.parquet")
+    events = micro_batches.landing(spark, f"{folder}/{below}", _EVENTS, files, pathGlobFilter=names)
     return events.select(
         F.concat(F.lit("site_"), (F.col("user_id") % 5).cast("string")).alias("site"), F.col("user_id").cast("string").alias("product_id"), F.col("event_id").alias("ord"),
         F.col("ts").cast("timestamp").alias("scraped_at"), F.floor("value").cast("double").alias("selling_price"), (F.col("event_type") != "error").alias("in_stock"),
@@ -36,7 +37,29 @@ def stream_upsert(spark, sf_dir):
 
 @query(_SQL + "SELECT site, product_id, ord, selling_price, in_stock FROM (SELECT *, lag(struct_pack(selling_price, in_stock)) OVER w AS before, row_number() OVER w AS nth FROM o WINDOW w AS (PARTITION BY site, product_id ORDER BY ts, ord)) WHERE nth = 1 OR struct_pack(selling_price, in_stock) IS DISTINCT FROM before", with_obs=False)
 def stream_price_changes(spark, sf_dir):
+    """Two runs over the same checkpoint, so the second starts from the state of the first; rows of the
+    first half that land again with it are late, and no changes."""
     folder = scratch(spark)
-    changes = micro_batches.price_change_stream(_observations(spark, sf_dir))
-    micro_batches.run_to_end(changes, lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"), f"{folder}/checkpoint")
+    events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    middle = events.agg(F.expr("percentile_approx(cast(ts AS timestamp), 0.5)")).first()[0]
+    early = F.col("ts").cast("timestamp") <= F.lit(middle)
+    for part in (events.where(early), events.where(~early | (F.col("event_id") % 10 == 0))):
+        part.coalesce(2).write.mode("append").parquet(f"{folder}/land/events.parquet")
+        changes = micro_batches.price_change_stream(_observations(spark, f"{folder}/land", "*.parquet", "events.parquet"))
+        micro_batches.run_to_end(changes, lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"), f"{folder}/checkpoint")
     return spark.read.schema(_ROWS).parquet(f"{folder}/out").select("site", "product_id", "ord", "selling_price", "in_stock")
+
+
+_TABLE = "product_id string, scraped_at timestamp, selling_price double, in_stock boolean, site string"
+
+
+@query(_SQL + "SELECT site, product_id, selling_price, in_stock, (SELECT count(DISTINCT (h.ts)) FROM o h WHERE h.site = l.site AND h.product_id = l.product_id) AS points FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY site, product_id ORDER BY ts DESC, ord DESC) = 1) l", with_obs=False)
+def stream_parts(spark, sf_dir):
+    """Keyed parts, in several micro-batches of one file each, the newest rows first."""
+    folder = scratch(spark)
+    events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    events.repartitionByRange(3, F.desc("ts")).write.parquet(f"{folder}/land/events.parquet")
+    merge = micro_batches.merge_parts(f"{folder}/table", f"{folder}/history", _TABLE, "site string, product_id string, selling_price decimal(12,2), in_stock boolean, scraped_at timestamp", 4, "year")
+    micro_batches.run_to_end(_observations(spark, f"{folder}/land", "*.parquet", "events.parquet", 1), merge, f"{folder}/checkpoint")
+    points = spark.read.parquet(f"{folder}/history").groupBy("site", "product_id").agg(F.count("*").alias("points"))
+    return sinks.read_parts(spark, f"{folder}/table", _TABLE).join(points, ["site", "product_id"]).select("site", "product_id", "selling_price", "in_stock", "points")

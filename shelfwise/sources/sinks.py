@@ -85,19 +85,21 @@ def upsert_parts(spark: SparkSession, path: str, new: DataFrame, schema: str, bu
     drop(new)
 
 
-def append_days(spark: SparkSession, path: str, points: DataFrame, schema: str, order: Sequence[str] = ()) -> None:
-    """Add price points to a history partitioned by ``day``, the date of ``scraped_at``: those whose key it lacks.
-    A point's day is part of its key, so only the days of the batch are read; at most one date for each
-    day of the batch comes to the driver."""
+def append_days(spark: SparkSession, path: str, points: DataFrame, schema: str, order: Sequence[str] = (), period: str = "day") -> None:
+    """Add price points to a history partitioned by ``day``, the date of ``scraped_at`` (or the first of its
+    ``period``, such as month): those whose key it lacks. A point's day follows from its key, so only the
+    days of the batch are read; at most one date for each of them comes to the driver."""
     from shelfwise.operators import catalogue
 
-    dated = stored(points.withColumn("day", F.to_date("scraped_at")))
+    dated = stored(points.withColumn("day", F.to_date(F.date_trunc(period, "scraped_at"))))
     kinds = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("day", T.DateType())])
     history = spark.read.schema(kinds).parquet(path) if exists(spark, path) else spark.createDataFrame([], kinds)
     days = [r.day for r in dated.select("day").distinct().collect()]
     own = history.where(F.col("day").isin([d for d in days if d is not None]))
     fresh = catalogue.append_history(own, dated.where("day IS NOT NULL").select(history.columns), ("day", *HISTORY_KEY), order)
-    stored(fresh).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    ready = stored(fresh)  # the history is read before it grows
+    ready.repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    drop(ready)
     drop(dated)
 
 

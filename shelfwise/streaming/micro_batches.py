@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfwise.operators import catalogue
 from shelfwise.schema import KEY
+from shelfwise.sources import sinks
 from shelfwise.sources.versions import VersionedTable
 
 
@@ -46,6 +49,28 @@ def merge_batch(table: VersionedTable, history: VersionedTable, schema: str, his
     return merge
 
 
+def merge_parts(table: str, history: str, schema: str, history_schema: str, buckets: int = sinks.BUCKETS, period: str = "day") -> Callable[[DataFrame, int], None]:
+    """As ``merge_batch`` for a table of keyed parts and a history by day, given by their paths: a batch reads
+    and writes only the parts and days that it has rows of, however large the table is."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark, batch = batch.sparkSession, batch.persist()
+        try:
+            rows = batch.where("coalesce(product_id, '') <> ''")
+            order = [c for c in ("scraped_at", "ord") if c in rows.columns]
+            names = [f.name for f in T._parse_datatype_string(schema).fields]
+            newest = catalogue.latest_per_key(rows, KEY, order).select([c for c in rows.columns if c in names])
+            old = sinks.touched_parts(sinks.read_parts(spark, table, schema), newest, buckets).select(*KEY, F.col("scraped_at").alias("old_at"))
+            fresh = newest.join(old, list(KEY), "left").where("old_at IS NULL OR scraped_at >= old_at").drop("old_at")
+            sinks.upsert_parts(spark, table, fresh, schema, buckets)
+            points = [f.name for f in T._parse_datatype_string(history_schema).fields]
+            sinks.append_days(spark, history, catalogue.history_rows(rows).select([c for c in points if c in rows.columns]), history_schema, period=period)
+        finally:
+            batch.unpersist()
+
+    return merge
+
+
 def merge_quarantine(spark: SparkSession, merge: Callable[[DataFrame, int], None], quarantine: str) -> int:
     """Merge the batches that were set aside, in their order, and take them away; returns their number. A
     batch that fails again is an error, and it and those after it stay."""
@@ -78,28 +103,52 @@ def close_stream(table: VersionedTable, schema: str, runs: DataFrame, site: str,
 
 
 _OUT = "site string, product_id string, ord long, scraped_at timestamp, selling_price double, in_stock boolean"
-_STATE = "at timestamp, ord long, selling_price double, in_stock boolean"
-
-
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["scraped_at", "ord"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        price = None if pd.isna(r.selling_price) else float(r.selling_price)
-        stock = None if r.in_stock is None or pd.isna(r.in_stock) else bool(r.in_stock)
-        if last and (r.scraped_at, r.ord) <= (pd.Timestamp(last[0]), last[1]):
-            continue  # older than what was seen: no change
-        if last is None or (price, stock) != (last[2], last[3]):
-            out.append((*key, r.ord, r.scraped_at, price, stock))
-        last = (r.scraped_at.to_pydatetime(), int(r.ord), price, stock)
-    if last:
-        state.update(last)
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-
-
-def price_change_stream(observations: DataFrame) -> DataFrame:
+_STATE = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("ord", T.LongType()), T.StructField("selling_price", T.DoubleType()), T.StructField("in_stock", T.BooleanType())])
+
+
+class PriceChanges(StatefulProcessor):
+    """A product's last observation as value state; a batch's rows are compared with the one before at once."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", _STATE, self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(rows)).sort_values(["scraped_at", "ord"], kind="stable")
+        last = self.last.get() if self.last.exists() else None
+        if last is not None:  # what is older than the last row is no change
+            at = pd.Timestamp(last[0])
+            seen = seen[(seen["scraped_at"] > at) | (seen["scraped_at"] == at) & (seen["ord"] > last[1])]
+        if not len(seen):
+            return
+        now = seen[_STATE.names[2:]].astype({"selling_price": "Float64", "in_stock": "boolean"})
+        before = now.shift(1)
+        if last is not None:
+            before.iloc[0] = [pd.NA if v is None else v for v in last[2:]]
+        same = ((now == before).fillna(False) | (now.isna() & before.isna())).all(axis=1).to_numpy(dtype=bool, copy=True)
+        same[0] &= last is not None
+        end = seen.iloc[-1]
+        values = [None if pd.isna(v) else v for v in now.iloc[-1]]
+        self.last.update((end["scraped_at"].to_pydatetime(), int(end["ord"]), *(None if v is None else kind(v) for v, kind in zip(values, (float, bool)))))
+        changed = seen[~same]
+        if len(changed):
+            yield changed.assign(site=key[0], product_id=key[1])[[c.split()[0] for c in _OUT.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+#: State that grows with the products is kept on the executors' disks, with checkpoints of what changed.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def price_change_stream(observations: DataFrame, ttl_hours: float | None = None) -> DataFrame:
     """Observations (site, product_id, ord, scraped_at, selling_price, in_stock) whose price or stock differs
-    from the product's last one, kept as state; the state is one row for each product."""
-    return observations.groupBy(*KEY).applyInPandasWithState(_changes, _OUT, _STATE, "append", "NoTimeout")
+    from the product's last one, kept as state; the state is one row for each product. Rows that are older
+    than the last one seen, by time and then ``ord``, are no changes. With ``ttl_hours`` a product that has
+    not been seen for so long is forgotten, and its next observation counts as its first."""
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    processor = PriceChanges(int(ttl_hours * 3_600_000) if ttl_hours else None)
+    return observations.groupBy(*KEY).transformWithStateInPandas(processor, _OUT, "append", "processingTime" if ttl_hours else "none")
