@@ -52,22 +52,17 @@ def naive_scores(page):
     own = {}
     for i, at in enumerate(order):
         near = [at] + order[max(0, i - 1) : i + 2]
-        own[at] = html.fused(sum(mean(x, len) for x in near) / len(near), sum(mean(x, marks) for x in near) / len(near))
+        own[at] = (html.fused(sum(mean(x, len) for x in near) / len(near), sum(mean(x, marks) for x in near) / len(near)) * html.fused(mean(at, len), mean(at, marks))) ** 0.5
 
     def below(path):
         return [(p, t, k) for p, t, k in texts if path in chain(p)]
 
-    def given(path):
-        found = below(path)
-        worth = sum(len(t) * own[p.at] * (1 - share(p.at)) * p.prior for p, t, _ in found) / max(sum(len(t) for _, t, _ in found), 1)
-        return max(worth, html.INHERITED * given(path.above)) if path.above else worth
-
     def against(path):
         found = below(path)
         bad = path.doubtful and found and html.is_boilerplate(sum(len(t) for _, t, _ in found), sum(k for _, _, k in found), sum(marks(t) for _, t, _ in found), len(found))
         return (html.NAMED if bad else 1.0) * (against(path.above) if path.above else 1.0)
 
-    return {at: max(own[at], given(page.paths[at])) * (1 - share(at)) * page.paths[at].prior * against(page.paths[at]) for at in order}
+    return {at: own[at] * (1 - share(at)) * page.paths[at].prior * against(page.paths[at]) for at in order}
 
 
 PAGES = [f"<nav>x</nav><article><h1 class=title>Hi</h1><p>{LONG}<p>b <a href=x>link, here</a></p><div class='related'><p>{LONG}</p><ul><li>one<li>two, three.</ul></div><div class=ad>Buy!</div></article><div class='side notice'>No</div>",
@@ -81,12 +76,40 @@ def test_scores_equal_their_definition():
         assert got == pytest.approx(want) and len(got) > 1
 
 
+UNNAMED = [
+    f"<body><div>{'<div><a href=1>News of today</a></div>' * 20}</div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>b</p></div><div>{'<div>Buy two for one</div>' * 9}</div></body>",
+    f"<body><table><tr><td>{'<div>Ad of the day</div>' * 20}</td><td><div><h2>T</h2><p>{LONG}</p><ul><li>one<li>two</ul><p>{LONG}</p></div></td></tr></table></body>",
+    f"<body><div><p>{LONG}</p><p>{LONG}</p><div>{'<div><div>Ann, on Monday</div><p>Well said.</p></div>' * 12}</div></div></body>",
+    f"<body><div>{'<span>All rights reserved by us</span><br>' * 9}</div><div><p>{LONG}</p><p>short</p><p>{LONG}</p></div></body>",
+]
+UNNAMED_TEXTS = [f"T\n{LONG.strip()}\n{LONG.strip()}\nb", f"T\n{LONG.strip()}\none\ntwo\n{LONG.strip()}", f"{LONG.strip()}\n{LONG.strip()}", f"{LONG.strip()}\nshort\n{LONG.strip()}"]
+
+
 def test_scores_choose_the_text(monkeypatch):
-    page = f"<article><h1>T</h1><p>{LONG}</p><div><p>{LONG}</p></div></article>"
-    assert main_text(page).count("\n") == 2
-    keep = html.path_scores
-    monkeypatch.setattr(html, "path_scores", lambda page, **x: {at: float(i == 2) for i, at in enumerate(keep(page))})
-    assert main_text(page) == LONG.strip()
+    """Pages without a name or element that tells what is what: with constant scores they come out wrong."""
+    assert [main_text(page) for page in UNNAMED] == UNNAMED_TEXTS
+    assert [main_text(page, by_name=False) for page in UNNAMED] == UNNAMED_TEXTS
+    scores = html.path_scores
+    monkeypatch.setattr(html, "path_scores", lambda page, *x, **y: dict.fromkeys(scores(page, *x, **y), 1.0))
+    assert sum(main_text(page) == text for page, text in zip(UNNAMED, UNNAMED_TEXTS)) == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form action=x><div><a href=y>Menu</a></div><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article></form></body>", f"T\n{LONG.strip()}\n{LONG.strip()}"),
+        (f"<body><aside><p>{LONG[:60]}</p><article><p>{LONG}</p></article></body>", LONG.strip()),
+        (f"<article><p>{LONG}</p><section><h2>Comments</h2><ul><li>First!</li><li>{LONG}</li></ul></section></article>", LONG.strip()),
+        (f"<article><p>{LONG}</p><h2>3 Kommentare</h2><p>Gut.</p><h2>Next</h2><p>{LONG}</p></article>", f"{LONG.strip()}\nNext\n{LONG.strip()}"),
+        (f"<article><header><h1>T</h1><span>By Ann, today</span></header><p>{LONG}</p></article>", f"T\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><div><div><div><div><table><tbody><tr><td>Cell one<td>2</table></div></div></div></div><p><a href=x>A linked paragraph</a></p><ul><li><a href=y>Smith 2010</a><li><a href=z>Jones 2011</a></ul></article>",
+         f"{LONG.strip()}\nCell one\n2\nA linked paragraph\nSmith 2010\nJones 2011"),
+        ("<article><p>" + LONG + "</p>" + "<div>" * 9 + "<p>D</p></article>", f"{LONG.strip()}\nD"),
+        (f"<body><header>Site of ours</header><main><p>{LONG}</p><form><p>Your name</p><p>Your mail</p></form></main><footer>{LONG}</footer></body>", LONG.strip()),
+    ],
+)
+def test_nothing_of_the_article_is_lost_and_nothing_else_kept(page, want):
+    assert main_text(page) == want
 
 
 @pytest.mark.parametrize("name", ["class=side-effects", "class=related-work", "id=notice-of-motion", "class=form"])
