@@ -166,8 +166,14 @@ def full_size_image(url: Column) -> Column:
     return F.regexp_replace(text(url), r"\._[A-Z0-9_,]+_(?=\.[a-zA-Z]+$)", "")
 
 
-def decode_body(body: Column, charset: str = "UTF-8") -> Column:
-    return F.decode(body, charset)
+def decode_body(body: Column, content_type: Column | None = None) -> Column:
+    """A page's bytes as text by the charset that its content type declares; without one, or with one that
+    is not known here, UTF-8, bytes that are none replaced. Storefronts that declare nothing send UTF-8."""
+    plain = F.make_valid_utf8(body.cast("string"))
+    if content_type is None:
+        return plain
+    charset = F.lower(F.regexp_extract(text(content_type), r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)", 1))
+    return F.when(charset.isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252"), F.decode(body, "ISO-8859-1")).otherwise(plain)
 
 
 def page_title(markup: Column) -> Column:
@@ -273,3 +279,23 @@ def first_path(record: Column, *paths: str) -> Column:
     """The first path of a JSON text that holds something, as text."""
     return F.coalesce(*[F.nullif(F.get_json_object(record, f"$.{p}"), F.lit("")) for p in paths])
 
+
+
+def parsed(record: Column) -> Column:
+    """A JSON text as a variant, null if it is none: parsed once for all paths that are read from it."""
+    return F.try_parse_json(record)
+
+
+def at_path(record: Column, path: str) -> Column:
+    """What a variant has at a path, as text; nested values as JSON."""
+    return F.try_variant_get(record, f"$.{path}", "string")
+
+
+def first_at(record: Column, *paths: str) -> Column:
+    """The first path of a variant that holds something, as text."""
+    return F.coalesce(*[F.nullif(at_path(record, p), F.lit("")) for p in paths])
+
+
+def array_at(record: Column, path: str) -> Column:
+    """The list at a path of a variant, as variants; null if there is none."""
+    return F.try_variant_get(record, f"$.{path}", "array<variant>")

@@ -52,27 +52,27 @@ def json_listing(bronze: DataFrame, base_url: str, brands: Sequence[str] = (), p
     """(products, rejected records) of a listing with variants: a variant's own value counts wherever it has
     the key, even blank; the parent's otherwise. Tiles of other kinds are dropped; records without name or
     id are rejected, not fatal."""
-    records = listing_records(bronze, paths)
-    p = lambda name: markup.first_path(F.col("r"), *PATHS[name])
+    records = listing_records(bronze, paths).withColumn("j", markup.parsed(F.col("r")))
+    p = lambda name: markup.first_at(F.col("j"), *PATHS[name])
     kind = F.lower(F.coalesce(p("type"), F.lit("")))
     bad = p("parent").isNull() | p("name").isNull()
     rejected = records.where(bad & kind.isin("", "product", "sku")).select("site", "page_no", "pos", "r", F.lit("no id or no name").alias("reason"))
     good = allow(records.where(~bad & kind.isin("", "product", "sku")), p("brand"), brands)
-    variants = F.from_json(F.get_json_object("r", "$.variants"), "array<string>")
-    each = good.select("site", "category", "fetched_at", "page_no", "pos", "r", F.posexplode_outer(F.when(F.size(variants) > 0, variants)).alias("vpos", "v"))
+    variants = markup.array_at(F.col("j"), "variants")
+    each = good.select("site", "category", "fetched_at", "page_no", "pos", "j", F.posexplode_outer(F.when(F.size(variants) > 0, variants)).alias("vpos", "v"))
 
     def own(name: str) -> Column:
         has = F.lit(False)
         for path in PATHS[name]:
             if "." not in path:
-                has = has | F.array_contains(F.json_object_keys("v"), path)
-        return F.when(F.coalesce(has, F.lit(False)), markup.first_path(F.col("v"), *PATHS[name])).otherwise(p(name))
+                has = has | F.try_variant_get("v", f"$.{path}", "variant").isNotNull()
+        return F.when(F.coalesce(has, F.lit(False)), markup.first_at(F.col("v"), *PATHS[name])).otherwise(p(name))
 
     price = values.clean_prices(values.payload_number(own("mrp")), values.payload_number(own("selling")))
     each = each.withColumn("prices", price)
     image = markup.absolute_url(own("image"), base_url)
     products = as_products(
-        each, site=F.col("site"), product_id=F.coalesce(markup.first_path(F.col("v"), *PATHS["sku"]), p("sku"), p("parent")), parent_product_id=p("parent"), brand=values.one_line(p("brand")), product_name=values.one_line(own("name")),
+        each, site=F.col("site"), product_id=F.coalesce(markup.first_at(F.col("v"), *PATHS["sku"]), p("sku"), p("parent")), parent_product_id=p("parent"), brand=values.one_line(p("brand")), product_name=values.one_line(own("name")),
         categories=values.text_list(F.array("category")), source_categories=values.text_list(F.array("category")), sku=F.coalesce(own("sku"), F.lit("")), variant=F.coalesce(own("variant"), F.lit("")),
         mrp=F.col("prices.mrp"), selling_price=F.col("prices.selling_price"), discount_pct=F.col("prices.discount_pct"), rating=values.payload_number(own("rating")), rating_count=values.payload_integer(own("rating_count")), review_count=values.payload_integer(own("review_count")),
         in_stock=values.stock(own("stock"), own("out"), own("quantity"), own("status")), product_url=markup.absolute_url(own("url"), base_url), image_url=image, image_urls=values.text_list(F.array(image)), scraped_at=F.col("fetched_at"),
@@ -95,10 +95,10 @@ def _breakdown(raw: Column) -> Column:
 def json_detail(bronze: DataFrame, base_url: str, listing: DataFrame | None = None) -> DataFrame:
     """One row for each option of a detail payload: the option's values, then the response's, then those of
     the listing row of the parent. The response's barcode is only that of a sole option."""
-    g = lambda path: F.get_json_object("body", f"$.{path}")
-    options = F.from_json(g("options"), "array<string>")
-    d = bronze.select("site", "fetched_at", "body", F.size(options).alias("n"), F.posexplode_outer(F.when(F.size(options) > 0, options)).alias("pos", "o"))
-    o = lambda *paths: markup.first_path(F.col("o"), *paths)
+    g = lambda path: markup.at_path(F.col("j"), path)
+    d = bronze.select("site", "fetched_at", markup.parsed(F.col("body")).alias("j")).withColumn("options", markup.array_at(F.col("j"), "options"))
+    d = d.select("site", "fetched_at", "j", F.size("options").alias("n"), F.posexplode_outer(F.when(F.size("options") > 0, F.col("options"))).alias("pos", "o"))
+    o = lambda *paths: markup.first_at(F.col("o"), *paths)
     parent = F.coalesce(o("parent_id"), g("parent_id"), g("id"))
     d = d.withColumn("parent", parent)
     if listing is not None:

@@ -75,12 +75,13 @@ def canonical_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*[F.lower(text(F.col(c))) for c in ("site", "brand", "product_name", "variant")], "product_id")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY, present: str | None = None) -> DataFrame:
+def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY, present: str | None = None, now: Column | None = None) -> DataFrame:
     """The stored rows with the new ones merged in by key.
 
     Columns that ``new`` lacks keep their stored values. Where rows carry different subsets of columns,
     ``present`` names an array column of ``new`` that lists those a row has. New keys are inserted, with
-    null for what is absent. Keys are unique on either side.
+    null for what is absent. Keys are unique on either side. With ``now`` every row that is merged gets it as
+    ``updated_at``.
     """
     n = new.select(*[F.col(k).alias(f"n_{k}") for k in key], F.lit(True).alias("n_found"), *[F.col(c).alias(f"n_{c}") for c in new.columns if c not in key])
     both = stored.withColumn("s_found", F.lit(True)).join(n, [stored[k] == n[f"n_{k}"] for k in key], "full_outer")
@@ -89,6 +90,8 @@ def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str] = KEY, present:
         c = field.name
         if c in key:
             out.append(F.coalesce(stored[c], F.col(f"n_{c}")).alias(c))
+        elif c == "updated_at" and now is not None:
+            out.append(F.when(F.col("n_found").isNotNull(), now).otherwise(stored[c]).alias(c))
         elif c in new.columns:
             has = F.col("n_found").isNotNull()
             if present:
@@ -137,12 +140,15 @@ def age_missing_once(stored: DataFrame, runs: DataFrame, site: str, run_id: str,
     return age_missing(stored, site, run_id, threshold) if not open_run.isEmpty() else stored
 
 
-def patch(stored: DataFrame, found: DataFrame, column: str, only_missing: bool = True, key: Sequence[str] = KEY) -> DataFrame:
-    """Set one column of the rows whose keys are in ``found``; with ``only_missing``, where it is blank."""
+def patch(stored: DataFrame, found: DataFrame, column: str, only_missing: bool = True, key: Sequence[str] = KEY, now: Column | None = None) -> DataFrame:
+    """Set one column of the rows whose keys are in ``found``; with ``only_missing``, where it is blank. With
+    ``now`` rows that are set get it as ``updated_at``."""
     n = found.select(*key, F.col(column).alias("found_value")).where(F.coalesce("found_value", F.lit("")) != "")
     old, new = F.col(column), F.col("found_value")
     value = F.coalesce(F.nullif(old, F.lit("")), new, old) if only_missing else F.coalesce(new, old)
-    return stored.join(n, list(key), "left").select(*[value.alias(c) if c == column else F.col(c) for c in stored.columns])
+    joined = stored.join(n, list(key), "left").withColumn("_set", ~value.eqNullSafe(old))
+    touched = lambda c: F.when(F.col("_set"), now).otherwise(F.col(c)) if c == "updated_at" and now is not None else F.col(c)
+    return joined.select(*[value.alias(c) if c == column else touched(c).alias(c) for c in stored.columns])
 
 
 def history_rows(products: DataFrame, fallback: Column | None = None) -> DataFrame:

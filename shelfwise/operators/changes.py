@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,32 @@ def refresh_plan(listing: DataFrame, stored: DataFrame, now: Column, refresh_day
     return both.select(*KEY, reason.alias("reason")).select(*KEY, (F.col("reason") != "fresh").alias("needed"), "reason")
 
 
+@dataclass(frozen=True)
+class RefreshPolicy:
+    """When a listed product needs a detail request; ``plan`` is ``refresh_plan`` by it."""
+
+    enabled: bool = True
+    refresh_days: int = 30
+    required: tuple[str, ...] = REQUIRED_FIELDS
+
+    @staticmethod
+    def of(config: Mapping, enabled: bool | None = None) -> RefreshPolicy:
+        """From sections of settings: days of ``refresh``, else of ``automation``; where sites can be told not
+        to collect content and none does, no content field is required, as none could ever be filled."""
+        section = lambda name: config.get(name) if isinstance(config.get(name), Mapping) else {}
+        refresh = section("refresh")
+        days = refresh.get("refresh_days", section("automation").get("detail_refresh_days", 30))
+        named = refresh.get("required_fields")
+        required = tuple(str(f).strip() for f in named if str(f).strip()) if isinstance(named, (list, tuple)) and named else REQUIRED_FIELDS
+        collects = [bool(s["collect_content"]) for s in config.values() if isinstance(s, Mapping) and "collect_content" in s]
+        if collects and not any(collects):
+            required = tuple(f for f in required if f not in CONTENT_FIELDS)
+        return RefreshPolicy(bool(refresh.get("enabled", True)) if enabled is None else enabled, max(0, int(days)), required)
+
+    def plan(self, listing: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+        return refresh_plan(listing, stored, now, self.refresh_days, self.required, self.enabled)
+
+
 def plan_counts(plan: DataFrame) -> DataFrame:
     """Products and requests of each reason, most first."""
     counts = plan.groupBy("reason").agg(F.count("*").alias("products"), F.count_if("needed").alias("to_request"))
@@ -197,6 +224,12 @@ def assemble_snapshot(listing: DataFrame, details: DataFrame, reused: DataFrame,
     return catalogue.dedup_merge(best, order)
 
 
+def stop_reasons(stops: DataFrame) -> DataFrame:
+    """site, ``stop_reasons``: each reason of (site, ord, reason) once, in the order of its first appearance."""
+    first = stops.where("coalesce(trim(reason), '') <> ''").groupBy("site", "reason").agg(F.min("ord").alias("ord"))
+    return first.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "reason"))), lambda x: x["reason"]).alias("stop_reasons"))
+
+
 def run_outcome(processed: DataFrame, parents: DataFrame, listing_complete: bool) -> DataFrame:
     """completed, unprocessed: whole only if the listing is and no parent is left."""
     left = parents.select("site", "parent").distinct().join(processed.select("site", "parent").distinct(), ["site", "parent"], "left_anti")

@@ -110,6 +110,28 @@ def price_band(price: Column, edges: Sequence[float]) -> Column:
     return F.when(price.isNotNull(), out)
 
 
+def expand_scopes(categories: DataFrame) -> DataFrame:
+    """One row for each scope to capture: a covering category with ``partitions`` (an array of key, name, low,
+    high) becomes its parts, which don't overlap; parts without key are left out, and every other category
+    stays itself. ``scope`` tells them apart, ``low`` and ``high`` bound a part's prices (null: open)."""
+    part = "array<struct<key:string,name:string,low:double,high:double>>"
+    good = F.filter(F.coalesce("partitions", F.array().cast(part)), lambda p: F.trim(F.coalesce(p["key"], F.lit(""))) != "")
+    none = F.array(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("key", "string"), ("name", "string"), ("low", "double"), ("high", "double"))]))
+    each = categories.withColumn("p", F.explode(F.when(F.coalesce("covers_all", F.lit(False)) & F.col("partitions").isNotNull(), good).otherwise(none)))
+    key = F.trim("p.key")
+    name = F.when(key.isNull(), F.col("name")).otherwise(F.concat("name", F.lit(" — "), F.coalesce(F.nullif("p.name", F.lit("")), key)))
+    return each.select("id", name.alias("name"), F.when(key.isNull(), F.col("id")).otherwise(F.concat_ws("_", "id", key)).alias("scope"), "p.low", "p.high")
+
+
+def in_scopes(rows: DataFrame, scopes: DataFrame, price: str = "selling_price") -> DataFrame:
+    """Rows of (id, price) with the ``scope`` that each falls in: all of a category of one scope, else the part
+    whose bounds hold its price. Each scope's rows lie in partitions of their own."""
+    p = F.col(price)
+    fits = (F.col("low").isNull() | (p >= F.col("low"))) & (F.col("high").isNull() | (p <= F.col("high")))
+    found = rows.join(scopes.select("id", "scope", "low", "high"), "id").where((F.col("low").isNull() & F.col("high").isNull()) | fits)
+    return found.drop("low", "high").repartition("scope")
+
+
 #: Bytes of words up to which each task holds them all; beyond it they are looked for in parts.
 WORD_BYTES = 64 << 20
 

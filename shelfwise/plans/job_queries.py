@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.functions import fingerprints
+from shelfwise.functions import fingerprints, markup
 from shelfwise.normalize.payloads import as_products
 from shelfwise.operators import barcodes, catalogue, changes, dims, health, imports
 from shelfwise.plans import jobs
@@ -354,3 +354,70 @@ def first_of_each_brand(spark, sf_dir):
 @query("SELECT site, brand, product_name, selling_price, gtin FROM latest ORDER BY lower(site), lower(brand), lower(product_name), lower(variant), product_id")
 def sorted_catalogue(spark, sf_dir):
     return catalogue.canonical_order(latest(spark, sf_dir)).select("site", "brand", "product_name", "selling_price", "gtin")
+
+
+# --- policy, outcome, scopes, frames -----------------------------------------------------------
+
+
+@query(_SPLIT + f"""SELECT a.site, a.product_id, CASE WHEN b.site IS NULL THEN 'new' WHEN a.l_partkey % 2 = 0 THEN 'changed' WHEN date_diff('second', b.scraped_at, TIMESTAMP '{CUT}') > 400 * 86400 THEN 'stale' ELSE 'fresh' END AS reason
+FROM after a LEFT JOIN before b ON a.site = b.site AND a.product_id = b.product_id""")
+def policy_plan(spark, sf_dir):
+    """No site collects content, so descriptions and images that are missing make nothing incomplete."""
+    before, after = _split(spark, sf_dir)
+    policy = changes.RefreshPolicy.of({"refresh": {"required_fields": ["description", "image_urls"]}, "automation": {"detail_refresh_days": 400}, "site_1": {"collect_content": False}, "site_2": {"collect_content": False}})
+    same = ["site", "product_id", "brand", "product_name", "selling_price", "image_urls"]
+    stored = before.select(*same, "scraped_at", F.lit("").alias("description"))
+    listing = stored.select(*same).join(after.select("site", "product_id"), ["site", "product_id"]).withColumn("selling_price", F.when(F.col("product_id") % 2 == 0, F.col("selling_price") + 1).otherwise(F.col("selling_price")))
+    fresh = after.select(*same).join(before.select("site", "product_id"), ["site", "product_id"], "left_anti")
+    return policy.plan(listing.unionByName(fresh), stored, _now()).select("site", "product_id", "reason")
+
+
+@query("""WITH r AS (SELECT 'site_' || (o_custkey % 7) AS site, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'stopped: ' || o_orderpriority END AS reason FROM orders)
+SELECT site, string_agg(reason, '; ' ORDER BY first) AS stop_reasons FROM (SELECT site, reason, min(ord) AS first FROM r WHERE trim(reason) <> '' GROUP BY ALL) GROUP BY site""", with_obs=False)
+def sweep_stop_reasons(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    stops = o.select(F.concat(F.lit("site_"), (F.col("o_custkey") % 7).cast("string")).alias("site"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.concat(F.lit("stopped: "), "o_orderpriority")).alias("reason"))
+    return changes.stop_reasons(stops).select("site", F.array_join("stop_reasons", "; ").alias("stop_reasons"))
+
+
+_BANDS = (("low", "", None, 999.99), ("mid", "Middle", 1000.0, 1499.99), (" ", "no key", 0.0, 1.0), ("high", "Dear", 1500.0, None))
+
+
+@query("""SELECT CASE WHEN p_type = 'ECONOMY' THEN p_type || '_' || CASE WHEN p_retailprice <= 999.99 THEN 'low' WHEN p_retailprice < 1500 THEN 'mid' ELSE 'high' END ELSE p_type END AS scope,
+  CASE WHEN p_type = 'ECONOMY' THEN 'All ECONOMY — ' || CASE WHEN p_retailprice <= 999.99 THEN 'low' WHEN p_retailprice < 1500 THEN 'Middle' ELSE 'Dear' END ELSE 'All ' || p_type END AS name, count(*) AS products
+FROM part WHERE p_type <> 'ECONOMY' OR p_retailprice <= 999.99 OR p_retailprice BETWEEN 1000 AND 1499.99 OR p_retailprice >= 1500 GROUP BY ALL""", with_obs=False)
+def scope_partitions(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_type").alias("id"), F.col("p_retailprice").alias("selling_price"))
+    bands = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip((("key", "string"), ("name", "string"), ("low", "double"), ("high", "double")), b)]) for b in _BANDS])
+    categories = part.select("id").distinct().select("id", F.concat(F.lit("All "), "id").alias("name"), (F.col("id") == "ECONOMY").alias("covers_all"), bands.alias("partitions"))
+    scopes = dims.expand_scopes(categories)
+    return dims.in_scopes(part, scopes).groupBy("scope").agg(F.count("*").alias("products")).join(scopes.select("scope", "name"), "scope")
+
+
+@query("""SELECT p_partkey::VARCHAR AS product_id, p_name AS product_name, CASE WHEN p_partkey % 3 <> 0 THEN round(p_retailprice, 2) END AS mrp, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS in_stock,
+  CASE WHEN p_partkey % 2 = 0 THEN 'a,' || p_type ELSE '' END AS categories, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS attributes FROM part""", with_obs=False)
+def display_rows(spark, sf_dir):
+    k = F.col("p_partkey")
+    cells = _table(spark, sf_dir, "part").select(
+        k.cast("string").alias("product_id"), F.col("p_name").alias("product_name"), F.when(k % 3 == 0, "n/a").otherwise(F.format_string("%.2f", F.col("p_retailprice").cast("double"))).alias("mrp"),
+        F.element_at(F.array(*map(F.lit, ("TRUE", "0", "maybe", ""))), (k % 4 + 1).cast("int")).alias("in_stock"), F.when(k % 2 == 0, F.to_json(F.array(F.lit("a"), F.col("p_type")))).otherwise("a, b").alias("categories"),
+        F.when(k % 5 == 0, F.to_json(F.create_map(F.lit("k"), F.col("p_type")))).otherwise("{broken").alias("product_attributes"), F.lit("x").alias("other"),
+    )
+    return readers.display_frame(cells).select("product_id", "product_name", "mrp", "in_stock", F.array_join("categories", ",").alias("categories"), F.size("product_attributes").alias("attributes"))
+
+
+@query("SELECT p_partkey, 'é ' || p_name AS body FROM part", with_obs=False)
+def charset_bodies(spark, sf_dir):
+    p, text = _table(spark, sf_dir, "part"), F.concat(F.lit("é "), "p_name")
+    latin = F.col("p_partkey") % 2 == 0
+    pages = p.select("p_partkey", F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("bytes"), F.when(latin, "text/html; Charset=\"latin1\"").when(F.col("p_partkey") % 3 == 0, "text/html").alias("kind"))
+    return pages.select("p_partkey", markup.decode_body(F.col("bytes"), F.col("kind")).alias("body"))
+
+
+@query(_SPLIT + f"SELECT coalesce(a.site, b.site) AS site, coalesce(a.product_id, b.product_id) AS product_id, coalesce(b.gtin, '') <> '' OR a.site IS NULL OR a.l_partkey % 3 <> 0 AS kept, CASE WHEN a.site IS NOT NULL THEN '{CUT}' ELSE '1999-01-01' END AS updated FROM before b FULL JOIN after a ON a.site = b.site AND a.product_id = b.product_id")
+def updated_rows(spark, sf_dir):
+    before, after = _split(spark, sf_dir)
+    stored = before.select("site", "product_id", "gtin", "selling_price", F.lit("1999-01-01").cast("timestamp").alias("updated_at"))
+    merged = catalogue.upsert(stored, after.select("site", "product_id", "selling_price"), now=_now())
+    codes = after.where("product_id % 3 = 0").select("site", "product_id", F.lit("found").alias("gtin"))
+    return catalogue.patch(merged, codes, "gtin", now=_now()).select("site", "product_id", (F.coalesce("gtin", F.lit("")) != "found").alias("kept"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfwise.operators import barcodes, catalogue, changes, comparison, health, imports, matching
 from shelfwise.schema import KEY
 from shelfwise.sources import sinks
 from shelfwise.sources.versions import VersionedTable
+from shelfwise.streaming import micro_batches
 
 
 def compare_catalogues(products: DataFrame, own: DataFrame | None = None, own_site: str = "", platforms: Sequence[str] = (), threshold: float = matching.THRESHOLD, review_below: float = matching.REVIEW_BELOW, brands: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -80,6 +81,33 @@ def incremental_run(site: str, run_id: str, listing: DataFrame, details: DataFra
     return counters
 
 
+def storefront_run(source: DataFrame, merge: Callable[[DataFrame, int], None], table: VersionedTable, schema: str, runs: DataFrame, site: str, run_id: str, checkpoint: str, now: Column, complete: bool, quarantine: str, missing_runs: int = 3) -> DataFrame:
+    """One sweep of a storefront as one job: opens the run, merges the stream's batches, and closes the run;
+    returns the run log.
+
+    What a batch holds is counted by the pass that writes it. A batch that fails is set aside in
+    ``quarantine`` and the stream goes on; the run is then partial, and no missing product is aged, as after
+    a listing that was not whole. ``micro_batches.merge_quarantine`` merges such batches later. A run that
+    starts again goes on from its checkpoint.
+    """
+    seen = {"products_seen": 0, "failures": 0}
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        watched = Observation(f"{run_id}-{batch_id}")
+        rows = F.count_if(F.coalesce("product_id", F.lit("")) != "")
+        try:
+            merge(batch.observe(watched, rows.alias("rows")), batch_id)
+            seen["products_seen"] += watched.get["rows"]
+        except Exception:
+            seen["failures"] += 1
+            batch.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+
+    opened = catalogue.open_run(runs, site, run_id, now)
+    micro_batches.run_to_end(source, counted, checkpoint)
+    closed = micro_batches.close_stream(table, schema, opened, site, run_id, now, seen["failures"], complete, missing_runs)
+    return catalogue.close_run(closed, run_id, "partial" if seen["failures"] or not complete else "success", now, **seen)
+
+
 def refresh_site(site: str, listing: DataFrame, details: DataFrame, stored: DataFrame, plan: DataFrame, order: Sequence[str] = ("scraped_at", "ord")) -> DataFrame:
     """A site's new snapshot: detail rows, reused stored rows of quiet parents, listing rows for the rest."""
     reused = changes.stored_versions(plan, listing, stored)

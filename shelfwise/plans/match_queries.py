@@ -140,3 +140,11 @@ def gtin_match_report(spark, sf_dir):
     _, groups, _ = matching.match_products(rows, 0.7, SITES)
     report = barcodes.gtin_report(groups, ("site_1", "site_2"), None, ("site_1", "site_2"))
     return report.select("brand", "product", F.nullif("gtin", F.lit("")).alias("gtin"))
+
+
+@_recursive(_walk(0.7) + """, pair AS (SELECT a_site, a_id FROM rows WHERE site IN ('site_1', 'site_2') GROUP BY ALL HAVING count(DISTINCT site) = 2),
+found AS (SELECT min(struct_pack(s := site <> 'site_1', x := site <> 'site_2', y := site)) FILTER (gtin <> '') AS f FROM rows JOIN pair USING (a_site, a_id) GROUP BY a_site, a_id)
+SELECT f.y AS gtin_source, count(*) AS rows FROM found WHERE f IS NOT NULL GROUP BY 1""")
+def gtin_sources(spark, sf_dir):
+    _, groups, _ = matching.match_products(latest(spark, sf_dir), 0.7, SITES)
+    return barcodes.report_counts(barcodes.gtin_report(groups, ("site_1", "site_2"), None, ("site_1", "site_2")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfwise.plans import jobs
 from shelfwise.plans.catalogue_queries import query
+from shelfwise.schema import RUN_DDL
 from shelfwise.session import configure
 from shelfwise.sources import sinks
 from shelfwise.sources.versions import VersionedTable, scratch
@@ -63,3 +65,31 @@ def stream_parts(spark, sf_dir):
     micro_batches.run_to_end(_observations(spark, f"{folder}/land", "*.parquet", "events.parquet", 1), merge, f"{folder}/checkpoint")
     points = spark.read.parquet(f"{folder}/history").groupBy("site", "product_id").agg(F.count("*").alias("points"))
     return sinks.read_parts(spark, f"{folder}/table", _TABLE).join(points, ["site", "product_id"]).select("site", "product_id", "selling_price", "in_stock", "points")
+
+
+@query(_SQL.rstrip() + """, l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY site, product_id ORDER BY ts DESC, ord DESC) = 1)
+SELECT site, product_id, selling_price, in_stock, 'partial' AS status, (SELECT count(*) FROM o WHERE ord % 2 = 0) AS products_seen, 1 AS failures, 1 AS reconciled FROM l""", with_obs=False)
+def storefront_sweep(spark, sf_dir):
+    """A sweep whose second batch fails: it is set aside, the run closes partial without ageing, and the
+    batch is merged afterwards."""
+    folder = scratch(spark)
+    events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/land/{part}/events.parquet")
+    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    schema = "site string, product_id string, scraped_at timestamp, selling_price double, in_stock boolean"
+    merge = micro_batches.merge_batch(table, history, schema, "site string, product_id string, selling_price decimal(12,2), in_stock boolean, scraped_at timestamp")
+
+    def failing(batch, batch_id):
+        if batch.where("ord % 2 = 1").isEmpty():
+            return merge(batch, batch_id)
+        raise RuntimeError("the store is away")
+
+    runs = spark.createDataFrame([], RUN_DDL)
+    now = F.lit("2030-01-01").cast("timestamp")
+    source = _observations(spark, f"{folder}/land", "*.parquet", "*/events.parquet", 1)
+    log = jobs.storefront_run(source, failing, table, schema, runs, "site_0", "r1", f"{folder}/checkpoint", now, True, f"{folder}/aside")
+    reconciled = micro_batches.merge_quarantine(spark, merge, f"{folder}/aside")
+    run = log.select("status", "products_seen", "failures", F.lit(reconciled).alias("reconciled"))
+    [r] = run.collect()  # one run
+    return table.read().select("site", "product_id", "selling_price", "in_stock", *[F.lit(v).alias(c) for c, v in r.asDict().items()])

@@ -41,6 +41,38 @@ def typed(text: DataFrame) -> DataFrame:
     return text.select(*[from_cell(F.col(f"`{c}`") if c in text.columns else F.lit(None).cast("string"), kind).alias(c) for c, kind in PRODUCT_COLUMNS.items()])
 
 
+DISPLAY_COLUMNS = tuple(c for c in PRODUCT_COLUMNS if c != "description_html")
+_STOCK = {"true": True, "false": False, "1": True, "0": False}
+
+
+def display_frame(text: DataFrame) -> DataFrame:
+    """An export's text cells as a frame to show: the display columns that are there, numbers (null where a
+    cell is none), stock as a boolean for the few texts that mean one, and JSON collections, empty where
+    a cell does not hold one."""
+    out = []
+    for c in (c for c in DISPLAY_COLUMNS if c in text.columns):
+        kind, cell = PRODUCT_COLUMNS[c], F.trim(F.col(f"`{c}`"))
+        if kind in ("double", "bigint"):
+            value = cell.try_cast("double")
+        elif kind == "boolean":
+            value = F.create_map(*[F.lit(x) for pair in _STOCK.items() for x in pair])[F.lower(cell)]
+        elif kind.startswith(("array", "map")):
+            value = F.coalesce(F.from_json(F.when(cell.rlike(r"^[\[{]"), cell), kind), F.from_json(F.lit("{}" if kind.startswith("map") else "[]"), kind))
+        else:
+            value = F.coalesce(F.col(f"`{c}`"), F.lit(""))
+        out.append(value.alias(c))
+    return text.select(*out)
+
+
+def read_allowed(spark: SparkSession, path: str, sites: Sequence[str], brands: DataFrame | None = None, schema: str = CATALOGUE_DDL) -> DataFrame:
+    """The stored rows of the sites, of allowed brands if a list is given; rows without a key or a name, from
+    which no product can be made, are left out."""
+    from shelfwise.operators.barcodes import allow_brands
+
+    rows = read_catalogue(spark, path, sites=sites, schema=schema).where("coalesce(trim(product_id), '') <> '' AND coalesce(trim(product_name), '') <> ''")
+    return rows if brands is None else allow_brands(rows, brands)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
