@@ -33,8 +33,6 @@ from shelfwise.llm.shared import drop, map_batches, materialize, tasks, work_dir
 from shelfwise.llm.words import mix, words_of
 
 TREES, DEPTH, LOOK_BACK = 16, 8, 24
-#: Rows of a tree's order that a task holds to find the least depth; more than twice ``LOOK_BACK``.
-REACH = 16 * LOOK_BACK
 SHINGLE = 5
 #: Documents that a chunk of a crowded group has on average, and shingles that a block counts at once.
 CHUNK, COLUMNS = 1024, 4096
@@ -112,15 +110,15 @@ def least_depth(labels: np.ndarray, i: int) -> tuple[int, int]:
 
 def _candidates(ids: np.ndarray, sizes: np.ndarray, of: np.ndarray, labels: np.ndarray, sketches: np.ndarray, new_from: int, share: int, likeliest: bool, out: list) -> None:
     """Pairs of a row from ``new_from`` on with candidates before it that lie in another component, if
-    sizes and sketches allow; with ``likeliest``, only the likeliest one of each row."""
+    sizes and sketches allow; with ``likeliest``, only the likeliest one of each row. However many rows of its
+    own component lie between, the nearest others are found."""
     floor = share / 100 - SLACK * math.sqrt(share / 100 * (1 - share / 100) / sketches.shape[1])
     edge = np.flatnonzero(np.append(True, labels[1:, 0] != labels[:-1, 0]))
     region = edge[np.searchsorted(edge, np.arange(len(ids)), "right") - 1]
     for i in np.flatnonzero(region < np.arange(len(ids))):
         if i < new_from:
             continue
-        begin = max(region[i], i - REACH)
-        others = begin + np.flatnonzero(of[begin:i] != of[i])
+        others = region[i] + np.flatnonzero(of[region[i] : i] != of[i])[-LOOK_BACK - 1 :]
         if len(others) > LOOK_BACK:
             others = others[least_depth(labels[np.append(others, i)], len(others))[0] :]
         like = (sketches[others] == sketches[i]).mean(axis=1)
@@ -143,6 +141,38 @@ def _matrices(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     return np.array(ids, np.int64), np.array(sizes, np.int64), np.array(of, np.int64), labels, np.frombuffer(b"".join(sketches), np.uint8).reshape(len(rows), -1)
 
 
+def thinned(of: list[int]) -> list[int]:
+    """Positions, ascending, of the rows that any later row may still need: its nearest ``LOOK_BACK`` + 1 of
+    other components are among the last so many of each component, and of those among the last twice so many."""
+    times: dict[int, int] = {}
+    keep = []
+    for i in range(len(of) - 1, -1, -1):
+        times[of[i]] = times.get(of[i], 0) + 1
+        if times[of[i]] <= LOOK_BACK + 1:
+            keep.append(i)
+            if len(keep) == 2 * LOOK_BACK + 2:
+                break
+    return keep[::-1]
+
+
+class _Head:
+    """The head of a partition: its rows up to where every component has more than ``LOOK_BACK`` rows of others
+    in it. Only from there on no row looks back across the border."""
+
+    def __init__(self):
+        self.total, self.times, self.open = 0, {}, True
+
+    def take(self, of: list[int]) -> int:
+        """How many of the next rows, of these components, belong to the head."""
+        for i, c in enumerate(of if self.open else ()):
+            if self.total - max(self.times.values(), default=0) > LOOK_BACK:
+                self.open = False
+                return i
+            self.total += 1
+            self.times[c] = self.times.get(c, 0) + 1
+        return len(of) if self.open else 0
+
+
 def _pairs_batch(pairs: list[tuple[int, int, float]], part: int) -> pa.RecordBatch:
     n = len(pairs)
     a, b, like = (list(x) for x in zip(*pairs))
@@ -161,13 +191,15 @@ def _walk(share: int, likeliest: bool):
     (3) that are crowded, or may be as they touch an end: their length, and their least and greatest component."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, heads = TaskContext.get().partitionId(), [], []
+        part, held, head = TaskContext.get().partitionId(), [], _Head()
         runs: list[list] = []
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 piece = batch.slice(i, 4096)
                 rows = list(zip(*(piece.column(c).to_pylist() for c in _ROW)))
-                heads += rows[: max(0, LOOK_BACK - len(heads))]
+                first = head.take([r[3] for r in rows])
+                if first:
+                    yield _ends(1, part, rows[:first])
                 for key, members in () if likeliest else groupby(rows, itemgetter(0, 4)):
                     of = [r[3] for r in members]
                     if runs and runs[-1][0] == key:
@@ -178,35 +210,58 @@ def _walk(share: int, likeliest: bool):
                             runs.pop()
                         runs.append([key, len(of), min(of), max(of)])
                 pairs: list = []
-                keep = len(held)
+                keep = len(held) + first
                 held += rows
                 _candidates(*_matrices(held), keep, share, likeliest, pairs)
                 if pairs:
                     yield _pairs_batch(pairs, part)
-                held = held[-REACH:]
+                held = [held[k] for k in thinned([r[3] for r in held])]
         for i in range(0, len(runs), 4096):
             keys, times, low, high = zip(*runs[i : i + 4096])
             trees, labels = zip(*keys)
             nothing = [None] * len(keys)
             yield _typed([[3] * len(keys), [part] * len(keys), nothing, trees, nothing, times, low, labels, nothing, high, nothing])
-        for kind, rows in ((1, heads), (2, held[-LOOK_BACK:])):
-            if rows:
-                n = len(rows)
-                yield _typed([[kind] * n, [part] * n, list(range(n)), *map(list, zip(*rows)), [None] * n, [None] * n])
+        if held:
+            yield _ends(2, part, held)
 
     return walk
 
 
+def _ends(kind: int, part: int, rows: list[tuple]) -> pa.RecordBatch:
+    n = len(rows)
+    return _typed([[kind] * n, [part] * n, list(range(n)), *map(list, zip(*rows)), [None] * n, [None] * n])
+
+
+def _tails(walked: DataFrame) -> DataFrame:
+    """The rows (kind 2) that each border needs from the partitions before it: those of the last one, and
+    where these are not enough for every component, of those before, back to one that has enough. The
+    driver gets a number for each partition."""
+    counts = dict(walked.where("kind = 2").groupBy("part").agg(F.count("*").alias("n")).collect())
+    parts = sorted(counts)
+    needed = []
+    for k, part in enumerate(parts[1:], 1):
+        for before in reversed(parts[:k]):
+            needed.append((before, part))
+            if counts[before] > 2 * LOOK_BACK + 1:
+                break
+    spark = walked.sparkSession
+    borders = spark.createDataFrame(needed, "part int, border int") if needed else spark.createDataFrame([], "part int, border int")
+    return walked.where("kind = 2").join(F.broadcast(borders), "part")
+
+
 def _borders(share: int, likeliest: bool):
-    """Of the rows on both sides of each border (sorted by border, side and place): pairs across it."""
+    """Over the rows at each border (sorted by border, side and order in the trees): the pairs of the head's."""
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        border, rows, old = None, [], 0
+        border, held, rows = None, [], []
 
         def pairs() -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
             found: list = []
-            if rows and 0 < old < len(rows):
-                _candidates(*_matrices(rows), old, share, likeliest, found)
+            if rows:
+                _candidates(*_matrices(held + rows), len(held), share, likeliest, found)
+            held = held + rows
+            held, rows = [held[k] for k in thinned([r[3] for r in held])], []
             if found:
                 yield _pairs_batch(found, border)
 
@@ -214,9 +269,13 @@ def _borders(share: int, likeliest: bool):
             for at, kind, *row in zip(*(batch.column(c).to_pylist() for c in ("border", "kind", *_ROW))):
                 if at != border:
                     yield from pairs()
-                    border, rows, old = at, [], 0
-                rows.append(tuple(row))
-                old += kind == 2
+                    border, held = at, []
+                if kind == 2:
+                    held.append(tuple(row))
+                else:
+                    rows.append(tuple(row))
+                    if len(rows) == 4096:
+                        yield from pairs()
         yield from pairs()
 
     return cross
@@ -240,8 +299,9 @@ def candidate_pairs(rows: DataFrame, share: int, folder: str, likeliest: bool) -
     n = tasks(rows.sparkSession)
     ordered = rows.repartitionByRange(n, "tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
     walked = materialize(ordered.select(*_ROW).transform(map_batches, _walk(share, likeliest), _FOREST), f"{folder}/forest")
-    sides = walked.where("kind IN (1, 2)").withColumn("border", F.when(F.col("kind") == 2, F.col("part") + 1).otherwise(F.col("part")))
-    across = sides.repartition(n, "border").sortWithinPartitions("border", F.desc("kind"), "place")
+    heads = walked.where("kind = 1").withColumn("border", F.col("part"))
+    sides = heads.select("border", "kind", "part", "place", *_ROW).unionByName(_tails(walked).select("border", "kind", "part", "place", *_ROW))
+    across = sides.repartition(n, "border").sortWithinPartitions("border", F.desc("kind"), "part", "tree", "label", "doc_id")
     across = across.select("border", "kind", *_ROW).transform(map_batches, _borders(share, likeliest), _FOREST)
     pairs = walked.where("kind = 0").select("doc_id", "b", "likeness").unionByName(across.select("doc_id", "b", "likeness"))
     pairs = materialize(pairs.groupBy(F.col("doc_id").alias("a"), "b").agg(F.max("likeness").alias("likeness")), f"{folder}/pairs")

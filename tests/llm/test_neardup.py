@@ -101,6 +101,38 @@ def test_a_large_component_hides_no_link(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def forest_rows(rng, n):
+    """Rows of one tree: labels of few values, a large component, and many small ones."""
+    rows = []
+    for i in range(n):
+        label = b"".join(int(rng.random() < 0.3).to_bytes(4, "big") for _ in range(neardup.DEPTH))
+        rows.append((0, i, 100, 0 if rng.random() < 0.97 else i, label, bytes(128)))
+    return rows
+
+
+def test_candidates_do_not_depend_on_partitions(spark):
+    rows = forest_rows(random.Random(1), 3000)
+    df = spark.createDataFrame(rows, "tree int, doc_id long, n long, of long, label binary, sketch binary")
+    found = {}
+    for parts in ("1", "4", "8", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found[parts] = {(r.a, r.b) for r in neardup.candidate_pairs(df, 85, f"{work_dir(spark)}/x", False)[0].collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found["1"] == found["4"] == found["8"] == found["64"] and len(found["1"]) > 3000
+    order = sorted(rows, key=lambda r: (r[4], r[1]))
+    want = set()
+    for i, row in enumerate(order):  # by the definition, however far the others are
+        others = [r for r in order[:i] if r[3] != row[3] and r[4][:4] == row[4][:4]]
+        for depth in range(1, neardup.DEPTH + 1):
+            near = [r for r in others if r[4][: 4 * depth] == row[4][: 4 * depth]]
+            if len(near) <= neardup.LOOK_BACK:
+                break
+        want |= {(max(row[1], r[1]), min(row[1], r[1])) for r in near[-neardup.LOOK_BACK :]}
+    assert found["1"] == want
+
+
 def test_blocks_count_exactly():
     import numpy as np
 
