@@ -50,6 +50,16 @@ def catalogue_scan(spark, sf_dir):
     return readers.read_catalogue(spark, folder, site="site_1", columns=("product_id", "brand", "selling_price"))
 
 
+@query("SELECT site, product_id, brand, product_name FROM latest WHERE site IN ('site_1', 'site_4') AND l_partkey % 11 > 1 AND regexp_replace(lower(brand), '[^a-z0-9]+', '', 'g') IN ('brand1', 'brand2', 'brand11')")
+def allowed_catalogue(spark, sf_dir):
+    """One scan of several sites for allowed brands, over a stored table in which some names are blank or null."""
+    folder, rest = scratch(spark), F.col("product_id") % 11
+    rows = _products(latest(spark, sf_dir)).withColumn("product_name", F.when(rest == 0, F.lit(" ")).when(rest > 1, F.col("product_name")))
+    rows.write.partitionBy("site").parquet(folder)
+    brands = spark.range(1).select(F.explode(F.array(F.lit("BRAND 1"), F.lit("brand-2"), F.lit("Brand#11"))).alias("brand"))
+    return readers.read_allowed(spark, folder, ("site_1", "site_4"), brands).select("site", "product_id", "brand", "product_name")
+
+
 @query("SELECT site, product_id, selling_price, 'csv' AS source FROM latest WHERE site IN ('site_1', 'site_4')")
 def source_fallback(spark, sf_dir):
     folder = scratch(spark)

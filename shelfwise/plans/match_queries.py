@@ -148,3 +148,22 @@ SELECT f.y AS gtin_source, count(*) AS rows FROM found WHERE f IS NOT NULL GROUP
 def gtin_sources(spark, sf_dir):
     _, groups, _ = matching.match_products(latest(spark, sf_dir), 0.7, SITES)
     return barcodes.report_counts(barcodes.gtin_report(groups, ("site_1", "site_2"), None, ("site_1", "site_2")))
+
+
+#: A site without barcodes, of which a fifth is found in attributes and a fifth on captured pages.
+_SWEPT = "CASE WHEN site <> 'site_0' THEN gtin WHEN l_partkey % 5 IN (0, 1) THEN ean ELSE '' END"
+
+
+@_recursive(_walk(0.9, _SWEPT) + _CODES + ", borrowed AS MATERIALIZED (" + _FILLS + """), found AS (
+  SELECT site, product_id, ean AS gtin, CASE l_partkey % 5 WHEN 0 THEN 'attributes' ELSE 'page' END AS origin FROM latest WHERE site = 'site_0' AND l_partkey % 5 IN (0, 1)
+  UNION ALL SELECT site, product_id, gtin, 'borrowed' FROM borrowed WHERE site = 'site_0')
+SELECT site, product_id, gtin, origin, count(*) OVER (PARTITION BY origin) AS found FROM found""")
+def gtins_found(spark, sf_dir):
+    """A sweep for one site's barcodes: from attributes, then from the last of two captured pages of a
+    product, then from matched products of other sites; with the number found for each origin."""
+    rows, fifth = latest(spark, sf_dir), F.col("product_id") % 5
+    pages = rows.where((F.col("site") == "site_0") & fifth.isin(0, 1)).select("site", "product_id", F.element_at("product_attributes", "Item model number").alias("ean"))
+    pages = pages.select("site", "product_id", F.explode(F.array(F.struct(F.concat(F.lit("0"), "ean").alias("gtin"), F.lit(0).alias("ord")), F.struct(F.col("ean").alias("gtin"), F.lit(1).alias("ord")))).alias("page"))
+    swept = rows.withColumn("gtin", F.when(F.col("site") == "site_0", "").otherwise(F.col("gtin"))).withColumn("product_attributes", F.when(fifth == 0, F.col("product_attributes")))
+    found = stored(jobs.fill_gtins(swept, "site_0", pages.select("site", "product_id", "page.*"))[1])
+    return found.join(jobs.found_by_origin(found), "origin").select("site", "product_id", "gtin", "origin", "found")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfwise.operators import catalogue
 from shelfwise.plans import jobs
 from shelfwise.plans.catalogue_queries import query
 from shelfwise.schema import RUN_DDL
@@ -93,3 +94,31 @@ def storefront_sweep(spark, sf_dir):
     run = log.select("status", "products_seen", "failures", F.lit(reconciled).alias("reconciled"))
     [r] = run.collect()  # one run
     return table.read().select("site", "product_id", "selling_price", "in_stock", *[F.lit(v).alias(c) for c, v in r.asDict().items()])
+
+
+@query(_SQL.rstrip() + """, l AS (SELECT *, ord % 2 = 1 AS seen FROM o QUALIFY row_number() OVER (PARTITION BY site, product_id ORDER BY ts DESC, ord DESC) = 1)
+SELECT site, product_id, selling_price, CASE WHEN seen OR site <> 'site_1' THEN 0 ELSE 1 END AS missing_run_count, seen OR site <> 'site_1' AS is_active,
+  (SELECT count(DISTINCT h.ts) FROM o h WHERE h.site = l.site AND h.product_id = l.product_id) AS points,
+  CASE site WHEN 'site_1' THEN 'success' WHEN 'site_2' THEN 'partial' WHEN 'site_3' THEN 'partial' ELSE 'none' END AS status FROM l""", with_obs=False)
+def sweeps_closed(spark, sf_dir):
+    """A stream that is started twice over one checkpoint, whose second half lands in between and with a part of
+    the first again, and three runs closed after it: a whole one, one of a listing that was not whole, and one
+    with a failure. Only the first counts what it has not seen as missing."""
+    folder = scratch(spark)
+    events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    schema = "site string, product_id string, scraped_at timestamp, selling_price double, last_seen_run_id string, missing_run_count int, is_active boolean"
+    merge = micro_batches.merge_batch(table, history, schema, "site string, product_id string, selling_price decimal(12,2), scraped_at timestamp")
+    half = F.col("event_id") % 3 == 0
+    for part in (events.where(half), events.where(~half | (F.col("event_id") % 5 == 0))):
+        part.coalesce(2).write.mode("append").parquet(f"{folder}/land/events.parquet")
+        seen = F.when(F.col("ord") % 2 == 1, F.concat(F.lit("run_"), F.col("site"))).otherwise("before")
+        rows = _observations(spark, f"{folder}/land", "*.parquet", "events.parquet", 1).withColumns({"last_seen_run_id": seen, "missing_run_count": F.lit(0), "is_active": F.lit(True)})
+        micro_batches.run_to_end(rows, merge, f"{folder}/checkpoint")
+    runs, now = spark.createDataFrame([], RUN_DDL), F.lit("2030-01-01").cast("timestamp")
+    for site, failures, complete in (("site_1", 0, True), ("site_2", 0, False), ("site_3", 1, True)):
+        runs = catalogue.open_run(runs, site, f"run_{site}", now)
+        runs = micro_batches.close_stream(table, schema, runs, site, f"run_{site}", now, failures, complete, 1)
+    points = history.read().groupBy("site", "product_id").agg(F.count("*").alias("points"))
+    closed = table.read(schema).join(points, ["site", "product_id"]).join(runs.select("site", "status"), "site", "left")
+    return closed.select("site", "product_id", "selling_price", "missing_run_count", "is_active", "points", F.coalesce("status", F.lit("none")).alias("status"))
