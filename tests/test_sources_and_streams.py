@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.normalize import payloads
-from shelfwise.schema import BRONZE_DDL, CATALOGUE_DDL, HISTORY_DDL, PRODUCT_COLUMNS
+from shelfwise.operators import catalogue
+from shelfwise.schema import BRONZE_DDL, CATALOGUE_DDL, HISTORY_DDL, PRODUCT_COLUMNS, RUN_DDL
 from shelfwise.sources import readers, sinks
 from shelfwise.sources.versions import VersionedTable
 from shelfwise.streaming import micro_batches
@@ -208,3 +209,24 @@ def test_lines_of_sheets(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Vendor,Title\nA,x\nB,\"y\nz\"\nC,w\n")
     got = readers.read_sheet(spark, str(tmp_path / "a.csv")).repartition(3)
     assert sorted((r.line, r.Vendor) for r in got.collect()) == [(2, "A"), (3, "B"), (4, "C")]
+
+
+def test_allowed_rows_of_several_sites(spark, tmp_path):
+    rows = [product("a", "1", product_name="Serum"), product("a", "2", product_name=" "), product("b", "3", product_name="Toner", brand="Other"), product("c", "4", product_name="Balm"), product("b", "", product_name="Mist"), product("b", "5", product_name="Mask", brand="MINI-malist")]
+    path = str(tmp_path / "table")
+    sinks.write_snapshot(products(spark, rows), path)
+    brands = spark.createDataFrame([("minimalist",), (None,)], "brand string")
+    read = lambda brands: sorted(r.product_id for r in readers.read_allowed(spark, path, ("a", "b"), brands).collect())
+    assert read(brands) == ["1", "5"] and read(None) == ["1", "3", "5"] and read(brands.limit(0)) == ["1", "3", "5"]
+
+
+@pytest.mark.parametrize(("failures", "complete", "status", "missing"), [(0, True, "success", 1), (0, False, "partial", 0), (2, True, "partial", 0)])
+def test_only_whole_and_clean_sweeps_age(spark, tmp_path, failures, complete, status, missing):
+    schema, now = "site string, product_id string, last_seen_run_id string, missing_run_count int, is_active boolean", F.lit("2026-01-02").cast("timestamp")
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.createDataFrame([("a", "1", "r1", 0, True), ("a", "2", None, 0, True), ("b", "3", None, 0, True)], schema))
+    runs = catalogue.open_run(spark.createDataFrame([], RUN_DDL), "a", "r1", now)
+    runs = micro_batches.close_stream(table, schema, runs, "a", "r1", now, failures, complete, 1)
+    again = micro_batches.close_stream(table, schema, runs, "a", "r1", now, failures, complete, 1)  # a run that is closed ages nothing
+    assert [r.status for r in again.collect()] == [status]
+    assert {r.product_id: (r.missing_run_count, r.is_active) for r in table.read().collect()} == {"1": (0, True), "2": (missing, not missing), "3": (0, True)}
