@@ -203,11 +203,14 @@ def incremental_state(current: DataFrame, details: DataFrame, stored: DataFrame,
 
 
 def incremental_sync(stored: DataFrame, history: DataFrame, rows: DataFrame, points: DataFrame, seen: DataFrame, site: str, run_id: str, now: Column, complete: bool, threshold: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(next catalogue, points to append): upsert the rows, touch all seen, age the rest of a whole sweep."""
+    """(next catalogue, points to append), for a history that is a plain table."""
+    return incremental_table(stored, rows, seen, site, run_id, now, complete, threshold), catalogue.append_history(history, points)
+
+
+def incremental_table(stored: DataFrame, rows: DataFrame, seen: DataFrame, site: str, run_id: str, now: Column, complete: bool, threshold: int = 3) -> DataFrame:
+    """The next catalogue: upsert the rows, touch all seen, age the rest of a whole sweep."""
     table = catalogue.touch(catalogue.upsert(stored, rows), seen, now, run_id)
-    if complete:
-        table = catalogue.age_missing(table, site, run_id, threshold, now)
-    return table, catalogue.append_history(history, points)
+    return catalogue.age_missing(table, site, run_id, threshold, now) if complete else table
 
 
 def representatives(listing: DataFrame, order: Sequence[str] = ("product_id",)) -> DataFrame:

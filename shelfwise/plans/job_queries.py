@@ -277,7 +277,7 @@ def history_shape(spark, sf_dir):
   (SELECT count(*) FROM before) + (SELECT count(*) FROM after) AS points FROM before b FULL JOIN after a ON a.site = b.site AND a.product_id = b.product_id""")
 def catalogue_sync(spark, sf_dir):
     folder = scratch(spark)
-    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    table, history = VersionedTable(spark, f"{folder}/table"), sinks.DayHistory(spark, f"{folder}/history", "year")
     for rows in _split(spark, sf_dir):
         sinks.sync(table, history, _products(rows), _now())
     points = history.read(HISTORY_DDL).agg(F.count("*").alias("points"))
@@ -288,7 +288,7 @@ def catalogue_sync(spark, sf_dir):
 FROM placed WHERE site = 'site_1' GROUP BY site""")
 def incremental_site_run(spark, sf_dir):
     folder = scratch(spark)
-    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    table, history = VersionedTable(spark, f"{folder}/table"), sinks.DayHistory(spark, f"{folder}/history", "year")
     before, after = _split(spark, sf_dir)
     stored = _state(_products(before)).withColumn("created_at", F.lit(None).cast("timestamp"))
     table.write(stored)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import barcodes, catalogue, changes, comparison, health, imports, matching
 from shelfwise.schema import KEY
 from shelfwise.sources import sinks
+from shelfwise.sources.sinks import DayHistory
 from shelfwise.sources.versions import VersionedTable
 from shelfwise.streaming import micro_batches
 
@@ -66,7 +67,7 @@ def found_by_origin(found: DataFrame) -> DataFrame:
     return found.groupBy("origin").agg(F.count("*").alias("found"))
 
 
-def incremental_run(site: str, run_id: str, listing: DataFrame, details: DataFrame, table: VersionedTable, history: VersionedTable, now: Column, schema: str, history_schema: str, listing_complete: bool = True, brand_filter: bool = False, refresh_days: int = 30, limit: int | None = None, ratio: float = 0.5, missing_runs: int = 3) -> DataFrame:
+def incremental_run(site: str, run_id: str, listing: DataFrame, details: DataFrame, table: VersionedTable, history: DayHistory, now: Column, schema: str, history_schema: str, listing_complete: bool = True, brand_filter: bool = False, refresh_days: int = 30, limit: int | None = None, ratio: float = 0.5, missing_runs: int = 3) -> DataFrame:
     """One incremental run of a site over normalised rows; returns its counters."""
     stored = table.read(schema)
     own = stored.where(F.col("site") == site)
@@ -74,10 +75,10 @@ def incremental_run(site: str, run_id: str, listing: DataFrame, details: DataFra
     flags = changes.detail_candidates(listing, own, now, refresh_days, limit)
     current = changes.merge_details(listing, details)
     rows, points = changes.incremental_state(current, details, own, flags, now, run_id)
-    following, fresh = changes.incremental_sync(stored, history.read(history_schema), rows, points, listing, site, run_id, now, complete, missing_runs)
+    following = changes.incremental_table(stored, rows, listing, site, run_id, now, complete, missing_runs)
     counters = changes.run_counters(flags)
+    history.add(points, history_schema)  # first: its points are of what the table was before
     table.write(following)
-    history.append(fresh)
     return counters
 
 
@@ -119,7 +120,7 @@ def import_sheet(sheet: DataFrame, stored: DataFrame, default_site: str, sites:
     rows, outcomes = imports.import_sheet(sheet, stored, default_site, sites)
     if not dry_run:
         new = stored.limit(0).unionByName(rows.select([c for c in rows.columns if c in stored.columns]), allowMissingColumns=True)
-        table.append(new) if table.versions() else table.write(stored.unionByName(new))
+        table.write((table.read() if table.versions() else stored).unionByName(new, allowMissingColumns=True))
     return rows, imports.import_counts(outcomes) if dry_run else outcomes
 
 

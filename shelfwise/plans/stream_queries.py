@@ -32,7 +32,7 @@ _SQL = "WITH o AS (SELECT 'site_' || (user_id % 5) AS site, user_id::VARCHAR AS
 @query(_SQL + "SELECT site, product_id, selling_price, in_stock, 1::BIGINT AS versions FROM o QUALIFY row_number() OVER (PARTITION BY site, product_id ORDER BY ts DESC, ord DESC) = 1", with_obs=False)
 def stream_upsert(spark, sf_dir):
     folder = scratch(spark)
-    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    table, history = VersionedTable(spark, f"{folder}/table"), sinks.DayHistory(spark, f"{folder}/history", "year")
     merge = micro_batches.merge_batch(table, history, "site string, product_id string, scraped_at timestamp, selling_price double, in_stock boolean", "site string, product_id string, selling_price decimal(12,2), in_stock boolean, scraped_at timestamp")
     micro_batches.run_to_end(_observations(spark, sf_dir), merge, f"{folder}/checkpoint")
     return table.read().select("site", "product_id", "selling_price", "in_stock", F.lit(1).cast("long").alias("versions"))
@@ -77,7 +77,7 @@ def storefront_sweep(spark, sf_dir):
     events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
     for part in (0, 1):
         events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/land/{part}/events.parquet")
-    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    table, history = VersionedTable(spark, f"{folder}/table"), sinks.DayHistory(spark, f"{folder}/history", "year")
     schema = "site string, product_id string, scraped_at timestamp, selling_price double, in_stock boolean"
     merge = micro_batches.merge_batch(table, history, schema, "site string, product_id string, selling_price decimal(12,2), in_stock boolean, scraped_at timestamp")
 
@@ -106,9 +106,10 @@ def sweeps_closed(spark, sf_dir):
     with a failure. Only the first counts what it has not seen as missing."""
     folder = scratch(spark)
     events = spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
-    table, history = VersionedTable(spark, f"{folder}/table"), VersionedTable(spark, f"{folder}/history")
+    table, history = VersionedTable(spark, f"{folder}/table"), sinks.DayHistory(spark, f"{folder}/history", "year")
     schema = "site string, product_id string, scraped_at timestamp, selling_price double, last_seen_run_id string, missing_run_count int, is_active boolean"
-    merge = micro_batches.merge_batch(table, history, schema, "site string, product_id string, selling_price decimal(12,2), scraped_at timestamp")
+    past = "site string, product_id string, selling_price decimal(12,2), scraped_at timestamp"
+    merge = micro_batches.merge_batch(table, history, schema, past)
     half = F.col("event_id") % 3 == 0
     for part in (events.where(half), events.where(~half | (F.col("event_id") % 5 == 0))):
         part.coalesce(2).write.mode("append").parquet(f"{folder}/land/events.parquet")
@@ -119,6 +120,6 @@ def sweeps_closed(spark, sf_dir):
     for site, failures, complete in (("site_1", 0, True), ("site_2", 0, False), ("site_3", 1, True)):
         runs = catalogue.open_run(runs, site, f"run_{site}", now)
         runs = micro_batches.close_stream(table, schema, runs, site, f"run_{site}", now, failures, complete, 1)
-    points = history.read().groupBy("site", "product_id").agg(F.count("*").alias("points"))
+    points = history.read(past).groupBy("site", "product_id").agg(F.count("*").alias("points"))
     closed = table.read(schema).join(points, ["site", "product_id"]).join(runs.select("site", "status"), "site", "left")
     return closed.select("site", "product_id", "selling_price", "missing_run_count", "is_active", "points", F.coalesce("status", F.lit("none")).alias("status"))

@@ -87,7 +87,7 @@ def upsert_parts(spark: SparkSession, path: str, new: DataFrame, schema: str, bu
 
 def append_days(spark: SparkSession, path: str, points: DataFrame, schema: str, order: Sequence[str] = (), period: str = "day") -> None:
     """Add price points to a history partitioned by ``day``, the date of ``scraped_at`` (or the first of its
-    ``period``, such as month): those whose key it lacks. A point's day follows from its key, so only the
+    ``period``, such as month): those whose key it lacks. Points without a time have no day and are left out. A point's day follows from its key, so only the
     days of the batch are read; at most one date for each of them comes to the driver."""
     from shelfwise.operators import catalogue
 
@@ -103,6 +103,28 @@ def append_days(spark: SparkSession, path: str, points: DataFrame, schema: str,
     drop(dated)
 
 
+class DayHistory:
+    """A price history at ``path``, in parts by day (or another ``period``). Rows are only ever added, by
+    ``append_days``, so no rewrite can lose any, and adding the same points again changes nothing; one writer
+    at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, period: str = "day"):
+        self.spark, self.path, self.period = spark, path, period
+
+    def read(self, schema: str) -> DataFrame:
+        """All points, or none of ``schema``; a filter on ``scraped_at`` alone doesn't prune days."""
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        kinds = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("day", T.DateType())])
+        return self.spark.read.schema(kinds).parquet(self.path).drop("day")
+
+    def add(self, points: DataFrame, schema: str, order: Sequence[str] = ()) -> None:
+        """Add the points whose key the history lacks; columns that they lack are null."""
+        kinds = T._parse_datatype_string(schema)
+        whole = points.select(*[(F.col(f.name) if f.name in points.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields])
+        append_days(self.spark, self.path, whole, schema, order, self.period)
+
+
 def write_outputs(outputs: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> None:
     """Each named DataFrame in a folder of its own."""
     for name, df in outputs.items():
@@ -113,11 +135,11 @@ def write_outputs(outputs: Mapping[str, DataFrame], folder: str, kind: str = "pa
             df.write.format(kind).save(f"{folder}/{name}")
 
 
-def sync(table: VersionedTable, history: VersionedTable, products: DataFrame, now) -> None:
+def sync(table: VersionedTable, history: DayHistory, products: DataFrame, now) -> None:
     """Merge all rows into the current table and add one history point for each."""
     from shelfwise.operators import catalogue
     from shelfwise.schema import CATALOGUE_DDL, HISTORY_DDL
 
-    stored, points = table.read(CATALOGUE_DDL), history.read(HISTORY_DDL)
+    stored = table.read(CATALOGUE_DDL)
     table.write(catalogue.upsert(stored, catalogue.preserve_rich_fields(products, stored)))
-    history.append(catalogue.append_history(points, catalogue.history_rows(products, now)))
+    history.add(catalogue.history_rows(products, now), HISTORY_DDL)

@@ -54,10 +54,12 @@ def drop(df: DataFrame) -> None:
 class VersionedTable:
     """A table as numbered Parquet folders: a version is written whole before readers can see it, so a
     rewrite may read the version that it replaces, and one that fails hinders no other. Of the versions
-    only the last ``keep`` stay."""
+    only the last ``keep`` stay. What was read here is what a write follows: if another writer has put a
+    version in between, the write is an error, and nothing of the other's is lost."""
 
     def __init__(self, spark: SparkSession, folder: str, partition_by: tuple[str, ...] = ("site",), keep: int = 3):
         self.spark, self.folder, self.partition_by, self.keep = spark, folder.rstrip("/"), partition_by, keep
+        self._seen: int | None = None
 
     def _path(self, name: str):
         return _hadoop(self.spark, f"{self.folder}/{name}" if name else self.folder)
@@ -72,33 +74,24 @@ class VersionedTable:
     def read(self, schema: str | None = None) -> DataFrame:
         """The newest version, or an empty table of ``schema``."""
         found = self.versions()
+        self._seen = found[-1] if found else 0
         if not found:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         return reader.parquet(f"{self.folder}/v{found[-1]:08d}")
 
     def write(self, df: DataFrame) -> int:
-        """Write the next version and return its number."""
-        number, attempt = (self.versions() or [0])[-1] + 1, f".next-{uuid.uuid4().hex}"
+        """Write the version after the one that was read last (without any, the newest) and return its number."""
+        number, attempt = (self._seen if self._seen is not None else (self.versions() or [0])[-1]) + 1, f".next-{uuid.uuid4().hex}"
         source, fs = self._path(attempt)
         target, _ = self._path(f"v{number:08d}")
         try:
-            self._write(df, attempt, "errorifexists")
-            if fs.exists(target) or not fs.rename(source, target):
-                raise OSError(f"version {number} exists already")
+            df.write.partitionBy(*[c for c in self.partition_by if c in df.columns]).parquet(f"{self.folder}/{attempt}")
+            if (self.versions() or [0])[-1] >= number or not fs.rename(source, target):
+                raise OSError(f"version {number} exists already: the table has changed since it was read")
         finally:
             fs.delete(source, True)
+        self._seen = number
         for old in self.versions()[: -self.keep]:
             fs.delete(self._path(f"v{old:08d}")[0], True)
         return number
-
-    def append(self, df: DataFrame) -> int:
-        """Add rows to the newest version, which isn't written anew."""
-        found = self.versions()
-        if not found:
-            return self.write(df)
-        self._write(df, f"v{found[-1]:08d}", "append")
-        return found[-1]
-
-    def _write(self, df: DataFrame, name: str, mode: str) -> None:
-        df.write.mode(mode).partitionBy(*[c for c in self.partition_by if c in df.columns]).parquet(f"{self.folder}/{name}")

@@ -16,7 +16,7 @@ from shelfwise.sources import sinks
 from shelfwise.sources.versions import VersionedTable
 
 
-def merge_batch(table: VersionedTable, history: VersionedTable, schema: str, history_schema: str, quarantine: str | None = None, points: str = "all") -> Callable[[DataFrame, int], None]:
+def merge_batch(table: VersionedTable, history: sinks.DayHistory, schema: str, history_schema: str, quarantine: str | None = None, points: str = "all") -> Callable[[DataFrame, int], None]:
     """A function for ``foreachBatch``: the newest row of each key goes into the table unless the stored one
     is newer, empty rich fields keep what is stored, and price points go into the history.
 
@@ -30,15 +30,13 @@ def merge_batch(table: VersionedTable, history: VersionedTable, schema: str, his
         try:
             rows = batch.where("coalesce(product_id, '') <> ''")
             order = [c for c in ("scraped_at", "ord") if c in rows.columns]
-            stored, past = table.read(schema), history.read(history_schema)
+            stored = table.read(schema)
             newest = catalogue.latest_per_key(rows, KEY, order).drop(*[c for c in rows.columns if c not in stored.columns])
             old = stored.select(*KEY, F.col("scraped_at").alias("old_at"))
             fresh = newest.join(old, list(KEY), "left").where("old_at IS NULL OR scraped_at >= old_at").drop("old_at")
             table.write(catalogue.upsert(stored, catalogue.preserve_rich_fields(fresh, stored)))
             seen = rows if points == "all" else catalogue.price_changes(rows, order)
-            past_columns = [c for c in past.columns if c in seen.columns]
-            shaped = catalogue.history_rows(seen).select(past_columns)
-            history.append(catalogue.append_history(past, shaped))
+            history.add(catalogue.history_rows(seen), history_schema)
         except Exception:
             if quarantine is None:
                 raise

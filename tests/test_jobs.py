@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import changes
 from shelfwise.plans import jobs
 from shelfwise.schema import CATALOGUE_DDL, HISTORY_DDL, RUN_DDL
+from shelfwise.sources.sinks import DayHistory
 from shelfwise.sources.versions import VersionedTable
 from tests.helpers import product, products, stored
 
@@ -41,7 +42,7 @@ def test_barcode_jobs(spark):
 
 
 def test_incremental_run(spark, tmp_path):
-    table, history = VersionedTable(spark, str(tmp_path / "t")), VersionedTable(spark, str(tmp_path / "h"))
+    table, history = VersionedTable(spark, str(tmp_path / "t")), DayHistory(spark, str(tmp_path / "h"))
     table.write(stored(spark, [product("a", str(i), selling_price=5.0, description="d", image_urls=["u"]) | {"last_seen_run_id": "r0"} for i in range(3)]))
     listing = products(spark, [product("a", "0", selling_price=5.0), product("a", "1", selling_price=6.0), product("a", "new", selling_price=1.0)])
     details = products(spark, [product("a", "new", selling_price=1.0, description="fresh")])

@@ -1,6 +1,7 @@
-import os
 import datetime as dt
+import decimal
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def test_versions(spark, tmp_path):
 
 
 def test_sync_twice_is_sync_once(spark, tmp_path):
-    table, history = VersionedTable(spark, str(tmp_path / "t")), VersionedTable(spark, str(tmp_path / "h"))
+    table, history = VersionedTable(spark, str(tmp_path / "t")), sinks.DayHistory(spark, str(tmp_path / "h"))
     rows = products(spark, [product("a", "1", selling_price=5.0)])
     for _ in range(2):
         sinks.sync(table, history, rows, F.current_timestamp())
@@ -133,7 +134,7 @@ def land(spark, folder, rows):
 
 
 def test_stream_merges_batches_resumes_and_takes_late_rows(spark, tmp_path):
-    land_dir, (table, history) = str(tmp_path / "land"), (VersionedTable(spark, str(tmp_path / n)) for n in ("t", "h"))
+    land_dir, (table, history) = str(tmp_path / "land"), (VersionedTable(spark, str(tmp_path / "t")), sinks.DayHistory(spark, str(tmp_path / "h")))
     merge = micro_batches.merge_batch(table, history, TABLE, POINTS)
 
     def run():
@@ -145,13 +146,13 @@ def test_stream_merges_batches_resumes_and_takes_late_rows(spark, tmp_path):
     run()
     run()
     assert {r.product_id: r.selling_price for r in table.read().collect()} == {"1": 6.0, "2": 7.0, "3": 9.0}
-    assert history.read().count() == 5
+    assert history.read(POINTS).count() == 5
     merge(spark.read.parquet(land_dir), 99)  # replayed rows change nothing
-    assert history.read().count() == 5 and table.read().count() == 3
+    assert history.read(POINTS).count() == 5 and table.read().count() == 3
 
 
 def test_a_failing_batch_is_kept_and_the_stream_goes_on(spark, tmp_path):
-    table, history = (VersionedTable(spark, str(tmp_path / n)) for n in ("t", "h"))
+    table, history = VersionedTable(spark, str(tmp_path / "t")), sinks.DayHistory(spark, str(tmp_path / "h"))
     merge = micro_batches.merge_batch(table, history, "nonsense int, site string, product_id string, scraped_at timestamp", "missing int", quarantine=str(tmp_path / "q"))
     merge(spark.createDataFrame([("a", "1", 0, dt.datetime(2026, 1, 1), 5.0, True)], STREAM), 3)
     assert spark.read.parquet(str(tmp_path / "q")).count() == 1
@@ -187,14 +188,37 @@ def test_failed_writes_hinder_no_other_and_old_versions_go(spark, tmp_path):
     for n in (2, 3, 4):
         table.write(table.read().withColumn("n", F.lit(n)))
     assert table.versions() == [3, 4]
-    assert table.append(good) == 4 and sorted(r.n for r in table.read("site string, n int").collect()) == [1, 4]
+
+
+def test_a_write_after_another_writers_is_an_error(spark, tmp_path):
+    one, other = (VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    add = lambda table, n: table.write(table.read("site string, n int").unionByName(spark.createDataFrame([("a", n)], "site string, n int")))
+    add(one, 1)
+    mine = one.read("site string, n int")
+    add(other, 2)
+    with pytest.raises(OSError, match="has changed"):
+        one.write(mine.where("n > 5"))
+    assert add(one, 3) == 3 and sorted(r.n for r in one.read().collect()) == [1, 2, 3]
+    assert not [x for x in os.listdir(tmp_path / "t") if x.startswith(".next")]
+
+
+def test_history_by_day_adds_each_point_once(spark, tmp_path):
+    history = sinks.DayHistory(spark, str(tmp_path / "h"))
+    assert history.read(POINTS).count() == 0
+    rows = spark.createDataFrame([("a", "1", dt.datetime(2026, 1, 1), "9.5"), ("a", "1", dt.datetime(2026, 1, 2), None), ("a", "2", None, "1")], "site string, product_id string, scraped_at timestamp, selling_price string")
+    for _ in range(2):
+        history.add(rows, POINTS)
+    history.add(rows.limit(0), POINTS)
+    got = sorted(history.read(POINTS).collect(), key=lambda r: r.scraped_at)
+    assert [(r.scraped_at.day, r.selling_price, r.in_stock) for r in got] == [(1, decimal.Decimal("9.50"), None), (2, None, None)]
+    assert sorted(x for x in os.listdir(tmp_path / "h") if x.startswith("day=")) == ["day=2026-01-01", "day=2026-01-02"]
 
 
 def test_batches_set_aside_are_merged_later(spark, tmp_path):
     from shelfwise.streaming.micro_batches import merge_batch, merge_quarantine
 
     schema, points = "site string, product_id string, scraped_at timestamp, selling_price double", "site string, product_id string, selling_price decimal(12,2), scraped_at timestamp"
-    table, history = (VersionedTable(spark, f"file://{tmp_path}/{x}") for x in ("table", "history"))
+    table, history = VersionedTable(spark, f"file://{tmp_path}/table"), sinks.DayHistory(spark, f"file://{tmp_path}/history")
     batch = spark.sql("SELECT 'a' AS site, '1' AS product_id, timestamp '2026-01-01' AS scraped_at, 5.0D AS selling_price")
     broken = merge_batch(table, history, "site string, wrong string", points, f"file://{tmp_path}/aside")
     broken(batch, 7)
@@ -202,7 +226,7 @@ def test_batches_set_aside_are_merged_later(spark, tmp_path):
     merge = merge_batch(table, history, schema, points)
     assert merge_quarantine(spark, merge, f"file://{tmp_path}/aside") == 1
     assert merge_quarantine(spark, merge, f"file://{tmp_path}/aside") == 0
-    assert table.read().count() == 1 and history.read().count() == 1
+    assert table.read().count() == 1 and history.read(points).count() == 1
 
 
 def test_lines_of_sheets(spark, tmp_path):
