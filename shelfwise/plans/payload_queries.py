@@ -9,7 +9,10 @@ from shelfwise.normalize import payloads
 from shelfwise.plans.catalogue_queries import _table, query
 
 
-@query()
+@query("""WITH t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<![a-z][^>]*>', '', 'g') AS m FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(m, '(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(\\s[^>]*)?/?>', chr(1), 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS m FROM t),
+d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS m FROM b)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(m, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM d""", with_obs=False)
 def page_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", markup.html_to_text("html").alias("text"))
 
