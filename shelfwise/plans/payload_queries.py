@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfwise.functions import markup, values
+from shelfwise.functions import markup, titles, values
 from shelfwise.normalize import payloads
 from shelfwise.plans.catalogue_queries import _table, query
 
@@ -216,3 +217,63 @@ def value_panel(spark, sf_dir):
         F.coalesce(values.positive_max(k % 3, k % 2), F.lit(0)).alias("best"), values.breakdown_total(F.array(F.struct(F.lit(5).alias("stars"), k.cast("bigint").alias("count")), F.struct(F.lit(4).alias("stars"), F.lit(10).cast("bigint").alias("count")), F.struct(F.lit(3).alias("stars"), F.lit(None).cast("bigint").alias("count")))).alias("total"),
         values.to_cell(values.from_cell(F.lit('{"a":1}'), "map<string,bigint>"), p.select(F.create_map(F.lit("a"), F.lit(1).cast("bigint"))).schema[0].dataType).alias("cell"),
     )
+
+
+# --- titles and texts put together from parts that vary on their own ----------------------------
+
+_WORDS = [(k, titles.FORM_ALIASES.get(form, form)) for _, _, form, k in sorted((-len(k), rank, form, k) for rank, (form, words) in enumerate(titles.FORMS.items()) for k in words)]
+_UNITS = [("ml", "ml", 1), ("L", "ml", 1000), ("gm", "g", 1), ("kg", "g", 1000), ("oz", "ml", None), ("g", "g", 1), ("litre", "ml", 1000), ("GRAMS", "g", 1), ("tablets", "pc", 1), ("Sheets", "pc", 1)]
+_BUNDLES = ("", "combo", "kits", "DUO", "Hamper", "", "trio")
+_LINE_PARTS = """WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS ord, l_orderkey AS o, l_quantity::INT AS q, l_linenumber::INT AS c, l_partkey AS k, l_suppkey AS s FROM lineitem),
+"""
+
+
+def _line_titles(spark, sf_dir):
+    """Of each order line a title: a form's keyword, strengths, a bundle's word and a size in one of five layouts."""
+    line = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_orderkey").alias("o"), F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").cast("int").alias("c"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"))
+    pick = lambda options, at: F.element_at(F.array(*map(F.lit, options)), (at % len(options) + 1).cast("int"))
+    q, c, o, k = F.col("q").cast("string"), F.col("c").cast("string"), F.col("o"), F.col("k")
+    amount, unit = F.concat(q, pick(("", ".5", ",5"), F.col("s"))), pick([u for u, _, _ in _UNITS], k)
+    sizes = (F.concat(amount, unit), F.concat(c, pick((" x ", "×", "* "), F.col("q")), amount, F.lit(" "), unit), F.concat(F.lit("Pack of "), c, F.lit(" "), amount, F.lit(" "), unit), F.concat(amount, F.lit(" "), unit, F.lit(" ("), c, F.lit("-pack)")))
+    size = F.coalesce(*[F.when(o % 5 == i, x) for i, x in enumerate(sizes)], F.lit("no size"))
+    strong = F.concat(((k % 21) / 2).cast("string"), pick(("%", " %"), o), F.lit(" + "), (F.col("q") % 4).cast("string"), F.lit("%"), F.when(o % 3 == 0, F.concat(F.lit(" SPF "), q)).when(o % 3 == 1, F.concat(F.lit(" spf0"), q)).otherwise(""))
+    return line.select("ord", F.concat_ws(" ", pick([w for w, _ in _WORDS], o + F.col("c")), strong, pick(_BUNDLES, F.col("s") + F.col("c")), F.lit("daily"), size).alias("title"))
+
+
+@query(_LINE_PARTS + """u AS (SELECT *, o % 5 AS layout, k % 10 AS n, q + CASE WHEN s % 3 = 0 THEN 0 ELSE 0.5 END AS number FROM l)
+SELECT ord, CASE WHEN layout = 4 THEN NULL WHEN n = 4 THEN round(number::DECIMAL(12,2) * 29.5735, 1)::DOUBLE ELSE number::DOUBLE * CASE WHEN n IN (1, 3, 6) THEN 1000 ELSE 1 END END AS amount,
+  CASE WHEN layout = 4 THEN NULL ELSE (['ml', 'ml', 'g', 'g', 'ml', 'g', 'ml', 'g', 'pc', 'pc'])[n + 1] END AS unit, CASE WHEN layout = 4 THEN 0 WHEN layout IN (2, 3) OR layout = 1 AND n IN (0, 1, 2, 3, 5) THEN c ELSE 1 END::INT AS pack,
+  CASE WHEN layout = 4 THEN '' ELSE 'x' END AS labelled FROM u""", with_obs=False)
+def line_sizes(spark, sf_dir):
+    rows = _line_titles(spark, sf_dir).withColumn("size", titles.parse_size(F.col("title")))
+    return rows.select("ord", "size.amount", "size.unit", F.coalesce("size.pack", F.lit(0)).alias("pack"), F.when(titles.size_label(F.col("size")) == "", "").otherwise("x").alias("labelled"))
+
+
+@query(_LINE_PARTS + "t AS (SELECT *, ([" + ", ".join(f"'{w}'" for w, _ in _WORDS) + f"])[(o + c) % {len(_WORDS)} + 1] AS word, ([" + ", ".join(f"'{b}'" for b in _BUNDLES) + f"""])[(s + c) % {len(_BUNDLES)} + 1] AS bundle,
+  ([{", ".join(f"'{u}'" for u, _, _ in _UNITS)}])[k % {len(_UNITS)} + 1] AS unit FROM l),
+h AS (SELECT *, trim(regexp_replace(lower(concat_ws(' ', word, CASE WHEN o % 3 < 2 THEN 'spf' ELSE '' END, bundle, 'daily', CASE WHEN o % 5 = 2 THEN 'pack of' WHEN o % 5 = 4 THEN 'no size' ELSE '' END,
+  CASE WHEN o % 5 < 4 THEN unit ELSE '' END, CASE WHEN o % 5 = 3 THEN 'pack' ELSE '' END)), '[^a-z0-9]+', ' ', 'g')) AS hay FROM t)
+SELECT ord, CASE """ + " ".join(f"WHEN contains(hay, '{w}') THEN '{form}'" for w, form in _WORDS) + """ ELSE '' END AS form, bundle NOT IN ('', 'kits') AS bundle,
+  array_to_string(list_sort(list_distinct(list_filter(['pct' || CASE WHEN k % 21 % 2 = 0 THEN (k % 21 // 2)::VARCHAR ELSE (k % 21 // 2)::VARCHAR || '.5' END, 'pct' || (q % 4), CASE WHEN o % 3 < 2 THEN 'spf' || q END, CASE WHEN word = 'spf' THEN 'spf' || (k % 21 // 2) END], lambda x: x IS NOT NULL))), ' ') AS strengths FROM h""", with_obs=False)
+def line_forms(spark, sf_dir):
+    rows = _line_titles(spark, sf_dir)
+    return rows.select("ord", titles.detect_form(F.col("title")).alias("form"), titles.is_bundle(F.col("title")).alias("bundle"), F.array_join(titles.strengths(F.col("title")), " ").alias("strengths"))
+
+
+@query(_LINE_PARTS + """v AS (SELECT *, 100 + k % 900 AS rupees FROM l)
+SELECT ord, rupees + CASE WHEN o % 3 = 1 THEN 0.5 ELSE 0 END::DOUBLE AS selling_price, (rupees * c + q)::DOUBLE AS mrp, CASE WHEN o % 4 = 3 THEN NULL ELSE q + CASE WHEN o % 4 = 1 THEN 0.5 ELSE 0 END END::DOUBLE AS discount_pct,
+  CASE WHEN o % 6 = 5 THEN '{}' ELSE '{"p' || (k % 7) || '":' || q || '}' END AS cell, CASE WHEN s % 2 = 0 THEN 'b' || q ELSE 'a' || c END AS meta FROM v WHERE o % 4 <> 3
+UNION ALL SELECT ord, NULL, (rupees * c + q)::DOUBLE, NULL, CASE WHEN o % 6 = 5 THEN '{}' ELSE '{"p' || (k % 7) || '":' || q || '}' END, CASE WHEN s % 2 = 0 THEN 'b' || q ELSE 'a' || c END FROM v WHERE o % 4 = 3""", with_obs=False)
+def line_texts(spark, sf_dir):
+    """Price texts in several forms, cells of maps (some broken) and lists of pairs, of each order line."""
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_orderkey").alias("o"), F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").cast("int").alias("c"), (100 + F.col("l_partkey") % 900).alias("rupees"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"))
+    o, q, rupees = F.col("o"), F.col("q").cast("string"), F.col("rupees").cast("string")
+    cut = F.when(o % 4 == 0, F.concat(F.lit("-"), q, F.lit("%"))).when(o % 4 == 1, F.concat(F.lit("− "), q, F.lit(".5 %"))).when(o % 4 == 2, F.concat(F.lit("-"), q, F.lit(".0%"))).otherwise("now")
+    selling = F.when(o % 3 == 0, F.concat(rupees, F.lit("00"))).when(o % 3 == 1, F.concat(rupees, F.lit(".50"))).otherwise(rupees)
+    mrp = F.format_number(F.col("rupees") * F.col("c") + F.col("q"), 2)
+    price = values.price_triple(F.concat(cut, F.lit(" ₹"), selling, F.when(o % 2 == 0, " M.R.P.: ₹").otherwise(" mrp ₹"), mrp))
+    kind = "map<string,bigint>"
+    cell = F.when(o % 6 == 5, F.concat(F.lit("{p"), q)).otherwise(F.concat(F.lit(' {"p'), (F.col("k") % 7).cast("string"), F.lit('" : '), q, F.lit("} ")))
+    pair = lambda a, b: F.struct(F.lit(a).alias("key"), b.alias("value"))
+    pairs = F.array(pair("m", F.lit("first")), pair(" ", q), pair(" m", F.concat(F.lit("a"), F.col("c").cast("string"))), F.struct(F.when(F.col("s") % 2 == 0, "m ").otherwise("other").alias("key"), F.concat(F.lit("b"), q).alias("value")))
+    return rows.select("ord", "o", price.alias("p"), values.from_cell(cell, kind).alias("cell"), values.meta_map(pairs).alias("meta")).select("ord", "p.selling_price", "p.mrp", "p.discount_pct", values.to_cell(F.col("cell"), T._parse_datatype_string(kind)).alias("cell"), F.element_at("meta", "m").alias("meta"))
