@@ -98,9 +98,15 @@ def detect_form(*texts: Column, forms: Mapping[str, Sequence[str]] = FORMS, alia
     hay = F.concat_ws(" ", *[normalize_text(x) for x in texts])
     if whole_words:
         hay = F.concat(F.lit(" "), hay, F.lit(" "))
-    entries = [(len(k), -rank, aliases.get(form, form), f" {k} " if whole_words else k) for rank, (form, keys) in enumerate(forms.items()) for k in keys]
-    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r).alias("r"), F.lit(f).alias("form"), F.lit(k).alias("k")) for n, r, f, k in entries])
-    return F.coalesce(F.array_max(F.filter(known, lambda e: F.contains(hay, e["k"])))["form"], F.lit(""))
+    entries = sorted((-len(k), rank, f" {k} " if whole_words else k, aliases.get(form, form)) for rank, (form, words) in enumerate(forms.items()) for k in words)
+
+    def first(h: Column) -> Column:
+        found = F.when(F.lit(False), F.lit(""))
+        for _, _, word, form in entries:
+            found = found.when(F.contains(h, F.lit(word)), F.lit(form))
+        return found.otherwise(F.lit(""))
+
+    return F.get(F.transform(F.array(hay), first), F.lit(0))  # so the text is made ready once, not for each keyword
 
 
 def strengths(*texts: Column) -> Column:
