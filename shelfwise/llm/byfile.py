@@ -73,5 +73,8 @@ def listed_rows(docs: DataFrame, file: Column, id_col: str, folder: str, wanted:
             if keep.any():
                 yield pa.RecordBatch.from_arrays(batch.columns[2:], batch.schema.names[2:]).filter(pa.array(keep))
 
-    rows = docs.select(file.alias("_file"), F.col(f"`{id_col}`").cast("long").alias("_id"), *[F.col(f"`{c}`") for c in docs.columns])
+    taken, names = {c.lower() for c in docs.columns}, ["_file", "_id"]
+    while taken & set(names):  # names that the table has itself
+        names = [f"_{name}" for name in names]
+    rows = docs.select(file.alias(names[0]), F.col(f"`{id_col}`").cast("long").alias(names[1]), *[F.col(f"`{c}`") for c in docs.columns])
     return rows.transform(map_batches, (lambda batches: f(choose(batches))) if f else choose, schema or docs.schema)

@@ -60,7 +60,8 @@ def plan_mix(docs: DataFrame, copies: int = 3, weight=_cycle, id_col: str = "doc
     Sizes are words; null texts have none, and what has no words is not taken. A null source is a
     source of its own. Repeated rows are documents of their own; ties in the shuffled order go by id,
     then size; ties in finish time by source, id and size. A text of any length is one document, however
-    much of the budget it takes. Without rows, or without words, nothing is taken.
+    much of the budget it takes. Without rows, or without words, nothing is taken. Rows without id take
+    their place from their text, so equal ones follow each other.
     """
     spark, at = docs.sparkSession, work_dir(docs.sparkSession)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffled(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("null"))).alias("place"))

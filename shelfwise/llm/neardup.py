@@ -414,7 +414,8 @@ def near_duplicates(docs: DataFrame, share: int = 85, id_col: str = "doc_id", te
     one shingle; null and empty texts have none and link to nothing. The component's name is its
     smallest doc_id, and ``kept`` tells whether the row has it. Rows that repeat a doc_id are one
     document where their texts are equal; otherwise the document has the links of the texts compared.
-    A row without id is a component of its own, kept, without name.
+    A row without id is a component of its own, kept, without name. A table without rows gives none. Texts
+    of any length are shingled whole, in blocks. Columns other than the two named are not read.
     """
     judged, _ = _judge(docs, share, id_col, text_col, work_dir(docs.sparkSession))
     return judged.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")

@@ -288,7 +288,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     A word goes if a window over it also starts in a document of a smaller id. Windows are those of the
     input, words are compared as they are. A null text has no words (and stays null); rows without id
-    neither lose words nor take any from others; rows of one id take nothing from each other.
+    neither lose words nor take any from others; rows of one id take nothing from each other. A table
+    without rows gives none. A text longer than a unit is a unit of its own, read whole. Other columns stay in
+    ``row``, whatever their names.
     """
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
     columns = docs.columns

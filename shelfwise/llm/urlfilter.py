@@ -86,7 +86,8 @@ def judge_urls(pages: DataFrame, block: Iterable[str], allow: Iterable[str], id_
 
     Rules are written ``host/path``. Among rules of one length the greater text wins. Without a rule
     the URL is on no list, so it is allowed. Null URLs and those without ``://`` have empty host and
-    path; repeated rows are judged each; other columns are not read.
+    path; repeated rows are judged each; other columns are not read. A table without rows gives none. URLs of
+    any length are read whole, and those of many labels or long paths have keys only of the shapes of the rules.
     """
     block, allow = list(block), list(allow)
     host, path = host_and_path(F.col(url_col))

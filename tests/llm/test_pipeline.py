@@ -63,3 +63,18 @@ def test_stages_bear_odd_rows(spark):
             some = stage(spark, some, DATA)
         assert some.count() <= len(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, DATA).collect()) == [1, 2, 3, 4]
+
+
+def test_stages_bear_columns_of_any_name(spark):
+    """Columns named as those that operators add, and repeated rows, go through; the columns stay in order."""
+    names = ["_id", "_file", "row", "nth", "file", "kept", "n", "part", "unit", "_row", "_turns", "score", "log_bytes", "source_size"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "en", f"s{i % 2}", 0, *[f"{c}{i}" for c in names]) for i in range(6)]
+    rows += [rows[0], (None, rows[1][1], *rows[1][2:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            if r.doc_id is not None:
+                assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names], name
+    assert corpus_pipeline.token_stage(spark, docs, DATA).count() == len(rows)

@@ -44,3 +44,19 @@ def test_odd_rows(spark):
     one = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, None, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 1 for r in quality.score_quality(docs, one).collect())
     assert quality.score_quality(docs.limit(0), one).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
+def test_scores_against_the_rules_one_by_one(spark):
+    """The compiled expression equals the sum over the model's rules, each tried on each text's statistics."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.text_statistics(docs).cache()
+    model = quality.fit_rules(stats.join(labels.where(~quality.held_out(F.col("doc_id"))), "doc_id").orderBy("doc_id"))
+    assert 5 < len(model.weights) and all(rule.bounds for rule, _ in model.weights)
+    got = {r.doc_id: r.score for r in stats.select("doc_id", model.score().alias("score")).collect()}
+    texts = docs.select("doc_id", "text").toPandas()
+    own = quality.statistics_of(pa.array(texts.text, pa.string()))
+    for i, doc in enumerate(texts.doc_id):
+        total = model.intercept + sum(w for rule, w in model.weights if all(low < own[name][i] <= high for name, low, high in rule.bounds))
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+    assert len(got) == len(texts)
