@@ -120,6 +120,31 @@ def test_many_equal_titles_are_one_edge(spark):
     assert found.count() == n and found.where("left.product_id <> right.product_id").count() == 0
 
 
+def test_barcodes_of_their_own_make_no_more_edges(spark):
+    n = 300
+    rows = [product(s, f"{i:03}", product_name=SERUM, gtin=f"{i:07}{(10 - sum(int(c) * (3 if j % 2 == 0 else 1) for j, c in enumerate(f'{i:07}')) % 10) % 10}" if s == "a" else "") for s in "ab" for i in range(1, n + 1)]
+    items = matching.stored(matching.prepare(products(spark, rows), ["a", "b"]))
+    edges = matching.stored(matching.title_edges(matching.title_classes(items)))
+    assert items.where("gtin <> ''").count() == n and [r.links for r in edges.collect()] == [n * n]
+    got = [(r.left.product_id, r.right.product_id) for r in matching.assign_classes(items, edges).collect()]
+    assert sorted(got) == [(f"{i:03}", f"{i:03}") for i in range(1, n + 1)]
+
+
+def test_best_edges_are_the_best_of_all_edges(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    rng = random.Random(5)
+    words = ["Retinol Night Serum", "Retinol Night Serum Plus", "Night Serum Retinol Rich"]
+    rows = [product(s, f"{s}{i:02}", product_name=rng.choice(words), gtin=rng.choice(["", "", GTIN, OTHER])) for s in "abc" for i in range(12)]
+    items = matching.stored(matching.prepare(products(spark, rows), ["a", "b", "c"]))
+    all_edges = matching.score_edges(items).collect()
+    classes = matching.class_edges(matching.item_classes(items))
+    assert len(all_edges) == len({(r.left, r.right) for r in all_edges}) == classes.agg(F.sum("links")).first()[0]
+    want = {}
+    for r in sorted(all_edges, key=lambda r: (-r.confidence, r.r_ord)):
+        want.setdefault((r.left, r.r_site), (r.right, r.confidence, r.method))
+    assert {(r.left, r.r_site): (r.right, r.confidence, r.method) for r in matching.best_edges(items).collect()} == want
+
+
 def test_no_edges(spark):
     items, groups, rest = matching.match_products(products(spark, [product("a", "1", product_name="One Thing"), product("", "3", product_name="No Site")]))
     assert groups.count() == 0 and rest.count() == 1 and items.count() == 1
