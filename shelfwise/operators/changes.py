@@ -18,13 +18,17 @@ REQUIRED_FIELDS = ("description", "image_urls")
 CONTENT_FIELDS = ("description", "ingredients", "how_to_use", "image_urls")
 
 
+def _as_old(stored: DataFrame, listed: Sequence[str]) -> DataFrame:
+    """Stored rows with ``old_fp``, their fingerprint, computed of the ``listed`` columns where it isn't stored."""
+    known = F.nullif(F.col("source_fingerprint"), F.lit("")) if "source_fingerprint" in stored.columns else F.lit(None).cast("string")
+    comparable = stored.select([c for c in stored.columns if c in listed])
+    return stored.withColumn("old_fp", F.coalesce(known, source_fingerprint(comparable)))
+
+
 def with_stored(listing: DataFrame, stored: DataFrame) -> DataFrame:
     """The listing with ``fp`` and, of the stored row, ``old`` (a struct, null for a new product) and
     ``old_fp``, computed where it isn't stored."""
-    known = F.nullif(F.col("source_fingerprint"), F.lit("")) if "source_fingerprint" in stored.columns else F.lit(None).cast("string")
-    comparable = stored.select([c for c in stored.columns if c in listing.columns])
-    old = stored.withColumn("old_fp", F.coalesce(known, source_fingerprint(comparable)))
-    old = old.select(*KEY, "old_fp", F.struct(*stored.columns).alias("old"))
+    old = _as_old(stored, listing.columns).select(*KEY, "old_fp", F.struct(*stored.columns).alias("old"))
     return listing.withColumn("fp", source_fingerprint(listing)).join(old, list(KEY), "left")
 
 
@@ -32,6 +36,12 @@ def refresh_plan(listing: DataFrame, stored: DataFrame, now: Column, refresh_day
     """site, product_id, needed, reason for each listed product: new, changed, incomplete, stale or fresh,
     the first that holds. With 0 days age doesn't count; disabled, everything is new."""
     both = with_stored(listing, stored)
+    reason = _reason(stored, now, refresh_days, required, enabled)
+    return both.select(*KEY, reason.alias("reason")).select(*KEY, (F.col("reason") != "fresh").alias("needed"), "reason")
+
+
+def _reason(stored: DataFrame, now: Column, refresh_days: int, required: Sequence[str], enabled: bool) -> Column:
+    """``refresh_plan``'s reason over ``fp``, ``old_fp`` and ``old``, a row of ``stored``."""
     kinds = stored.schema
     empty = F.lit(False)
     for c in required:
@@ -39,8 +49,7 @@ def refresh_plan(listing: DataFrame, stored: DataFrame, now: Column, refresh_day
     detail = F.col("old.last_detail_scraped_at") if "last_detail_scraped_at" in stored.columns else F.lit(None).cast("timestamp")
     moment = F.coalesce(detail, F.col("old.scraped_at"))
     stale = (moment.isNull() | older_than(moment, now, days=refresh_days)) if refresh_days else F.lit(False)
-    reason = F.when(F.lit(not enabled) | F.col("old").isNull(), "new").when(F.col("fp") != F.col("old_fp"), "changed").when(empty, "incomplete").when(stale, "stale").otherwise("fresh")
-    return both.select(*KEY, reason.alias("reason")).select(*KEY, (F.col("reason") != "fresh").alias("needed"), "reason")
+    return F.when(F.lit(not enabled) | F.col("old").isNull(), "new").when(F.col("fp") != F.col("old_fp"), "changed").when(empty, "incomplete").when(stale, "stale").otherwise("fresh")
 
 
 @dataclass(frozen=True)
@@ -76,9 +85,12 @@ def plan_counts(plan: DataFrame) -> DataFrame:
 
 
 def complete_recent(stored: DataFrame, now: Column, refresh_days: int = 30, required: Sequence[str] = REQUIRED_FIELDS, enabled: bool = True) -> DataFrame:
-    """Stored rows that are complete and recent, so that they may be used again without a request."""
-    plan = refresh_plan(stored, stored, now, refresh_days, required, enabled)
-    return stored.join(plan.where("NOT needed").select(*KEY), list(KEY), "left_semi")
+    """Stored rows that are complete and recent, so that they may be used again without a request: those of
+    which ``refresh_plan`` of the table by itself says fresh. Keys are unique, so each row is judged where
+    it lies."""
+    rows = _as_old(stored.withColumn("fp", source_fingerprint(stored)), stored.columns)
+    rows = rows.withColumn("old", F.struct(*stored.columns)).where(" AND ".join(f"{c} IS NOT NULL" for c in KEY))
+    return rows.where(_reason(stored, now, refresh_days, required, enabled) == "fresh").select(stored.columns)
 
 
 def detail_price_candidates(listing: DataFrame) -> DataFrame:

@@ -263,3 +263,13 @@ def test_merged_values_of_a_product(spark):
     got = {r.product_id: r for r in catalogue.dedup_merge(rows, order=["scraped_at"]).collect()}
     assert (got["1"].selling_price, got["1"].categories, got["1"].image_urls, got["1"].product_attributes) == (3.0, ["a", "b", "c"], ["z", "y", "x"], {"k": "new", "z": "1"})
     assert (got["2"].categories, got["2"].image_urls, got["2"].product_attributes) == ([], [], {})
+
+
+def test_complete_recent_judges_each_row_where_it_lies(spark):
+    table = stored(spark, [product("a", "1", description="text", scraped_at=day(1)), product("a", "2", description="", scraped_at=day(1)), product("a", "3", description="text", scraped_at=day(40)), product("a", None, description="text", scraped_at=day(1))])
+    now = F.lit(NOW)
+    kept = changes.complete_recent(table, now, 30, ("description",))
+    plan = changes.refresh_plan(table, table, now, 30, ("description",)).where("NOT needed")
+    assert [r.product_id for r in kept.collect()] == [r.product_id for r in plan.collect()] == ["1"] and kept.columns == table.columns
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert changes.complete_recent(table, now, 30, ("description",), enabled=False).count() == 0
