@@ -97,3 +97,11 @@ def test_markup(spark):
     ])
     check(spark, lambda a: F.array_join(markup.media_list(a), "|"), [('[{"url":"https://a/1.jpg","mediaType":"image"},{"url":"https://a/2.mp4","mediaType":"video"},{"nested":{"src":"//b/3.jpg"}}]', "https://a/1.jpg|//b/3.jpg"), ("bad", "")])
     check(spark, lambda a: F.size(markup.record_array(a, ("response.products",))), [('{"response":{"products":[{"id":1},{"id":2}]}}', 2), ('{"data":{"list":[{"skuId":"a"}]}}', 1)])
+
+
+def test_a_barcode_is_made_ready_once(spark):
+    """Each text is stripped by one expression, not by one for each of its readers, and labels share one."""
+    df = spark.createDataFrame([({"UPC": "8901030865275"}, " 890-1030865275"), ({"Item model number": "8901030865275", "EAN": "x"}, ""), ({}, None), (None, "1" * 20)], "a map<string,string>, g string")
+    made = df.select(keys.attribute_gtin(F.col("a")).alias("a"), keys.normalize_gtin(F.col("g")).alias("g"))
+    assert [tuple(r) for r in made.collect()] == [("8901030865275",) * 2, ("8901030865275", ""), ("", ""), ("", "")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 6
