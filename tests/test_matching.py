@@ -201,3 +201,11 @@ def test_agreeing_sizes_share_or_neighbour_a_bucket(spark):
     rows = [(x, x + rng.uniform(-1, 1) * max(0.5, 0.02 * x)) for x in [rng.uniform(0.6, 400) for _ in range(3000)] + [24.6, 24.9, 25.0, 25.1]]
     df = spark.createDataFrame(rows, "a double, b double").where(matching.titles.amounts_agree(F.col("a"), F.col("b")))
     assert df.count() > 2500 and df.where(F.abs(matching.size_bucket(F.col("a")) - matching.size_bucket(F.col("b"))) > 1).count() == 0
+
+
+def test_sweep_targets_are_told_row_by_row(spark):
+    rows = products(spark, [product("a", "1", product_attributes={"UPC": GTIN}), product("a", "2"), product("a", "3", gtin=GTIN), product("a", "4", product_attributes={"x": "y"})])
+    for recheck, want in ((False, ["2"]), (True, ["2", "4"])):
+        offline, pages = barcodes.sweep_targets(rows, recheck=recheck)
+        assert [r.product_id for r in offline.collect()] == ["1"] and sorted(r.product_id for r in pages.collect()) == want
+        assert "Join" not in pages._jdf.queryExecution().optimizedPlan().toString()
