@@ -272,7 +272,7 @@ def record_array(body: Column, paths: tuple[str, ...]) -> Column:
     """Records as JSON texts: those at the first of the paths (such as response.products) that is there,
     else the first list of objects that look like products."""
     at = [F.from_json(F.get_json_object(body, f"$.{p}"), "array<string>") for p in paths]
-    return F.coalesce(*at, record_list(body)) if at else record_list(body)
+    return F.coalesce(*at, record_list(F.when(F.coalesce(*at).isNull(), body))) if at else record_list(body)  # a body with such a path is not read again
 
 
 def first_path(record: Column, *paths: str) -> Column:

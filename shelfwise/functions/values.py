@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.keys import text
+from shelfwise.functions.keys import once, text
 
 TRUE_WORDS = ("true", "yes", "y", "1", "in stock", "instock", "active", "available")
 FALSE_WORDS = ("false", "no", "n", "0", "out of stock", "sold out", "draft")
@@ -72,11 +72,15 @@ def discount_pct(mrp: Column, selling: Column) -> Column:
 def clean_prices(mrp: Column, selling: Column, zero_is_missing: bool = False, mrp_defaults: bool = False) -> Column:
     """struct(mrp, selling_price, discount_pct): a list price below the price is dropped; zero prices may
     be missing ones, and a missing list price may be the price."""
-    selling = F.when(selling > 0, selling) if zero_is_missing else selling
-    mrp = F.when(mrp > 0, mrp) if zero_is_missing else mrp
-    mrp = F.when(mrp >= selling, mrp).when(selling.isNull(), mrp)
-    mrp = F.coalesce(mrp, selling) if mrp_defaults else mrp
-    return F.struct(mrp.alias("mrp"), selling.alias("selling_price"), discount_pct(mrp, selling).alias("discount_pct"))
+
+    def kept(prices: Column) -> Column:
+        mrp, selling = prices["mrp"], prices["selling_price"]
+        mrp = F.when(mrp >= selling, mrp).when(selling.isNull(), mrp)
+        mrp = F.coalesce(mrp, selling) if mrp_defaults else mrp
+        return F.struct(mrp.alias("mrp"), selling.alias("selling_price"), discount_pct(mrp, selling).alias("discount_pct"))
+
+    positive = lambda x: once(x, lambda v: F.when(v > 0, v)) if zero_is_missing else x
+    return once(F.struct(positive(mrp).alias("mrp"), positive(selling).alias("selling_price")), kept)
 
 
 def boolean_word(value: Column) -> Column:

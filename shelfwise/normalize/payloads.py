@@ -97,7 +97,10 @@ def json_detail(bronze: DataFrame, base_url: str, listing: DataFrame | None = No
     the listing row of the parent. The response's barcode is only that of a sole option."""
     g = lambda path: markup.at_path(F.col("j"), path)
     d = bronze.select("site", "fetched_at", markup.parsed(F.col("body")).alias("j")).withColumn("options", markup.array_at(F.col("j"), "options"))
-    d = d.select("site", "fetched_at", "j", F.size("options").alias("n"), F.posexplode_outer(F.when(F.size("options") > 0, F.col("options"))).alias("pos", "o"))
+    # texts of the response are read before its options are listed: once, not for each of them
+    d = d.withColumns({"html": F.coalesce(g("description"), F.lit("")), "made_of": F.coalesce(g("ingredients"), F.lit("")), "use": F.coalesce(g("use"), g("how_to_use"), F.lit(""))})
+    d = d.withColumns({"content": markup.content_sections("html"), "ingredients": markup.html_to_text("made_of"), "key_ingredients": markup.key_ingredients("made_of"), "use": markup.html_to_text("use")})
+    d = d.select("site", "fetched_at", "j", "html", "content", "ingredients", "key_ingredients", "use", F.size("options").alias("n"), F.posexplode_outer(F.when(F.size("options") > 0, F.col("options"))).alias("pos", "o"))
     o = lambda *paths: markup.first_at(F.col("o"), *paths)
     parent = F.coalesce(o("parent_id"), g("parent_id"), g("id"))
     d = d.withColumn("parent", parent)
@@ -106,7 +109,7 @@ def json_detail(bronze: DataFrame, base_url: str, listing: DataFrame | None = No
         d = d.join(first, (F.col("site") == F.col("l_site")) & (F.col("parent") == F.col("l_parent")), "left")
     else:
         d = d.withColumns({"l_brand": F.lit(None).cast("string"), "l_name": F.lit(None).cast("string"), "l_url": F.lit(None).cast("string"), "l_categories": F.lit(None).cast("array<string>")})
-    gallery = F.flatten(F.array(markup.media_list(F.coalesce(o("carousel"), g("carousel"), F.lit("[]"))), markup.content_sections(F.coalesce(g("description"), F.lit("")))["images"]))
+    gallery = F.flatten(F.array(markup.media_list(F.coalesce(o("carousel"), g("carousel"), F.lit("[]"))), F.col("content.images")))
     price = values.clean_prices(values.payload_number(F.coalesce(o("price", "mrp"), g("price"), g("mrp"))), values.payload_number(F.coalesce(o("final_price", "offer_price"), g("final_price"))))
     own_code = keys.normalize_gtin(o("gtin", "ean", "barcode"))
     d = d.withColumns({"prices": price, "gallery": values.text_list(gallery)})
@@ -117,8 +120,8 @@ def json_detail(bronze: DataFrame, base_url: str, listing: DataFrame | None = No
         categories=F.coalesce("l_categories", _no_texts()), source_categories=F.coalesce("l_categories", _no_texts()), mrp=F.col("prices.mrp"), selling_price=F.col("prices.selling_price"), discount_pct=F.col("prices.discount_pct"),
         rating=values.payload_number(F.coalesce(o("rating"), g("rating"))), rating_count=values.payload_integer(F.coalesce(o("rating_count"), g("rating_count"))), review_count=values.payload_integer(F.coalesce(o("review_count"), g("review_count"))),
         in_stock=values.stock(F.coalesce(o("gludo_stock", "is_saleable", "in_stock"), g("gludo_stock")), o("out_of_stock"), o("quantity"), o("stock_status")), product_url=F.coalesce("l_url", markup.absolute_url(g("url"), base_url)),
-        image_url=F.coalesce(F.get("gallery", F.lit(0)), F.lit("")), image_urls=F.col("gallery"), description=markup.html_to_text(F.coalesce(g("description"), F.lit(""))), description_html=F.coalesce(g("description"), F.lit("")),
-        ingredients=markup.html_to_text(F.coalesce(g("ingredients"), F.lit(""))), key_ingredients=markup.key_ingredients(F.coalesce(g("ingredients"), F.lit(""))), how_to_use=markup.html_to_text(F.coalesce(g("use"), g("how_to_use"), F.lit(""))),
+        image_url=F.coalesce(F.get("gallery", F.lit(0)), F.lit("")), image_urls=F.col("gallery"), description=F.col("content.description"), description_html=F.col("html"),
+        ingredients=F.col("ingredients"), key_ingredients=F.col("key_ingredients"), how_to_use=F.col("use"),
         rating_breakdown=_breakdown(g("review_splitup")), top_reviews=_reviews(g("top_review")), scraped_at=F.col("fetched_at"),
     )
 
@@ -131,29 +134,33 @@ def variant_listing(bronze: DataFrame, base_url: str, brands: Sequence[str] = ()
     g = lambda path: F.get_json_object("r", f"$.{path}")
     groups = F.flatten(F.transform(F.coalesce(F.from_json(g("variants"), f"array<struct<items:array<{item}>>>"), F.from_json(F.lit("[]"), f"array<struct<items:array<{item}>>>")), lambda v: F.coalesce(v["items"], F.from_json(F.lit("[]"), f"array<{item}>"))))
     root = F.struct(g("uid").alias("uid"), g("name").alias("name"), g("slug").alias("slug"), g("attributes['pack-size']").alias("value"), g("medias").alias("medias"))
-    everything = F.filter(F.array_prepend(groups, root), lambda x: x["uid"].isNotNull())
-    uids = F.array_distinct(F.transform(everything, lambda x: x["uid"]))
-    latest = F.transform(uids, lambda u: F.element_at(F.filter(everything, lambda x: x["uid"] == u), -1))
     number = lambda u: F.struct(u.try_cast("bigint").isNull(), u.try_cast("bigint"), u.alias("uid"))
-    parent = F.array_min(F.transform(uids, number))["uid"]
-    each = records.select("site", "category", "fetched_at", "r", parent.alias("parent"), F.posexplode(latest).alias("vpos", "v"))
-    is_root = F.col("v.uid") == g("uid")
+
+    def chosen(everything: Column) -> Column:
+        uids = F.array_distinct(F.transform(everything, lambda x: x["uid"]))
+        latest = F.transform(uids, lambda u: F.element_at(F.filter(everything, lambda x: x["uid"] == u), -1))
+        return F.struct(F.array_min(F.transform(uids, number))["uid"].alias("parent"), latest.alias("variants"))
+
     attribute = lambda name: g(f"attributes['{name}']")
-    each = each.withColumns({
-        "prices": values.clean_prices(F.when(is_root, values.payload_number(F.coalesce(g("price.marked.min"), g("price.marked")))), F.when(is_root, values.payload_number(F.coalesce(g("price.effective.min"), g("price.effective"))))),
-        "content": markup.content_sections(F.coalesce(attribute("description"), F.lit(""))),
-        "gallery": markup.media_list(F.coalesce(F.col("v.medias"), g("medias"), F.lit("[]"))),
-        "identity": F.coalesce(F.from_json(g("attributes.identifier"), "map<string,array<string>>"), F.from_json(F.lit("{}"), "map<string,array<string>>")),
-    })
     lists = lambda name: values.text_list(F.coalesce(F.from_json(attribute(name), "array<string>"), F.array(attribute(name))))
+    # what a record says is read before its variants are listed: once, not for each of them
+    read = records.select(
+        "site", "category", "fetched_at", keys.once(F.filter(F.array_prepend(groups, root), lambda x: x["uid"].isNotNull()), chosen).alias("chosen"), g("uid").alias("uid"), g("name").alias("name"), F.coalesce(g("brand.name"), F.lit("")).alias("brand"), g("sellable").alias("sellable"),
+        values.payload_number(F.coalesce(g("price.marked.min"), g("price.marked"))).alias("marked"), values.payload_number(F.coalesce(g("price.effective.min"), g("price.effective"))).alias("effective"), g("medias").alias("medias"),
+        F.coalesce(F.from_json(g("attributes.identifier"), "map<string,array<string>>"), F.from_json(F.lit("{}"), "map<string,array<string>>")).alias("identity"), F.coalesce(attribute("description"), F.lit("")).alias("html"), lists("super-ingredients").alias("key_ingredients"), lists("preference").alias("special_features"),
+    )
+    read = read.withColumn("content", markup.content_sections("html"))
+    each = read.select("*", F.col("chosen.parent").alias("parent"), F.posexplode("chosen.variants").alias("vpos", "v"))
+    is_root = F.col("v.uid") == F.col("uid")
+    each = each.withColumns({"prices": values.clean_prices(F.when(is_root, F.col("marked")), F.when(is_root, F.col("effective"))), "gallery": markup.media_list(F.coalesce(F.col("v.medias"), F.col("medias"), F.lit("[]")))})
     codes = F.flatten(F.array(*[F.coalesce(F.try_element_at("identity", F.lit(k)), _no_texts()) for k in ("ean", "gtin", "upc", "barcode")]))
     return as_products(
         each, site=F.col("site"), product_id=F.col("v.uid"), parent_product_id=F.col("parent"), sku=F.when(is_root, F.coalesce(F.get(F.try_element_at("identity", F.lit("sku_code")), F.lit(0)), F.lit(""))).otherwise(""),
-        gtin=F.when(is_root, keys.gtin_from_candidates(codes)).otherwise(""), brand=F.coalesce(g("brand.name"), F.lit("")), product_name=F.coalesce("v.name", g("name"), F.lit("")), variant=F.coalesce("v.value", F.lit("")),
+        gtin=F.when(is_root, keys.gtin_from_candidates(codes)).otherwise(""), brand=F.col("brand"), product_name=F.coalesce("v.name", "name", F.lit("")), variant=F.coalesce("v.value", F.lit("")),
         categories=values.text_list(F.array("category")), source_categories=values.text_list(F.array("category")), mrp=F.col("prices.mrp"), selling_price=F.col("prices.selling_price"), discount_pct=F.col("prices.discount_pct"),
-        in_stock=F.when(is_root, values.boolean_word(g("sellable"))), product_url=markup.absolute_url(F.concat(F.lit("product/"), F.col("v.slug")), base_url), image_url=F.coalesce(F.get("gallery", F.lit(0)), F.lit("")), image_urls=F.col("gallery"),
-        description=F.col("content.description"), description_html=F.coalesce(attribute("description"), F.lit("")), ingredients=F.col("content.ingredients"), how_to_use=F.col("content.how_to_use"),
-        key_ingredients=lists("super-ingredients"), special_features=lists("preference"), scraped_at=F.col("fetched_at"),
+        in_stock=F.when(is_root, values.boolean_word(F.col("sellable"))), product_url=markup.absolute_url(F.concat(F.lit("product/"), F.col("v.slug")), base_url), image_url=F.coalesce(F.get("gallery", F.lit(0)), F.lit("")), image_urls=F.col("gallery"),
+        description=F.col("content.description"), description_html=F.col("html"), ingredients=F.col("content.ingredients"), how_to_use=F.col("content.how_to_use"),
+        key_ingredients=F.col("key_ingredients"), special_features=F.col("special_features"), scraped_at=F.col("fetched_at"),
     )
 
 

@@ -67,6 +67,13 @@ def _parts(spark, sf_dir):
     return p.withColumns({"key": key.cast("string"), "k": key, "r": F.col("p_retailprice"), "ean": F.concat(body, ((10 - total % 10) % 10).cast("string"))})
 
 
+def _spread(parts):
+    """Parts in as many tasks as shuffles have: a page of one is many times as costly as its row, and the rows of a small file
+    are few tasks, if not one."""
+    spark = parts.sparkSession
+    return parts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "p_partkey")
+
+
 _PARTS = """WITH b AS (SELECT *, '890' || lpad(p_partkey::VARCHAR, 9, '0') AS body FROM part),
 p AS (SELECT *, p_partkey::VARCHAR AS key, p_partkey AS k, p_retailprice AS r,
   body || ((10 - (SELECT sum(substr(body, i::INT, 1)::INT * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END) FROM range(1, 13) r(i)) % 10) % 10)::BIGINT::VARCHAR AS ean FROM b)
@@ -103,7 +110,7 @@ def listing_rejects(spark, sf_dir):
   2 AS reviews, 'fine' AS review, TRUE AS bought, 'Zinc, Aloe' AS key_ingredients, CASE WHEN n = 2 AND i = 0 THEN 'https://img.example.com/o.jpg' ELSE 'https://img.example.com/r.jpg' END AS image
 FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS n FROM p) q, range(2) t(i) WHERE i < n""", with_obs=False)
 def detail_pages(spark, sf_dir):
-    p = _parts(spark, sf_dir)
+    p = _spread(_parts(spark, sf_dir))
     null = F.lit(None).cast("string")
     pictures = lambda name: F.array(F.struct(F.lit(f"https://img.example.com/{name}.jpg").alias("url"), F.lit("image").alias("type")))
     one = F.struct(F.concat("key", F.lit("-1")).alias("id"), F.lit("O1").alias("sku"), F.col("ean").alias("gtin"), F.lit("10 ml").alias("pack_size"), (F.col("r") + 50).cast("string").alias("price"), F.col("r").cast("string").alias("final_price"), F.lit("true").alias("gludo_stock"), pictures("o").alias("carousel"))
@@ -118,7 +125,7 @@ def detail_pages(spark, sf_dir):
 
 
 def _variant_pages(spark, sf_dir):
-    p = _parts(spark, sf_dir)
+    p = _spread(_parts(spark, sf_dir))
     uid = F.col("k") * 10 + 5
     item = lambda i: F.struct((uid + i).cast("string").alias("uid"), F.concat("p_name", F.lit(f" {i}")).alias("name"), F.concat(F.lit("s"), "key", F.lit(f"v{i}")).alias("slug"), F.lit(f"{10 + i} g").alias("value"))
     attributes = F.struct(F.struct(F.array("ean").alias("ean"), F.array(F.concat(F.lit("K"), "key")).alias("sku_code")).alias("identifier"), F.lit("10 g").alias("pack-size"), F.array(F.lit("Zinc"), F.lit("Aloe"), F.lit("Zinc")).alias("super-ingredients"), F.lit("Vegan").alias("preference"), F.lit("<p>Text</p><h2>Ingredients</h2><p>Water</p><h2>How to use</h2><p>Rub</p>").alias("description"))
@@ -145,7 +152,7 @@ def variant_prices(spark, sf_dir):
 
 
 def _product_pages(spark, sf_dir):
-    p = _parts(spark, sf_dir)
+    p = _spread(_parts(spark, sf_dir))
     node = F.struct(F.when(F.col("k") % 3 == 0, "https://schema.org/Product").otherwise("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("description"), F.concat(F.lit("PPLB"), "ean").alias("sku"), F.array(F.concat(F.lit("https://img.example.com/"), "ean", F.lit("_1.jpg"))).alias("image"),
                     F.array(F.struct(F.when(F.col("k") % 2 == 0, "0").otherwise(F.col("r").cast("string")).alias("price"), F.lit("https://schema.org/InStock").alias("availability"))).alias("offers"), F.struct(F.lit("4.2").alias("ratingValue"), F.lit("17").alias("ratingCount")).alias("aggregateRating"))
     graph = F.when(F.col("k") % 4 == 0, F.to_json(F.struct(F.array(node).alias("@graph")))).otherwise(F.to_json(node))

@@ -254,3 +254,20 @@ def test_only_whole_and_clean_sweeps_age(spark, tmp_path, failures, complete, st
     again = micro_batches.close_stream(table, schema, runs, "a", "r1", now, failures, complete, 1)  # a run that is closed ages nothing
     assert [r.status for r in again.collect()] == [status]
     assert {r.product_id: (r.missing_run_count, r.is_active) for r in table.read().collect()} == {"1": (0, True), "2": (missing, not missing), "3": (0, True)}
+
+
+def test_texts_of_a_payload_are_read_before_its_variants_are_listed(spark):
+    detail = payloads.json_detail(bronze(spark, '{"id": "1", "description": "<p>a</p>", "options": [{"id": "1-1"}, {"id": "1-2"}]}'), "https://x.test")
+    listing = payloads.variant_listing(bronze(spark, '{"items": [{"uid": "1", "name": "n", "attributes": {"description": "<p>a</p>"}, "variants": [{"items": [{"uid": "2"}]}]}]}'), "https://x.test")
+    assert [(r.product_id, r.description) for r in detail.orderBy("product_id").collect()] == [("1-1", "a"), ("1-2", "a")]
+    assert [(r.product_id, r.parent_product_id, r.description) for r in listing.orderBy("product_id").collect()] == [("1", "1", "a"), ("2", "1", "a")]
+    for rows in (detail, listing):
+        plan = rows.select("product_id", "description")._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.index("Generate") < plan.index("content_sections(")  # from the last step to the first
+
+
+def test_pages_made_of_a_small_table_are_more_than_one_task(spark):
+    from shelfwise.plans import payload_queries
+
+    for pages in (payload_queries._variant_pages, payload_queries._product_pages):
+        assert pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
