@@ -14,3 +14,20 @@ def test_gtin_check_equals_its_sql_for_keys_of_seven_digits(spark, tmp_path):
     got = sorted(tuple(r) for r in __spark_entry__.queries()["gtin_check"](spark, str(tmp_path)).collect())
     want = sorted(con.sql(__spark_entry__.oracle_sql()["gtin_check"]).fetchall())
     assert got == want and any(raw.startswith("B0") and gtin for _, raw, gtin, _ in got)
+
+
+def test_the_latest_lines_are_chosen_before_they_meet_their_parts(spark):
+    """The same rows as choosing among all observations, and the join comes after a choice among the lines."""
+    from shelfwise.operators import catalogue
+    from shelfwise.plans import catalogue_queries as q
+
+    folder = "/root/testdata/sf0.001"
+    rows = q.obs(spark, folder)
+    early, late = q._split(spark, folder)
+    pairs = ((q.latest(spark, folder), rows), (early, rows.where(f"scraped_at < '{q.CUT}'")), (late, rows.where(f"scraped_at >= '{q.CUT}'")))
+    for got, seen in pairs:
+        key = ["site", "product_id", "ord", "selling_price", "gtin", "brand"]
+        want = catalogue.latest_per_key(seen)
+        assert got.columns == want.columns and sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.rindex("Window [")  # from the last step to the first
