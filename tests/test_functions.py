@@ -105,3 +105,13 @@ def test_a_barcode_is_made_ready_once(spark):
     made = df.select(keys.attribute_gtin(F.col("a")).alias("a"), keys.normalize_gtin(F.col("g")).alias("g"))
     assert [tuple(r) for r in made.collect()] == [("8901030865275",) * 2, ("8901030865275", ""), ("", ""), ("", "")]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 6
+
+
+def test_a_title_is_read_once_by_each_pattern(spark):
+    """Groups are read from what a pattern found, and short numbers lose their zeros without being formatted."""
+    df = spark.createDataFrame([("2 x 50 ml pack of 3",), ("Pack of 3 1,5 L",), ("5gm (4-pack) 007.50% 0.0% + 10.% 1234567.125% 100%",), ("none",), (None,)], "t string")
+    made = df.select(titles.parse_size(F.col("t")).alias("size"), F.array_join(titles.strengths(F.col("t")), " ").alias("strengths"))
+    assert [(tuple(r.size) if r.size else None, r.strengths) for r in made.collect()] == [
+        ((50.0, "ml", 2), ""), ((1500.0, "ml", 3), ""), ((5.0, "g", 4), "pct0 pct100 pct1234567.125 pct7.5"), (None, ""), (None, ""),
+    ]
+    assert made.select("size")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 12
