@@ -21,13 +21,16 @@ def csv_cells(products: DataFrame) -> DataFrame:
 
 
 def export_products(products: DataFrame, folder: str, by_site: bool = False) -> DataFrame:
-    """Write the sorted catalogue as CSV; nothing to export is an error. Returns the rows of each site."""
-    counts = products.groupBy("site").agg(F.count("*").alias("products"))
+    """Write the sorted catalogue as CSV; nothing to export is an error. Returns the rows of each site. The
+    products are computed once: their cells are stored, and counted, put in ranges and sorted from there."""
+    ready = stored(csv_cells(products))
+    counts = stored(ready.groupBy("site").agg(F.count("*").alias("products")))
     if counts.isEmpty():
         raise ValueError("no products to export")
-    cells = csv_cells(canonical_order(products))
+    cells = canonical_order(ready)
     writer = cells.withColumn("part_site", F.col("site")).write.partitionBy("part_site") if by_site else cells.write
     writer.mode("errorifexists").options(header=True, escape='"', quoteAll=True).csv(folder)
+    drop(ready)
     return counts
 
 

@@ -271,3 +271,17 @@ def test_pages_made_of_a_small_table_are_more_than_one_task(spark):
 
     for pages in (payload_queries._variant_pages, payload_queries._product_pages):
         assert pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_an_export_computes_its_products_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(x):
+        read.add(1)
+        return x
+
+    rows = products(spark, [product("a", str(i)) for i in range(20)]).withColumn("product_name", watched("product_id"))
+    counts = sinks.export_products(rows, str(tmp_path / "out"))
+    assert [(r.site, r.products) for r in counts.collect()] == [("a", 20)] and read.value == 20
+    assert readers.read_products_csv(spark, str(tmp_path / "out")).count() == 20
