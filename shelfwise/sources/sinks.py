@@ -88,21 +88,29 @@ def upsert_parts(spark: SparkSession, path: str, new: DataFrame, schema: str, bu
     drop(new)
 
 
+#: Points of a day, about, that one task writes.
+POINTS = 1_000_000
+
+
 def append_days(spark: SparkSession, path: str, points: DataFrame, schema: str, order: Sequence[str] = (), period: str = "day") -> None:
     """Add price points to a history partitioned by ``day``, the date of ``scraped_at`` (or the first of its
     ``period``, such as month): those whose key it lacks. Points without a time have no day and are left out. A point's day follows from its key, so only the
-    days of the batch are read; at most one date for each of them comes to the driver."""
+    days of the batch are read; at most one date for each of them comes to the driver. A day of more than ``POINTS``
+    points is written by several tasks."""
     from shelfwise.operators import catalogue
 
     dated = stored(points.withColumn("day", F.to_date(F.date_trunc(period, "scraped_at"))))
     kinds = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("day", T.DateType())])
     history = spark.read.schema(kinds).parquet(path) if exists(spark, path) else spark.createDataFrame([], kinds)
-    days = [r.day for r in dated.select("day").distinct().collect()]
-    own = history.where(F.col("day").isin([d for d in days if d is not None]))
+    sizes = {r.day: r.points for r in dated.groupBy("day").agg(F.count("*").alias("points")).collect()}
+    own = history.where(F.col("day").isin([d for d in sizes if d is not None]))
     fresh = catalogue.append_history(own, dated.where("day IS NOT NULL").select(history.columns), ("day", *HISTORY_KEY), order)
-    ready = stored(fresh)  # the history is read before it grows
-    ready.repartition("day").write.mode("append").partitionBy("day").parquet(path)
-    drop(ready)
+    pieces = F.lit(1)
+    for day, n in sizes.items():
+        if day is not None and n > POINTS:
+            pieces = F.when(F.col("day") == day, -(-n // POINTS)).otherwise(pieces)
+    # the history's files are listed already, and new ones are there after the last row has been read
+    fresh.repartition("day", F.pmod(F.xxhash64(*HISTORY_KEY), pieces)).write.mode("append").partitionBy("day").parquet(path)
     drop(dated)
 
 

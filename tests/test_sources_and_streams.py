@@ -285,3 +285,18 @@ def test_an_export_computes_its_products_once(spark, tmp_path):
     counts = sinks.export_products(rows, str(tmp_path / "out"))
     assert [(r.site, r.products) for r in counts.collect()] == [("a", 20)] and read.value == 20
     assert readers.read_products_csv(spark, str(tmp_path / "out")).count() == 20
+
+
+def test_a_large_day_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "POINTS", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a few rows would be one task again
+    history = sinks.DayHistory(spark, str(tmp_path / "h"))
+    rows = spark.range(40).selectExpr("'a' AS site", "cast(id AS string) AS product_id", "timestamp'2026-01-01' + make_interval(0, 0, 0, 0, id div 38 * 24) AS scraped_at", "1.5 AS selling_price")
+    try:
+        for _ in range(2):
+            history.add(rows, POINTS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {d: len([f for f in os.listdir(tmp_path / "h" / d) if f.endswith(".parquet")]) for d in os.listdir(tmp_path / "h") if d.startswith("day=")}
+    assert files["day=2026-01-01"] > 1 and files["day=2026-01-02"] == 1
+    assert history.read(POINTS).count() == history.read(POINTS).select("product_id").distinct().count() == 40
