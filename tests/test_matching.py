@@ -209,3 +209,15 @@ def test_sweep_targets_are_told_row_by_row(spark):
         offline, pages = barcodes.sweep_targets(rows, recheck=recheck)
         assert [r.product_id for r in offline.collect()] == ["1"] and sorted(r.product_id for r in pages.collect()) == want
         assert "Join" not in pages._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_class_is_named_in_16_bytes_and_a_title_is_one_on_all_sites(spark):
+    rows = [product(s, f"{s}{i}", product_name=SERUM, gtin=GTIN if s == "a" else "") for s in "abc" for i in range(2)]
+    classes = matching.with_class(matching.prepare(products(spark, rows), ["a", "b", "c"])).select(F.length(F.col("cls").cast("binary")).alias("n"), "cls", "title").collect()
+    assert {r.n for r in classes} == {16} and len({bytes(r.cls) for r in classes}) == 3 and len({bytes(r.title) for r in classes}) == 1
+
+
+def test_groups_leave_out_what_only_edges_read(spark):
+    rows = [product("a", "1", product_name=SERUM), product("b", "2", product_name=SERUM)]
+    _, groups, _ = matching.match_products(products(spark, rows), order=["a", "b"])
+    assert groups.count() == 2 and not {"tokens", "ord", "strengths"} & set(groups.columns)

@@ -31,3 +31,25 @@ def test_the_latest_lines_are_chosen_before_they_meet_their_parts(spark):
         assert got.columns == want.columns and sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Join") < plan.rindex("Window [")  # from the last step to the first
+
+
+def test_latest_observations_are_chosen_where_they_met_their_parts(spark):
+    from shelfwise.plans.catalogue_queries import latest
+
+    plan = latest(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_partkey" in plan and "hashpartitioning(site" not in plan
+
+
+def test_shuffle_files_of_a_stored_table_go(spark):
+    import time
+
+    from shelfwise.sources.versions import stored
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, table = names(), stored(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not names() - before:
+            break
+        time.sleep(0.2)
+    assert not names() - before and table.count() == 1000
