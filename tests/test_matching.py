@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,47 @@ def test_groups_leave_out_what_only_edges_read(spark):
     rows = [product("a", "1", product_name=SERUM), product("b", "2", product_name=SERUM)]
     _, groups, _ = matching.match_products(products(spark, rows), order=["a", "b"])
     assert groups.count() == 2 and not {"tokens", "ord", "strengths"} & set(groups.columns)
+
+
+def test_the_walk_by_titles_equals_the_walk_over_edges():
+    for seed in range(60):
+        rng = random.Random(seed)
+        n, titles = rng.randrange(0, 40), rng.randrange(1, 7)
+        at = sorted(rng.randrange(4) for _ in range(n))
+        sites = [sorted(set(at)).index(s) for s in at]
+        titled, codes = [rng.randrange(titles) for _ in range(n)], [rng.choice([-1, -1, 0, 1, 2]) for _ in range(n)]
+        pairs = {(a, b): c for a in range(titles) for b in range(a, titles) if (c := rng.choice([0, 0.7, 0.8, 0.8, 1.0]))}
+        pairs |= {(b, a): c for (a, b), c in pairs.items()}
+        edges = {}
+        for i, j in ((i, j) for i in range(n) for j in range(n) if sites[i] < sites[j]):
+            both = codes[i] >= 0 and codes[j] >= 0
+            if both and codes[i] == codes[j] or not both and (titled[i], titled[j]) in pairs:
+                edges[(sites[i], i), (sites[j], j)] = 1.0 if both else pairs[titled[i], titled[j]]
+        names = rng.sample(list(pairs), len(pairs)) + [(-1, 0), (0, titles)]  # titles without items too
+        left, right = (np.array([p[k] for p in names], "i4") for k in (0, 1))
+        got = list(matching.walk(np.array(titled, "i4"), np.array(sites, "i4"), np.array(codes, "i4"), left, right, np.array([pairs.get(p, 0.9) for p in names])))
+        want = greedy(edges, [(s, i) for i, s in enumerate(sites)])
+        assert len(got) == len(want) and {((sites[a], a), (sites[b], b)) for a, b, _ in got} == want
+        assert all(codes[a] == codes[b] >= 0 if e < 0 else names[e] == (titled[a], titled[b]) for a, b, e in got)
+
+
+def test_the_walk_holds_numbers_alone():
+    rng, n = np.random.default_rng(1), 40_000
+    sites, titled = np.repeat(np.arange(5), n // 5).astype("i4"), np.tile(np.sort(rng.integers(0, 400, n // 5)), 5).astype("i4")
+    left, right = (rng.integers(0, 400, 8_000).astype("i4") for _ in "lr")
+    tracemalloc.start()
+    assert sum(1 for _ in matching.walk(titled, sites, np.where(rng.random(n) < 0.5, -1, rng.integers(0, 9_000, n)).astype("i4"), left, right, rng.choice([0.7, 0.8], 8_000))) > n / 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * n  # bytes
+
+
+def test_titles_are_paired_once_however_many_sites_and_barcodes(spark):
+    rows = [product(s, f"{s}{i}", product_name=SERUM + extra, gtin=gtin) for s in "abcd" for i, (extra, gtin) in enumerate([("", ""), ("", GTIN if s == "a" else OTHER), (" plus", "")])]
+    items = matching.stored(matching.prepare(products(spark, rows), list("abcd")))
+    named = matching.with_class(items.where("bkey <> ''"))
+    pairs = matching.stored(matching.title_pairs(named, 0.5))
+    assert pairs.count() == 4 and matching.title_edges(matching.title_classes(items), 0.5).count() > 40
+    want = greedy({(tuple(r.left), tuple(r.right)): r.confidence for r in matching.score_edges(items, 0.5).collect()}, [tuple(r.item) for r in items.orderBy("ord").select("item").collect()])
+    for group in (1_000, 2):
+        assert {(tuple(r.left), tuple(r.right)) for r in matching.assign_titles(items, pairs, group).collect()} == want
