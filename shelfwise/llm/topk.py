@@ -2,9 +2,12 @@
 
 The distances of every vector to some pivots are computed once. For a query q and a vector x, the
 triangle inequality gives |x - q| >= |d(q, p) - d(x, p)| for every pivot p; the largest of these, m,
-bounds the inner product by (|q|^2 + |x|^2 - m^2) / 2. Candidates are evaluated in the order of that
-bound, until the k-th best score passes the next bound. The pivots are chosen in a sample of the table's
+bounds the inner product by (|q|^2 + |x|^2 - m^2) / 2. Only vectors whose bound reaches the query's k-th best
+score so far are evaluated. The pivots are chosen in a sample of the table's
 vectors, and the k-th best score within that sample is where each query starts.
+
+A task holds some queries and reads the blocks of vectors from the shared folder, one after the other, so a
+query's k-th best score rises as it goes, and neither queries nor vectors nor candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -13,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.shared import map_batches, materialize, tasks, work_dir
 
 #: Pivots, and the vectors (those whose ids hash lowest) among which they are chosen.
 PIVOTS, SAMPLE = 24, 1024
-#: Vectors and queries that meet in one step.
-BLOCK, QUERY_BLOCK = 2048, 256
+#: Vectors and queries that meet in one step, and queries that a task holds at most (and, where tasks are idle, at least).
+BLOCK, QUERY_BLOCK = 2048, 64
+QUERIES, FEW_QUERIES = 2048, 32
 
 
 def quantized(vector: Column) -> Column:
@@ -68,31 +74,58 @@ def starting_scores(queries: np.ndarray, query_ids: np.ndarray, sample: np.ndarr
     return np.maximum(np.partition(known, -k, axis=1)[:, -k], -1e300)
 
 
-def eliminate(query: np.ndarray, bound: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-    """The ``k`` best (-score, id) of a block, among those that may reach ``floor``."""
-    alive = np.flatnonzero(bound >= floor)
-    order = alive[np.argsort(-bound[alive], kind="stable")]
-    best: list[tuple[int, int]] = []
-    at, step = 0, 32
-    while at < len(order) and bound[order[at]] >= (max(floor, -best[k - 1][0]) if len(best) >= k else floor):
-        part = order[at : at + step]
-        best = sorted([*best, *zip((-int(x) for x in inner_products(vectors[part], query)), ids[part].tolist())])[:k]
-        at, step = at + step, 2 * step
-    return best
-
-
-def _pack(rows: DataFrame, size: int, pivots: np.ndarray, width: int, start=None) -> DataFrame:
-    """Rows of (id, vector) packed into blocks with their pivot table; ``start`` gives each vector's starting score."""
-
-    names = ["ids", "vectors", "table", *(["start"] if start else [])]
+def bounds(norms: np.ndarray, table: np.ndarray, queries: np.ndarray, q_table: np.ndarray) -> np.ndarray:
+    """By query and vector: a number that the inner product doesn't pass."""
+    apart, step = np.zeros((len(queries), len(norms))), np.empty((len(queries), len(norms)))
+    for own, at in zip(table.T, q_table.T):
+        np.subtract(own[None], at[:, None], out=step)
+        np.maximum(apart, np.abs(step, out=step), out=apart)
+    both = norms[None] + (queries * queries).sum(axis=1)[:, None]
+    return (both - apart * apart) / 2 + 1e-9 * both + 1e-3  # more than rounding can take away
+
+
+class Best:
+    """The ``k`` best (-score, id) of each of some queries, of the blocks seen so far."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, table: np.ndarray, start: np.ndarray, k: int):
+        self.ids, self.queries, self.table, self.k, self.floor = ids, queries, table, k, start.copy()
+        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray) -> None:
+        norms, most = (vectors * vectors).sum(axis=1), np.abs(vectors).max(initial=0)
+        for at in range(0, len(self.ids), QUERY_BLOCK):
+            own = slice(at, at + QUERY_BLOCK)
+            queries, floor = self.queries[own], self.floor[own, None]
+            alive = (bounds(norms, table, queries, self.table[own]) >= floor) & (self.ids[own, None] != ids)
+            some = np.flatnonzero(alive.any(axis=0))
+            if most * np.abs(queries).max(initial=0) * max(1, queries.shape[1]) >= 2**53:
+                for i in np.flatnonzero(alive.any(axis=1)):
+                    js = np.flatnonzero(alive[i])
+                    self._add(at + i, inner_products(vectors[js], queries[i]), ids[js])
+            elif len(some):
+                scores = queries @ vectors[some].T
+                good = alive[:, some] & (scores >= floor)
+                for i in np.flatnonzero(good.any(axis=1)):
+                    self._add(at + i, scores[i, good[i]].tolist(), ids[some[good[i]]])
+
+    def _add(self, i: int, scores: list, ids: np.ndarray) -> None:
+        self.best[i] = sorted([*self.best[i], *zip((-int(x) for x in scores), ids.tolist())])[: self.k]
+        if len(self.best[i]) == self.k:
+            last = float(-self.best[i][-1][0])
+            self.floor[i] = max(self.floor[i], last if abs(last) < 2**53 else np.nextafter(last, -np.inf))
+
+
+def _pack(rows: DataFrame, size: int, pivots: np.ndarray, width: int) -> DataFrame:
+    """Rows of (id, vector) packed into blocks with their pivot table."""
+
+    names = ["ids", "vectors", "table"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = [], []
 
         def block() -> pa.RecordBatch:
             m = _matrix(vectors[:size], width)
-            own = np.array(ids[:size], "<i8")
-            columns = [own, m.astype("<f8"), distances(m, pivots).astype("<f8"), *([start(m, own).astype("<f8")] if start else [])]
+            columns = [np.array(ids[:size], "<i8"), m.astype("<f8"), distances(m, pivots).astype("<f8")]
             del ids[:size], vectors[:size]
             return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names)
 
@@ -107,6 +140,29 @@ def _pack(rows: DataFrame, size: int, pivots: np.ndarray, width: int, start=None
     return rows.transform(map_batches, pack, ", ".join(f"{n} binary" for n in names))
 
 
+def _blocks(folder: str, width: int, pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, vectors and pivot table of each block that ``_pack`` made, one at a time."""
+    filesystem, path = fs.FileSystem.from_uri(folder)
+    for info in sorted(filesystem.get_file_info(fs.FileSelector(path)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            with filesystem.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(1):
+                    ids, vectors, table = (np.frombuffer(batch.column(c)[0].as_buffer(), t) for c, t in (("ids", "<i8"), ("vectors", "<f8"), ("table", "<f8")))
+                    yield ids, vectors.reshape(-1, width), table.reshape(-1, pivots)
+
+
+def _sample(valid: DataFrame, n: int, at: str) -> list:
+    """The ``SAMPLE`` rows, of ``n``, whose ids hash lowest. However many tasks there are, the driver and the task that sorts
+    get little more than these."""
+    share = min(1.0, 4 * SAMPLE / max(1, n))
+    while True:
+        low = valid if share == 1 else valid.where(F.xxhash64("id") < int((share - 0.5) * 2**64))
+        rows = materialize(low.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE), at).collect()
+        if len(rows) == SAMPLE or share == 1:
+            return rows
+        share = min(1.0, 8 * share)
+
+
 def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query, a row whose id is divisible by ``every``, its ``k`` best of all other rows.
 
@@ -119,41 +175,36 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     spark, at = rows.sparkSession, work_dir(rows.sparkSession)
     valid = rows.select(F.col(id_col).alias("id"), quantized(F.col(vector_col)).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
     valid = materialize(valid, f"{at}/vectors")
-    width = valid.agg(F.max(F.size("vector"))).first()[0] or 0
-    sample = valid.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).collect()
+    n, width = valid.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    sample = _sample(valid, n, f"{at}/sample")
     points = _matrix([r.vector for r in sample], width)
     chosen = spread_pivots(points, PIVOTS)
     pivots, point_ids = points[chosen], np.array([r.id for r in sample], np.int64)
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
-    packed = materialize(_pack(valid, BLOCK, pivots, width).withColumn("place", F.monotonically_increasing_id()), f"{at}/packed")
-    slots = max(1, packed.count())  # each block of vectors has a slot, and each block of queries goes to all slots
-    data = packed.withColumn("slot", F.pmod(F.xxhash64("place"), F.lit(slots)).cast("int"))
-    asking = valid.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    queries = materialize(_pack(asking.repartition(max(1, tasks(spark) // 8)), QUERY_BLOCK, pivots, width, lambda q, ids: starting_scores(q, ids, points, point_ids, k)), f"{at}/queries")
+    packed, schema = f"{at}/packed", "query_id long, rank int, vec_id long, score long"
+    materialize(_pack(valid, BLOCK, pivots, width), packed)
+    asking = materialize(valid.where(F.col("id") % every == 0).groupBy(F.col("id").cast("long").alias("id")).agg(F.min("vector").alias("vector")), f"{at}/asking")
+    asked = asking.count()
+    parts = max(1, min(-(-asked // FEW_QUERIES), max(tasks(spark), -(-asked // QUERIES))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                vectors, q = (np.frombuffer(row[c], "<f8").reshape(-1, width) for c in ("vectors", "q_vectors"))
-                near, q_near = (np.frombuffer(row[c], "<f8").reshape(-1, len(pivots)) for c in ("table", "q_table"))
-                norms, start = (vectors * vectors).sum(axis=1), np.frombuffer(row["q_start"], "<f8")
-                out = []
-                for i, query in enumerate(q):
-                    apart = np.abs(near - q_near[i]).max(axis=1)
-                    bound = (norms + query @ query - apart * apart) / 2
-                    bound += 1e-9 * (norms + query @ query) + 1e-3  # more than rounding can take away
-                    bound[ids == q_ids[i]] = -np.inf
-                    out += [(int(q_ids[i]), own, -score) for score, own in eliminate(query, bound, vectors, ids, k, start[i])]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["query_id", "vec_id", "score"])
-
-    asked = queries.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table"), F.col("start").alias("q_start"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    found = data.join(asked, "slot").select("ids", "vectors", "table", "q_ids", "q_vectors", "q_table", "q_start").transform(map_batches, search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        own = list(batches)
+        own = pa.Table.from_batches(own) if own else []
+        for first in range(0, len(own), QUERIES):
+            part = own.slice(first, QUERIES)
+            ids, queries = part.column("id").to_numpy(), _matrix(part.column("vector").to_pylist(), width)
+            start = starting_scores(queries, ids, points, point_ids, k)
+            largest = np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) * max(1, width)
+            found = Best(ids, queries, distances(queries, pivots), start if largest < 2**53 else np.maximum(start - 1e-9 * largest, -1e300), k)
+            for block in _blocks(packed, width, len(pivots)):
+                found.meet(*block)
+            out = [(q, rank, own_id, -score) for q, best in zip(ids.tolist(), found.best) for rank, (score, own_id) in enumerate(best, 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["query_id", "rank", "vec_id", "score"])
+
+    return asking.repartition(parts).transform(map_batches, search, schema)
 
 
 ORACLE = """

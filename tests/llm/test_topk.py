@@ -62,3 +62,34 @@ def test_elimination_leaves_out_most_of_clustered_vectors(monkeypatch):
     assert (bound + 1e-3 >= vectors @ q).all()
     fifth = np.sort(vectors @ q)[-5]
     assert (bound >= fifth).mean() < 0.5
+
+
+def test_the_driver_gets_the_sample_alone_and_no_row_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 16)
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40)
+    seen, first = [], topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda rows, at: seen.append((at.rsplit("/", 1)[1], rows)) or first(rows, at))
+    found = topk.top_k(df)
+    [low] = [rows for name, rows in seen if name == "sample"]
+    assert low.count() == 16 and "Filter" in low._jdf.queryExecution().optimizedPlan().toString()  # of few rows, not of each task's best
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert {tuple(r) for r in found.collect()} == brute(rows, 5, 50)
+
+
+def test_a_few_ids_repeated_fill_the_sample(spark):
+    rows = [(i % 3, [float(i), 1.0]) for i in range(6000)]
+    valid = spark.createDataFrame(rows, "id long, vector array<double>")
+    assert len(topk._sample(valid, 6000, topk.work_dir(spark) + "/sample")) == topk.SAMPLE
+
+
+def test_queries_of_several_blocks_and_tasks(spark, monkeypatch):
+    for name, value in (("BLOCK", 32), ("QUERY_BLOCK", 3), ("QUERIES", 7), ("FEW_QUERIES", 9)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(rng.randrange(1, 5))]) for i in range(300)]
+    wide = [(i, v + [0.0] * (4 - len(v))) for i, v in rows]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect()
+    assert len(got) == 30 * 5 and {tuple(r) for r in got} == brute(wide, 5, 10)
