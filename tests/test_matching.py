@@ -267,3 +267,19 @@ def test_titles_are_paired_once_however_many_sites_and_barcodes(spark):
     want = greedy({(tuple(r.left), tuple(r.right)): r.confidence for r in matching.score_edges(items, 0.5).collect()}, [tuple(r.item) for r in items.orderBy("ord").select("item").collect()])
     for group in (1_000, 2):
         assert {(tuple(r.left), tuple(r.right)) for r in matching.assign_titles(items, pairs, group).collect()} == want
+
+
+def test_best_edges_need_no_edges_of_classes(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["Retinol Night Serum", "Retinol Night Serum Plus", "Night Serum Retinol Rich"]
+    rows = [product(s, f"{s}{i:02}", product_name=rng.choice(words), gtin=rng.choice(["", "", GTIN, OTHER]), brand=rng.choice(["One", "Two"])) for s in "abcd" for i in range(8)]
+    rows += [product(r["site"], r["product_id"], product_name=words[1], brand="One") for r in rows[:5]]  # ids that two rows have
+    items = matching.stored(matching.prepare(products(spark, rows), list("dbca")))
+    want = {}
+    for r in sorted(matching.score_edges(items).collect(), key=lambda r: (-r.confidence, r.r_ord)):
+        want.setdefault((r.left, r.r_site), (r.right, r.confidence, r.method, r.notes, r.r_ord))
+    monkeypatch.setattr(matching, "title_edges", None)
+    monkeypatch.setattr(matching, "_same_codes", None)
+    got = matching.best_edges(items).collect()
+    assert len(got) == len(want) > 40 and {(r.left, r.r_site): (r.right, r.confidence, r.method, r.notes, r.r_ord) for r in got} == want
+    assert all(r.l_site == r.left.site for r in got)
